@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 
 #: Steps of a tokenizer file under which ids of words stand side by side in the ids of a text.
 _SPLITTING_NORMALIZERS = ("NFC", "Lowercase", "Replace")
@@ -28,17 +29,77 @@ def splits_at_spaces(spec: dict) -> bool:
         and cut.get("type") == "Split" and cut.get("behavior") == "Removed" and cut.get("invert") and pattern
         and not regex.search(pattern, " ")
         and not any(" " in t["content"] for t in spec.get("added_tokens", []))
-        and not any(c.get("add_prefix_space") for c in cuts)
+        and [c.get("type") for c in cuts[1:]] == ["ByteLevel"]
+        and not any(c.get("add_prefix_space") or c.get("use_regex") for c in cuts)
         and not spec.get("post_processor") and not spec.get("truncation")
     )
 
 
+#: Marks that often end a word; without them the rest of most words is letters alone.
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
+
+
+class _Known(dict):
+    """Ids of words and parts of words as bytes, made when first asked for."""
+
+    def __init__(self, tokenizer, spec: dict):
+        import regex
+
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.cut = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.special = [t["content"].encode() for t in spec.get("added_tokens", [])]
+        self.lowers = any(s["type"] == "Lowercase" for s in spec["normalizer"]["normalizers"])
+
+    def __missing__(self, word: bytes) -> bytes:
+        if word.isalpha() or word.isascii() and not word.strip(_MARKS) and b"'" not in word:
+            ids = self._part(word)
+        else:
+            stem = word.rstrip(_MARKS)
+            if stem.isalpha():
+                ids = self[stem] + self[word[len(stem) :]]
+            elif not word.isascii():
+                text = stem.decode()
+                # letters up to U+024F have forms of their own that no neighbour changes
+                alone = len(stem) < len(word) and text.isalpha() and max(text) < "\u0250"
+                ids = self[stem] + self[word[len(stem) :]] if alone else self._whole(word)
+            elif any(s in word for s in self.special):
+                ids = self._whole(word)
+            else:
+                text = word.decode()
+                parts = self.cut(text.lower() if self.lowers else text)
+                ids = b"".join(map(self._part, map(str.encode, parts))) if len(parts) > 1 else self._part(word)
+        self[word] = ids
+        return ids
+
+    def _part(self, part: bytes) -> bytes:
+        """Ids of ASCII letters, or of other ASCII characters, that the tokenizer doesn't cut; its model alone.
+
+        Control characters have other names in the model.
+        """
+        text = part.decode()
+        if not text.isprintable():
+            return self._whole(part)
+        return array("I", [t.id for t in self.model.tokenize(text.lower() if self.lowers else text)]).tobytes()
+
+    def _whole(self, word: bytes) -> bytes:
+        return array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+
+    def trim(self, most: int) -> None:
+        """Beyond ``most`` entries long ones go, as those rarely come again; then all, if that isn't enough."""
+        if len(self) > most:
+            short = {w: ids for w, ids in self.items() if len(w) <= 8}
+            self.clear()
+            if len(short) < most // 2:
+                self.update(short)
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
-    Ids of words are kept in a table of about ``most_words`` words; when it is full, long words go, as
-    those rarely come again, so memory is bounded for any vocabulary. Tokenizers that join words over
-    white space get whole texts instead. Workers that run several tasks keep their table (:meth:`of`).
+    Where a tokenizer's ids go word by word, each distinct word is cut as the tokenizer cuts it, and
+    the parts are encoded by its model; a table of about ``most_words`` keeps them, so memory is bounded
+    for any vocabulary. Other tokenizers get whole texts. Workers that run several tasks keep their
+    table (:meth:`of`).
     """
 
     _kept: dict[str, Encoder] = {}
@@ -49,31 +110,31 @@ class Encoder:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
-    def __init__(self, path: str, most_words: int = 400_000):
+    def __init__(self, path: str, most_words: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.by_word = splits_at_spaces(json.load(f))
-        self.most_words, self.known = most_words, {}
+            spec = json.load(f)
+        self.by_word, self.most_words = splits_at_spaces(spec), most_words
+        self.known = _Known(self.tokenizer, spec) if self.by_word else None
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in encode(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in encode(texts, add_special_tokens=False)]
+
+    def _words(self, text: str | None) -> list[bytes]:
+        if not text:
+            return []
+        raw = text.encode()
+        # A-Z may be lowered first where no mark (U+0300 to U+036F) may join a letter into another
+        plain = self.known.lowers and not any(s in raw for s in self.known.special) and b"\xcc" not in raw and b"\xcd" not in raw
+        return (raw.lower() if plain else raw).split()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if not self.by_word:
             return self._whole([t or "" for t in texts])
-        split = [t.encode().split() if t else [] for t in texts]
-        if len(self.known) > self.most_words:
-            short = {w: ids for w, ids in self.known.items() if len(w) <= 8}
-            self.known = short if len(short) < self.most_words // 2 else {}
-        known = self.known
-        fresh = [w for w in set().union(*split) if w not in known] if split else []
-        for at in range(0, len(fresh), 20_000):
-            some = fresh[at : at + 20_000]
-            known.update(zip(some, self._whole([w.decode() for w in some]), strict=True))
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        self.known.trim(self.most_words)
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, self._words(t))) for t in texts]
