@@ -50,9 +50,10 @@ def id_counts(ids: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
-        for batch in batches:
-            for n, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.bincount(_wide(i, n), minlength=len(total))
+        for batch in portions(batches, "ids", 4 << 20):
+            for wide in (False, True):  # ids of a document have 16 bits or 32
+                some = [i for n, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (len(i) == 4 * n) == wide]
+                part = np.bincount(np.frombuffer(b"".join(some), "<u4" if wide else "<u2"), minlength=len(total))
                 part[: len(total)] += total
                 total = part
         used = np.flatnonzero(total)

@@ -51,7 +51,10 @@ class _Known(dict):
         self.lowers = any(s["type"] == "Lowercase" for s in spec["normalizer"]["normalizers"])
 
     def __missing__(self, word: bytes) -> bytes:
-        if word.isalpha() or word.isascii() and not word.strip(_MARKS) and b"'" not in word:
+        if word.isalpha():
+            text = word.decode()
+            ids = array("I", [t.id for t in self.model.tokenize(text.lower() if self.lowers else text)]).tobytes()
+        elif word.isascii() and not word.strip(_MARKS) and b"'" not in word:
             ids = self._part(word)
         else:
             stem = word.rstrip(_MARKS)
