@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .scratch import even_keys
 from .textio import portions, record
 
 #: A shingle is this many bytes; its 32-bit hash is retained if it lies below 2^32 / SCALE.
@@ -101,13 +102,15 @@ def with_next(docs: DataFrame, ranges: int) -> DataFrame:
     firsts = dict(ranged.groupBy("part").agg(F.min("id")).collect())
     order = sorted(firsts)
     ahead = {p: order[i - 1] for i, p in enumerate(order)}  # the first range follows the last
-    n = len(cuts) + 2
+    n = len(cuts) + 1
     first = F.element_at(longs([firsts.get(p) for p in range(n)]), F.col("part") + 1)
     before = F.element_at(longs([ahead.get(p) for p in range(n)]), F.col("part") + 1)
     places = F.array(F.struct("part", F.lit(0).alias("late")))
     more = F.array(F.struct(before.cast("int").alias("part"), F.lit(1).alias("late")))
     spread = ranged.withColumn("place", F.explode(F.when(F.col("id") == first, F.concat(places, more)).otherwise(places)))
-    return spread.select("place.part", "place.late", "id", "doc_id", "text").repartition(n, "part").sortWithinPartitions("part", "late", "id", F.xxhash64("text"))
+    keys = F.element_at(F.array(*[F.lit(k) for k in even_keys(docs.sparkSession, n)]), F.col("place.part") + 1)
+    spread = spread.select("place.part", "place.late", "id", "doc_id", "text", keys.cast("int").alias("key"))
+    return spread.repartition(n, "key").sortWithinPartitions("part", "late", "id", F.xxhash64("text"))
 
 
 def fingerprint_edits(docs: DataFrame, *, ranges: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

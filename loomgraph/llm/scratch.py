@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SETTING = "spark.checkpoint.dir"
 
@@ -33,7 +33,7 @@ class Scratch:
 
     def keep(self, df: DataFrame, table: str, partition_by: str | None = None) -> DataFrame:
         """Write ``df`` and return it reread: later stages recompute nothing that lies before it."""
-        writer = df.write.mode("overwrite").option("compression", "zstd")
+        writer = df.write.mode("overwrite").option("compression", "snappy")
         if partition_by:
             writer = writer.partitionBy(partition_by)
         writer.parquet(self.path(table))
@@ -50,3 +50,10 @@ class Scratch:
         jvm = self.spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(where)
         target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def even_keys(spark: SparkSession, n: int) -> list[int]:
+    """Numbers that ``repartition(n, key)`` deals one to each partition."""
+    rows = spark.range(n * 30).select(F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p"), "id").groupBy("p").agg(F.min("id")).collect()
+    found = dict(rows)
+    return [found.get(p, p) for p in range(n)]

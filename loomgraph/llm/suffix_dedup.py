@@ -8,9 +8,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, even_keys
 from .suffixes import least_owners
 from .textio import portions, record
 
@@ -94,13 +94,6 @@ def _target(names: np.ndarray, n: int) -> np.ndarray:
     return ((names >> np.uint64(48)) * np.uint64(n) >> np.uint64(16)).astype(np.int64)
 
 
-def even_keys(spark: SparkSession, n: int) -> list[int]:
-    """Numbers that ``repartition(n, key)`` deals one to each partition."""
-    rows = spark.range(n * 30).select(F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p"), "id").groupBy("p").agg(F.min("id")).collect()
-    found = dict(rows)
-    return [found.get(p, p) for p in range(n)]
-
-
 SENT = pa.schema([("target", pa.int32()), ("names", pa.binary()), ("contents", pa.binary()), ("owner", pa.binary()), ("doc_ids", pa.binary()), ("texts", pa.binary())])
 SENT_SQL = "target int, names binary, contents binary, owner binary, doc_ids binary, texts binary"
 
