@@ -198,14 +198,15 @@ def _links_in_groups(groups: DataFrame, texts: DataFrame, how: Similarity, scrat
     that returns no more links than join its components.
     """
     counts = scratch.keep(groups.groupBy("p", "component").count(), "group_sizes")
-    main = counts.groupBy("p").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("n"), F.max("count").alias("most"))
-    main = main.filter("n > most").select("p", "main", F.ceil((F.col("n") - F.col("most")) / LOOSE_BLOCK).cast("int").alias("n_loose"), F.ceil(F.col("n") / FULL_BLOCK).cast("int").alias("n_full"))
+    main = counts.groupBy("p").agg(F.max(F.struct("count", "component")).alias("main"), F.sum("count").alias("n"), F.max("count").alias("most"))
+    main = main.filter("n > most").select("p", F.col("main.component").alias("main"), F.ceil((F.col("n") - F.col("most")) / LOOSE_BLOCK).cast("int").alias("n_loose"), F.ceil(F.col("n") / FULL_BLOCK).cast("int").alias("n_full"))
+    main = scratch.keep(main, "main")  # so that the join below deals both sides anew and can split a hot group
     members = scratch.keep(groups.join(main, "p"), "members")
     spread = lambda n, tag: F.pmod(F.xxhash64("node", F.lit(tag)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     full = members.select("p", "node", "component", every("n_loose").alias("i"), spread("n_full", "full").alias("j"), F.lit(1).alias("role"))
     loose = members.filter("component <> main").select("p", "node", "component", spread("n_loose", "loose").alias("i"), every("n_full").alias("j"), F.lit(0).alias("role"))
-    work = full.union(loose).join(texts, "node").select("p", "i", "j", "role", "node", "component", "sig", "text")
+    work = full.union(loose).join(texts.hint("merge"), "node").select("p", "i", "j", "role", "node", "component", "sig", "text")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = work.repartition(parts, "p", "i", "j").sortWithinPartitions("p", "i", "j", "role", "node")
 
@@ -256,10 +257,11 @@ def near_duplicates(docs: DataFrame, how: Similarity | None = None, *, id_col: s
     meeting = keys.groupBy("band").agg(F.min("node").alias("p"), F.max("node").alias("top")).filter("p < top").select("band", "p")
     stars = scratch.keep(keys.join(meeting, "band").filter("node <> p").select("p", "node").distinct(), "stars")
     wanted = stars.select("node").union(stars.select("p")).distinct()
-    candidates = plain.select(F.col("doc_id").alias("node"), "text").join(wanted, "node").join(nodes.select("node", "sig"), "node")
+    # merge joins whatever the size: texts are never broadcast, and the plan is one at every scale
+    candidates = plain.select(F.col("doc_id").alias("node"), "text").join(wanted.hint("merge"), "node").join(nodes.select("node", "sig").hint("merge"), "node")
     texts = scratch.keep(candidates, "texts")
     ends = lambda name, at: texts.select(F.col("node").alias(at), F.col("sig").alias(f"sig_{name}"), F.col("text").alias(f"text_{name}"))
-    pairs = stars.select(F.col("p").alias("a"), F.col("node").alias("b")).join(ends("b", "b"), "b").join(ends("a", "a"), "a")
+    pairs = stars.select(F.col("p").alias("a"), F.col("node").alias("b")).join(ends("b", "b").hint("merge"), "b").join(ends("a", "a").hint("merge"), "a")
     links = scratch.keep(_verify_pairs(pairs, how), "links")
 
     first = connected_components(links, scratch, "first")

@@ -15,7 +15,7 @@ from .suffixes import least_owners
 from .textio import portions, record
 
 #: Bytes of the grams whose least hash names a window. All windows of one content get one name.
-GRAM = 16
+GRAM = 24
 #: Bytes of text whose stretches travel together.
 PARCEL = 8 << 20
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -50,9 +50,10 @@ def stretches(data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.
     if len(data) < width:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     h, done = _BYTES[data], 1
-    while done < GRAM:
-        h = h[:-done] * _MUL + (h[done:] ^ (h[done:] >> np.uint64(29)))
-        done *= 2
+    while done < GRAM:  # the hash of a run from those of its halves, the last time overlapping
+        step = min(done, GRAM - done)
+        h = h[:-step] * _MUL + (h[step:] ^ (h[step:] >> np.uint64(29)))
+        done += step
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
@@ -63,7 +64,9 @@ def stretches(data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.
         done += step
     first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
     ends = np.append(first[1:], len(h)) - 1 + width
-    return h[first], first, ends
+    names = h[first] * _MUL  # least hashes are small numbers; this spreads them
+    names ^= names >> np.uint64(32)
+    return names * np.uint64(0xD6E8FEB86659FD93), first, ends
 
 
 def content_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -213,7 +216,7 @@ BYTES = pa.schema([("parcel", pa.int64()), ("target", pa.int32()), ("strings", p
 BYTES_SQL = "parcel long, target int, strings array<binary>, owners array<long>, docs array<long>, starts array<long>, which array<int>"
 
 
-def _send_bytes(marked: DataFrame, width: int, keys: list[int]) -> DataFrame:
+def _send_bytes(marked: DataFrame, width: int, n: int) -> DataFrame:
     """Mixed stretches by parcel and target: distinct strings with their least document, and where each is.
 
     A string that many documents of a parcel share travels once; its places stay with the parcel.
@@ -226,13 +229,13 @@ def _send_bytes(marked: DataFrame, width: int, keys: list[int]) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             for t, (strings, docs, starts, which) in held.items():
-                yield record(BYTES, parcel=[parcel], target=[keys[t]], strings=[list(strings)], owners=[[o for _, o in strings.values()]], docs=[docs], starts=[starts], which=[which])
+                yield record(BYTES, parcel=[parcel], target=[t], strings=[list(strings)], owners=[[o for _, o in strings.values()]], docs=[docs], starts=[starts], which=[which])
 
         for batch in portions(batches, "text"):
             for doc, text, marks in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 raw = text.encode()
                 name, start, end = _marked(np.frombuffer(raw, np.uint8), width, marks)
-                for t, a, b in zip(_target(name, len(keys)).tolist(), start.tolist(), end.tolist(), strict=True):
+                for t, a, b in zip(_target(name, n).tolist(), start.tolist(), end.tolist(), strict=True):
                     strings, docs, starts, which = held.setdefault(t, ({}, [], [], []))
                     piece = raw[a:b]
                     i, owner = strings.get(piece, (len(strings), doc))
@@ -376,7 +379,7 @@ def remove_repeats(docs: DataFrame, *, width: int = 50, id_col: str = "doc_id",
     owned = every.join(first, "sha").filter("doc_id = first").select("doc_id").distinct()
     chosen = plain.join(marks.join(owned, "doc_id", "left_semi"), "doc_id")
     marked = scratch.keep(chosen.select("doc_id", "text", "mixed", "gone"), "marked")
-    sent = scratch.keep(_send_bytes(marked, width, keys), "bytes")
+    sent = scratch.keep(_send_bytes(marked, width, 8 * n), "bytes")
     answers = scratch.keep(_settle_bytes(sent, n, width), "answers")
     ranges = scratch.keep(_ranges(sent, answers, width).groupBy("doc_id").agg(F.collect_list("ranges").alias("ranges")), "ranges")
     scratch.drop("bytes", "answers")

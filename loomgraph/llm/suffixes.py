@@ -14,6 +14,18 @@ def words_at(data: np.ndarray, at: np.ndarray, n_bytes: int) -> np.ndarray:
     return out
 
 
+#: Bytes of a string that count common prefixes in one go.
+LANE = 96
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as big-endian words, beyond the end zero."""
+    w = np.append(data, np.zeros(8, np.uint8)).astype(np.uint64)
+    for step in (1, 2, 4):
+        w = w[:-step] << np.uint64(8 * step) | w[step:]
+    return w[: len(data)]
+
+
 def refine(order: np.ndarray, rank: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One step of Larsson and Sadakane: sort each unsorted group by the rank of what follows it.
 
@@ -29,14 +41,14 @@ def refine(order: np.ndarray, rank: np.ndarray, second: np.ndarray) -> tuple[np.
         return order, rank
     some = order[open_]
     group, follow = rank[some], second[some]
-    by = np.lexsort((follow, group))
-    some, group, follow = some[by], group[by], follow[by]
+    key = group << 32 | follow + 1  # both are places, so below 2^31
+    by = np.argsort(key)
+    some, key = some[by], key[by]
     order = order.copy()
     order[open_] = some
-    last = np.append((group[1:] != group[:-1]) | (follow[1:] != follow[:-1]), True)
-    ends = np.flatnonzero(last)
+    ends = np.flatnonzero(np.append(key[1:] != key[:-1], True))
     rank = rank.copy()
-    rank[some] = open_[ends[np.searchsorted(ends, np.arange(len(some)))]]
+    rank[some] = np.repeat(open_[ends], np.diff(ends, prepend=-1))
     return order, rank
 
 
@@ -47,12 +59,12 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     doubles, the last step overlapping to end at ``depth`` exactly.
     """
     n = len(data)
-    padded = np.append(data, np.zeros(8, np.uint8))
-    key = words_at(padded, np.arange(n), 8)[:, 0]
-    order = np.argsort(key, kind="stable")
-    ends = np.append(np.flatnonzero(key[order][1:] != key[order][:-1]), n - 1) if n else np.zeros(0, np.int64)
+    key = eights(data)
+    order = np.argsort(key)
+    key = key[order]
+    ends = np.append(np.flatnonzero(key[1:] != key[:-1]), n - 1) if n else np.zeros(0, np.int64)
     rank = np.empty(n, np.int64)
-    rank[order] = ends[np.searchsorted(ends, np.arange(n))]
+    rank[order] = np.repeat(ends, np.diff(ends, prepend=-1))
     sorted_to = 8
     while sorted_to < depth:
         step = min(sorted_to, depth - sorted_to)
@@ -67,32 +79,37 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, starts: np.ndarray, mos
 
     Kasai's rule: from one position to the next the length falls by one at most. It holds for lengths
     below ``most``, up to which ``order`` is sorted; after a full length counting starts anew, eight
-    bytes at a time. Strings begin at ``starts``; all strings take their steps side by side.
+    bytes at a time. Strings begin at ``starts``; all strings, long ones in parts, take their steps side
+    by side. Neighbours that differ within eight bytes count as 0.
     """
     n = len(data)
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
     before = np.where(place > 0, order[place - 1], -1)
     padded = np.append(data, np.zeros(most + 9, np.uint8))
-    eight = words_at(padded, np.arange(n + most), 8)[:, 0]
+    eight = eights(padded[:-1])
     out = np.zeros(n, np.int64)
     lengths = np.diff(np.append(starts, n))
+    parts = -(-lengths // LANE)
+    inner = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    starts, lengths = np.repeat(starts, parts) + LANE * inner, np.minimum(LANE, np.repeat(lengths, parts) - LANE * inner)
+    may = (before >= 0) & (eight[:n] == eight[before])
     by = np.argsort(-lengths, kind="stable")
     starts, lengths = starts[by], lengths[by]
     held = np.zeros(len(starts), np.int64)
     for step in range(int(lengths.max(initial=0))):
         live = int(np.searchsorted(-lengths, -step, side="left"))
         at = starts[:live] + step
-        h = np.where(held[:live] < most, np.maximum(held[:live] - 1, 0), 0)
+        on = may[at]
+        h = np.where((held[:live] < most) & on, np.maximum(held[:live] - 1, 0), 0)
         other = before[at]
-        h[other < 0] = 0
-        grow = np.flatnonzero((other >= 0) & (h + 8 <= most))
+        grow = np.flatnonzero(on & (h + 8 <= most))
         while len(grow):
             i, j = at[grow] + h[grow], other[grow] + h[grow]
             grow = grow[(np.maximum(i, j) + 8 <= n) & (eight[i] == eight[j])]
             h[grow] += 8
             grow = grow[h[grow] + 8 <= most]
-        grow = np.flatnonzero((other >= 0) & (h < most))
+        grow = np.flatnonzero(on & (h < most))
         while len(grow):
             i, j = at[grow] + h[grow], other[grow] + h[grow]
             grow = grow[(i < n) & (j < n) & (padded[i] == padded[j])]
@@ -164,21 +181,21 @@ def least_owners(strings: list[bytes], owners: list[int], width: int, shard_byte
         for back in range(1, width):
             windows[(starts + lengths - back)[lengths >= back]] = False
         order, _ = suffix_array(data, width)
-        near = common_prefixes(data, order, starts, width)
-        new = near < width
-        kind = np.cumsum(new) - 1
-        full = windows[order]
-        positions, kinds = order[full], kind[full]
+        new = common_prefixes(data, order, starts, width) < width
+        kinds, positions = np.cumsum(new), order[windows[order]]
+        kinds = kinds[windows[order]]
+        new = np.append(True, kinds[1:] != kinds[:-1])[: len(kinds)]
+        first, group = np.flatnonzero(new), np.cumsum(new) - 1
         owner = np.repeat(np.array([owners[i] for i in shard], np.int64), lengths)[positions]
-        first = np.flatnonzero(np.append(True, kinds[1:] != kinds[:-1])) if len(kinds) else np.zeros(0, np.int64)
-        least = np.minimum.reduceat(owner, first) if len(first) else owner
-        rows = words_at(np.append(data, np.zeros(8, np.uint8)), positions[first], width)
-        merged.add(rows, least)
-        found.append((positions, np.cumsum(np.append(0, kinds[1:] != kinds[:-1])) if len(kinds) else kinds, rows, len(data), starts, lengths))
+        least, rows = np.minimum.reduceat(owner, first) if len(first) else owner, None
+        if len(shards) > 1:
+            rows = words_at(np.append(data, np.zeros(8, np.uint8)), positions[first], width)
+            merged.add(rows, least)
+        found.append((positions, group, least, rows, len(data), starts, lengths))
     out: list[np.ndarray] = []
-    for positions, group, rows, n, starts, lengths in found:
-        at, _ = merged.find(rows)
+    for positions, group, own, rows, n, starts, lengths in found:
         least = np.full(n, -1, np.int64)
-        least[positions] = merged.owner[at][group] if len(positions) else 0
+        if len(positions):
+            least[positions] = (own if rows is None else merged.owner[merged.find(rows)[0]])[group]
         out += [least[s : s + max(0, m - width + 1)] for s, m in zip(starts.tolist(), lengths.tolist(), strict=True)]
     return out
