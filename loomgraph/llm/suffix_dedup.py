@@ -372,6 +372,7 @@ def remove_repeats(docs: DataFrame, *, width: int = 50, id_col: str = "doc_id",
     every = plain.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
     every = scratch.keep(every, "every")
     first = every.filter("doc_id IS NOT NULL").groupBy("sha").agg(F.min("doc_id").alias("first"))
+    first = scratch.keep(first, "first")  # so that joins deal both sides anew and can split a hot text
 
     sent = _send_stretches(plain.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= width)), width, keys)
     marks = _mark_stretches(sent, n).groupBy("doc_id").agg(F.collect_list("gone").alias("gone"), F.collect_list("mixed").alias("mixed"))
