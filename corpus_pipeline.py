@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = near_dedup.near_duplicates(docs, near_dedup.Similarity(words=5, percent=80))
     gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
     gone = Scratch(spark, "duplicates").keep(gone, "duplicates")
-    return _documents(docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti"))
+    return _documents(docs.join(gone.hint("merge"), F.col("doc_id") == F.col("__id"), "left_anti"))
 
 
 def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     times = mixed.filter("size > 0 AND times <> 1").groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source")).agg(F.max("times").alias("__times"))
     empty = mixing.n_words(F.col("text")) == 0
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source"))
-    taken = docs.join(times, same, "left").withColumn("__times", F.when(empty, 1).otherwise(F.coalesce("__times", F.lit(1)))).filter("__times > 0")
+    taken = docs.join(times.hint("merge"), same, "left").withColumn("__times", F.when(empty, 1).otherwise(F.coalesce("__times", F.lit(1)))).filter("__times > 0")
     return _documents(taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))))
 
 
