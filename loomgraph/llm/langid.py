@@ -92,11 +92,11 @@ def _scores(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, text_key long, declared string, suffix string, host string, scores array<double>")
 
 
-def _normalized(logs: Column) -> Column:
-    """Probabilities of an array of logarithms."""
-    top = F.array_max(logs)
-    shares = F.transform(logs, lambda x: F.exp(x - top))
-    return F.transform(shares, lambda x: x / F.aggregate(shares, F.lit(0.0), lambda a, b: a + b))
+def _with_normalized(df: DataFrame, logs: str, to: str) -> DataFrame:
+    """Probabilities of an array of logarithms; each step in a column, so that none is worked out twice."""
+    df = df.withColumn("__top", F.array_max(logs)).withColumn("__shares", F.transform(logs, lambda x: F.exp(x - F.col("__top"))))
+    df = df.withColumn("__sum", F.aggregate("__shares", F.lit(0.0), lambda a, b: a + b))
+    return df.withColumn(to, F.transform("__shares", lambda x: x / F.col("__sum"))).drop("__top", "__shares", "__sum")
 
 
 def _said(column: str, languages: list[str], right: float) -> Column:
@@ -135,8 +135,8 @@ def identify(
         return scored.select("doc_id", "text_key", F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("probability"), F.lit(UNKNOWN).alias("text_language"), "declared", "host", unjudged.alias("kept"))
 
     k = len(names)
-    own = F.when(F.col("scores").isNotNull(), _normalized(F.col("scores"))).otherwise(F.array(*[F.lit(0.0)] * k))
-    scored = scored.withColumn("own", own).withColumn("top", F.coalesce(F.element_at(F.split("host", r"\."), -1), F.lit("")))
+    scored = _with_normalized(scored, "scores", "own").withColumn("own", F.coalesce("own", F.array(*[F.lit(0.0)] * k)))
+    scored = scored.withColumn("top", F.coalesce(F.element_at(F.split("host", r"\."), -1), F.lit("")))
     sums = [F.sum(F.col("own")[i]) for i in range(k)]
     by_host = scored.filter("host IS NOT NULL").groupBy("host", "top").agg(F.array(*sums).alias("in_host"))
     by_top = by_host.groupBy("top").agg(F.array(*[F.sum(F.col("in_host")[i]) for i in range(k)]).alias("in_top"))
@@ -155,7 +155,7 @@ def identify(
     logs = F.transform("p_host", lambda p: F.log(F.greatest(p, F.lit(1e-12))))
     for more in (F.col("scores"), _said("declared", model.languages, DECLARED_RIGHT), _said("suffix", model.languages, SUFFIX_RIGHT)):
         logs = F.zip_with(logs, more, lambda a, b: a + b)
-    placed = placed.withColumn("posterior", F.when(F.col("scores").isNotNull(), _normalized(logs)))
+    placed = _with_normalized(placed.withColumn("logs", logs), "logs", "posterior")  # null without scores
     labels = F.array(*[F.lit(x) for x in names])
     best = lambda c: F.coalesce(F.element_at(labels, F.array_position(F.col(c), F.array_max(c)).cast("int")), F.lit(UNKNOWN))
     out = placed.select("doc_id", "text_key", best("posterior").alias("language"), F.coalesce(F.array_max("posterior"), F.lit(0.0)).alias("probability"), F.when(F.col("scores").isNotNull(), best("own")).otherwise(F.lit(UNKNOWN)).alias("text_language"), "declared", "host")

@@ -21,7 +21,7 @@ HASHES = BANDS * ROWS
 #: Hashes that are compared between two looks at the posterior, and the chance of losing a true link by it.
 STEP, MISS = 16, 1e-6
 #: Members of a block of loose and of all documents of one group.
-LOOSE_BLOCK, FULL_BLOCK = 128, 1024
+LOOSE_BLOCK, FULL_BLOCK = 64, 512
 
 _SEEDS = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, size=(2, HASHES, 1), dtype=np.uint64)
 _XOR, _ODD = _SEEDS[0], _SEEDS[1] * np.uint64(2) + np.uint64(1)
@@ -79,7 +79,7 @@ class Similarity:
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
