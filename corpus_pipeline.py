@@ -22,8 +22,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a recognised language."""
     model = langid.train(docs, languages=LANGUAGES)
     found = langid.identify(docs, model, accept=LANGUAGES, declared=F.col("lang"), host=F.col("source"))
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    gone = Scratch(spark, "rejected").keep(gone, "rejected")  # its size is known now, so a small one is broadcast
+    scratch = Scratch(spark, "rejected")
+    found = scratch.keep(found.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "kept"), "judged")
+    gone = scratch.keep(found.filter(~F.col("kept")).drop("kept").distinct(), "rejected")  # its size is known now, so a small one is broadcast
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
     return _documents(docs.join(gone, same, "left_anti"))
 
