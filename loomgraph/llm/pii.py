@@ -80,7 +80,8 @@ def find(text: str | None) -> list[Entity]:
         elif kind == "name":
             start = m.start("first") if m["title"] and m["first"] else m.start("last") if m["title"] else m.start("given")
             out.append(Entity(kind, start, m.end(), text[start : m.end()]))
-            out[-1].key = f"{_TITLES.get(m['title'] or '', '')}/{out[-1].text}"
+            gender = _TITLES.get(m["title"] or "") or _GIVEN.get(out[-1].text.split()[0], ("",))[0]
+            out[-1].key = f"{gender}/{out[-1].text}"  # with a title or without, it is the same person
         elif kind == "card" and not 13 <= len(re.sub(r"\D", "", m[0])) <= 19:
             continue
         else:
@@ -261,12 +262,12 @@ def replace_entities(
     else:
         attempts, extra = {}, _attempts_by_text(docs, retried, text_col)
         source = source.withColumn("__row", F.sha2(F.col(text_col), 256)).join(extra, "__row", "left").drop("__row")
-    at = source.columns.index(text_col)
+    at, per_row = source.columns.index(text_col), extra is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cipher = Cipher(key)
         for batch in portions(batches, text_col):
-            own = batch.column(batch.schema.get_field_index("__attempts")).to_pylist() if extra is not None else None
+            own = batch.column(batch.schema.get_field_index("__attempts")).to_pylist() if per_row else None
             texts, counts, kinds = [], [], []
             for i, text in enumerate(batch.column(at).to_pylist()):
                 entities_, out, last = find(text), [], 0

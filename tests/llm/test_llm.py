@@ -1,0 +1,432 @@
+"""Operators against brute force on small tables, and their odd cases."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from loomgraph.llm import fingerprint, huffman, langid, mixing, near_dedup, packing, pii, quality, queries, suffix_dedup, suffixes, textio, token_store, tokens, url_filter
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string, kept string, start long, size string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null in every column, empty and very long texts, repeated rows, ties, columns with clashing names."""
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 7))) for _ in range(300)]
+    make = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    base, long_ = make(120), make(30_000)
+    words = base.split()
+    near = " ".join([*words[:60], "changed", *words[61:]])
+    far = " ".join([*words[:20], *make(100).split()])
+    texts = [base, near, base, far, "", None, "one", "two words", " \t\n", long_, long_ + " end", "Ａ Σ ΑΣ 日本 e\u0301 \x1c x's", make(60), make(60), base.upper(), "the " * 200]
+    rows = [(i, t, ["en", "fr", None][i % 3], ["a", "b", None, "c"][i % 4], None if i % 5 == 0 else 1, "x", "y", 7, "z") for i, t in enumerate(texts)]
+    return spark.createDataFrame([*rows, rows[3], rows[3], (None, base, None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None)], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def empty(df):
+    return df.limit(0)
+
+
+def pairs_of(df, *columns):
+    return collections.Counter(tuple(r) for r in df.select(*columns).collect())
+
+
+def brute_components(rows, how):
+    """By doc_id; rows without id or words are alone."""
+    sets = [(i, how.shingles(t)) for i, t in rows if i is not None]
+    up = {i: i for i, _ in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for n, (i, a) in enumerate(sets):
+        for j, b in sets[:n]:
+            if a and b and 100 * len(a & b) >= how.percent * len(a | b):
+                x, y = root(i), root(j)
+                up[max(x, y)] = min(x, y)
+    return {i: root(i) for i, _ in sets}
+
+
+@pytest.mark.parametrize("words", [2, 5])
+@pytest.mark.parametrize("which", ["odd", "docs"])
+def test_near_duplicates(request, which, words):
+    df, how = request.getfixturevalue(which), near_dedup.Similarity(words, 80)
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    component = brute_components(rows, how)
+    wanted = collections.Counter((i, len(how.shingles(t)), component.get(i), i is None or component[i] == i) for i, t in rows)
+    assert pairs_of(near_dedup.near_duplicates(df, how), "doc_id", "n_shingles", "component_id", "kept") == wanted
+
+
+def test_near_duplicates_in_a_large_group(spark):
+    rng = random.Random(1)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(250):
+        words = list(base)
+        for at in rng.sample(range(80), rng.randint(0, 12)):
+            words[at] = f"v{rng.randint(0, 500)}"
+        rows.append((i, " ".join(words)))
+    how = near_dedup.Similarity(2, 80)
+    found = dict((r.doc_id, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), how).collect())
+    assert found == brute_components(rows, how)
+
+
+def test_pruning_keeps_true_links():
+    how = near_dedup.Similarity(2, 80)
+    assert list(how.needed()) == sorted(how.needed()) and how.needed()[-1] < 0.8 * near_dedup.HASHES
+
+
+def test_packing(odd):
+    path = queries.tokenizer_path()
+    rows = packing.pack_documents(odd, path).collect()
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    wanted = collections.Counter()
+    for r in odd.collect():
+        ids = [*t.encode(r.text or "", add_special_tokens=False).ids, 0]
+        for k, at in enumerate(range(0, len(ids), 2048)):
+            part = ids[at : at + 2048]
+            wanted[r.doc_id, k, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes())] += 1
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == wanted
+    bins = collections.defaultdict(list)
+    for r in rows:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for parts in bins.values():
+        ends = 0
+        for offset, length in sorted(parts):
+            assert offset == ends
+            ends += length
+        assert ends <= 2048
+    assert len(bins) <= 1 + -(-sum(r.length for r in rows) // 2048)
+    assert packing.pack_documents(empty(odd), path).count() == 0
+
+
+def test_open_bins_are_bounded_and_fullest_closes():
+    bins = packing.OpenBins(100, 2)
+    assert [bins.put(n) for n in (60, 70, 80)] == [(0, 0), (1, 0), (2, 0)] and bins.open == 2
+    assert bins.put(20) == (2, 80) and bins.put(25) == (0, 60) and bins.put(30) == (3, 0)
+
+
+def test_encoder_equals_the_tokenizer():
+    encoder = tokens.Encoder(queries.tokenizer_path())
+    rng = random.Random(5)
+    some = ["".join(rng.choice("aAbÉé'sStT.,!1²́̌ \t\u0085ΣσΙϊ<|>x\x01\x1c日") for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    some += ["<|endoftext|> a<|startoftext|>b", "A" * 500, "J\u030c", "İ", "", None]
+    assert encoder.by_word and encoder.encode(some) == encoder._whole([t or "" for t in some])
+
+
+def test_token_store(spark, odd, tmp_path):
+    path = queries.tokenizer_path()
+    stored = token_store.store_documents(odd, path, str(tmp_path / "store"), end_id=2)
+    encoder = tokens.Encoder(path)
+    rows = sorted(((r.doc_id, encoder.encode([r.text])[0] + (2).to_bytes(4, "little")) for r in odd.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    wanted, at = collections.Counter(), 0
+    for i, ids in rows:
+        wanted[i, at, len(ids) // 4, ids] += 1
+        at += len(ids) // 4
+    found = collections.Counter((r.doc_id, r.n_tokens, bytes(r.ids)) for r in stored.collect())
+    assert found == collections.Counter((i, n, ids) for i, _, n, ids in wanted)
+    starts = sorted((r.start, r.n_tokens) for r in stored.collect())
+    assert starts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))
+    assert token_store.store_documents(empty(odd), path, end_id=2).count() == 0
+
+
+def test_huffman():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 2, 5, 700):
+        ids = (rng.pareto(0.4, n) % 300).astype(np.int64)
+        counts = np.bincount(ids, minlength=1)
+        symbols = np.flatnonzero(counts)
+        lengths = huffman.limited_lengths(counts[symbols], 9)
+        assert not len(symbols) or lengths.max() <= 9 and (2.0**-lengths).sum() <= 1
+        code = huffman.Code(symbols, lengths)
+        bits, lanes = code.encode(ids)
+        assert (code.decode(bits, lanes, len(ids)) == ids).all()
+
+
+def test_url_rules(spark):
+    urls = ["http://A.example.net/en/1?x", "x://foo.net/q#f", "http://net", "nothing", None, "ftp://example.org/fr/", "http://a.example.com/de/?q", "http://notnet/", "http://b.example.com/en#/de/", "a://b://c/d"]
+    pages = spark.createDataFrame([*enumerate(urls), (0, urls[0])], "page_id long, url string").withColumn("host", F.lit("clash"))
+    none = spark.createDataFrame([], "url string, bad boolean")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(pages, none).collect()}
+    assert got[0] == ("a.example.net", "/en/1", "example.net/en/", "allow") and got[1] == ("foo.net", "/q", "net/", "block")
+    assert got[2] == ("net", "", None, "allow") and got[3] == got[4] == ("", "", None, "allow")
+    assert got[5][2:] == ("org/fr/", "allow") and got[6][2:] == ("example.com/de/", "block") and got[7][2] is None
+    assert got[8][:3] == ("b.example.com", "/en", None) and got[9][:2] == ("b:", "//c/d")
+    assert url_filter.judge_urls(empty(pages), none).count() == 0
+
+
+def test_url_rules_are_mined(spark):
+    rows = [(f"http://casino-{i}.example.org/win/{i}", True) for i in range(40)] + [(f"http://site.example.org/win/{i}", i % 2 == 0) for i in range(40)] + [(f"http://news{i}.example.org/a/{i}", False) for i in range(60)] + [(None, True), ("http://x.org/", None)]
+    labelled = spark.createDataFrame(rows, "url string, bad boolean")
+    rules = {tuple(r.tokens) for r in url_filter.mine_rules(labelled).collect()}
+    assert ("h:casino-#",) in rules and not any("h:site" in r for r in rules)
+    assert all(len(r) == 1 or ("h:casino-#",) not in {(t,) for t in r} for r in rules)
+    pages = spark.createDataFrame([(1, "http://casino-9.example.org/z"), (2, "http://site.example.org/win/1")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in url_filter.judge_urls(pages, labelled).collect()} == {1: "block", 2: "allow"}
+
+
+def brute_repeats(rows, width=50):
+    first, out = {}, collections.Counter()
+    for i, b in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+        for k in range(len(b) - width + 1):
+            first.setdefault(b[k : k + width], i)
+    for i, b in rows:
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - width + 1 if i is not None else 0):
+            if first[b[k : k + width]] < i:
+                gone[k : k + width] = True
+        spans = int((np.diff(np.concatenate(([0], gone.view(np.int8), [0]))) == 1).sum())
+        out[i, len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()] += 1
+    return out
+
+
+@pytest.mark.parametrize("which", ["odd", "docs"])
+def test_repeated_passages(request, which):
+    df = request.getfixturevalue(which)
+    rows = [(r.doc_id, (r.text or "").encode()) for r in df.collect()]
+    assert pairs_of(suffix_dedup.remove_repeats(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(rows)
+
+
+def test_repeats_at_the_edges(spark):
+    rng = random.Random(8)
+    passage = "".join(rng.choice("xyz ") for _ in range(120))
+    texts = ["-" * 300, "=" * 40 + "-" * 60, "-" * 49, passage, "ab" + passage[30:79] + "cd", "ab" + passage[30:80] + "cd", passage[70:] + passage[:70], "-" * 50 + passage]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = [(i, t.encode()) for i, t in enumerate(texts)]
+    assert pairs_of(suffix_dedup.remove_repeats(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(rows)
+    assert suffix_dedup.remove_repeats(empty(df)).count() == 0
+
+
+@pytest.mark.parametrize("shard", [300, 1 << 20])
+def test_suffix_shards(shard):
+    rng = random.Random(4)
+    strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(3, 60))) for _ in range(150)]
+    owners = [rng.randint(0, 99) for _ in strings]
+    least = {}
+    for s, o in zip(strings, owners, strict=True):
+        for i in range(len(s) - 9):
+            least[s[i : i + 10]] = min(least.get(s[i : i + 10], 100), o)
+    for s, got in zip(strings, suffixes.least_owners(strings, owners, 10, shard), strict=True):
+        assert got.tolist() == [least[s[i : i + 10]] for i in range(max(0, len(s) - 9))]
+
+
+def test_quality(spark, odd):
+    labels = spark.createDataFrame([(0, 1), (0, 0), (1, 1), (None, 1), (3, None)], "doc_id long, quality int")
+    rows = quality.judge_quality(odd, labels).collect()
+    assert len(rows) == odd.count()
+    by = collections.Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in rows)
+    wanted = collections.Counter()
+    for r in odd.collect():
+        text = r.text or ""
+        words = re.findall(textio.WORD, text)
+        windows = collections.Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+        covered = {i + k for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for k in range(3)}
+        seen, dup = set(), 0
+        for line in text.split("\n"):
+            if re.search(textio.WORD, line):
+                dup += line in seen
+                seen.add(line)
+        wanted[r.doc_id, len(words), sum(map(len, words)), sum(c in quality.SYMBOLS for c in text), dup, len(covered), len(words) < 50 or 100 * len(covered) > 50 * len(words)] += 1
+    assert by == wanted and all(not r.kept or not r.base_failed for r in rows)
+    assert quality.judge_quality(empty(odd), labels).count() == 0
+
+
+def test_quality_risk_is_held(spark):
+    """On held-out good documents no stratum loses more than the promised share by much, and junk goes."""
+    df = queries.op5_quality(spark, "/root/testdata/sf0.1")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    both = df.filter(~F.col("base_failed")).join(labels, "doc_id").groupBy("stratum", "quality").agg(F.avg((~F.col("kept")).cast("int")).alias("lost"), F.count(F.lit(1)).alias("n")).collect()
+    assert all(r.lost <= 0.05 for r in both if r.quality == 1)
+    assert sum(r.lost * r.n for r in both if r.quality == 0) > 0.5 * sum(r.n for r in both if r.quality == 0)
+
+
+def test_binomial_tail():
+    assert quality.binomial_tail(3, 100, 0.05) == pytest.approx(0.2578386591, abs=1e-9) and quality.binomial_tail(5, 5, 0.5) == 1.0
+    assert quality.safe_cutoffs({("s", 0): [0] * 101}, risk=0.05, error=0.05)["s", 0] == quality.GRID
+
+
+def test_mixing(spark, odd):
+    rows = mixing.mix(odd).collect()
+    assert len(rows) == odd.count()
+    sizes = collections.Counter()
+    for r in odd.collect():
+        sizes[r.source] += len(re.findall(textio.WORD, r.text or ""))
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: i % 3 + 1 for i, s in enumerate(names)}
+    left, target, rest = set(names), {}, float(sum(sizes.values()))
+    while left:
+        level = rest / sum(weight[s] for s in left)
+        full = {s for s in left if level * weight[s] > 3 * sizes[s]}
+        if not full:
+            target |= {s: level * weight[s] for s in left}
+            break
+        target |= {s: 3.0 * sizes[s] for s in full}
+        rest -= sum(target[s] for s in full)
+        left -= full
+    taken, most = collections.Counter(), collections.Counter()
+    for r in rows:
+        assert r.source_size == sizes[r.source] and r.target == pytest.approx(target[r.source]) and 0 <= r.taken <= 3 * r.size
+        taken[r.source] += r.taken
+        most[r.source] = max(most[r.source], r.size)
+    assert all(abs(taken[s] - target[s]) <= most[s] / 2 + 1 for s in names)
+    assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(odd.repartition(3)).collect()))
+    assert mixing.mix(empty(odd)).count() == 0
+
+
+def test_mixing_by_slices_is_a_plain_prefix(spark, docs):
+    """The same draw as one sort per source gives."""
+    rows = mixing.mix(docs).collect()
+    draw = dict((r.doc_id, (r.k, r.q)) for r in docs.select("doc_id", mixing.even_draw(F.col("doc_id")).alias("k"), mixing.text_quality(F.col("text"), mixing.n_words(F.col("text"))).alias("q")).collect())
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.source].append(r)
+    for some in by.values():
+        so_far = 0
+        for r in sorted(some, key=lambda r: (-np.log(draw[r.doc_id][0]) / draw[r.doc_id][1], r.doc_id)):
+            budget = r.target - r.epochs * r.source_size
+            assert r.drawn == (budget > 0 and so_far + r.size / 2 <= budget) or r.size == 0
+            so_far += r.size
+
+
+def test_pii(spark):
+    secret = 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'
+    texts = [f"Mail ann.34@mail7.example.com or ANN.34@MAIL7.EXAMPLE.COM, call +1 (017) 555-7713, host 97.51.17.173, card 4539578763621486, {secret}", "Mr. John Smith met Mary Jones; John Smith left. ann.34@mail7.example.com!!", "(017) 555-7713 and 123-45-6789", "Nothing here 2020, only 3.", "", None]
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, kinds string")
+    out = {r.doc_id: r for r in pii.replace_entities(df, key=b"k").collect()}
+    assert out[3].text == texts[3] and out[4].text == "" and out[5].text is None and out[3].n_entities == 0
+    for gone in ("ann.34@mail7", "ANN.34@MAIL7", "555-7713", "97.51.17.173", "4539578763621486", "04dbebab91"):
+        assert gone not in out[0].text
+    assert "Smith" not in out[1].text and "Jones" not in out[1].text and out[1].text.startswith("Mr. ")
+    mails = re.findall(r"[\w.]+@[\w.]+", out[0].text + out[1].text)
+    assert len({m.lower().rstrip(".") for m in mails}) == 1 and mails[1].isupper()
+    number = re.search(r"\+1 \((\d{3})\) (\d{3}-\d{4})", out[0].text)
+    assert f"({number[1]}) {number[2]}" in out[2].text
+    card = re.search(r"card (\d{16})", out[0].text)[1]
+    assert pii.luhn(card[:-1]) == int(card[-1])
+    names = re.findall(r"([A-Z]\w+) ([A-Z]\w+) (?:met|left)", out[1].text)
+    assert len(set(names)) == 1 and names[0][0] in pii.NAMES["m", "latin"]
+    assert pii.replace_entities(empty(df)).count() == 0
+    many = spark.createDataFrame([(i, f"x{i:03}@a.example.com") for i in range(300)], "doc_id long, text string")
+    plain = [r.text for r in pii.replace_entities(many).collect()]
+    joined = [r.text for r in pii.replace_entities(many, most_broadcast=-1).collect()]
+    assert len(set(plain)) == 300 and sorted(plain) == sorted(joined) and not set(plain) & {f"x{i:03}@a.example.com" for i in range(300)}
+
+
+def test_pii_redraws_collisions(spark):
+    """Fourteen family names of two letters and thirty men: given names must be drawn again."""
+    text = " ".join(f"Mr. {n} Smith." for n in pii.NAMES["m", "latin"])
+    out = pii.replace_entities(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text
+    assert len(set(re.findall(r"Mr\. (\w+ \w+)", out))) == len(pii.NAMES["m", "latin"])
+
+
+def test_cipher_is_a_permutation():
+    cipher = pii.Cipher(b"key")
+    assert sorted(cipher.number("t", i, 1000) for i in range(1000)) == list(range(1000))
+    assert len({cipher.shaped("t", f"{a}{b}-{c}") for a in "abc" for b in "XY" for c in "019"}) == 18
+
+
+def test_language_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(docs, languages=queries.LANGUAGES, sample=200)
+    chosen = F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(5)) == 0
+    rest = docs.filter(~chosen)
+    found = langid.identify(rest, model).select("doc_id", "text_language").join(rest, "doc_id")
+    assert found.filter("text_language = lang").count() >= 0.98 * rest.count()
+
+
+def test_language_odd_cases(spark, odd, docs):
+    model = langid.train(docs, languages=queries.LANGUAGES)
+    extra = odd.select("doc_id", "text", "lang", "source").union(spark.createDataFrame([(100, "日本語 の 文章 です " * 20, "en", "a"), (101, "12 34 !!", "en", "a")], "doc_id long, text string, lang string, source string"))
+    rows = langid.identify(extra, model, declared=F.col("lang"), host=F.col("source")).collect()
+    assert len(rows) == extra.count()
+    assert all(r.language == langid.UNKNOWN and not r.kept for r in rows if r.doc_id in (4, 5, 8, 101)) and not any(r.kept for r in rows if r.doc_id == 100)
+    assert langid.identify(empty(docs), model).count() == 0
+    blank = langid.train(docs.withColumn("lang", F.lit(None).cast("string")), languages=queries.LANGUAGES)
+    assert langid.identify(docs, blank).filter("kept").count() == docs.count()
+
+
+def test_language_evidence_decides_short_texts(spark, docs):
+    model = langid.train(docs, languages=queries.LANGUAGES)
+    unclear = spark.createDataFrame([(1, "an", "de", "x.de"), (2, "an", "fr", "y.fr")], "doc_id long, text string, lang string, host string")
+    found = {r.doc_id: r.language for r in langid.identify(unclear, model, declared=F.col("lang"), host=F.col("host")).collect()}
+    assert found == {1: "de", 2: "fr"}
+
+
+def test_fingerprints(odd):
+    rows = odd.collect()
+    order = sorted((r for r in rows), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
+    out = fingerprint.fingerprint_edits(odd, ranges=3).collect()
+    assert len(out) == len(rows)
+    by = {r.doc_id: r for r in out}
+    unique = [r for r in order if r.doc_id is not None and r.doc_id != 3]
+    for r, following in zip(unique, [*unique[1:]], strict=False):
+        if r.doc_id in (2,):
+            continue
+        text, after = r.text or "", following.text or ""
+        half = len(text) // 2
+        new = text[: len(text) - half] + after[:half]
+        got = by[r.doc_id]
+        assert got.n_chars == len(text) and got.edited_sha256 == hashlib.sha256(new.encode()).hexdigest()
+        assert got.fingerprint == str(fingerprint.sketch(text)) and got.edited_fingerprint == str(fingerprint.sketch(new))
+        assert got.near_edited == fingerprint.sketch(text).likeness(fingerprint.sketch(new)) and 0 <= got.near_next <= 1
+    assert fingerprint.fingerprint_edits(empty(odd)).count() == 0
+
+
+def test_sketches_estimate_containment():
+    rng = random.Random(2)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(60_000))
+    part, whole = fingerprint.sketch(text[:6_000]), fingerprint.sketch(text)
+    assert part.containment(whole) > 0.97 and 0.05 < whole.containment(part) < 0.15
+    halves = fingerprint.sketch(text[:30_000]), fingerprint.sketch(text[30_000 - fingerprint.WIDTH + 1 :])
+    assert set(halves[0].merge(halves[1])) == set(whole.kept)
+    assert fingerprint.parse(str(whole)).likeness(whole) == 1.0
+
+
+def test_queries_cover_whole_tables(spark, docs):
+    n = docs.count()
+    for name, query in queries.QUERIES.items():
+        df = query(spark, SF)
+        key = "page_id" if "page_id" in df.columns else "doc_id"
+        want = spark.read.parquet(f"{SF}/pages.parquet").count() if key == "page_id" else n
+        assert df.select(key).distinct().count() == want, name
+
+
+def test_pipeline(spark, odd, docs):
+    import corpus_pipeline as pipeline
+
+    columns, kept = set(docs.columns), docs
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, kept, SF)
+        if name == "near_duplicates":
+            how = near_dedup.Similarity(5, 80)
+            component = brute_components([(r.doc_id, r.text) for r in kept.collect()], how)
+            assert sorted(r.doc_id for r in out.collect()) == sorted(i for i, c in component.items() if i == c)
+        if name == "language":
+            assert out.count() == kept.filter(F.regexp_like("text", F.lit(r"\p{L}"))).count()
+        if name != pipeline.STAGES[-1][0]:
+            assert set(out.columns) == columns
+            kept = out
+    assert pipeline.run(spark, SF).count() == out.count()
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, empty(docs), SF).count() == 0
+    kept = odd.select(*docs.columns)
+    for _, stage in pipeline.STAGES:
+        kept = stage(spark, kept, SF)
+    assert kept.count() > 0
