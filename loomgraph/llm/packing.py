@@ -56,11 +56,11 @@ class OpenBins:
         return bin_id, self.capacity - free
 
 
-def pieces_of(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces_of(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int = 0, most_words: int = 250_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Token pieces of every document: its ids, then ``end_id``, cut only where longer than ``capacity``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder.of(tokenizer), end_id.to_bytes(4, "little")
+        encoder, end = Encoder.of(tokenizer, most_words), end_id.to_bytes(4, "little")
         for batch in portions(batches, "text"):
             rows = []
             for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
@@ -75,7 +75,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id:
 
 def pack_documents(
     docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int = 0, most_open: int = 16384, pieces_per_group: int = 65536,
-    id_col: str = "doc_id", text_col: str = "text",
+    most_words: int = 250_000, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` tokens.
 
@@ -88,7 +88,7 @@ def pack_documents(
     ``doc_id`` and ``piece``, so reruns agree. Other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "pack")
-    pieces = scratch.keep(pieces_of(docs, tokenizer, capacity=capacity, end_id=end_id, id_col=id_col, text_col=text_col), "pieces")
+    pieces = scratch.keep(pieces_of(docs, tokenizer, capacity=capacity, end_id=end_id, most_words=most_words, id_col=id_col, text_col=text_col), "pieces")
     groups = max(1, -(-pieces.count() // pieces_per_group))
     dealt = pieces.repartition(groups, F.xxhash64("doc_id", "piece", F.lit("pack"))).sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
     schema = PIECES.append(pa.field("sequence_id", pa.int64())).append(pa.field("offset", pa.int64()))

@@ -8,6 +8,8 @@ from . import fingerprint, langid, mixing, near_dedup, packing, pii, quality, su
 from .textio import table
 
 LANGUAGES = ("en", "fr", "de", "es")
+#: Words whose ids a worker keeps, about 0.2 KB each.
+WORDS = 600_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -23,7 +25,7 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 2048 tokens."""
-    return packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path(), capacity=2048, end_id=0)
+    return packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path(), capacity=2048, end_id=0, most_words=WORDS)
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +73,7 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids, written to a store and read back."""
-    return token_store.checksums(token_store.store_documents(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path(), end_id=2))
+    return token_store.checksums(token_store.store_documents(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path(), end_id=2, most_words=WORDS))
 
 
 QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_packing, op3_url_filter, op4_suffix_dedup, op5_quality, op6_mixing, op7_pii, op8_language, op9_fingerprint, op10_token_store)}

@@ -27,11 +27,11 @@ BLOCKS_SQL = "file int, block int, start long, n_tokens long, doc_ids array<long
 DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
 
-def token_ids(docs: DataFrame, tokenizer: str, *, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_ids(docs: DataFrame, tokenizer: str, *, end_id: int, most_words: int = 250_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, ids`` of every document, ids as little-endian 16-bit numbers where all fit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder.of(tokenizer), end_id.to_bytes(4, "little")
+        encoder, end = Encoder.of(tokenizer, most_words), end_id.to_bytes(4, "little")
         narrow = max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16
         for batch in portions(batches, "text"):
             ids = [i + end for i in encoder.encode(batch.column(1).to_pylist())]
@@ -131,14 +131,14 @@ def checksums(stored: DataFrame) -> DataFrame:
     return stored.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-def store_documents(docs: DataFrame, tokenizer: str, path: str | None = None, *, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def store_documents(docs: DataFrame, tokenizer: str, path: str | None = None, *, end_id: int, most_words: int = 250_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode all documents, write them as a store (in the shared folder by default) and read it back.
 
     Null or empty text: ``end_id`` alone. Null ``doc_id``: first. Repeated rows: stored as often as
     they come, one after the other. Empty table: an empty store. Other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "tokens")
-    ids = scratch.keep(token_ids(docs, tokenizer, end_id=end_id, id_col=id_col, text_col=text_col), "ids")
+    ids = scratch.keep(token_ids(docs, tokenizer, end_id=end_id, most_words=most_words, id_col=id_col, text_col=text_col), "ids")
     path = path or scratch.path("store")
     write_store(ids, path)
     scratch.drop("ids")

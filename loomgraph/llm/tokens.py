@@ -108,10 +108,12 @@ class Encoder:
     _kept: dict[str, Encoder] = {}
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
-        if path not in cls._kept:
-            cls._kept[path] = cls(path)
-        return cls._kept[path]
+    def of(cls, path: str, most_words: int = 250_000) -> Encoder:
+        kept = cls._kept.setdefault(path, None)
+        if kept is None:
+            kept = cls._kept[path] = cls(path)
+        kept.most_words = most_words
+        return kept
 
     def __init__(self, path: str, most_words: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
