@@ -30,7 +30,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates (five-word shingles, 0.8)."""
+    """Keep one document of each group of near-duplicates (five-word shingles, 0.8).
+
+    A ``doc_id`` names one document: rows with one ``doc_id`` stay or go together, and go if any of them
+    belongs to a group with a smaller ``doc_id``. Rows with a null ``doc_id`` stay.
+    """
     found = near_dedup.near_duplicates(docs, near_dedup.Similarity(words=5, percent=80))
     gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
     gone = Scratch(spark, "duplicates").keep(gone, "duplicates")
