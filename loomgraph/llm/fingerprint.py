@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .scratch import even_keys
+from .scratch import even_keys, small_batches
 from .textio import portions, record
 
 #: A shingle is this many bytes; its 32-bit hash is retained if it lies below 2^32 / SCALE.
@@ -122,6 +122,7 @@ def fingerprint_edits(docs: DataFrame, *, ranges: int | None = None, id_col: str
     Texts too short to retain a hash are like equal sets alone. Empty table: no rows. Each text is
     shuffled once. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     ranges = ranges or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 

@@ -22,7 +22,8 @@ class OpenBins:
 
     Bins that still have room are stacked by their free space, and one integer holds a bit for every
     free space of which there is a bin. The tightest bin that takes a piece is the lowest set bit at
-    or above the piece's length. With ``most_open`` bins open, the fullest closes first.
+    or above the piece's length. Once a piece is placed, and more than ``most_open`` bins are open, the
+    fullest closes.
     """
 
     def __init__(self, capacity: int, most_open: int):
@@ -48,11 +49,11 @@ class OpenBins:
             self.made += 1
         rest = free - length
         if rest:
-            if self.open >= self.most_open:
-                self._pop((self.bits & -self.bits).bit_length() - 1)
             self.stacks[rest].append(bin_id)
             self.bits |= 1 << rest
             self.open += 1
+            if self.open > self.most_open:
+                self._pop((self.bits & -self.bits).bit_length() - 1)
         return bin_id, self.capacity - free
 
 
@@ -74,23 +75,26 @@ def pieces_of(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id:
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int = 0, most_open: int = 16384, pieces_per_group: int = 65536,
+    docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int = 0, most_open: int = 256, pieces_per_group: int = 65536,
     most_words: int = 250_000, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` tokens.
 
     Returns a row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``. Pieces
     are dealt by hash into groups of about ``pieces_per_group``, so groups grow in number, not in size;
-    each is packed longest piece first with at most ``most_open`` bins open. Only lengths are shuffled.
+    each arrives in the order of that hash and is packed online, with at most ``most_open`` bins open.
+    Only lengths are shuffled.
 
-    Null or empty text: one piece holding ``end_id`` alone. Null ``doc_id``: kept as null. Repeated
-    rows: each is packed on its own. Empty table: no rows. Equal lengths are taken in order of
-    ``doc_id`` and ``piece``, so reruns agree. Other columns are not read.
+    Null or empty text: one piece holding ``end_id`` alone. Very long text: encoded whole, then cut; only
+    its last piece is short. Null ``doc_id``: kept as null. Repeated rows: each is packed on its own.
+    Empty table: no rows. Equal hashes are taken in order of ``doc_id``, ``piece`` and checksum, so reruns
+    agree. Other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "pack")
     pieces = scratch.keep(pieces_of(docs, tokenizer, capacity=capacity, end_id=end_id, most_words=most_words, id_col=id_col, text_col=text_col), "pieces")
     groups = max(1, -(-pieces.count() // pieces_per_group))
-    dealt = pieces.repartition(groups, F.xxhash64("doc_id", "piece", F.lit("pack"))).sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
+    order = F.xxhash64("doc_id", "piece", F.lit("pack"))
+    dealt = pieces.repartition(groups, order).sortWithinPartitions(order, "doc_id", "piece", "ids_crc32")
     schema = PIECES.append(pa.field("sequence_id", pa.int64())).append(pa.field("offset", pa.int64()))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

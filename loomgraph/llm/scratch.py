@@ -8,6 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SETTING = "spark.checkpoint.dir"
+#: Batches of whole texts by bytes, not by rows alone, so that a task's memory doesn't follow their length.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.parquet.columnarReaderBatchSize": "512"}
+#: Bytes that a Parquet writer holds before it writes them out.
+ROW_GROUP = 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Apply :data:`BATCHES` where the session has no setting of its own."""
+    own = spark.conf.getAll
+    for key, value in BATCHES.items():
+        if key not in own:
+            spark.conf.set(key, value)
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -25,6 +37,7 @@ class Scratch:
     """Intermediate tables of one operator call, each removable as soon as nothing reads it."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark = spark
         self.base = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -33,7 +46,7 @@ class Scratch:
 
     def keep(self, df: DataFrame, table: str, partition_by: str | None = None) -> DataFrame:
         """Write ``df`` and return it reread: later stages recompute nothing that lies before it."""
-        writer = df.write.mode("overwrite").option("compression", "snappy")
+        writer = df.write.mode("overwrite").option("compression", "snappy").option("parquet.block.size", ROW_GROUP)
         if partition_by:
             writer = writer.partitionBy(partition_by)
         writer.parquet(self.path(table))

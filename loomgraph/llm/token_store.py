@@ -21,24 +21,35 @@ from .scratch import Scratch
 from .textio import portions, record
 from .tokens import Encoder
 
-IDS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+IDS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
+IDS_SQL = "doc_id long, n_tokens long, ids binary, counts binary"
 BLOCKS = pa.schema([("file", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("bits", pa.binary()), ("lanes", pa.binary())])
 BLOCKS_SQL = "file int, block int, start long, n_tokens long, doc_ids array<long>, sizes array<long>, bits binary, lanes binary"
 DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
 
 def token_ids(docs: DataFrame, tokenizer: str, *, end_id: int, most_words: int = 250_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, ids`` of every document, ids as little-endian 16-bit numbers where all fit."""
+    """``doc_id, n_tokens, ids, counts``: every document's ids, as little-endian 16-bit numbers where all fit.
+
+    Each task ends with a row of its own that has ``counts`` alone: how often it met each id.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = Encoder.of(tokenizer, most_words), end_id.to_bytes(4, "little")
-        narrow = max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16
+        size = max(encoder.tokenizer.get_vocab_size(), end_id + 1)
+        kind, total = "<u2" if size <= 1 << 16 else "<u4", np.zeros(size, np.int64)
         for batch in portions(batches, "text"):
             ids = [i + end for i in encoder.encode(batch.column(1).to_pylist())]
-            stored = [np.frombuffer(i, "<u4").astype("<u2").tobytes() for i in ids] if narrow else ids
-            yield record(IDS, doc_id=batch.column(0), n_tokens=[len(i) // 4 for i in ids], ids=stored)
+            every = np.frombuffer(b"".join(ids), "<u4").astype(kind)
+            total += np.bincount(every, minlength=size)
+            stored, ends = every.tobytes(), np.cumsum([len(i) // 4 for i in ids]) * every.itemsize
+            cuts = [0, *ends.tolist()]
+            yield record(IDS, doc_id=batch.column(0), n_tokens=[len(i) // 4 for i in ids], ids=[stored[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], counts=[None] * len(ids))
+        used = np.flatnonzero(total)
+        if len(used):
+            yield record(IDS, doc_id=[None], n_tokens=[0], ids=[None], counts=[np.stack((used, total[used])).astype("<i8").tobytes()])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, IDS_SQL)
 
 
 def _wide(ids: bytes, n: int) -> np.ndarray:
@@ -46,24 +57,26 @@ def _wide(ids: bytes, n: int) -> np.ndarray:
 
 
 def id_counts(ids: DataFrame) -> DataFrame:
-    """How often each id occurs in the whole corpus; tasks add up their own first."""
+    """How often each id occurs in the whole corpus, from the tasks' rows of counts; nothing else is read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
-        for batch in portions(batches, "ids", 4 << 20):
-            for wide in (False, True):  # ids of a document have 16 bits or 32
-                some = [i for n, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (len(i) == 4 * n) == wide]
-                part = np.bincount(np.frombuffer(b"".join(some), "<u4" if wide else "<u2"), minlength=len(total))
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                symbols, counts = np.frombuffer(raw, "<i8").reshape(2, -1)
+                part = np.bincount(symbols, minlength=len(total))
+                part[:] = 0
+                part[symbols] = counts
                 part[: len(total)] += total
                 total = part
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
-    return ids.select("n_tokens", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return ids.filter("counts IS NOT NULL").select("counts").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_store(ids: DataFrame, path: str, *, longest_code: int = 18, block_tokens: int = 1 << 16, files: int | None = None) -> None:
-    """Write ``doc_id, n_tokens, ids`` as a store at ``path``, in ascending order of ``doc_id``, nulls first.
+    """Write what :func:`token_ids` returned as a store at ``path``, in ascending order of ``doc_id``, nulls first.
 
     The driver gets a row per id of the vocabulary, whatever the size of the corpus. Documents are
     dealt to files by ranges of ``doc_id`` (rows of one ``doc_id`` stay together, in order of their ids).
@@ -97,7 +110,7 @@ def write_store(ids: DataFrame, path: str, *, longest_code: int = 18, block_toke
         if held:
             yield close()
 
-    ordered = ids.select("doc_id", "n_tokens", "ids").repartitionByRange(files, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "ids")
+    ordered = ids.filter("counts IS NULL").select("doc_id", "n_tokens", "ids").repartitionByRange(files, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "ids")
     ordered.mapInArrow(run, BLOCKS_SQL).write.mode("overwrite").option("compression", "none").parquet(f"{path}/blocks")
 
 

@@ -39,6 +39,11 @@ def splits_at_spaces(spec: dict) -> bool:
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 
 
+#: What a byte-level model calls each byte: printable ones of Latin-1 themselves, the others what follows U+0100.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_NAMES = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
+
+
 class _Known(dict):
     """Ids of words and parts of words as bytes, made when first asked for."""
 
@@ -61,10 +66,12 @@ class _Known(dict):
             if stem.isalpha():
                 ids = self[stem] + self[word[len(stem) :]]
             elif not word.isascii():
-                text = stem.decode()
+                text = stem.decode().lower() if self.lowers else stem.decode()
                 # letters up to U+024F have forms of their own that no neighbour changes
-                alone = len(stem) < len(word) and text.isalpha() and max(text) < "\u0250"
-                ids = self[stem] + self[word[len(stem) :]] if alone else self._whole(word)
+                if not (text.isalpha() and max(text) < "\u0250"):
+                    ids = self._whole(word)
+                else:
+                    ids = self[stem] + self[word[len(stem) :]] if len(stem) < len(word) else self._letters(text)
             elif any(s in word for s in self.special):
                 ids = self._whole(word)
             else:
@@ -84,6 +91,11 @@ class _Known(dict):
             return self._whole(part)
         return array("I", [t.id for t in self.model.tokenize(text.lower() if self.lowers else text)]).tobytes()
 
+    def _letters(self, text: str) -> bytes:
+        """Ids of letters that stay one part, by the model alone, which knows bytes by their names."""
+        named = text.encode().decode("latin-1").translate(_BYTE_NAMES)
+        return array("I", [t.id for t in self.model.tokenize(named)]).tobytes()
+
     def _whole(self, word: bytes) -> bytes:
         return array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
 
