@@ -18,202 +18,285 @@ from .textio import portions, record
 GRAM = 24
 #: Bytes of text whose stretches travel together.
 PARCEL = 8 << 20
+#: Bytes of a text that are looked at in one go; a stretch that ends there for that reason alone counts as another.
+CHUNK = 1 << 20
 _MUL = np.uint64(0x9E3779B97F4A7C15)
-_ODD = 0x5851F42D4C957F2D
 _BYTES = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-class _Powers:
-    """Powers of an odd number modulo 2^64, and of its inverse, as many as the longest text needs."""
+def _mixed(x: np.ndarray, by: int, shift: int = 32) -> np.ndarray:
+    x = x ^ (x >> np.uint64(shift))
+    x *= np.uint64(by)
+    return x ^ (x >> np.uint64(shift))
 
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up), 1 << 16)
-            inverse = pow(_ODD, -1, 1 << 64)
-            self.up = np.cumprod(np.append(np.uint64(1), np.full(size, np.uint64(_ODD))))
-            self.down = np.cumprod(np.append(np.uint64(1), np.full(size, np.uint64(inverse))))
-        return self.up, self.down
-
-
-_POWERS = _Powers()
 
-
-def stretches(data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows that share their least gram hash: names, first windows and ends (of the last window's bytes).
-
-    A window's name depends on its content alone, so equal windows, wherever they are, lie in stretches
-    of one name.
-    """
-    if len(data) < width:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+def _gram_hashes(data: np.ndarray) -> np.ndarray:
+    """Hashes of the ``GRAM`` bytes from each position on, each run's from those of its halves."""
     h, done = _BYTES[data], 1
-    while done < GRAM:  # the hash of a run from those of its halves, the last time overlapping
+    while done < GRAM:  # the last time the halves overlap
         step = min(done, GRAM - done)
         h = h[:-step] * _MUL + (h[step:] ^ (h[step:] >> np.uint64(29)))
         done += step
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(32)
-    span, done = width - GRAM + 1, 1
+    return _mixed(h, 0xD6E8FEB86659FD93)
+
+
+def _chunk(data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    grams = _gram_hashes(data)
+    h, span, done = grams, width - GRAM + 1, 1
     while done < span:
         step = min(done, span - done)
         h = np.minimum(h[:-step], h[step:])
         done += step
     first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
     ends = np.append(first[1:], len(h)) - 1 + width
-    names = h[first] * _MUL  # least hashes are small numbers; this spreads them
-    names ^= names >> np.uint64(32)
-    return names * np.uint64(0xD6E8FEB86659FD93), first, ends
-
-
-def content_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the bytes from each start to each end."""
-    up, down = _POWERS.get(len(data) + 1)
-    sums = np.append(np.uint64(0), np.cumsum(_BYTES[data] * up[: len(data)]))
-    x = (sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _MUL
-    x ^= x >> np.uint64(31)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
-
+    names = _mixed(h[first] * _MUL, 0xD6E8FEB86659FD93)  # least hashes are small numbers; this spreads them
+    last, contents = ends - GRAM, np.zeros(len(first), np.uint64)
+    on, at = np.arange(len(first)), first
+    while len(on):  # grams side by side, the last one at the stretch's end
+        contents[on] = _mixed(contents[on] + grams[np.minimum(at, last[on])], 0xBF58476D1CE4E5B9, 31)
+        more = at < last[on]
+        on, at = on[more], at[more] + GRAM
+    return names, contents, first, ends
 
-def _pack(x: np.ndarray, n: int) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n]).tobytes()
 
+def stretches(data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows that share their least gram hash: names, hashes of contents, first windows and ends.
 
-def _unpack(raw: bytes, n: int) -> np.ndarray:
-    out = np.zeros((len(raw) // n, 8), np.uint8)
-    out[:, :n] = np.frombuffer(raw, np.uint8).reshape(-1, n)
-    return out.view("<u8").reshape(-1).astype(np.uint64)
-
-
-NAME, CONTENT = 6, 5  # bytes sent of a name (beside its target) and of a content's hash
-_NAMES = np.uint64((1 << 8 * NAME) - 1)
+    A window's name depends on its content alone, so equal windows, wherever they are, lie in stretches
+    of one name. Names and hashes have 64 bits each. Long texts are taken in chunks, so memory beside
+    the text is bounded.
+    """
+    parts = [_chunk(data[at : at + CHUNK + width - 1], width) + (at,) for at in range(0, max(1, len(data) - width + 1), CHUNK) if len(data) >= width]
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate([p[i] + p[4] if i > 1 else p[i] for p in parts]) for i in range(4))
 
 
 def _target(names: np.ndarray, n: int) -> np.ndarray:
+    """A name's part of ``n``; parts follow the order of names."""
     return ((names >> np.uint64(48)) * np.uint64(n) >> np.uint64(16)).astype(np.int64)
 
 
-SENT = pa.schema([("target", pa.int32()), ("names", pa.binary()), ("contents", pa.binary()), ("owner", pa.binary()), ("doc_ids", pa.binary()), ("texts", pa.binary())])
-SENT_SQL = "target int, names binary, contents binary, owner binary, doc_ids binary, texts binary"
+def _differs(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.minimum.reduceat(x, first) != np.maximum.reduceat(x, first)
+
+
+def _starts(*sorted_by: np.ndarray) -> np.ndarray:
+    """Where a new combination of values begins."""
+    new = np.zeros(len(sorted_by[0]), bool)
+    new[:1] = True
+    for x in sorted_by:
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+#: ``names`` and ``contents`` of single stretches, ``counts`` of them per document (``ids``, and ``texts``:
+#: 128 bits of a text's hash). ``often`` and ``often_contents``: pairs that several documents of the parcel
+#: hold, sent once, with the least (``least``) and whether texts differ (``several``); their holders stay
+#: in rows of their own (``holders``: number and documents of each pair).
+SENT = pa.schema([("key", pa.int32()), ("target", pa.int32()), ("parcel", pa.int64()), *[(n, pa.binary()) for n in ("names", "contents", "counts", "ids", "texts", "often", "often_contents", "least", "several", "holders")]])
+SENT_SQL = "key int, target int, parcel long, names binary, contents binary, counts binary, ids binary, texts binary, often binary, often_contents binary, least binary, several binary, holders binary"
+
+
+def _parcel(entries: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, texts: np.ndarray, keys: list[int], parcel: int) -> Iterator[pa.RecordBatch]:
+    """What a parcel of documents sends to each target."""
+    name, content = np.concatenate([e[0] for e in entries]), np.concatenate([e[1] for e in entries])
+    who = np.repeat(np.arange(len(entries)), [len(e[0]) for e in entries])
+    by = np.argsort(name, kind="stable")
+    first = _starts(name[by])
+    size = np.diff(np.append(first, len(by)))
+    again = by[np.repeat(size > 1, size)]  # names found more than once; only these need a closer look
+    again = again[np.lexsort((ids[who[again]], content[again], name[again]))]
+    pair = _starts(name[again], content[again]) if len(again) else again
+    held = np.diff(np.append(pair, len(again)))
+    alone = np.ones(len(name), bool)
+    if len(again):
+        w = who[again]
+        same = np.minimum.reduceat(w, pair) == np.maximum.reduceat(w, pair)
+        alone[again] = False
+        alone[again[pair[same]]] = True  # one document alone holds the pair, maybe more than once
+        pair, held, kept = pair[~same], held[~same], np.repeat(~same, held)
+        again, w = again[kept], w[kept]
+        pair = np.cumsum(held) - held
+    one = np.flatnonzero(alone)
+    to = _target(name[one], len(keys))
+    order = np.argsort(to.astype(np.int32), kind="stable")
+    one, to = one[order], to[order]
+    cuts = np.searchsorted(to, np.arange(len(keys) + 1))
+    often, often_content = name[again[pair]], content[again[pair]]
+    marks = np.searchsorted(_target(often, len(keys)), np.arange(len(keys) + 1))
+    shift = np.append(pair, len(again))
+    several = _differs(texts[w, 0], pair) | _differs(texts[w, 1], pair) if len(pair) else np.zeros(0, bool)
+    least = ids[w[pair]] if len(pair) else np.zeros(0, np.int64)
+    least_text = texts[w[pair]] if len(pair) else texts[:0]
+    blank = dict.fromkeys(n for n in SENT.names if n not in ("key", "target", "parcel"))
+    for t, key in enumerate(keys):
+        some, p, q = one[cuts[t] : cuts[t + 1]], marks[t], marks[t + 1]
+        if not len(some) and p == q:
+            continue
+        at = _starts(who[some])
+        used = who[some][at]
+        row = {
+            "names": name[some], "contents": content[some], "counts": np.diff(np.append(at, len(some))).astype("<u4"), "ids": ids[used], "texts": texts[used],
+            "often": often[p:q], "often_contents": often_content[p:q], "least": np.concatenate((least[p:q].view("<u8")[:, None], least_text[p:q]), axis=1), "several": several[p:q].astype(np.uint8),
+        }
+        yield record(SENT, key=[key], target=[t], parcel=[parcel], **{n: [x] for n, x in (blank | {n: np.ascontiguousarray(x).tobytes() for n, x in row.items()}).items()})
+        if p < q:  # holders go anywhere; the parcel's number deals them
+            holders = np.concatenate((held[p:q], ids[w[shift[p] : shift[q]]]))
+            yield record(SENT, key=[keys[(parcel * 7919 + t) % len(keys)]], target=[t], parcel=[parcel], **{n: [x] for n, x in (blank | {"often": often[p:q].tobytes(), "holders": holders.astype("<i8").tobytes()}).items()})
 
 
 def _send_stretches(docs: DataFrame, width: int, keys: list[int]) -> DataFrame:
-    """All stretches by target: name, hash of content, and which of a parcel's documents holds it."""
+    """All stretches of ``doc_id, sha, text`` by parcel and target."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, contents, owner, ids, texts, size = [], [], [], [], [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if not names:
-                return
-            name, content = np.concatenate(names), np.concatenate(contents)
-            who = np.repeat(np.arange(len(owner)), owner)
-            to = _target(name, len(keys))
-            order = np.argsort(to, kind="stable")
-            cuts = np.searchsorted(to[order], np.arange(len(keys) + 1))
-            for t, key in enumerate(keys):
-                some = order[cuts[t] : cuts[t + 1]]
-                if len(some):
-                    used, index = np.unique(who[some], return_inverse=True)
-                    yield record(SENT, target=[key], names=[_pack(name[some], NAME)], contents=[_pack(content[some], CONTENT)], owner=[index.astype("<u2" if len(used) <= 1 << 16 else "<u4").tobytes()], doc_ids=[np.array(ids, "<i8")[used].tobytes()], texts=[np.array(texts, "<u8")[used].tobytes()])
-
+        parcel = TaskContext.get().partitionId() << 32
+        entries, ids, texts, size = [], [], [], 0
         for batch in portions(batches, "text"):
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, sha, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 raw = text.encode()
-                data = np.frombuffer(raw, np.uint8)
-                name, start, end = stretches(data, width)
+                name, content, _, _ = stretches(np.frombuffer(raw, np.uint8), width)
                 if not len(name):
                     continue
-                content = content_hashes(data, start, end)
-                name, content = _distinct(name, content)
-                names.append(name)
-                contents.append(content)
-                owner.append(len(name))
+                entries.append((name, content))
                 ids.append(doc)
-                texts.append(int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little"))
+                texts.append(sha)
                 size += len(raw)
-            if size >= PARCEL:
-                yield from flush()
-                names, contents, owner, ids, texts, size = [], [], [], [], [], 0
-        yield from flush()
-
-    return docs.select("doc_id", "text").mapInArrow(run, SENT_SQL)
-
-
-def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    by = np.lexsort((b, a))
-    a, b = a[by], b[by]
-    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-    return a[new], b[new]
-
-
-MARKS = pa.schema([("doc_id", pa.int64()), ("gone", pa.binary()), ("mixed", pa.binary())])
-
-
-def _mark_stretches(sent: DataFrame, n: int) -> DataFrame:
-    """Per document and target, names whose stretches are repeated whole, and names that need bytes.
+                if size >= PARCEL:
+                    yield from _parcel(entries, np.array(ids, np.int64), np.frombuffer(b"".join(texts), "<u8").reshape(-1, 2), keys, parcel)
+                    parcel, entries, ids, texts, size = parcel + 1, [], [], [], 0
+        if entries:
+            yield from _parcel(entries, np.array(ids, np.int64), np.frombuffer(b"".join(texts), "<u8").reshape(-1, 2), keys, parcel)
+
+    return docs.select("doc_id", "sha", "text").mapInArrow(run, SENT_SQL)
+
+
+SETTLED = pa.schema([("parcel", pa.int64()), ("target", pa.int32()), ("doc_id", pa.int64()), ("gone", pa.binary()), ("mixed", pa.binary()), ("often", pa.binary()), ("holders", pa.binary()), ("answers", pa.binary())])
+SETTLED_SQL = "parcel long, target int, doc_id long, gone binary, mixed binary, often binary, holders binary, answers binary"
+#: What an answer says of a pair that several documents hold.
+NOTHING, MIXED, GONE, GONE_BUT_LEAST = range(4)
+
+
+def _by_doc(docs: np.ndarray, names: np.ndarray, mixed: np.ndarray) -> tuple[list, list, list]:
+    order = np.argsort(docs, kind="stable")
+    docs, names, mixed = docs[order], names[order], mixed[order]
+    at = _starts(docs)
+    ids, gone, need = docs[at].tolist(), [], []
+    for a, b in zip(at.tolist(), [*at[1:].tolist(), len(docs)], strict=True):
+        n, m = names[a:b], mixed[a:b]
+        gone.append(n[~m].tobytes())
+        need.append(n[m].tobytes())
+    return ids, gone, need
+
+
+def _settle_names(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+    """Marks of one target's documents, and answers for pairs that several documents of a parcel hold."""
+    read = lambda n, kind: [np.frombuffer(r[n], kind) for r in rows]
+    counts, ids, texts = read("counts", "<u4"), read("ids", "<i8"), [x.reshape(-1, 2) for x in read("texts", "<u8")]
+    often, least = read("often", "<u8"), [x.reshape(-1, 3) for x in read("least", "<u8")]
+    n_often = np.array([len(x) for x in often])
+    names = np.concatenate(read("names", "<u8") + often)
+    contents = np.concatenate(read("contents", "<u8") + read("often_contents", "<u8"))
+    docs = np.concatenate([np.repeat(i, c) for i, c in zip(ids, counts, strict=True)] + [x[:, 0].view("<i8") for x in least])
+    high = np.concatenate([np.repeat(x[:, 0], c) for x, c in zip(texts, counts, strict=True)] + [x[:, 1] for x in least])
+    low = np.concatenate([np.repeat(x[:, 1], c) for x, c in zip(texts, counts, strict=True)] + [x[:, 2] for x in least])
+    single = len(names) - int(n_often.sum())
+    many = np.zeros(len(names), bool)
+    many[single:] = np.concatenate(read("several", np.uint8)).astype(bool)
+    by = np.argsort(names, kind="stable")
+    first = _starts(names[by])
+    sizes = np.diff(np.append(first, len(by)))
+    d = docs[by]
+    apart = _differs(high[by], first) | _differs(low[by], first) | np.logical_or.reduceat(many[by], first)
+    shared, mixed = np.repeat(apart, sizes), np.repeat(_differs(contents[by], first), sizes)
+    later = d > np.repeat(np.minimum.reduceat(d, first), sizes)
+    use = np.flatnonzero(shared & (mixed | later) & (by < single))
+    if len(use):
+        found, gone, need = _by_doc(d[use], names[by[use]], mixed[use])
+        blank = [None] * len(found)
+        yield record(SETTLED, parcel=blank, target=blank, doc_id=found, gone=gone, mixed=need, often=blank, holders=blank, answers=blank)
+    said = np.zeros(len(names), np.uint8)
+    said[by] = np.where(~shared, NOTHING, np.where(mixed, MIXED, np.where(later, GONE, GONE_BUT_LEAST)))
+    at = single
+    for r, n in zip(rows, n_often.tolist(), strict=True):
+        if n and said[at : at + n].any():
+            yield record(SETTLED, parcel=[r["parcel"]], target=[r["target"]], doc_id=[None], gone=[None], mixed=[None], often=[None], holders=[None], answers=[said[at : at + n].tobytes()])
+        at += n
+
+
+def _settle_stretches(sent: DataFrame, n: int) -> DataFrame:
+    """Per target: its documents' marks and its answers; holders pass through.
 
     Where all stretches of a name have one content, every later document loses all of it. Where
     contents differ, some windows may still be equal; their bytes decide.
     """
 
-    def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        names = np.concatenate([_unpack(r[0], NAME) for r in rows])
-        contents = np.concatenate([_unpack(r[1], CONTENT) for r in rows])
-        docs, texts = [], []
-        for r in rows:
-            known = np.frombuffer(r[3], "<i8")
-            who = np.frombuffer(r[2], "<u2" if len(known) <= 1 << 16 else "<u4")
-            docs.append(known[who])
-            texts.append(np.frombuffer(r[4], "<u8")[who])
-        docs, texts = np.concatenate(docs), np.concatenate(texts)
-        by = np.argsort(names, kind="stable")
-        names, contents, docs, texts = names[by], contents[by], docs[by], texts[by]
-        first = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
-        sizes = np.diff(np.append(first, len(names)))
-        differs = lambda x: np.minimum.reduceat(x, first) != np.maximum.reduceat(x, first)
-        shared, mixed = np.repeat(differs(texts), sizes), np.repeat(differs(contents), sizes)
-        later = docs > np.repeat(np.minimum.reduceat(docs, first), sizes)
-        use = np.flatnonzero(shared & (mixed | later))
-        use = use[np.argsort(docs[use], kind="stable")]
-        at = np.flatnonzero(np.append(True, docs[use][1:] != docs[use][:-1])) if len(use) else use
-        gone, need, ids = [], [], []
-        for some in np.split(use, at[1:]) if len(use) else []:
-            ids.append(int(docs[some[0]]))
-            gone.append(_pack(np.unique(names[some[~mixed[some]]]), NAME))
-            need.append(_pack(np.unique(names[some[mixed[some]]]), NAME))
-        if ids:
-            yield record(MARKS, doc_id=ids, gone=gone, mixed=need)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, rows = None, []
         for batch in batches:
-            for t, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if t != target and rows:
-                    yield from settle(rows)
+            for row in batch.to_pylist():
+                if row["holders"] is not None:
+                    yield record(SETTLED, parcel=[row["parcel"]], target=[row["target"]], doc_id=[None], gone=[None], mixed=[None], often=[row["often"]], holders=[row["holders"]], answers=[None])
+                    continue
+                if row["target"] != target and rows:
+                    yield from _settle_names(rows)
                     rows = []
-                target = t
+                target = row["target"]
                 rows.append(row)
         if rows:
-            yield from settle(rows)
+            yield from _settle_names(rows)
+
+    return sent.repartition(n, "key").sortWithinPartitions("target").mapInArrow(run, SETTLED_SQL)
+
+
+MARKS = pa.schema([("doc_id", pa.int64()), ("gone", pa.binary()), ("mixed", pa.binary())])
 
-    return sent.repartition(n, "target").sortWithinPartitions("target").mapInArrow(run, "doc_id long, gone binary, mixed binary")
+
+def _marks(settled: DataFrame) -> DataFrame:
+    """Per document the names whose stretches it loses whole, and those that need bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                names, said, holders = np.frombuffer(row["often"], "<u8"), np.frombuffer(row["answers"], np.uint8), np.frombuffer(row["holders"], "<i8")
+                held, docs = holders[: len(names)], holders[len(names) :]
+                least = np.repeat(docs[np.cumsum(held) - held], held)  # holders come in order of doc_id
+                names, said = np.repeat(names, held), np.repeat(said, held)
+                use = (said == MIXED) | (said == GONE) | (said == GONE_BUT_LEAST) & (docs > least)
+                if use.any():
+                    ids, gone, need = _by_doc(docs[use], names[use], said[use] == MIXED)
+                    yield record(MARKS, doc_id=ids, gone=gone, mixed=need)
+
+    own = settled.filter("doc_id IS NOT NULL").select("doc_id", "gone", "mixed")
+    holders = settled.filter("holders IS NOT NULL").select("parcel", "target", "often", "holders")
+    answers = settled.filter("answers IS NOT NULL").select("parcel", "target", "answers")
+    more = holders.join(answers, ["parcel", "target"]).select("often", "holders", "answers").mapInArrow(run, "doc_id long, gone binary, mixed binary")
+    return own.union(more).groupBy("doc_id").agg(F.collect_list("gone").alias("gone"), F.collect_list("mixed").alias("mixed"))
 
 
 def _marked(data: np.ndarray, width: int, marks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Stretches of a text whose names are among the marks of any target: names, starts and ends."""
-    name, start, end = stretches(data, width)
-    wanted = np.concatenate([_unpack(m, NAME) for m in marks]) if marks else np.zeros(0, np.uint64)
-    on = np.isin(name & _NAMES, wanted)
+    name, _, start, end = stretches(data, width)
+    on = np.isin(name, np.frombuffer(b"".join(marks or []), "<u8"))
     return name[on], start[on], end[on]
 
 
-BYTES = pa.schema([("parcel", pa.int64()), ("target", pa.int32()), ("strings", pa.list_(pa.binary())), ("owners", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("which", pa.list_(pa.int32()))])
-BYTES_SQL = "parcel long, target int, strings array<binary>, owners array<long>, docs array<long>, starts array<long>, which array<int>"
+BYTES = pa.schema([("parcel", pa.int64()), ("target", pa.int32()), ("strings", pa.list_(pa.binary())), ("owners", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64())), ("shas", pa.list_(pa.binary())), ("places", pa.binary())])
+BYTES_SQL = "parcel long, target int, strings array<binary>, owners array<long>, docs array<long>, shas array<binary>, places binary"
+
+
+class _Held:
+    """What a parcel holds of one target: distinct strings, its documents, and where which string is."""
+
+    __slots__ = ("strings", "docs", "places")
+
+    def __init__(self):
+        self.strings, self.docs, self.places = {}, {}, []
+
+    def add(self, doc: int, sha: bytes, start: int, piece: bytes) -> None:
+        which, owner = self.strings.get(piece, (len(self.strings), doc))
+        self.strings[piece] = which, min(owner, doc)
+        self.places += (self.docs.setdefault((doc, sha), len(self.docs)), start, which)
 
 
 def _send_bytes(marked: DataFrame, width: int, n: int) -> DataFrame:
@@ -224,32 +307,29 @@ def _send_bytes(marked: DataFrame, width: int, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parcel = TaskContext.get().partitionId() << 32
-        held: dict[int, tuple[dict, list, list, list]] = {}
+        held: dict[int, _Held] = {}
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for t, (strings, docs, starts, which) in held.items():
-                yield record(BYTES, parcel=[parcel], target=[t], strings=[list(strings)], owners=[[o for _, o in strings.values()]], docs=[docs], starts=[starts], which=[which])
+            for t, h in held.items():
+                ids, shas = zip(*h.docs, strict=True)
+                yield record(BYTES, parcel=[parcel], target=[t], strings=[list(h.strings)], owners=[[o for _, o in h.strings.values()]], docs=[ids], shas=[shas], places=[np.array(h.places, "<i8").tobytes()])
 
         for batch in portions(batches, "text"):
-            for doc, text, marks in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for doc, sha, text, marks in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 raw = text.encode()
                 name, start, end = _marked(np.frombuffer(raw, np.uint8), width, marks)
                 for t, a, b in zip(_target(name, n).tolist(), start.tolist(), end.tolist(), strict=True):
-                    strings, docs, starts, which = held.setdefault(t, ({}, [], [], []))
-                    piece = raw[a:b]
-                    i, owner = strings.get(piece, (len(strings), doc))
-                    strings[piece] = i, min(owner, doc)
-                    docs.append(doc)
-                    starts.append(a)
-                    which.append(i)
+                    if t not in held:
+                        held[t] = _Held()
+                    held[t].add(doc, sha, a, raw[a:b])
                     size += b - a
-            if size >= PARCEL:
-                yield from flush()
-                parcel, held, size = parcel + 1, {}, 0
+                if size >= PARCEL:
+                    yield from flush()
+                    parcel, held, size = parcel + 1, {}, 0
         yield from flush()
 
-    return marked.select("doc_id", "text", "mixed").mapInArrow(run, BYTES_SQL)
+    return marked.select("doc_id", "sha", "text", "mixed").mapInArrow(run, BYTES_SQL)
 
 
 ANSWERS = pa.schema([("parcel", pa.int64()), ("target", pa.int32()), ("least", pa.list_(pa.binary()))])
@@ -283,35 +363,34 @@ def _settle_bytes(sent: DataFrame, n: int, width: int) -> DataFrame:
     return dealt.mapInArrow(run, "parcel long, target int, least array<binary>")
 
 
-RANGES = pa.schema([("doc_id", pa.int64()), ("ranges", pa.binary())])
+RANGES = pa.schema([("doc_id", pa.int64()), ("sha", pa.binary()), ("ranges", pa.binary())])
 
 
 def _ranges(sent: DataFrame, answers: DataFrame, width: int) -> DataFrame:
-    """Per parcel and target, each document's byte ranges whose windows an earlier document holds."""
+    """Per parcel and target, each text's byte ranges whose windows an earlier document holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for docs, starts, which, least in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for docs, shas, places, least in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 owners = [np.frombuffer(x, "<i8") for x in least]
                 found: dict[int, list] = {}
                 cache: dict[tuple[int, int], np.ndarray] = {}
-                lows = [int(x.min()) if len(x) else 0 for x in owners]
-                highs = [int(x.max()) if len(x) else 0 for x in owners]
-                for doc, start, i in zip(docs, starts, which, strict=True):
+                lows, highs = [int(x.min()) for x in owners], [int(x.max()) for x in owners]
+                for at, start, i in np.frombuffer(places, "<i8").reshape(-1, 3).tolist():
+                    doc = docs[at]
                     if lows[i] >= doc:
                         continue
                     if highs[i] < doc:
                         runs = np.array([[0, len(owners[i]) - 1 + width]])
-                    else:
-                        if (runs := cache.get((i, doc))) is None:
-                            on = np.flatnonzero(np.diff(np.concatenate(([0], (owners[i] < doc).view(np.int8), [0]))))
-                            runs = cache[i, doc] = on.reshape(-1, 2) + [0, width - 1]
-                    found.setdefault(doc, []).append(runs + start)
+                    elif (runs := cache.get((i, doc))) is None:
+                        on = np.flatnonzero(np.diff(np.concatenate(([0], (owners[i] < doc).view(np.int8), [0]))))
+                        runs = cache[i, doc] = on.reshape(-1, 2) + [0, width - 1]
+                    found.setdefault(at, []).append(runs + start)
                 if found:
-                    yield record(RANGES, doc_id=list(found), ranges=[np.concatenate(x).astype("<i8").tobytes() for x in found.values()])
+                    yield record(RANGES, doc_id=[docs[i] for i in found], sha=[shas[i] for i in found], ranges=[np.concatenate(x).astype("<i8").tobytes() for x in found.values()])
 
-    both = sent.select("parcel", "target", "docs", "starts", "which").join(answers, ["parcel", "target"])
-    return both.select("docs", "starts", "which", "least").mapInArrow(run, "doc_id long, ranges binary")
+    both = sent.select("parcel", "target", "docs", "shas", "places").join(answers, ["parcel", "target"])
+    return both.select("docs", "shas", "places", "least").mapInArrow(run, "doc_id long, sha binary, ranges binary")
 
 
 def cover(n: int, ranges: np.ndarray) -> np.ndarray:
@@ -323,16 +402,14 @@ def cover(n: int, ranges: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(np.concatenate(([0], on.view(np.int8), [0])))).reshape(-1, 2)
 
 
-OUT = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.int64())), ("kept_sha256", pa.string())])
-OUT_SQL = "n_bytes long, n_removed long, n_spans long, spans array<long>, kept_sha256 string"
+OUT = pa.schema([("doc_id", pa.int64()), ("sha", pa.binary()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.int64())), ("kept_sha256", pa.string())])
 
 
 def _apply(marked: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([OUT.field(n) for n in ("doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256")])
         for batch in portions(batches, "text"):
             rows = []
-            for doc, text, gone, ranges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, sha, text, gone, ranges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = text.encode()
                 _, start, end = _marked(np.frombuffer(raw, np.uint8), width, gone)
                 more = np.frombuffer(b"".join(ranges or []), "<i8").reshape(-1, 2)
@@ -342,10 +419,12 @@ def _apply(marked: DataFrame, width: int) -> DataFrame:
                     digest.update(raw[at:a])
                     at = b
                 digest.update(raw[at:])
-                rows.append((doc, len(raw), int((spans[:, 1] - spans[:, 0]).sum()), len(spans), spans.reshape(-1).tolist(), digest.hexdigest()))
-            yield record(schema, **dict(zip(schema.names, zip(*rows, strict=True), strict=True)))
+                if len(spans):
+                    rows.append((doc, sha, int((spans[:, 1] - spans[:, 0]).sum()), spans.reshape(-1).tolist(), digest.hexdigest()))
+            if rows:
+                yield record(OUT, **dict(zip(OUT.names, zip(*rows, strict=True), strict=True)))
 
-    return marked.mapInArrow(run, f"doc_id long, {OUT_SQL}")
+    return marked.mapInArrow(run, "doc_id long, sha binary, n_removed long, spans array<long>, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, *, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -355,45 +434,48 @@ def remove_repeats(docs: DataFrame, *, width: int = 50, id_col: str = "doc_id",
     start and end of each maximal removed run in the text's UTF-8 bytes).
 
     Windows are named by their least gram hash, so equal windows meet under one name. Names of one text
-    only are done with; names with one content everywhere are settled by the least document; for the
-    others the bytes are sent, shards get suffix arrays, and shards meet by binary search. Parcels of
-    documents send each string once, so a passage that most documents hold stays small.
-
-    Null text: as empty, nothing removed. Texts under ``width`` bytes: nothing removed. Null ``doc_id``:
-    neither earlier nor later than any, nothing removed. Repeated rows: alike; rows of one ``doc_id``
-    don't count as earlier than each other. Empty table: no rows. Other columns are not read.
+    only are done with; names with one content everywhere (64 bits of name and 64 of content) are
+    settled by the least document; for the others the bytes are sent, shards get suffix arrays, and
+    shards meet by binary search. Parcels of documents send each content once, whether many of them
+    hold it or one, so a passage that most documents hold stays small wherever it meets.
+
+    Null text: as empty, nothing removed. Texts under ``width`` bytes: nothing removed. Very long texts:
+    whole, looked at a chunk at a time. Null ``doc_id``: neither earlier nor later than any, nothing
+    removed. Repeated rows: alike. Rows of one ``doc_id``: none is earlier than another, and each loses
+    what its own text shares with earlier documents. Empty table: no rows. Other columns are not read.
     """
     if width < GRAM + 1:
         raise ValueError(f"width must be above {GRAM}")
     spark = docs.sparkSession
     scratch, n = Scratch(spark, "repeats"), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = even_keys(spark, n)
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    every = plain.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
-    every = scratch.keep(every, "every")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    key = F.unhex(F.substring(F.sha2(text, 256), 1, 32))
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("sha"), text.alias("text"))
+    every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
+    every = scratch.keep(every.withColumn("sha", F.unhex(F.substring("whole", 1, 32))), "every")
     first = every.filter("doc_id IS NOT NULL").groupBy("sha").agg(F.min("doc_id").alias("first"))
     first = scratch.keep(first, "first")  # so that joins deal both sides anew and can split a hot text
 
-    sent = _send_stretches(plain.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= width)), width, keys)
-    marks = _mark_stretches(sent, n).groupBy("doc_id").agg(F.collect_list("gone").alias("gone"), F.collect_list("mixed").alias("mixed"))
-    marks = scratch.keep(marks, "marks")
+    sent = _send_stretches(plain.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= width)), width, even_keys(spark, n))
+    marks = scratch.keep(_marks(scratch.keep(_settle_stretches(sent, n), "settled")), "marks")
+    scratch.drop("settled")
     owned = every.join(first, "sha").filter("doc_id = first").select("doc_id").distinct()
     chosen = plain.join(marks.join(owned, "doc_id", "left_semi"), "doc_id")
-    marked = scratch.keep(chosen.select("doc_id", "text", "mixed", "gone"), "marked")
+    marked = scratch.keep(chosen.select("doc_id", "sha", "text", "mixed", "gone"), "marked")
     sent = scratch.keep(_send_bytes(marked, width, 8 * n), "bytes")
     answers = scratch.keep(_settle_bytes(sent, n, width), "answers")
-    ranges = scratch.keep(_ranges(sent, answers, width).groupBy("doc_id").agg(F.collect_list("ranges").alias("ranges")), "ranges")
+    ranges = _ranges(sent, answers, width).groupBy("doc_id", "sha").agg(F.collect_list("ranges").alias("ranges"))
+    ranges = scratch.keep(ranges, "ranges")
     scratch.drop("bytes", "answers")
-    done = _apply(marked.join(ranges, "doc_id", "left").select("doc_id", "text", "gone", "ranges"), width)
-    done = scratch.keep(done.filter("n_removed > 0"), "done")
+    done = _apply(marked.join(ranges, ["doc_id", "sha"], "left").select("doc_id", "sha", "text", "gone", "ranges"), width)
+    done = scratch.keep(done, "done").dropDuplicates(["doc_id", "sha"])
+    scratch.drop("marked", "ranges", "marks")
 
     rows = every.join(first, "sha", "left")
-    copies = (F.col("doc_id") > F.col("first")) & (F.col("n_bytes") >= width)
-    whole = rows.filter(F.coalesce(copies, F.lit(False))).select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.array(F.lit(0).cast("long"), "n_bytes").alias("spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"))
-    rest = rows.filter(~F.coalesce(copies, F.lit(False))).select("doc_id", "n_bytes", "sha")
-    done = done.select(F.col("doc_id").alias("__id"), F.sha2(F.lit(""), 256).alias("__none"), *[F.col(c).alias(f"__{c}") for c in ("n_bytes", "n_removed", "n_spans", "spans", "kept_sha256")]).dropDuplicates(["__id", "__n_bytes", "__kept_sha256"])
-    joined = rest.join(done, (F.col("doc_id") == F.col("__id")) & (F.col("n_bytes") == F.col("__n_bytes")), "left")
-    zero = F.lit(0).cast("long")
-    return whole.unionByName(
-        joined.select("doc_id", "n_bytes", F.coalesce("__n_removed", zero).alias("n_removed"), F.coalesce("__n_spans", zero).alias("n_spans"), F.coalesce("__spans", F.array().cast("array<long>")).alias("spans"), F.coalesce("__kept_sha256", "sha").alias("kept_sha256"))
-    )
+    copy = F.coalesce((F.col("doc_id") > F.col("first")) & (F.col("n_bytes") >= width), F.lit(False))
+    zero, shown = F.lit(0).cast("long"), ("doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256")
+    whole = rows.filter(copy).select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.array(zero, "n_bytes").alias("spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"))
+    rest = rows.filter(~copy).select("doc_id", "n_bytes", "whole", "sha").join(done, ["doc_id", "sha"], "left")
+    spans = F.coalesce("spans", F.array().cast("array<long>"))
+    rest = rest.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), (F.size(spans) / 2).cast("long").alias("n_spans"), spans.alias("spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
+    return whole.select(*shown).unionByName(rest.select(*shown))

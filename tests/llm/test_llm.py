@@ -255,6 +255,30 @@ def test_repeats_at_the_edges(spark):
     assert suffix_dedup.remove_repeats(empty(df)).count() == 0
 
 
+def test_repeats_where_rows_share_an_id(spark, monkeypatch):
+    """One id with two texts of equal and of unequal length, and a passage that every document holds."""
+    rng = random.Random(12)
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    hot, base, other = make(70), make(100), make(60)
+    rows = [(0, base), (1, base[:60] + make(40)), (1, make(40) + base[40:]), (2, other), (3, make(60)), (3, make(10) + other), (3, other), (1, base[:60] + make(40))]
+    rows += [(10 + i % 37, make(20) + hot + make(15 + i % 5)) for i in range(80)] + [(None, hot * 2), (None, base)]
+    rows += [rows[1], rows[1], (5, "x" * 3000), (6, "y" + "x" * 2000 + "y")]
+    wanted = brute_repeats([(i, t.encode()) for i, t in rows])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = suffix_dedup.remove_repeats(df.repartition(3))
+    assert found.count() == len(rows) and pairs_of(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == wanted
+
+
+def test_chunks_of_a_long_text_hold_all_windows(monkeypatch):
+    rng = np.random.default_rng(2)
+    data = rng.integers(97, 100, 5000).astype(np.uint8)
+    whole = suffix_dedup.stretches(data, 50)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 700)
+    names, _, first, ends = suffix_dedup.stretches(data, 50)
+    per = lambda n, a, b: {w: name for name, x, y in zip(n.tolist(), a.tolist(), b.tolist(), strict=True) for w in range(x, y - 49)}
+    assert per(names, first, ends) == per(whole[0], whole[2], whole[3]) and len(per(names, first, ends)) == 4951
+
+
 @pytest.mark.parametrize("shard", [300, 1 << 20])
 def test_suffix_shards(shard):
     rng = random.Random(4)
