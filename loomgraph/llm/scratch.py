@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 SETTING = "spark.checkpoint.dir"
 #: Batches of whole texts by bytes, not by rows alone, so that a task's memory doesn't follow their length.
 BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.parquet.columnarReaderBatchSize": "512"}
-#: Bytes that a Parquet writer holds before it writes them out.
-ROW_GROUP = 16 << 20
+#: Bytes that a Parquet writer holds before it writes them out; where the folder is on a local or mounted
+#: file system, no checksum file beside each file, as that doubles their number.
+WRITING = {"compression": "snappy", "parquet.block.size": str(8 << 20), "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -46,7 +47,7 @@ class Scratch:
 
     def keep(self, df: DataFrame, table: str, partition_by: str | None = None) -> DataFrame:
         """Write ``df`` and return it reread: later stages recompute nothing that lies before it."""
-        writer = df.write.mode("overwrite").option("compression", "snappy").option("parquet.block.size", ROW_GROUP)
+        writer = df.write.mode("overwrite").options(**WRITING)
         if partition_by:
             writer = writer.partitionBy(partition_by)
         writer.parquet(self.path(table))

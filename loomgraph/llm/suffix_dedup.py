@@ -232,21 +232,17 @@ def _settle_stretches(sent: DataFrame, n: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, rows = None, []
+        by_target: dict[int, list[dict]] = {}  # one, as the keys deal each target a task of its own
         for batch in batches:
             for row in batch.to_pylist():
-                if row["holders"] is not None:
+                if row["holders"] is None:
+                    by_target.setdefault(row["target"], []).append(row)
+                else:
                     yield record(SETTLED, parcel=[row["parcel"]], target=[row["target"]], doc_id=[None], gone=[None], mixed=[None], often=[row["often"]], holders=[row["holders"]], answers=[None])
-                    continue
-                if row["target"] != target and rows:
-                    yield from _settle_names(rows)
-                    rows = []
-                target = row["target"]
-                rows.append(row)
-        if rows:
-            yield from _settle_names(rows)
+        for target in list(by_target):
+            yield from _settle_names(by_target.pop(target))
 
-    return sent.repartition(n, "key").sortWithinPartitions("target").mapInArrow(run, SETTLED_SQL)
+    return sent.repartition(n, "key").mapInArrow(run, SETTLED_SQL)
 
 
 MARKS = pa.schema([("doc_id", pa.int64()), ("gone", pa.binary()), ("mixed", pa.binary())])

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .huffman import Code, limited_lengths
-from .scratch import Scratch
+from .scratch import WRITING, Scratch
 from .textio import portions, record
 from .tokens import Encoder
 
@@ -111,7 +111,7 @@ def write_store(ids: DataFrame, path: str, *, longest_code: int = 18, block_toke
             yield close()
 
     ordered = ids.filter("counts IS NULL").select("doc_id", "n_tokens", "ids").repartitionByRange(files, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "ids")
-    ordered.mapInArrow(run, BLOCKS_SQL).write.mode("overwrite").option("compression", "none").parquet(f"{path}/blocks")
+    ordered.mapInArrow(run, BLOCKS_SQL).write.mode("overwrite").options(**WRITING | {"compression": "none"}).parquet(f"{path}/blocks")
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
