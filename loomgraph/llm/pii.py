@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
+import secrets
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .scratch import Scratch
 from .textio import portions, record
@@ -15,77 +17,160 @@ from .textio import portions, record
 #: Runs of characters that stand for each other: digits and letters, script by script, case by case.
 CLASSES = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "٠١٢٣٤٥٦٧٨٩", "۰۱۲۳۴۵۶۷۸۹", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ"]
 _CLASS_OF = {c: (cls, i) for cls in CLASSES for i, c in enumerate(cls)}
+#: In names vowels stand for vowels and consonants for consonants, so that they can be spoken.
+SOUNDS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóú", "àèìòù", "âêîôû", "äëïöü", "ñç", "αεηιουω", "βγδζθκλμνξπρστφχψ", "άέήίόύώ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ"]
+_SOUND_OF = {c: (cls, i) for low in SOUNDS for cls in (low, low.upper()) for i, c in enumerate(cls)}
 HEX = "0123456789abcdef"
 
-#: Given names by gender and script; a surrogate keeps both.
+#: Given names by gender and script; a surrogate keeps both. Other given names are told by a title.
 NAMES = {
-    ("f", "latin"): "Mary Anna Julia Laura Sarah Emma Clara Helen Alice Nora Ruth Diana Marie Claire Sophie Ingrid Greta Carmen Lucia Elena".split(),
-    ("m", "latin"): "John James Peter Paul David Mark Henry Louis Oscar Victor Simon Martin Pierre Hans Karl Stefan Carlos Pablo Diego Jorge".split(),
-    ("f", "greek"): "Μαρία Ελένη Άννα Σοφία Κατερίνα".split(),
-    ("m", "greek"): "Γιώργος Νίκος Γιάννης Δημήτρης Κώστας".split(),
-    ("f", "cyrillic"): "Анна Мария Ольга Елена Наталья".split(),
-    ("m", "cyrillic"): "Иван Пётр Сергей Николай Дмитрий".split(),
+    ("f", "latin"): "Mary Anna Anne Julia Laura Sarah Emma Clara Helen Alice Nora Ruth Diana Marie Claire Sophie Ingrid Greta Carmen Lucia Elena Jane Susan Linda Karen Nancy Lisa Emily Katharina Ursula Sabine Monika Petra Brigitte Isabelle Camille Pilar Teresa Beatriz Dolores".split(),
+    ("m", "latin"): "John James Peter Paul David Mark Henry Louis Oscar Victor Simon Martin Pierre Hans Karl Stefan Carlos Pablo Diego Jorge Robert Michael William Richard Thomas George Edward Daniel Wolfgang Jürgen Klaus Dieter Jacques François Antoine Miguel Javier Alejandro Fernando Manuel".split(),
+    ("f", "greek"): "Μαρία Ελένη Άννα Σοφία Κατερίνα Βασιλική Δήμητρα Αικατερίνη Γεωργία Ειρήνη Ευαγγελία Ιωάννα".split(),
+    ("m", "greek"): "Γιώργος Νίκος Γιάννης Δημήτρης Κώστας Αλέξης Παναγιώτης Χρήστος Βασίλης Μιχάλης Στέλιος Ανδρέας".split(),
+    ("f", "cyrillic"): "Анна Мария Ольга Елена Наталья Татьяна Ирина Светлана Екатерина Людмила Галина Юлия".split(),
+    ("m", "cyrillic"): "Иван Пётр Сергей Николай Дмитрий Алексей Андрей Михаил Владимир Александр Юрий Павел".split(),
 }
 _GIVEN = {name: key for key, names in NAMES.items() for name in names}
-_TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Madame": "f", "Monsieur": "m", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f"}
+_TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Madame": "f", "Mme": "f", "Monsieur": "m", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f", "κύριος": "m", "κυρία": "f", "господин": "m", "госпожа": "f"}
+#: Calling codes of two digits; 1 and 7 have one digit and all others three.
+_CALLING = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+#: Address blocks with a meaning of their own (first address and size); a surrogate stays in its block.
+_BLOCKS = ((0x00000000, 1 << 24), (0x0A000000, 1 << 24), (0x64400000, 1 << 22), (0x7F000000, 1 << 24), (0xA9FE0000, 1 << 16), (0xAC100000, 1 << 20), (0xC0A80000, 1 << 16), (0xE0000000, 1 << 29))
+#: What well-known access keys begin with.
+_MARKERS = ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-")
 
-_FAMILY = r"[^\W\d_a-zα-ωа-яß-ÿ][^\W\d_A-ZΑ-ΩА-Я]+"
+
+
+def _any_of(words: list[str]) -> str:
+    """A pattern of words in which common beginnings are tried once."""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[:1], []).append(w[1:])
+    ends = by.pop("", None)
+    more = "|".join(re.escape(c) + _any_of(rest) for c, rest in by.items())
+    return "" if not by else f"(?:{more}){'?' if ends else ''}"
+
+
+_FAMILY = r"(?=[^\W\d_a-zα-ωа-яß-ÿ])[^\W\d_]+(?:['’-][^\W\d_]+)*"
 _PATTERNS = {
     "email": r"(?<![\w.+-])[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "secret": r"(?i:\b(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d|pwd)\b\s*[:=]\s*)(?P<q>[\"']?)(?P<secret>[A-Za-z0-9+/_\-.]{8,})(?P=q)|\b(?P<bare>(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,}|[0-9a-f]{32,64}|[0-9A-F]{32,64}))\b",
-    "card": r"(?<![\w.])(?:\d{4}[ -]?){3}\d{1,7}(?![\w])",
+    "card": r"(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
+    "ipv6": r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])",
     "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![\w-])|(?<![\w.])\+\d{8,14}(?!\w)",
-    "name": rf"\b(?:(?P<title>{'|'.join(_TITLES)})\.?\s(?:(?P<first>{_FAMILY})\s)?(?P<last>{_FAMILY})|(?P<given>{'|'.join(_GIVEN)})\s(?P<family>{_FAMILY}))\b",
+    "name": rf"\b(?:(?P<title>{_any_of([*_TITLES])})\.?\s(?:(?P<first>{_FAMILY})\s)?(?P<last>{_FAMILY})|(?P<given>{_any_of([*_GIVEN])})\s(?P<family>{_FAMILY}))\b",
 }
 _ANY = re.compile("|".join(f"(?P<k_{k}>{p})" for k, p in _PATTERNS.items()))
-#: A text without any of these holds no entity; most texts end here.
-_HINT = re.compile(rf"[@\d]|\b(?:{'|'.join([*_TITLES, *_GIVEN])})\b|(?i:secret|token|passw|pwd|[_-]?key)")
+_SIGN, _PERSON, _HEX_RUN, _COLONS = re.compile(r"[@\d]").search, re.compile(_any_of([*_TITLES, *_GIVEN])).search, re.compile("[a-f]{32}|[A-F]{32}").search, re.compile("::|[A-Fa-f]:[A-Fa-f]").search
+_SAID = ("secret", "token", "passw", "pwd", "key")
+
+
+def may_hold(text: str) -> bool:
+    """Whether a text has what every entity of some kind has; most texts end here."""
+    if _SIGN(text) or _PERSON(text) or ":" in text and _COLONS(text) or any(m in text for m in _MARKERS) or _HEX_RUN(text):
+        return True
+    folded = text.casefold()
+    return any(w in folded for w in _SAID)
 
 
 class Entity:
     __slots__ = ("kind", "start", "end", "text", "key")
 
-    def __init__(self, kind: str, start: int, end: int, text: str):
+    def __init__(self, kind: str, start: int, end: int, text: str, key: str | None = None):
         self.kind, self.start, self.end, self.text = kind, start, end, text
-        self.key = canonical(kind, text)
+        self.key = canonical(kind, text) if key is None else key
 
 
 def canonical(kind: str, text: str) -> str:
-    """What all spellings of one entity have in common, so that they get one surrogate."""
-    if kind in ("email", "secret") or kind == "iban":
-        return "".join(text.split()).lower() if kind != "secret" else text.lower()
-    if kind == "phone":  # the country's prefix is not part of the number and stays as it is
-        return re.sub(r"^\+\d{1,3}[ .-]|\D", "", text)
+    """What all spellings of one entity have in common, so that they get one surrogate.
+
+    Secrets have one spelling. A phone number with its country's code and without is one.
+    """
+    if kind == "email":
+        return text.lower()
+    if kind == "iban":
+        return "".join(text.split())
+    if kind == "phone":
+        digits = re.sub(r"\D", "", text)
+        if not text.startswith("+"):
+            return digits
+        return digits[1 if digits[0] in "17" else 2 if digits[:2] in _CALLING else 3 :]
     if kind in ("card", "ssn"):
         return re.sub(r"\D", "", text)
+    if kind == "ipv6":
+        return ipaddress.IPv6Address(text).packed.hex()
     return text
 
 
+def luhn(digits: str) -> int:
+    """The digit that completes a card number."""
+    total = sum(d if i % 2 else d * 2 - 9 * (d > 4) for i, d in enumerate(map(int, reversed(digits))))
+    return -total % 10
+
+
+def is_card(digits: str) -> bool:
+    """An issuer's first digits, its length and the check digit."""
+    first, two, n = digits[0], int(digits[:2]), len(digits)
+    issued = n in (13, 16, 19) if first == "4" else n == 15 if two in (34, 37) else n == 16 if 51 <= two <= 55 or 22 <= two <= 27 or two == 35 else n == 14 if two in (30, 36, 38) else 16 <= n <= 19 if first == "6" else False
+    return issued and luhn(digits[:-1]) == int(digits[-1])
+
+
+def iban_check(country: str, account: str) -> str:
+    """The two check digits of an account number."""
+    value = int("".join(str(int(c, 36)) for c in account + country + "00"))
+    return f"{98 - value % 97:02}"
+
+
+def _entity(m: re.Match, text: str) -> Entity | None:
+    kind = m.lastgroup[2:]
+    if kind == "secret":
+        at = "secret" if m["secret"] is not None else "bare"
+        if at == "secret" and not re.search(r"\d", m[at]):
+            return None
+        return Entity(kind, *m.span(at), m[at])
+    if kind == "name":
+        start = m.start("first") if m["title"] and m["first"] else m.start("last") if m["title"] else m.start("given")
+        whole = text[start : m.end()]
+        gender = _TITLES.get(m["title"] or "") or _GIVEN.get(whole.split()[0], ("",))[0]
+        return Entity(kind, start, m.end(), whole, f"{gender}/{' '.join(whole.split())}")  # with a title or without, it is the same person
+    if kind == "card" and not is_card(re.sub(r"\D", "", m[0])):
+        return None
+    if kind == "ipv6":
+        try:
+            if int(ipaddress.IPv6Address(m[0])) < 2:  # unspecified or loopback
+                return None
+        except ValueError:
+            return None
+    return Entity(kind, *m.span(), m[0])
+
+
+_NEXT = {k: re.compile("|".join(f"(?P<k_{x}>{_PATTERNS[x]})" for x in list(_PATTERNS)[list(_PATTERNS).index(k) + 1 :])) for k in ("secret", "card", "ipv6")}
+_RUN = re.compile(r"\w*\W?")
+
+
 def find(text: str | None) -> list[Entity]:
-    """Entities of a whole text, left to right, not overlapping."""
-    if not text or not _HINT.search(text):
+    """Entities of a whole text, left to right, not overlapping.
+
+    What looks like a card or an address and isn't one may be, or hold, another entity; looking goes on
+    in the same place for other kinds, then behind its first run of letters and digits.
+    """
+    if not text or not may_hold(text):
         return []
-    out = []
-    for m in _ANY.finditer(text):
-        kind = m.lastgroup if m.lastgroup and m.lastgroup.startswith("k_") else next(k for k, v in m.groupdict().items() if v is not None and k.startswith("k_"))
-        kind = kind[2:]
-        if kind == "secret":
-            at = "secret" if m["secret"] is not None else "bare"
-            if at == "secret" and not re.search(r"\d", m[at]):
-                continue
-            out.append(Entity(kind, *m.span(at), m[at]))
-        elif kind == "name":
-            start = m.start("first") if m["title"] and m["first"] else m.start("last") if m["title"] else m.start("given")
-            out.append(Entity(kind, start, m.end(), text[start : m.end()]))
-            gender = _TITLES.get(m["title"] or "") or _GIVEN.get(out[-1].text.split()[0], ("",))[0]
-            out[-1].key = f"{gender}/{out[-1].text}"  # with a title or without, it is the same person
-        elif kind == "card" and not 13 <= len(re.sub(r"\D", "", m[0])) <= 19:
-            continue
+    out, at = [], 0
+    while m := _ANY.search(text, at):
+        found = _entity(m, text)
+        if found is None:
+            again = _NEXT[m.lastgroup[2:]].match(text, m.start())
+            found = again and _entity(again, text)
+        if found is None:
+            at = max(_RUN.match(text, m.start()).end(), m.start() + 1)
         else:
-            out.append(Entity(kind, *m.span(), m[0]))
+            out.append(found)
+            at = found.end
     return out
 
 
@@ -133,58 +218,82 @@ class Cipher:
         return "".join(reversed(out))
 
 
-_HEX_CLASS = {c: (HEX, i) for i, c in enumerate(HEX)}
+_LOW_HEX, _UP_HEX = ({c: (cls, i) for i, c in enumerate(cls)} for cls in (HEX, HEX.upper()))
 
 
-def luhn(digits: str) -> int:
-    """The digit that completes a card number."""
-    total = sum(d if i % 2 else d * 2 - 9 * (d > 4) for i, d in enumerate(map(int, reversed(digits))))
-    return -total % 10
+def _address(cipher: Cipher, tag: str, value: int) -> int:
+    """Another address of the same block, or for a public one another public one."""
+    for base, size in _BLOCKS:
+        if base <= value < base + size:
+            return base + cipher.number(f"{tag}/{base}", value - base, size)
+    while True:  # a permutation walked to the next public address is one of public addresses
+        value = cipher.number(tag, value, 1 << 32)
+        if not any(base <= value < base + size for base, size in _BLOCKS):
+            return value
+
+
+def _script(word: str) -> str:
+    return "greek" if "\u0370" <= word[0] <= "\u03ff" else "cyrillic" if "\u0400" <= word[0] <= "\u04ff" else "latin"
 
 
 def surrogate(cipher: Cipher, kind: str, key: str, attempt: int = 0) -> str:
-    """The replacement of an entity in its canonical form."""
+    """The replacement of an entity in its canonical form: a permutation of the forms of one shape."""
     tag = f"{kind}/{attempt}"
     if kind == "email":
         local, _, domain = key.partition("@")
         host, _, top = domain.rpartition(".")
         return f"{cipher.shaped(tag + '/local/' + domain, local)}@{cipher.shaped(tag + '/host', host)}.{top}"
     if kind == "ip":
-        value = 0
-        for part in key.split("."):
-            value = value << 8 | int(part)
-        value = cipher.number(tag, value, 1 << 32)
+        a, b, c, d = map(int, key.split("."))
+        value = _address(cipher, tag, a << 24 | b << 16 | c << 8 | d)
         return ".".join(str(value >> s & 255) for s in (24, 16, 8, 0))
-    if kind == "card" and luhn(key[:-1]) == int(key[-1]):
-        body = cipher.shaped(tag, key[:-1])
+    if kind == "ipv6":  # the first 16 bits tell what kind of address it is
+        return key[:4] + f"{cipher.number(f'{tag}/{key[:4]}', int(key[4:], 16), 1 << 112):028x}"
+    if kind == "card":  # the issuer's digits stay, the last one completes the number
+        body = key[:2] + cipher.shaped(f"{tag}/{key[:2]}", key[2:-1])
         return f"{body}{luhn(body)}"
-    if kind == "secret" and not key.strip(HEX):
-        return cipher.shaped(tag, key, _HEX_CLASS)
+    if kind == "secret":
+        marker = next((m for m in _MARKERS if key.startswith(m)), "")
+        rest = key[len(marker) :]
+        hexed = _LOW_HEX if not rest.strip(HEX) else _UP_HEX if not rest.strip(HEX.upper()) else None
+        return marker + cipher.shaped(f"{tag}/{marker}", rest, hexed)
     if kind == "iban":
-        return key[:2] + cipher.shaped(tag, key[2:])
+        country, account = key[:2], key[4:]
+        if key[2:4] != iban_check(country, account):  # not an account number; all digits go
+            return country + cipher.shaped(f"{tag}/{country}", key[2:])
+        account = cipher.shaped(f"{tag}/{country}", account)
+        return country + iban_check(country, account) + account
     if kind == "name":
         said, _, name = key.partition("/")
         *first, last = name.split()
-        gender, script = _GIVEN.get(first[0], (said or "f", None)) if first else (said, None)
-        script = script or ("greek" if "\u0370" <= last[0] <= "\u03ff" else "cyrillic" if "\u0400" <= last[0] <= "\u04ff" else "latin")
-        family = cipher.shaped("family" if attempt < 8 else tag, last)
+        family = cipher.shaped(tag + "/family", last, _SOUND_OF)
         if not first:
             return family
-        given = NAMES[said or gender, script]
-        pick = cipher.number(tag, int.from_bytes(hashlib.blake2b(name.encode(), key=cipher.key, digest_size=6).digest(), "big"), 1 << 48)
-        return f"{given[pick % len(given)]} {family}"
+        if first[0] not in _GIVEN:
+            return f"{cipher.shaped(f'{tag}/given/{last}', first[0], _SOUND_OF)} {family}"
+        own = NAMES[_GIVEN[first[0]]]
+        given = own[cipher.number(f"{tag}/given/{last}", own.index(first[0]), len(own))]
+        choice = NAMES.get((said, _script(first[0])), own)
+        return f"{given if choice is own else choice[own.index(given) % len(choice)]} {family}"
     return cipher.shaped(tag, key)
 
 
 def dressed(kind: str, text: str, new: str) -> str:
     """A canonical surrogate in the format of one spelling: its separators, its case."""
+    if kind == "ipv6":
+        made = ipaddress.IPv6Address(bytes.fromhex(new))
+        groups = [g for g in text.split(":") if g]
+        full = made.compressed if "::" in text else made.exploded if all(len(g) == 4 for g in groups) else ":".join(f"{int(g, 16):x}" for g in made.exploded.split(":"))
+        return full.upper() if text.upper() == text else full
     if kind in ("card", "phone", "ssn", "iban") and len(new) != len(text):
         places = [i for i, c in enumerate(text) if c.isalnum()][-len(new) :]
         spelled = list(text)
         for i, c in zip(places, new, strict=True):
             spelled[i] = c
-        new = "".join(spelled)
-    return new.upper() if text.isupper() and kind in ("email", "secret", "iban") else new
+        return "".join(spelled)
+    if kind == "email" and len(new) == len(text):
+        return "".join(b.upper() if a.isupper() else b for a, b in zip(text, new, strict=True))
+    return new
 
 
 FOUND = pa.schema([("kind", pa.string()), ("key", pa.string())])
@@ -217,28 +326,51 @@ def plain(kind: str, new: str) -> str:
     return new if kind != "name" else f"/{new}"
 
 
+def _shape(key: Column) -> Column:
+    """What a permutation leaves of a canonical form."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(key, "[0-9]", "0"), r"\p{Ll}", "a"), r"\p{Lu}", "A")
+
+
 def collisions(found: DataFrame, key: bytes, scratch: Scratch, most_rounds: int = 12) -> DataFrame:
     """Entities whose first surrogate is a real entity or another's surrogate, with a later attempt that isn't.
 
-    Rounds go on while any is left. Of entities that got one surrogate, the one with fewest attempts,
-    then the first by its canonical form, keeps it; the others try again.
+    Of entities that got one surrogate, the one with fewest attempts, then the first by its canonical
+    form, keeps it; the others try again. Shapes so crowded that ``most_rounds`` attempts don't end it
+    (address blocks, short numbers) go back to the first attempt, which is one permutation of the shape:
+    their surrogates are distinct, though one may be a real entity that is itself replaced. Names are not
+    of one permutation, so their rounds go on.
     """
     real = found.select("kind", F.when(F.col("kind") == "name", F.concat(F.lit("/"), F.element_at(F.split("key", "/"), -1))).otherwise(F.col("key")).alias("new")).distinct()
     table = _assign(found.withColumn("attempt", F.lit(0)), key)
-    for n in range(most_rounds):
+    for n in range(8 * most_rounds):
         table = scratch.keep(table, f"round{n}")
         claims = table.groupBy("kind", "new").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("attempt", "key")).alias("owner"))
         shared = table.join(claims.filter("n > 1"), ["kind", "new"]).filter(F.col("key") != F.col("owner.key")).select("kind", "key")
-        again = scratch.keep(table.join(real, ["kind", "new"], "left_semi").select("kind", "key").union(shared).distinct(), f"again{n}")
+        again = table.join(real, ["kind", "new"], "left_semi").select("kind", "key").union(shared).distinct()
+        if n >= most_rounds:
+            again = again.filter("kind = 'name'")
+        again = scratch.keep(again, f"again{n}")
         if again.isEmpty():
             return table.filter("attempt > 0").select("kind", "key", "attempt")
+        if n == most_rounds - 1:  # whole shapes go back, so that one permutation serves each
+            crowded = again.filter("kind <> 'name'").select("kind", _shape(F.col("key")).alias("shape")).distinct()
+            shaped = table.withColumn("shape", _shape(F.col("key"))).join(crowded.withColumn("back", F.lit(1)), ["kind", "shape"], "left")
+            table = _assign(shaped.select("kind", "key", F.when(F.col("back") == 1, 0).otherwise(F.col("attempt")).alias("attempt")), key)
+            continue
         retry = F.col("attempt") + F.coalesce(F.col("one"), F.lit(0))
         table = _assign(table.join(again.withColumn("one", F.lit(1)), ["kind", "key"], "left").select("kind", "key", retry.alias("attempt")), key)
-    raise RuntimeError(f"surrogates still collide after {most_rounds} attempts")
+    raise RuntimeError(f"names still collide after {8 * most_rounds} attempts")
+
+
+def session_key(spark: SparkSession, setting: str = "spark.loomgraph.surrogates.key") -> bytes:
+    """The key that a session's setting names; where none is set, a fresh one that the session keeps."""
+    if not spark.conf.get(setting, None):
+        spark.conf.set(setting, secrets.token_hex(32))
+    return hashlib.sha256(spark.conf.get(setting).encode()).digest()
 
 
 def replace_entities(
-    docs: DataFrame, *, key: bytes = b"loomgraph", most_broadcast: int = 50_000, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, *, key: bytes, most_broadcast: int = 50_000, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Replace personal data and secrets of every whole text by keyed surrogates.
 
@@ -248,9 +380,10 @@ def replace_entities(
     so distinct ones stay distinct; what a permutation can't rule out is checked over the whole corpus:
     surrogates that equal a real entity, or each other, are drawn again. The attempts of those few are
     sent along while there are at most ``most_broadcast``; beyond that they are joined per document.
+    Who holds ``key`` can say which entity a surrogate stands for, so callers bring their own.
 
-    Null text: stays null, no entities. Null ids and ties: as other rows. Repeated rows: replaced alike.
-    Empty table: no rows.
+    Null text: stays null, no entities. Very long texts: whole, like others. Null ids and ties: as other
+    rows. Repeated rows: replaced alike. Empty table: no rows.
     """
     scratch = Scratch(docs.sparkSession, "pii")
     found = scratch.keep(entities(docs, text_col), "found")

@@ -54,8 +54,8 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts with surrogates for personal data and secrets."""
-    return pii.replace_entities(table(spark, sf_dir, "documents", "doc_id", "text"))
+    """Texts with surrogates for personal data and secrets, under the session's key."""
+    return pii.replace_entities(table(spark, sf_dir, "documents", "doc_id", "text"), key=pii.session_key(spark))
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SETTING = "spark.checkpoint.dir"
 #: Batches of whole texts by bytes, not by rows alone, so that a task's memory doesn't follow their length.
-BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.parquet.columnarReaderBatchSize": "512"}
+BATCHES = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.parquet.columnarReaderBatchSize": "512",
+    # a join whose every partition has a side below this, as measured, is hashed and needs no sorting
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "4m",
+}
 #: Bytes that a Parquet writer holds before it writes them out; where the folder is on a local or mounted
 #: file system, no checksum file beside each file, as that doubles their number.
 WRITING = {"compression": "snappy", "parquet.block.size": str(8 << 20), "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}

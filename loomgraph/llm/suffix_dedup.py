@@ -464,14 +464,14 @@ def remove_repeats(docs: DataFrame, *, width: int = 50, id_col: str = "doc_id",
     ranges = scratch.keep(ranges, "ranges")
     scratch.drop("bytes", "answers")
     done = _apply(marked.join(ranges, ["doc_id", "sha"], "left").select("doc_id", "sha", "text", "gone", "ranges"), width)
-    done = scratch.keep(done, "done").dropDuplicates(["doc_id", "sha"])
+    done = scratch.keep(done.dropDuplicates(["doc_id", "sha"]), "done")
     scratch.drop("marked", "ranges", "marks")
 
-    rows = every.join(first, "sha", "left")
+    # copies of an earlier text lose all of it
+    rows = every.join(first, "sha", "left").join(done, ["doc_id", "sha"], "left")
     copy = F.coalesce((F.col("doc_id") > F.col("first")) & (F.col("n_bytes") >= width), F.lit(False))
-    zero, shown = F.lit(0).cast("long"), ("doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256")
-    whole = rows.filter(copy).select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.array(zero, "n_bytes").alias("spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"))
-    rest = rows.filter(~copy).select("doc_id", "n_bytes", "whole", "sha").join(done, ["doc_id", "sha"], "left")
-    spans = F.coalesce("spans", F.array().cast("array<long>"))
-    rest = rest.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), (F.size(spans) / 2).cast("long").alias("n_spans"), spans.alias("spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
-    return whole.select(*shown).unionByName(rest.select(*shown))
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<long>")
+    spans = F.when(copy, F.array(zero, "n_bytes")).otherwise(F.coalesce("spans", none))
+    removed = F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", zero))
+    kept = F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "whole"))
+    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), (F.size(spans) / 2).cast("long").alias("n_spans"), spans.alias("spans"), kept.alias("kept_sha256"))
