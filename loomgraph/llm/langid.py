@@ -37,11 +37,19 @@ _BLANKED = {c: " " for c in range(128) if not chr(c).isalpha()}
 COUNTS = pa.schema([("label", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
 
 
+def _draw(id_: Column, every: int) -> Column:
+    return F.pmod(F.xxhash64(id_.cast("long"), F.lit("train")), F.lit(every)) == 0
+
+
 class Model:
-    """Log-likelihoods of buckets per language, the last one for anything else."""
+    """Log-likelihoods of buckets per language, the last one for anything else; fitted on one row in ``every``."""
+
+    def __init__(self, languages: list[str], table: np.ndarray, every: int = 1):
+        self.languages, self.table, self.every = languages, table, every
 
-    def __init__(self, languages: list[str], table: np.ndarray):
-        self.languages, self.table = languages, table
+    def fitted_on(self, id_: Column) -> Column:
+        """Whether a row's label, if it has one, was used; such a label is no evidence of its own."""
+        return F.coalesce(_draw(id_, self.every), F.lit(True))
 
     def log_likelihoods(self, text: str | None) -> np.ndarray | None:
         grams = _grams(text) if text else ()
@@ -55,8 +63,8 @@ def train(docs: DataFrame, *, languages: tuple[str, ...], sample: int = 4000, id
     sample is never found.
     """
     labelled = docs.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(text_col).alias("text")).filter(F.col("label").isin(*languages) & F.col("id").isNotNull())
-    n = labelled.select("id").count()
-    chosen = labelled.filter(F.pmod(F.xxhash64("id", F.lit("train")), F.lit(max(1, n // sample))) == 0)
+    every = max(1, labelled.select("id").count() // sample)
+    chosen = labelled.filter(_draw(F.col("id"), every))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -74,10 +82,10 @@ def train(docs: DataFrame, *, languages: tuple[str, ...], sample: int = 4000, id
     for label, bucket, c in counts:
         table[bucket, found.index(label)] += c
     table[:, -1] = 1.0
-    return Model(found, np.log(table / table.sum(axis=0)).astype(np.float32))
+    return Model(found, np.log(table / table.sum(axis=0)).astype(np.float32), every)
 
 
-SCORES = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("declared", pa.string()), ("suffix", pa.string()), ("host", pa.string()), ("scores", pa.list_(pa.float64()))])
+SCORES = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("declared", pa.string()), ("address", pa.string()), ("host", pa.string()), ("scores", pa.list_(pa.float64()))])
 
 
 def _scores(docs: DataFrame, model: Model) -> DataFrame:
@@ -89,7 +97,7 @@ def _scores(docs: DataFrame, model: Model) -> DataFrame:
                 scores.append(None if x is None else (x - x.max()).tolist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.list_(pa.float64()))], schema=SCORES)
 
-    return docs.mapInArrow(run, "doc_id long, text_key long, declared string, suffix string, host string, scores array<double>")
+    return docs.mapInArrow(run, "doc_id long, text_key long, declared string, address string, host string, scores array<double>")
 
 
 def _with_normalized(df: DataFrame, logs: str, to: str) -> DataFrame:
@@ -106,33 +114,43 @@ def _said(column: str, languages: list[str], right: float) -> Column:
     return F.when(F.coalesce(known, F.lit(False)), F.array(*[F.when(F.col(column) == x, math.log(right)).otherwise(math.log(wrong)) for x in languages], F.lit(math.log(wrong)))).otherwise(F.array(*[F.lit(0.0)] * (len(languages) + 1)))
 
 
+def address_language(host: Column, path: Column | None = None, languages: tuple[str, ...] = ()) -> Column:
+    """The language of an address: of the country at the host's end, else a first part of the path that names one."""
+    country = F.element_at(F.create_map(*[F.lit(x) for kv in SUFFIXES.items() for x in kv]), F.element_at(F.split(F.lower(host), r"\."), -1))
+    if path is None or not languages:
+        return country
+    part = F.lower(F.regexp_extract(path, "^/([A-Za-z]{2})(?:[/_-]|$)", 1))
+    return F.coalesce(country, F.when(part.isin(*languages), part))
+
+
 def identify(
     docs: DataFrame, model: Model, *, accept: tuple[str, ...] = ("en", "fr", "de", "es"), least: float = 0.5,
-    id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None, host: Column | None = None,
+    id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None, host: Column | None = None, address: Column | None = None,
 ) -> DataFrame:
     """The language of every whole text, by Bayes' rule over all evidence.
 
     Returns a row per document: ``doc_id, text_key, language, probability, text_language, declared,
-    host, kept``. The text gives likelihoods of byte trigrams; ``declared`` (as in markup) and the last
-    part of ``host`` name languages that are right with fixed chances. Hosts give priors: posteriors
+    address, host, kept``. The text gives likelihoods of byte trigrams; ``declared`` (as in markup) and
+    ``address`` (what it says of the language; by default the country at the end of ``host``) name
+    languages that are right with fixed chances. Labels that the model was fitted on must not be passed
+    as ``declared`` (:meth:`Model.fitted_on`). Hosts give priors: posteriors
     by text alone are summed per host, per last part of the host and over all documents, and each
     level is smoothed by the next with ``PSEUDO`` documents, a document's own share taken out. Sums go
     through partial aggregation, so a host with a third of all rows is no heavier than others.
 
     Kept: documents whose most probable language is accepted with at least ``least``. Null or empty
-    text, or one without letters: language ``und``, not kept. Null id, declaration or host: judged
-    without that evidence. Repeated rows: judged alike. Empty table: no rows. Without any labelled row
+    text, or one without letters: language ``und``, not kept. Very long texts: whole. Ties: the language
+    that the model names first. Null id, declaration or host: judged without that evidence. Repeated
+    rows: judged alike. Empty table: no rows. Without any labelled row
     to fit, texts with letters are kept unjudged. Other columns are not read.
     """
     names = [*model.languages, UNKNOWN]
-    suffix = F.element_at(F.create_map(*[F.lit(x) for kv in SUFFIXES.items() for x in kv]), F.element_at(F.split(F.lower(F.col("host")), r"\."), -1))
     none = F.lit(None).cast("string")
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), (none if declared is None else declared).alias("declared"), (none if host is None else host).alias("host"), F.col(text_col).alias("text"))
-    plain = plain.withColumn("suffix", suffix).select("doc_id", "text_key", "declared", "suffix", "host", "text")
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), (none if declared is None else declared).alias("declared"), (address_language(none if host is None else host) if address is None else address).alias("address"), (none if host is None else host).alias("host"), F.col(text_col).alias("text"))
     scored = Scratch(docs.sparkSession, "langid").keep(_scores(plain, model), "scores")
     if not model.languages:
         unjudged = F.col("scores").isNotNull()
-        return scored.select("doc_id", "text_key", F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("probability"), F.lit(UNKNOWN).alias("text_language"), "declared", "host", unjudged.alias("kept"))
+        return scored.select("doc_id", "text_key", F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("probability"), F.lit(UNKNOWN).alias("text_language"), "declared", "address", "host", unjudged.alias("kept"))
 
     k = len(names)
     scored = _with_normalized(scored, "scores", "own").withColumn("own", F.coalesce("own", F.array(*[F.lit(0.0)] * k)))
@@ -153,10 +171,10 @@ def identify(
 
     placed = placed.withColumn("p_top", smoothed("in_top", base)).withColumn("p_host", smoothed("in_host", F.col("p_top")))
     logs = F.transform("p_host", lambda p: F.log(F.greatest(p, F.lit(1e-12))))
-    for more in (F.col("scores"), _said("declared", model.languages, DECLARED_RIGHT), _said("suffix", model.languages, SUFFIX_RIGHT)):
+    for more in (F.col("scores"), _said("declared", model.languages, DECLARED_RIGHT), _said("address", model.languages, SUFFIX_RIGHT)):
         logs = F.zip_with(logs, more, lambda a, b: a + b)
     placed = _with_normalized(placed.withColumn("logs", logs), "logs", "posterior")  # null without scores
     labels = F.array(*[F.lit(x) for x in names])
     best = lambda c: F.coalesce(F.element_at(labels, F.array_position(F.col(c), F.array_max(c)).cast("int")), F.lit(UNKNOWN))
-    out = placed.select("doc_id", "text_key", best("posterior").alias("language"), F.coalesce(F.array_max("posterior"), F.lit(0.0)).alias("probability"), F.when(F.col("scores").isNotNull(), best("own")).otherwise(F.lit(UNKNOWN)).alias("text_language"), "declared", "host")
+    out = placed.select("doc_id", "text_key", best("posterior").alias("language"), F.coalesce(F.array_max("posterior"), F.lit(0.0)).alias("probability"), F.when(F.col("scores").isNotNull(), best("own")).otherwise(F.lit(UNKNOWN)).alias("text_language"), "declared", "address", "host")
     return out.withColumn("kept", F.col("language").isin(*accept) & (F.col("probability") >= least))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprint, langid, mixing, near_dedup, packing, pii, quality, suffix_dedup, token_store, url_filter
+from . import fingerprint, langid, mixing, near_dedup, packing, pages, pii, quality, suffix_dedup, token_store, url_filter
 from .textio import table
 
 LANGUAGES = ("en", "fr", "de", "es")
@@ -29,12 +29,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's URL; pages are labelled by the document they show, which has the page's number."""
-    pages = table(spark, sf_dir, "pages", "page_id", "url")
-    labels = table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
+    """Every page's URL; a page is labelled by the documents whose text it shows."""
+    read = pages.read_pages(table(spark, sf_dir, "pages", "page_id", "url", "html"))
     bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
-    labelled = pages.join(labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")), "page_id").select("url", "bad")
-    return url_filter.judge_urls(pages, labelled)
+    labelled = pages.labels_of_pages(read, table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"), bad)
+    return url_filter.judge_urls(table(spark, sf_dir, "pages", "page_id", "url"), labelled)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,11 +58,13 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Languages of documents from their text, their declared language and their source."""
-    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
-    model = langid.train(docs, languages=LANGUAGES)
-    found = langid.identify(docs, model, accept=LANGUAGES, declared=F.col("lang"), host=F.col("source"))
-    return found.select("doc_id", "language", "probability", "text_language", "declared", "kept")
+    """Languages of pages from their text, markup, address and host; the model is fitted on documents."""
+    model = langid.train(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), languages=LANGUAGES)
+    read = pages.read_pages(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    host, path = url_filter.host_and_path(F.col("url"))
+    host = F.when(host != "", host)
+    found = langid.identify(read, model, accept=LANGUAGES, id_col="page_id", declared=F.col("declared"), host=host, address=langid.address_language(host, path, LANGUAGES))
+    return found.select(F.col("doc_id").alias("page_id"), "language", "probability", "text_language", "declared", "address", "host", "kept")
 
 
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

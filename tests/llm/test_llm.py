@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm import fingerprint, huffman, langid, mixing, near_dedup, packing, pii, quality, queries, suffix_dedup, suffixes, textio, token_store, tokens, url_filter
+from loomgraph.llm import fingerprint, huffman, langid, mixing, near_dedup, packing, pages, pii, quality, queries, suffix_dedup, suffixes, textio, token_store, tokens, url_filter
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string, kept string, start long, size string"
@@ -213,14 +213,111 @@ def test_url_rules(spark):
     assert url_filter.judge_urls(empty(pages), none).count() == 0
 
 
+def url_tokens(url):
+    """Tokens of a URL, said again in plain Python."""
+    rest = url.split("://", 1)[1] if "://" in url else ""
+    host, path = re.match(r"[^/?#]*", rest)[0].lower(), re.match(r"[^/?#]*([^?#]*)", rest)[1]
+    query = re.search(r"\?([^#]*)", url)
+    scheme = re.match(r"([A-Za-z]+)://", url)
+    parts = [("h:", x) for x in host.split(".")] + [("p:", x) for x in re.split(r"[/.]", path)] + [("q:", x.split("=")[0]) for x in (query[1] if query else "").split("&")] + [("s:", scheme[1] if scheme else "")]
+    return frozenset(k + re.sub("[0-9]+", "#", x.lower()) for k, x in parts if x)
+
+
+def brute_rules(rows, support, confidence, most=4, common=0.9):
+    import itertools
+
+    rows = [(url_tokens(u), bad) for u, bad in rows if u is not None and bad is not None]
+    seen = collections.Counter(t for items, _ in rows for t in items)
+    every = {t for t, c in seen.items() if c > common * len(rows)}
+    sets = {frozenset(c) for items, bad in rows if bad for k in range(1, most + 1) for c in itertools.combinations(sorted(items - every), k)}
+    rules = {}
+    for s in sets:
+        n_bad, n_all = sum(bad and s <= items for items, bad in rows), sum(s <= items for items, _ in rows)
+        if n_bad >= support * len(rows) and n_bad >= confidence * n_all:
+            rules[s] = n_bad / n_all
+    return {tuple(sorted(s)): c for s, c in rules.items() if not any(o < s and rules[o] >= c for o in rules)}
+
+
 def test_url_rules_are_mined(spark):
-    rows = [(f"http://casino-{i}.example.org/win/{i}", True) for i in range(40)] + [(f"http://site.example.org/win/{i}", i % 2 == 0) for i in range(40)] + [(f"http://news{i}.example.org/a/{i}", False) for i in range(60)] + [(None, True), ("http://x.org/", None)]
+    rng = random.Random(14)
+    rows = [(f"http://casino-{i}.example.org/win/{i}", True) for i in range(40)] + [(f"http://site.example.org/win/{i}", i % 2 == 0) for i in range(40)] + [(f"http://news{i}.example.org/a/{i}", False) for i in range(60)]
+    rows += [(f"https://m.{rng.choice(['x', 'y'])}.example.org/{rng.choice(['en', 'de'])}/{i}.html?{rng.choice(['id=1', 'p=2&q=3', ''])}", None) for i in range(200)]
+    rows = [(u, bad if bad is not None else ("x." in u and "/de/" in u) != (rng.random() < 0.05)) for u, bad in rows] + [(None, True), ("http://x.org/", None)]
     labelled = spark.createDataFrame(rows, "url string, bad boolean")
-    rules = {tuple(r.tokens) for r in url_filter.mine_rules(labelled).collect()}
-    assert ("h:casino-#",) in rules and not any("h:site" in r for r in rules)
-    assert all(len(r) == 1 or ("h:casino-#",) not in {(t,) for t in r} for r in rules)
-    pages = spark.createDataFrame([(1, "http://casino-9.example.org/z"), (2, "http://site.example.org/win/1")], "page_id long, url string")
-    assert {r.page_id: r.verdict for r in url_filter.judge_urls(pages, labelled).collect()} == {1: "block", 2: "allow"}
+    found = {tuple(r.tokens): r for r in url_filter.mine_rules(labelled, least_support=0.03).collect()}
+    wanted = brute_rules(rows, 0.03, 0.8)
+    assert {t: round(r.confidence, 9) for t, r in found.items()} == {t: round(c, 9) for t, c in wanted.items()} and len(wanted) > 1
+    assert ("h:casino-#",) in found and ("h:x", "p:de") in found and found["h:casino-#",].n == found["h:casino-#",].n_all == 40
+    pages = spark.createDataFrame([(1, "http://casino-9.example.org/z"), (2, "http://site.example.org/win/1"), (3, "https://m.x.example.org/de/9"), (None, "http://casino-1.b" + "/x" * 50_000)], "page_id long, url string")
+    judged = {r.page_id: (r.verdict, r.mined) for r in url_filter.judge_urls(pages, labelled).collect()}
+    assert judged == {1: ("block", "h:casino-#"), 2: ("allow", None), 3: ("block", "h:x & p:de"), None: ("block", "h:casino-#")}
+
+
+def test_pages_are_labelled_by_the_text_they_show(spark):
+    markup = lambda body: f'<!DOCTYPE html><html class=x lang="de-AT"><head><title>t</title><script>var t="</p>";</script></head><body><nav>menu</nav><!-- no --><article><h1>a</h1><p>{body}</p></article></body></html>'
+    rows = [(1, "http://a", markup("one &amp; <b>two</b><br>three")), (2, "http://b", markup("other")), (3, "http://c", None), (4, "http://d", "plain one &amp; two"), (1, "http://a", markup("one &amp; two three"))]
+    read = pages.read_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert [(r.page_id, r.declared, r.text) for r in read.orderBy("page_id", "url").collect()] == [(1, "de", "one & two three"), (1, "de", "one & two three"), (2, "de", "other"), (3, None, ""), (4, None, "plain one & two")]
+    docs = spark.createDataFrame([(7, "one & two\nthree"), (8, "one & two three "), (9, "other"), (10, None), (None, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1), (8, 0), (9, 1), (10, 0)], "doc_id long, quality int")
+    got = pages.labels_of_pages(read, docs, labels, F.col("quality") == 0).collect()
+    assert sorted((r.page_id, r.bad) for r in got) == [(1, True), (1, True), (2, False)]
+    sf = "/root/testdata/sf0.01"
+    shown = pages.read_pages(spark.read.parquet(f"{sf}/pages.parquet")).join(pages.text_keys(spark.read.parquet(f"{sf}/documents.parquet")), "text_key", "left_semi")
+    assert shown.count() == spark.read.parquet(f"{sf}/pages.parquet").count()
+
+
+def test_page_languages_are_right(spark):
+    """Against the language of the document that a page shows, which the model does not see."""
+    sf = "/root/testdata/sf0.01"
+    found = queries.op8_language(spark, sf)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    true = pages.text_keys(docs).join(docs.select("doc_id", "lang"), "doc_id").groupBy("text_key").agg(F.first("lang").alias("lang"))
+    both = found.join(pages.read_pages(spark.read.parquet(f"{sf}/pages.parquet")).join(true, "text_key").select("page_id", "lang"), "page_id")
+    assert both.count() == found.count() == 250 and both.filter("language = lang").count() >= 0.98 * 250
+    assert found.filter("address IS NOT NULL AND declared IS NOT NULL AND host IS NOT NULL").count() == 250
+
+
+def brute_languages(rows, model, accept, pseudo=20.0):
+    """Bayes' rule row by row; rows are (text, declared, address, host)."""
+    names = [*model.languages, "und"]
+    k, soft = len(names), lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    scores = [model.log_likelihoods(t) for t, *_ in rows]
+    own = [np.zeros(k) if s is None else soft(s) for s in scores]
+    hosts, tops = collections.defaultdict(lambda: np.zeros(k)), collections.defaultdict(lambda: np.zeros(k))
+    for (_, _, _, host), o in zip(rows, own, strict=True):
+        if host is not None:
+            hosts[host] += o
+            tops[host.split(".")[-1]] += o
+    base = (sum(own) + 1) / (sum(o.sum() for o in own) + k)
+    out = []
+    for (_, declared, address, host), o, s in zip(rows, own, scores, strict=True):
+        if s is None:
+            out.append(("und", 0.0))
+            continue
+        prior = base
+        for held in ([tops[host.split(".")[-1]], hosts[host]] if host is not None else [tops.get("", np.zeros(k))] if "" in tops else []):
+            others = np.maximum(held - o, 0)
+            prior = (others + pseudo * prior) / (others.sum() + pseudo)
+        logs = np.log(np.maximum(prior, 1e-12)) + s - s.max()
+        for said, right in ((declared, langid.DECLARED_RIGHT), (address, langid.SUFFIX_RIGHT)):
+            if said in model.languages:
+                logs = logs + [np.log(right if n == said else (1 - right) / len(model.languages)) for n in names]
+        p = soft(logs)
+        out.append((names[int(p.argmax())], float(p.max())))
+    return out
+
+
+def test_language_against_bayes_row_by_row(spark, docs):
+    model = langid.train(docs, languages=queries.LANGUAGES)
+    rng = random.Random(4)
+    texts = [r.text for r in docs.limit(40).collect()] + ["an", "a", "der", "und la", None, "12", "le", "x"]
+    rows = [(i, t, rng.choice([None, "de", "fr", "xx"]), rng.choice([None, "en", "es"]), rng.choice([None, "a.de", "b.de", "c.com", "d"])) for i, t in enumerate(texts * 3)]
+    found = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, said string, at string, site string"), model, declared=F.col("said"), address=F.col("at"), host=F.col("site")).collect()
+    wanted = brute_languages([(t, d, a, h) for _, t, d, a, h in rows], model, queries.LANGUAGES)
+    for r in found:
+        language, p = wanted[r.doc_id]
+        assert abs(r.probability - p) < 1e-6 and (r.language == language or abs(p - 0.5) < 1e-6), (r, wanted[r.doc_id])
 
 
 def brute_repeats(rows, width=50):
