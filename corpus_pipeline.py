@@ -19,9 +19,10 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a recognised language."""
+    """Drop documents without a recognised language. Labels that the model was fitted on are no evidence."""
     model = langid.train(docs, languages=LANGUAGES)
-    found = langid.identify(docs, model, accept=LANGUAGES, declared=F.col("lang"), host=F.col("source"))
+    declared = F.when(~model.fitted_on(F.col("doc_id")), F.col("lang"))
+    found = langid.identify(docs, model, accept=LANGUAGES, declared=declared, host=F.col("source"))
     scratch = Scratch(spark, "rejected")
     found = scratch.keep(found.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "kept"), "judged")
     gone = scratch.keep(found.filter(~F.col("kept")).drop("kept").distinct(), "rejected")  # its size is known now, so a small one is broadcast
@@ -43,7 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data and secrets by surrogates."""
-    new = pii.replace_entities(docs)
+    new = pii.replace_entities(docs, key=pii.session_key(spark))
     return _documents(new.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))))
 
 
