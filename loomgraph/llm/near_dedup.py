@@ -20,8 +20,10 @@ BANDS, ROWS = 28, 4
 HASHES = BANDS * ROWS
 #: Hashes that are compared between two looks at the posterior, and the chance of losing a true link by it.
 STEP, MISS = 16, 1e-6
-#: Members of a block of loose and of all documents of one group.
+#: Members of a block of loose and of all documents of one group, whose texts meet where signatures allow;
+#: and how many such blocks are told apart by signatures in one go.
 LOOSE_BLOCK, FULL_BLOCK = 64, 512
+LOOSE_BLOCKS, FULL_BLOCKS = 16, 32
 
 _SEEDS = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, size=(2, HASHES, 1), dtype=np.uint64)
 _XOR, _ODD = _SEEDS[0], _SEEDS[1] * np.uint64(2) + np.uint64(1)
@@ -135,25 +137,35 @@ def _signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, HASHES)
 
 
+def _prune_pairs(pairs: DataFrame, how: Similarity) -> DataFrame:
+    """Pairs ``a, b`` whose signatures leave a link likely enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                left = pa.array(how.survivors(_signatures(batch.column(2)), _signatures(batch.column(3))), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(left), batch.column(1).take(left)], names=["a", "b"])
+
+    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+
+
 def _verify_pairs(pairs: DataFrame, how: Similarity) -> DataFrame:
-    """Links among pairs ``a, b`` with both signatures and texts: pruned in batches, then exact."""
+    """Links among pairs ``a, b`` with both texts, by their full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = (None, None)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b, sig_a, sig_b, text_a, text_b = batch.columns
-            last, out = (None, None), []
-            for i in how.survivors(_signatures(sig_a), _signatures(sig_b)).tolist():
-                one, other = a[i].as_py(), b[i].as_py()
+            out = []
+            for one, other, text_a, text_b in zip(*batch.columns, strict=True):
+                one, other = one.as_py(), other.as_py()
                 if last[0] != one:
-                    last = one, how.shingles(text_a[i].as_py())
-                if how.linked(last[1], how.shingles(text_b[i].as_py())):
+                    last = one, how.shingles(text_a.as_py())
+                if how.linked(last[1], how.shingles(text_b.as_py())):
                     out.append((one, other))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
-    return pairs.select("a", "b", "sig_a", "sig_b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 class _Sets:
@@ -190,25 +202,72 @@ def _link_block(loose: list[tuple], full: list[tuple], how: Similarity) -> list[
     return out
 
 
-def _links_in_groups(groups: DataFrame, texts: DataFrame, how: Similarity, scratch: Scratch) -> DataFrame:
+MEETING = pa.schema([("p", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("role", pa.int32()), ("node", pa.int64()), ("component", pa.int64())])
+MEETING_SQL = "p long, i int, j int, role int, node long, component long"
+
+
+def _meeting_blocks(loose: list[tuple], full: list[tuple], how: Similarity) -> Iterator[tuple]:
+    """Members that must meet: ``i, j, role, node, component`` for every pair of blocks with a likely link.
+
+    Members are ``(node, component, block, signature)``. A member is named once per pair of blocks,
+    however many likely partners it has there.
+    """
+    sig = np.frombuffer(b"".join(m[3] for m in full), "<u2").reshape(-1, HASHES)
+    comps, blocks = np.array([m[1] for m in full], np.int64), np.array([m[2] for m in full], np.int64)
+    wanted: dict[int, np.ndarray] = {}
+    for node, component, i, raw in loose:
+        near = how.survivors(np.broadcast_to(np.frombuffer(raw, "<u2"), sig.shape), sig)
+        near = near[comps[near] != component]
+        if len(near):
+            wanted.setdefault(i, np.zeros(len(full), bool))[near] = True
+            for j in np.unique(blocks[near]).tolist():
+                yield i, j, 0, node, component
+    for i, on in wanted.items():
+        for at in np.flatnonzero(on).tolist():
+            yield i, int(blocks[at]), 1, full[at][0], full[at][1]
+
+
+def _links_in_groups(groups: DataFrame, nodes: DataFrame, texts: DataFrame, how: Similarity, scratch: Scratch) -> DataFrame:
     """Links between components in groups ``p, node, component``, without a row for each pair.
 
     A group's most frequent component needs no comparison with itself. Its other members (loose) are
-    dealt by hash into blocks, all members into larger ones, and each pair of blocks is one key of work
-    that returns no more links than join its components.
+    dealt by hash into blocks, all members into larger ones. Signatures alone travel to where many
+    blocks meet; they tell which members of which two blocks may be linked, and only those get their
+    texts, for each such pair of blocks once. A pair of blocks returns no more links than join its
+    components.
     """
     counts = scratch.keep(groups.groupBy("p", "component").count(), "group_sizes")
     main = counts.groupBy("p").agg(F.max(F.struct("count", "component")).alias("main"), F.sum("count").alias("n"), F.max("count").alias("most"))
     main = main.filter("n > most").select("p", F.col("main.component").alias("main"), F.ceil((F.col("n") - F.col("most")) / LOOSE_BLOCK).cast("int").alias("n_loose"), F.ceil(F.col("n") / FULL_BLOCK).cast("int").alias("n_full"))
     main = scratch.keep(main, "main")  # so that the join below deals both sides anew and can split a hot group
-    members = scratch.keep(groups.join(main, "p"), "members")
+    members = groups.join(main, "p").join(nodes.select("node", "sig").hint("merge"), "node")
     spread = lambda n, tag: F.pmod(F.xxhash64("node", F.lit(tag)), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    full = members.select("p", "node", "component", every("n_loose").alias("i"), spread("n_full", "full").alias("j"), F.lit(1).alias("role"))
-    loose = members.filter("component <> main").select("p", "node", "component", spread("n_loose", "loose").alias("i"), every("n_full").alias("j"), F.lit(0).alias("role"))
-    work = full.union(loose).join(texts.hint("merge"), "node").select("p", "i", "j", "role", "node", "component", "sig", "text")
+    members = scratch.keep(members.withColumn("i", spread("n_loose", "loose")).withColumn("j", spread("n_full", "full")), "members")
+    every = lambda n, k: F.explode(F.sequence(F.lit(0), F.floor((F.col(n) - 1) / k).cast("int")))
+    at = lambda block, k: F.floor(F.col(block) / k).cast("int")
+    full = members.select("p", every("n_loose", LOOSE_BLOCKS).alias("x"), at("j", FULL_BLOCKS).alias("y"), F.lit(1).alias("role"), "node", "component", F.col("j").alias("block"), "sig")
+    loose = members.filter("component <> main").select("p", at("i", LOOSE_BLOCKS).alias("x"), every("n_full", FULL_BLOCKS).alias("y"), F.lit(0).alias("role"), "node", "component", F.col("i").alias("block"), "sig")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = work.repartition(parts, "p", "i", "j").sortWithinPartitions("p", "i", "j", "role", "node")
+    dealt = full.union(loose).repartition(parts, "p", "x", "y").sortWithinPartitions("p", "x", "y", "role", "node")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sides = None, ([], [])
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if sides[0] and (found := list(_meeting_blocks(*sides, how))):
+                yield record(MEETING, p=[key[0]] * len(found), **dict(zip(MEETING.names[1:], zip(*found, strict=True), strict=True)))
+
+        for batch in batches:
+            for p, x, y, role, *member in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (p, x, y) != key:
+                    yield from close()
+                    key, sides = (p, x, y), ([], [])
+                sides[role].append(tuple(member))
+        yield from close()
+
+    meeting = scratch.keep(dealt.mapInArrow(meet, MEETING_SQL), "meeting")
+    work = meeting.join(texts.hint("merge"), "node").select("p", "i", "j", "role", "node", "component", "sig", "text")
+    work = work.repartition(parts, "p", "i", "j").sortWithinPartitions("p", "i", "j", "role", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, sides = None, ([], [])
@@ -222,10 +281,10 @@ def _links_in_groups(groups: DataFrame, texts: DataFrame, how: Similarity, scrat
                 if (p, i, j) != key:
                     yield from close()
                     key, sides = (p, i, j), ([], [])
-                sides[role].append((member[0], member[1], member[2], member[3]))
+                sides[role].append(tuple(member))
         yield from close()
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return work.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, how: Similarity | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,9 +295,10 @@ def near_duplicates(docs: DataFrame, how: Similarity | None = None, *, id_col: s
     meet in a band are compared with the band's least member; whatever that leaves in different
     components is compared within each such group block by block, so every pair that shares a band is
     tested unless already joined, and no step lists the pairs of a group. Posterior bounds prune pairs
-    (:meth:`Similarity.needed`); links are confirmed on the full sets of shingles.
+    (:meth:`Similarity.needed`) by signatures alone, before texts are fetched; links are confirmed on
+    the full sets of shingles.
 
-    Null text or one without words: 0 shingles, linked with nothing. Null ``doc_id``: never linked,
+    Null text or one without words: 0 shingles, linked with nothing. Very long texts: whole. Null ``doc_id``: never linked,
     ``component_id`` null, kept. Repeated rows are flagged alike. Rows of one ``doc_id`` with different
     texts belong each to the class of its text; classes with the same least ``doc_id`` are one vertex.
     Empty table: no rows. Other columns are not read.
@@ -260,13 +320,15 @@ def near_duplicates(docs: DataFrame, how: Similarity | None = None, *, id_col: s
     # merge joins whatever the size: texts are never broadcast, and the plan is one at every scale
     candidates = plain.select(F.col("doc_id").alias("node"), "text").join(wanted.hint("merge"), "node").join(nodes.select("node", "sig").hint("merge"), "node")
     texts = scratch.keep(candidates, "texts")
-    ends = lambda name, at: texts.select(F.col("node").alias(at), F.col("sig").alias(f"sig_{name}"), F.col("text").alias(f"text_{name}"))
-    pairs = stars.select(F.col("p").alias("a"), F.col("node").alias("b")).join(ends("b", "b").hint("merge"), "b").join(ends("a", "a").hint("merge"), "a")
-    links = scratch.keep(_verify_pairs(pairs, how), "links")
+    sig = lambda at, name: nodes.select(F.col("node").alias(at), F.col("sig").alias(name)).hint("merge")
+    text = lambda at, name: texts.select(F.col("node").alias(at), F.col("text").alias(name)).hint("merge")
+    pairs = stars.select(F.col("p").alias("a"), F.col("node").alias("b"))
+    pairs = scratch.keep(_prune_pairs(pairs.join(sig("b", "sig_b"), "b").join(sig("a", "sig_a"), "a"), how), "pairs")
+    links = scratch.keep(_verify_pairs(pairs.join(text("b", "text_b"), "b").join(text("a", "text_a"), "a"), how), "links")
 
     first = connected_components(links, scratch, "first")
     members = stars.join(first, "node", "left").select("p", "node", F.coalesce("component", "node").alias("component"))
-    more = scratch.keep(_links_in_groups(members, texts, how, scratch), "more")
+    more = scratch.keep(_links_in_groups(members, nodes, texts, how, scratch), "more")
     if more.isEmpty():
         found = first
     else:

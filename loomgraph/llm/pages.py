@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .scratch import Scratch
 from .textio import portions, record
 
 _DROPPED = re.compile(r"(?is)<!--.*?-->|<(script|style|nav|template|noscript|h1)\b.*?</\1\s*>")
@@ -72,4 +73,5 @@ def labels_of_pages(read: DataFrame, docs: DataFrame, labels: DataFrame, bad: Co
     """
     judged = labels.select(F.col("doc_id").cast("long").alias("doc_id"), bad.alias("bad")).filter("doc_id IS NOT NULL AND bad IS NOT NULL")
     known = text_keys(docs).join(judged, "doc_id").filter("text_key IS NOT NULL").groupBy("text_key").agg(F.max("bad").alias("bad"))
+    known = Scratch(docs.sparkSession, "labels").keep(known, "known")  # so that the join below can split a hot text
     return read.select("page_id", "url", "text_key").join(known, "text_key").select("page_id", "url", "bad")
