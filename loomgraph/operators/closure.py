@@ -8,21 +8,27 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def checkpoint_dir(spark) -> None:
-    """Use the cluster's shared folder; a temporary one only where none is set, as in local tests."""
+    """Use the cluster's shared folder; a temporary one only in local mode where none is set, as in tests."""
     context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomgraph-"))
+    if context.getCheckpointDir():
+        return
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if not shared and not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="loomgraph-"))
 
 
 def closure(edges: DataFrame, seeds: DataFrame | None = None, most_rounds: int = 1000) -> DataFrame:
     """Pairs ``s, o`` joined by one edge or more; with ``seeds`` (column ``s``) only from those.
 
-    Each round joins the newest pairs with the edges and drops known pairs, so cycles end. Rounds are
-    checkpointed to the shared folder; their number is the length of the longest shortest path.
+    Each round joins the newest pairs with the edges and drops known pairs, so cycles end. The edges and
+    each round's new pairs are checkpointed once, to the shared folder, and never rewritten; the number
+    of rounds is the length of the longest shortest path. Without seeds the result holds every pair of
+    nodes with a path between them, which no plan can make small: callers who can should give seeds.
     """
     checkpoint_dir(edges.sparkSession)
-    edges = edges.select("s", "o").distinct()
-    newest = (edges if seeds is None else edges.join(seeds.select("s").distinct(), "s", "left_semi")).checkpoint()
+    edges = edges.select("s", "o").distinct().checkpoint()
+    newest = edges if seeds is None else edges.join(seeds.select("s").distinct(), "s", "left_semi").checkpoint()
     known = newest
     step = edges.select(F.col("s").alias("o"), F.col("o").alias("next"))
     for _ in range(most_rounds):
@@ -30,5 +36,5 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None, most_rounds: int =
         newest = found.join(known, ["s", "o"], "left_anti").checkpoint()
         if newest.isEmpty():
             return known
-        known = known.union(newest).checkpoint()
+        known = known.union(newest)
     raise RuntimeError(f"paths are longer than {most_rounds} edges")

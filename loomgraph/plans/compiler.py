@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, replace
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..catalog import CLASSES, Property
-from ..operators.closure import closure
+from ..operators.closure import checkpoint_dir, closure
 from ..sources.graph import Graph
 from ..sparql.algebra import Bind, Expr, Filter, Group, Iri, Literal, Minus, Optional, Path, Query, Triple, Union, Values, Var, aggregates, variables
 from ..sparql.lexer import SparqlSyntaxError
 from ..sparql.parser import TYPE, parse
-from .expressions import Expressions, common, constant, into
-from .values import NUMERIC, SQL_TYPES, Value, alike, comparable
+from .expressions import Expressions, common, constant, divided, into
+from .values import KIND_OF, NUMERIC, SQL_TYPES, Value, alike, comparable
 
 
 @dataclass(frozen=True)
@@ -39,6 +41,8 @@ _SIZE = {c: i for i, c in enumerate(CLASSES)}
 class Compiler:
     def __init__(self, graph: Graph):
         self.graph, self.catalog, self.spark = graph, graph.catalog, graph.spark
+        self.given: dict[str, list] = {}  # constants that VALUES lists for a variable of the pattern at hand
+        self.taken: set[str] = set()  # variables whose list became a filter
 
     def unit(self) -> Rel:
         return Rel(self.spark.range(1).select(F.lit(1).alias("v_")), {})
@@ -75,9 +79,37 @@ class Compiler:
     def join(self, a: Rel, b: Rel) -> Rel:
         if not a.vars and a.df.columns == ["v_"] and not b.vars:
             return rel(a.df.crossJoin(b.df.select(F.lit(1).alias("w"))), {})
+        open_ = [n for n in a.vars if n in b.vars and (a.vars[n].maybe or b.vars[n].maybe)]
+        if open_ and sum(a.vars[n].maybe + b.vars[n].maybe for n in open_) <= 4:
+            return self._open_join(a, b, open_)
         left, right, condition, values = self._matched(a, b)
         return rel(left.join(right, condition, "inner") if condition is not None else left.crossJoin(right), values)
 
+    def _open_join(self, a: Rel, b: Rel, names: list[str]) -> Rel:
+        """A join on variables that may be unbound, as a union by which of them are bound on either side.
+
+        Each part joins by equality on what both sides have, so no part compares all pairs that could be
+        told apart; only solutions without any bound shared variable meet all others, as they should.
+        """
+        parts = []
+        sides = [[(n, side) for n in names if (a, b)[side].vars[n].maybe] for side in (0, 1)]
+        for bound in product((True, False), repeat=len(sides[0]) + len(sides[1])):
+            made, missing = [a, b], [set(), set()]
+            for (n, side), on in zip(sides[0] + sides[1], bound, strict=True):
+                col = F.col(f"`v_{n}`")
+                made[side] = Rel(made[side].df.filter(col.isNotNull() if on else col.isNull()), made[side].vars)
+                if not on:
+                    missing[side].add(n)
+            for side in (0, 1):
+                kept = {n: replace(v, maybe=v.maybe and n not in names) for n, v in made[side].scope().items() if n not in missing[side]}
+                made[side] = rel(made[side].df, kept)
+            parts.append(self.join(*made))
+        out = self.union(parts)
+        order = [*a.vars, *(n for n in b.vars if n not in a.vars)]
+        maybe = {n: all(r.vars[n].maybe for r in (a, b) if n in r.vars) for n in order}
+        scope = out.scope()
+        return rel(out.df, {n: replace(scope[n], maybe=maybe[n]) for n in order})
+
     def left_join(self, a: Rel, b: Rel, filters: list) -> Rel:
         """OPTIONAL; its filters are part of the condition."""
         left, right, condition, values = self._matched(a, b)
@@ -131,7 +163,7 @@ class Compiler:
         filters = [p.expr for p in g.parts if isinstance(p, Filter)]
         current: Rel | None = None
         bgp: list[Triple] = []
-        inline: list[Rel] = []
+        inline: list[Rel | Values] = []
 
         def flush() -> None:
             nonlocal current, bgp, inline
@@ -145,7 +177,7 @@ class Compiler:
                 case Triple():
                     bgp.append(part)
                 case Values():
-                    inline.append(self.values(part))
+                    inline.append(part)
                 case Filter():
                     pass
                 case Optional(inner):
@@ -190,23 +222,42 @@ class Compiler:
             return self._exists(r, x.args[0], False)
         if isinstance(x, Expr) and x.op == "!" and isinstance(x.args[0], Expr) and x.args[0].op == "EXISTS":
             return self._exists(r, x.args[0].args[0], True)
-        if self._has_exists(x):  # inside a larger expression: mark rows, test, and drop the mark
-            marks, scope = {}, r.scope()
-            base = rel(r.df, scope | {".row": Value(F.monotonically_increasing_id(), "int")})
+        if self._has_exists(x):  # inside a larger expression: mark rows, test, and drop the marks
+            marked, names = [r], []
 
             def exists(g: Group) -> Column:
-                name = f".e{len(marks)}"
-                marks[name] = self._exists(base, g, False)
-                return F.col(f"`v_{name}`")
-
-            test = Expressions(base.scope(), exists)
-            condition = test.truth(x)
-            df = base.df
-            for name, hit in marks.items():
-                df = df.join(hit.df.select(F.col("`v_.row`"), F.lit(True).alias(f"v_{name}")), "v_.row", "left").withColumn(f"v_{name}", F.coalesce(F.col(f"`v_{name}`"), F.lit(False)))
-            return rel(df.filter(condition), scope)
+                names.append(f".e{len(names)}")
+                marked[0] = self._mark(marked[0], g, names[-1])
+                return F.col(f"`v_{names[-1]}`")
+
+            condition = Expressions(r.scope(), exists).truth(x)
+            scope = marked[0].scope()
+            return rel(marked[0].df.filter(condition), {n: v for n, v in scope.items() if n not in names})
         return Rel(r.df.filter(Expressions(r.scope()).truth(x)), r.vars)
 
+    def _mark(self, r: Rel, g: Group, name: str) -> Rel:
+        """A column that says of each row whether a pattern has a solution that agrees with it."""
+        outer = any(set(variables(p.expr)) - set(variables(g)) for p in g.parts if isinstance(p, Filter))
+        inner = self.group(g) if not outer else None
+        shared = [n for n in r.vars if inner is not None and n in inner.vars]
+        if inner is not None and not any(r.vars[n].maybe or inner.vars[n].maybe for n in shared):
+            if not shared:  # one row for all
+                found = inner.df.limit(1).agg((F.count(F.lit(1)) > 0).alias("found"))
+                return rel(r.df.crossJoin(found), r.scope() | {name: Value(F.col("found"), "bool")})
+            scope = inner.scope()
+            found = rel(inner.df, {n: scope[n] for n in shared}).df.distinct()
+            left, right, condition, values = self._matched(r, Rel(found, {n: inner.vars[n] for n in shared}))
+            kept = {n: replace(values[n], col=F.col(f"`l_{n}`")) for n in r.vars}
+            return rel(left.join(right, condition, "left"), kept | {name: Value(F.col("r_").isNotNull(), "bool")})
+        checkpoint_dir(self.spark)  # numbers of rows that are written once and read by both sides
+        numbered = rel(r.df, r.scope() | {".row": Value(F.monotonically_increasing_id(), "int")})
+        base = Rel(numbered.df.checkpoint(), numbered.vars)
+        hit = self._exists(base, g, False)
+        found = hit.df.select(F.col("`v_.row`").alias("row")).withColumn("found", F.lit(True))
+        df = base.df.join(found, F.col("`v_.row`") == F.col("row"), "left")
+        scope = {n: v for n, v in base.scope().items() if n != ".row"}
+        return rel(df, scope | {name: Value(F.coalesce("found", F.lit(False)), "bool")})
+
     def _exists(self, r: Rel, g: Group, anti: bool) -> Rel:
         outer = [p.expr for p in g.parts if isinstance(p, Filter) and set(variables(p.expr)) - set(variables(g))]
         inner = self.group(Group(tuple(p for p in g.parts if not (isinstance(p, Filter) and p.expr in outer))))
@@ -233,11 +284,14 @@ class Compiler:
         return Rel(F.broadcast(df), {n: replace(kinds[n], col=F.col(f"`v_{n}`")) for n in names})  # as long as the query's text
 
     # basic graph patterns
-    def bgp(self, triples: list[Triple], inline: list[Rel]) -> Rel:
+    def bgp(self, triples: list[Triple], inline: list[Rel | Values]) -> Rel:
         graphs = {}
         for t in triples:
             graphs.setdefault(t.graph, []).append(t)
-        rels = [*[(0, r) for r in inline]]
+        before, rels, self.given, self.taken = (self.given, self.taken), [], {}, set()
+        for v in inline:
+            if isinstance(v, Values) and len(v.vars) == 1 and v.rows and None not in {r[0] for r in v.rows}:
+                self.given.setdefault(v.vars[0].name, [r[0] for r in v.rows])
         for g, some in graphs.items():
             if g is None:
                 rels += self._patterns(some)
@@ -254,11 +308,16 @@ class Compiler:
                 if not parts:
                     raise SparqlSyntaxError("there are no named graphs")
                 rels.append((3, self.union(parts)))
+        for v in inline:  # a list that filters a scan already needs no join, unless it repeats a solution
+            once = isinstance(v, Values) and len(v.vars) == 1 and v.vars[0].name in self.taken and self.given[v.vars[0].name] == [r[0] for r in v.rows] and len(set(v.rows)) == len(v.rows)
+            if not once:
+                rels.append((0, self.values(v) if isinstance(v, Values) else v))
         rels.sort(key=lambda x: x[0])
         current, left = None, [r for _, r in rels]
         while left:
             at = next((i for i, r in enumerate(left) if current is None or set(r.vars) & set(current.vars)), 0)
             current = left.pop(at) if current is None else self.join(current, left.pop(at))
+        self.given, self.taken = before
         return current
 
     def _classes(self, triples: list[Triple]) -> dict:
@@ -300,8 +359,8 @@ class Compiler:
             else:
                 literals.setdefault(t.s, []).append((t, p))
         for s, some in literals.items():
-            rank = 1 if isinstance(s, Iri) or any(not isinstance(t.o, Var) for t, _ in some) else 3 + max((_SIZE[c] for c in classes[s]), default=0)
-            out.append((rank, self.star(s, some, classes[s])))
+            fixed = isinstance(s, Iri) or any(not isinstance(t.o, Var) or t.o.name in self.given for t, _ in some)
+            out.append((1 if fixed else 3 + max((_SIZE[c] for c in classes[s]), default=0), self.star(s, some, classes[s])))
         for s, types in typed.items():
             if not isinstance(s, Iri) and (s in literals or s in linked) and len(classes.get(s, ())) and all(set(classes[s]) <= set(self.catalog.classes_of(x) or ()) for x in types):
                 continue  # the tables that are joined hold instances of these classes alone
@@ -336,26 +395,43 @@ class Compiler:
         return self._bound(df, [self.node(t.s, F.col("s"), p.of[0]), self.node(t.o, F.col("o"), p.to)])
 
     def star(self, s, some: list[tuple[Triple, Property]], classes: tuple[str, ...]) -> Rel:
-        """All literal properties of one subject from one read of each class's table."""
+        """All literal properties of one subject: where keys are unique from one read of each class's table."""
         rels = []
         for cls in classes:
-            ends = [self.node(s, F.col("key"), cls)]
-            df = self.graph.tables[cls]
-            for t, p in some:
-                ends.append(self._literal(t.o, F.col(p.name), p.kind))
-                df = df.filter(F.col(p.name).isNotNull())
-            rels.append(self._bound(df, ends))
+            key = self.node(s, F.col("key"), cls)
+            if self.graph.unique:
+                df, ends = self.graph.tables[cls], [key]
+                for t, p in some:
+                    ends.append(self._literal(cls, t.o, F.col(p.name), p))
+                    df = df.filter(F.col(p.name).isNotNull())
+                rels.append(self._bound(df, ends))
+            elif not some:
+                rels.append(self._bound(self.graph.instances(cls), [key]))
+            else:
+                each = [self._bound(self.graph.literals(cls, p.name), [key, self._literal(cls, t.o, F.col("value"), p)]) for t, p in some]
+                rels.append(reduce(self.join, each))
         if not rels:
             names = [x.name for x in (s, *(t.o for t, _ in some)) if isinstance(x, Var)]
             return rel(self.spark.range(0), {n: Value(F.lit(None).cast("string"), "iri") for n in names})
         return rels[0] if len(rels) == 1 else self.union(rels)
 
-    def _literal(self, t, col: Column, kind: str) -> tuple[dict[str, Value], Column | None]:
+    def _literal(self, cls: str, t, col: Column, p: Property) -> tuple[dict[str, Value], Column | None]:
+        """What a pattern's object binds, and the test that a constant, or the constants that VALUES lists, make."""
         if isinstance(t, Var):
-            return {t.name: Value(col, kind)}, None
-        if isinstance(t, Literal) and constant(t).kind == kind and not t.lang:
-            return {}, col == constant(t).col
-        return {}, F.lit(False)  # a term of another kind is another term
+            if t.name not in self.given:
+                return {t.name: Value(col, p.kind)}, None
+            self.taken.add(t.name)
+            return {t.name: Value(col, p.kind)}, self._among(cls, self.given[t.name], col, p)
+        return {}, self._among(cls, [t], col, p)
+
+    def _among(self, cls: str, terms: list, col: Column, p: Property) -> Column:
+        """Whether a property is one of some constants; a term of another kind is another term."""
+        texts = [t.value for t in terms if isinstance(t, Literal) and not t.lang and KIND_OF.get(t.datatype) == p.kind]
+        if (cls, p.name) in self.graph.codes:  # the text of a key: the key itself reaches the scan
+            col, wanted = F.col("key"), [int(x) for x in texts if re.fullmatch(r"0|-?[1-9]\d{0,17}", x)]
+        else:
+            wanted = texts if p.kind == "str" else [int(x) for x in texts if re.fullmatch(r"[+-]?\d{1,18}", x)]
+        return F.lit(False) if not wanted else col == wanted[0] if len(wanted) == 1 else col.isin(*wanted)
 
     def general(self, t: Triple) -> Rel:
         """A pattern whose predicate or type is open, over types or all triples."""
@@ -473,14 +549,15 @@ class Compiler:
                 return Value(F.countDistinct(whole) if x.distinct else F.count(F.lit(1)), "int")
             return Value(F.countDistinct(inner.col) if x.distinct else F.count(inner.col), "int")
         if x.op in ("SUM", "AVG"):
-            kind = inner.kind if inner.kind in NUMERIC else "double"
-            col = inner.number()
-            if x.op == "AVG" and kind == "int":
-                kind, col = "dec", col.cast("decimal(38,18)")
-            total = (F.sum_distinct if x.distinct else F.sum)(col)
-            made = total if x.op == "SUM" else F.try_divide(total, F.countDistinct(col) if x.distinct else F.count(col))
-            return Value(F.coalesce(made.cast(SQL_TYPES[kind]), F.lit(0).cast(SQL_TYPES[kind])), kind)
+            kind, col = (inner.kind if inner.kind in NUMERIC else "double"), inner.number()
+            total, n = (F.sum_distinct if x.distinct else F.sum)(col), F.countDistinct(col) if x.distinct else F.count(col)
+            if x.op == "AVG":
+                total = F.try_divide(total, n) if kind == "double" else divided(total, n, kind == "int")
+                kind = "dec" if kind == "int" else kind
+            return Value(F.coalesce(total.cast(SQL_TYPES[kind]), F.lit(0).cast(SQL_TYPES[kind])), kind)
         if x.op in ("MIN", "MAX", "SAMPLE"):
+            if inner.kind == "date":
+                return replace(inner, col=(F.max_by if x.op == "MAX" else F.min_by)(inner.col, F.when(inner.col.isNotNull(), inner.instant())), maybe=True)
             return replace(inner, col=(F.max if x.op == "MAX" else F.min)(inner.col), maybe=True)
         text = inner.lex()
         every = F.collect_set(text) if x.distinct else F.collect_list(text)
@@ -517,7 +594,7 @@ class Compiler:
         order = []
         for expr, down in q.order_by:
             v = Expressions(scope | projected)(swap(expr))
-            col = v.lex() if v.kind in ("term", "key") else v.col
+            col = v.sorting()
             order.append(col.desc_nulls_last() if down else col.asc_nulls_first())
         df = current.df
         if q.distinct:
@@ -528,7 +605,7 @@ class Compiler:
                 order = []
                 for expr, down in q.order_by:
                     v = Expressions(shown)(swap(expr))
-                    col = v.lex() if v.kind in ("term", "key") else v.col
+                    col = v.sorting()
                     order.append(col.desc_nulls_last() if down else col.asc_nulls_first())
                 df = df.orderBy(*order)
             out = Rel(df, {n: replace(v, col=F.col(f"`v_{n}`")) for n, v in projected.items()})
@@ -552,11 +629,11 @@ class Compiler:
                 raise SparqlSyntaxError("one default graph at most")
             named = {iri: self.graph.named[iri] for iri, n in q.graphs if n}
             base = self.graph.named[default[0]] if default else self.graph
-            own = Graph(base.spark, base.tables, base.edges, base.catalog, named)
+            own = Graph(base.spark, base.tables, base.edges, base.catalog, named, unique=base.unique, codes=base.codes)
             return Compiler(own).run(replace(q, graphs=()), as_text=as_text)
         if q.form == "SELECT":
             made = self.select(q)
-            return made.df.select(*[v.lex().alias(n) if as_text or v.kind in ("key", "term", "date") else v.col.alias(n) for n, v in made.scope().items()])
+            return made.df.select(*[v.lex().alias(n) if as_text or v.kind in ("key", "term") else v.col.alias(n) for n, v in made.scope().items()])
         if q.form == "ASK":
             return self.group(q.where).df.limit(1).agg((F.count(F.lit(1)) > 0).alias("ask"))
         if q.form == "CONSTRUCT":

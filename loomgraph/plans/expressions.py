@@ -8,18 +8,32 @@ from pyspark.sql import Column, functions as F
 
 from ..sparql.algebra import Expr, Group, Iri, Literal, Var
 from ..sparql.lexer import SparqlSyntaxError
-from ..sparql.parser import XSD
-from .values import KIND_OF, NUMERIC, SQL_TYPES, Value, alike, comparable
+from ..sparql.parser import RDF, XSD
+from .values import DATATYPES, KIND_OF, NUMERIC, SQL_TYPES, Value, alike, comparable
 
+#: A date or a time of a day, as written.
+MOMENT = r"^-?\d{4,}-\d\d-\d\d(T\d\d:\d\d:\d\d(\.\d+)?)?(Z|[+-]\d\d:\d\d)?$"
+
+
+def moment(text: Column) -> Column:
+    return F.when(text.rlike(MOMENT) & text.try_cast("timestamp").isNotNull(), text)
+
+
+def a_term(lex: Column, datatype: Column, lang: Column) -> Value:
+    whole = F.struct(F.lit("lit").alias("kind"), lex.alias("lex"), datatype.cast("string").alias("datatype"), lang.cast("string").alias("lang"))
+    return Value(F.when(lex.isNotNull(), whole), "term")
 
 
 def constant(t: Iri | Literal) -> Value:
+    """A term of a query. Text with a language, and text of a datatype of its own, is more than its characters."""
     if isinstance(t, Iri):
         return Value(F.lit(t.value), "iri")
-    kind = KIND_OF.get(t.datatype, "str")
+    if t.lang or t.datatype not in KIND_OF:
+        return a_term(F.lit(t.value), F.lit("langString" if t.lang else t.datatype), F.lit(t.lang))
+    kind = KIND_OF[t.datatype]
     if kind == "str":
-        return Value(F.lit(t.value), "str", lang=t.lang)
-    return Value(F.lit(t.value).try_cast(SQL_TYPES[kind]), kind)
+        return Value(F.lit(t.value), "str")
+    return Value(moment(F.lit(t.value)) if kind == "date" else F.lit(t.value).try_cast(SQL_TYPES[kind]), kind)
 
 
 def fold(text: Column) -> Column:
@@ -85,6 +99,8 @@ class Expressions:
         kind = KIND_OF[name.removeprefix(XSD)]
         if kind == "str":
             return Value(v.lex(), "str", maybe=True)
+        if kind == "date":
+            return Value(moment(F.trim(v.lex())), "date", maybe=True)
         if kind == "bool":
             text = F.lower(v.lex())
             made = (v.col != 0) if v.kind in NUMERIC else F.when(text.isin("true", "1"), True).when(text.isin("false", "0"), False)
@@ -117,23 +133,40 @@ def _text(v: Value) -> Column:
     return v.lex()
 
 
+def _foreign(term: Column) -> Column:
+    return (term["kind"] == "lit") & ~F.coalesce(term["datatype"].isin(*KIND_OF, "langString"), F.lit(True))
+
+
 def _compare(op: Callable[[Column, Column], Column], same: bool | None = None):
     def run(a: Value, b: Value) -> Value:
         pair = comparable(a, b)
         if pair is None:
             unlike = F.lit(same) if same is not None else F.lit(None).cast("boolean")
             return Value(F.when(a.col.isNotNull() & b.col.isNotNull(), unlike), "bool")
+        if same is not None and "term" in (a.kind, b.kind) and not {a.kind, b.kind} & set(NUMERIC):
+            x, y = alike(a, b)  # literals of unknown datatypes are equal if they are one term; else nobody knows
+            return Value(F.when(x.col == y.col, not same).when(~_foreign(x.col) & ~_foreign(y.col), same), "bool")
         return Value(op(*pair), "bool")
 
     return run
 
 
+def divided(x: Column, y: Column, whole: bool) -> Column:
+    """A quotient to 18 places: of numbers without many places it has them all, of others six."""
+    part = lambda kind: (x.try_cast(kind), y.try_cast(kind))
+    to = "decimal(38,18)"
+    if whole:
+        return F.try_divide(*part("decimal(20,0)")).cast(to)
+    (a, b), (c, d) = part("decimal(20,9)"), part(to)
+    return F.when((a == c) & (b == d), F.try_divide(a, b).cast(to)).otherwise(F.try_divide(c, d).try_cast(to))
+
+
 def _arithmetic(op: str):
     def run(a: Value, b: Value) -> Value:
         x, y = a.number(), b.number()
         kind = "double" if "double" in (a.kind, b.kind) or "term" in (a.kind, b.kind) else "dec" if "dec" in (a.kind, b.kind) or op == "/" else "int"
-        if kind == "dec" and op == "/":
-            return Value(F.try_divide(x.cast("decimal(38,18)"), y.cast("decimal(38,18)")).cast("decimal(38,18)"), "dec", maybe=True)
+        if op == "/" and kind == "dec":
+            return Value(divided(x, y, a.kind == b.kind == "int"), "dec", maybe=True)
         made = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply, "/": F.try_divide}[op](x.cast(SQL_TYPES[kind]), y.cast(SQL_TYPES[kind]))
         return Value(made.cast(SQL_TYPES[kind]), kind, maybe=True)
 
@@ -152,8 +185,33 @@ def _numeric(f):
     return lambda v: Value(f(v.number()).cast(SQL_TYPES[v.kind if v.kind in NUMERIC else "double"]), v.kind if v.kind in NUMERIC else "double")
 
 
-def _date(f):
-    return lambda v: Value(f(v.col if v.kind == "date" else v.lex().try_cast("timestamp")).cast("bigint"), "int")
+def _moment_part(pattern: str, kind: str = "int"):
+    """A part of a date as it is written, in its own time zone."""
+
+    def run(v: Value) -> Value:
+        text = v.col if v.kind == "date" else moment(v.lex())
+        found = F.regexp_extract(text, pattern, 1)
+        return Value(F.when(found != "", found).try_cast(SQL_TYPES[kind]), kind, maybe=True)
+
+    return run
+
+
+_OFFSET = r"(Z|[+-]\d\d:\d\d)$"
+
+
+def _tz(v: Value) -> Value:
+    text = v.col if v.kind == "date" else moment(v.lex())
+    return Value(F.regexp_extract(text, "T.*?" + _OFFSET, 1), "str")
+
+
+def _timezone(v: Value) -> Value:
+    """The offset as a duration; without one an error."""
+    at = _tz(v).col
+    hours, minutes = F.regexp_extract(at, r"(\d\d):", 1).try_cast("int"), F.regexp_extract(at, r":(\d\d)", 1).try_cast("int")
+    part = lambda n, unit: F.when(n > 0, F.concat(n.cast("string"), F.lit(unit))).otherwise("")
+    sign = F.when(F.startswith(at, F.lit("-")), "-PT").otherwise("PT")
+    some = F.concat(sign, part(hours, "H"), part(minutes, "M"))
+    return Value(F.when(at == "", None).when((at == "Z") | ((hours == 0) & (minutes == 0)), F.lit("PT0S")).otherwise(some), "str", maybe=True)
 
 
 def _is(*kinds: str):
@@ -170,8 +228,11 @@ def _is_numeric(v: Value) -> Value:
 
 
 def _substr(v: Value, start: Value, length: Value | None = None) -> Value:
-    at = start.number().cast("int")
-    return Value(F.substring(_text(v), at, F.lit(2**31 - 1)) if length is None else F.substring(_text(v), at, length.number().cast("int")), "str")
+    """Characters from the rounded start on, which may lie before the first, to start and length together."""
+    text, rounded = _text(v), lambda n: F.floor(n.number() + F.lit(0.5)).cast("bigint")
+    first = F.greatest(rounded(start), F.lit(1))
+    end = rounded(start) + rounded(length) if length is not None else F.length(text) + 1
+    return Value(F.when(start.col.isNotNull() & end.isNotNull(), F.substring(text, first.cast("int"), F.greatest(end - first, F.lit(0)).cast("int"))), "str")
 
 
 def _around(after: bool):
@@ -185,12 +246,21 @@ def _around(after: bool):
 
 
 def _flags(flags: Value | None, pattern: Value) -> Column:
+    """A pattern under flags; ``q`` makes it plain text."""
     p = _text(pattern)
-    return p if flags is None else F.when(F.length(_text(flags)) > 0, F.concat(F.lit("(?"), F.regexp_replace(_text(flags), "[^imsx]", ""), F.lit(")"), p)).otherwise(p)
+    if flags is None:
+        return p
+    f = _text(flags)
+    quoted = F.concat(F.lit("\\Q"), F.replace(p, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    body, known = F.when(F.contains(f, F.lit("q")), quoted).otherwise(p), F.regexp_replace(f, "[^imsx]", "")
+    return F.when(known != "", F.concat(F.lit("(?"), known, F.lit(")"), body)).otherwise(body)
 
 
 def _replace(v: Value, pattern: Value, by: Value, flags: Value | None = None) -> Value:
-    return Value(F.regexp_replace(_text(v), _flags(flags, pattern), _text(by)), "str")
+    new = _text(by)
+    if flags is not None:
+        new = F.when(F.contains(_text(flags), F.lit("q")), F.regexp_replace(new, r"([\\\\$])", r"\\$1")).otherwise(new)
+    return Value(F.regexp_replace(_text(v), _flags(flags, pattern), new), "str")
 
 
 def _encode(v: Value) -> Value:
@@ -201,7 +271,7 @@ def _encode(v: Value) -> Value:
 
 
 def _lang(v: Value) -> Value:
-    return Value(F.coalesce(v.col["lang"], F.lit("")) if v.kind == "term" else F.when(v.col.isNotNull(), F.lit(v.lang or "")), "str")
+    return Value(F.when(v.col.isNotNull(), F.coalesce(v.col["lang"], F.lit("")) if v.kind == "term" else F.lit("")), "str")
 
 
 def _lang_matches(tag: Value, wanted: Value) -> Value:
@@ -210,10 +280,10 @@ def _lang_matches(tag: Value, wanted: Value) -> Value:
 
 
 def _datatype(v: Value) -> Value:
-    from .values import DATATYPES
-
-    name = v.col["datatype"] if v.kind == "term" else F.when(v.col.isNotNull(), F.lit(DATATYPES.get(v.kind)))
-    return Value(F.concat(F.lit(XSD), name), "iri")
+    if v.kind != "term":
+        return Value(F.when(v.col.isNotNull(), F.lit(XSD + DATATYPES[v.kind]) if v.kind in DATATYPES else F.lit(None).cast("string")), "iri", maybe=True)
+    name = v.col["datatype"]
+    return Value(F.when(name == "langString", F.lit(RDF + "langString")).when(F.contains(name, F.lit(":")), name).otherwise(F.concat(F.lit(XSD), name)), "iri", maybe=True)
 
 
 _OPERATORS = {
@@ -256,8 +326,8 @@ _FUNCTIONS = {
     "IRI": lambda v: Value(v.lex(), "iri"),
     "URI": lambda v: Value(v.lex(), "iri"),
     "BNODE": lambda v=None: Value(F.struct(F.lit("bnode").alias("kind"), (F.concat(F.lit("_:"), F.uuid() if v is None else F.md5(v.lex()))).alias("lex"), F.lit(None).cast("string").alias("datatype"), F.lit(None).cast("string").alias("lang")), "term"),
-    "STRDT": lambda v, t: Value(F.struct(F.lit("lit").alias("kind"), v.lex().alias("lex"), F.regexp_replace(t.lex(), "^.*#", "").alias("datatype"), F.lit(None).cast("string").alias("lang")), "term"),
-    "STRLANG": lambda v, t: Value(F.struct(F.lit("lit").alias("kind"), v.lex().alias("lex"), F.lit("langString").alias("datatype"), F.lower(t.lex()).alias("lang")), "term"),
+    "STRDT": lambda v, t: a_term(v.lex(), F.replace(t.lex(), F.lit(XSD), F.lit("")), F.lit(None)),
+    "STRLANG": lambda v, t: a_term(v.lex(), F.lit("langString"), F.lower(t.lex())),
     "UUID": lambda: Value(F.concat(F.lit("urn:uuid:"), F.uuid()), "iri"),
     "STRUUID": lambda: Value(F.uuid(), "str"),
     "ABS": _numeric(F.abs),
@@ -265,15 +335,15 @@ _FUNCTIONS = {
     "FLOOR": _numeric(F.floor),
     "ROUND": _numeric(lambda x: F.floor(x + F.lit(0.5).cast("decimal(2,1)"))),
     "RAND": lambda: Value(F.rand(), "double"),
-    "NOW": lambda: Value(F.current_timestamp(), "date"),
-    "YEAR": _date(F.year),
-    "MONTH": _date(F.month),
-    "DAY": _date(F.dayofmonth),
-    "HOURS": _date(F.hour),
-    "MINUTES": _date(F.minute),
-    "SECONDS": _date(F.second),
-    "TZ": lambda v: Value(F.regexp_extract(v.lex(), r"(Z|[+-]\d\d:\d\d)$", 1), "str"),
-    "TIMEZONE": lambda v: Value(F.regexp_replace(F.regexp_replace(F.regexp_extract(v.lex(), r"(Z|[+-]\d\d:\d\d)$", 1), r"^\+?(-?)0?(\d+):00$", "$1PT$2H"), "^Z$", "PT0S"), "str"),
+    "NOW": lambda: Value(F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), "date"),
+    "YEAR": _moment_part(r"^(-?\d+)-"),
+    "MONTH": _moment_part(r"^-?\d+-(\d\d)"),
+    "DAY": _moment_part(r"^-?\d+-\d\d-(\d\d)"),
+    "HOURS": _moment_part(r"T(\d\d)"),
+    "MINUTES": _moment_part(r"T\d\d:(\d\d)"),
+    "SECONDS": _moment_part(r"T\d\d:\d\d:(\d\d(?:\.\d+)?)", "dec"),
+    "TZ": _tz,
+    "TIMEZONE": _timezone,
     "MD5": _string(F.md5),
     "SHA1": _string(F.sha1),
     "SHA256": _string(lambda x: F.sha2(x, 256)),

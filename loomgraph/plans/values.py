@@ -6,21 +6,21 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
-#: Kinds of literals with a column type of their own; ``key`` is an instance's number, ``term`` a struct.
+#: Kinds of literals with a column type of their own; ``key`` is an instance's number, ``term`` a struct, and
+#: ``date`` is as written, so that its offset and fraction stay.
 NUMERIC = ("int", "dec", "double")
-SQL_TYPES = {"int": "bigint", "dec": "decimal(38,18)", "double": "double", "bool": "boolean", "date": "timestamp", "str": "string", "iri": "string"}
+SQL_TYPES = {"int": "bigint", "dec": "decimal(38,18)", "double": "double", "bool": "boolean", "date": "string", "str": "string", "iri": "string"}
 DATATYPES = {"int": "integer", "dec": "decimal", "double": "double", "bool": "boolean", "date": "dateTime", "str": "string"}
 KIND_OF = {"integer": "int", "int": "int", "long": "int", "nonNegativeInteger": "int", "decimal": "dec", "double": "double", "float": "double", "boolean": "bool", "dateTime": "date", "date": "date", "string": "str", "langString": "str"}
 
 
 @dataclass(frozen=True)
 class Value:
-    """``prefix`` is what a key needs before it to be an IRI; ``lang`` a constant's language tag."""
+    """``prefix`` is what a key needs before it to be an IRI."""
 
     col: Column
     kind: str
     prefix: str = ""
-    lang: str | None = None
     maybe: bool = False
 
     def lex(self) -> Column:
@@ -29,16 +29,23 @@ class Value:
             return F.concat(F.lit(self.prefix), self.col.cast("string"))
         if self.kind == "term":
             return self.col["lex"]
-        if self.kind == "date":
-            return F.date_format(self.col, "yyyy-MM-dd'T'HH:mm:ss")
+        if self.kind == "dec":  # without the zeros that the column's scale adds
+            return F.regexp_replace(self.col.cast("string"), r"\.0*$|(\.\d*[1-9])0+$", "$1")
         return self.col.cast("string")
 
+    def sorting(self) -> Column:
+        """What to order by."""
+        return self.lex() if self.kind in ("key", "term") else self.instant() if self.kind == "date" else self.col
+
+    def instant(self) -> Column:
+        return self.col.try_cast("timestamp")
+
     def term(self) -> Column:
         """The full term, so that values of different kinds can share a column."""
         if self.kind == "term":
             return self.col
         kind = "iri" if self.kind in ("key", "iri") else "lit"
-        made = F.struct(F.lit(kind).alias("kind"), self.lex().alias("lex"), F.lit(DATATYPES.get(self.kind)).cast("string").alias("datatype"), F.lit(self.lang).cast("string").alias("lang"))
+        made = F.struct(F.lit(kind).alias("kind"), self.lex().alias("lex"), F.lit(DATATYPES.get(self.kind)).cast("string").alias("datatype"), F.lit(None).cast("string").alias("lang"))
         return F.when(self.col.isNotNull(), made)
 
     def number(self) -> Column:
@@ -60,7 +67,7 @@ class Value:
             return F.length(self.col) > 0
         if self.kind == "term":
             lex, kind = self.col["lex"], self.col["datatype"]
-            return F.when(kind == "boolean", lex == "true").when(kind == "string", F.length(lex) > 0).when(kind.isin("integer", "decimal", "double"), lex.try_cast("double") != 0)
+            return F.when(kind == "boolean", lex == "true").when(kind.isin("string", "langString"), F.length(lex) > 0).when(kind.isin("integer", "decimal", "double"), lex.try_cast("double") != 0)
         return F.lit(None).cast("boolean")
 
 
@@ -79,6 +86,8 @@ def comparable(a: Value, b: Value) -> tuple[Column, Column] | None:
         return a.col, b.col
     if "term" in (a.kind, b.kind) and {a.kind, b.kind} & set(NUMERIC):
         return a.number().cast("double"), b.number().cast("double")
+    if a.kind == b.kind == "date":
+        return a.instant(), b.instant()
     if a.kind == b.kind and a.kind != "key":
         return a.col, b.col
     if {a.kind, b.kind} <= {"key", "iri"} or "term" in (a.kind, b.kind):

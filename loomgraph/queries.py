@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .catalog import CLASSES, NAMESPACE, PROPERTIES, Catalog
 from .functions import text as T
-from .nlq import pipeline, report
+from .nlq import mock, pipeline, report
 from .plans.compiler import query
-from .sources.graph import campus
+from .sources.graph import Graph, campus
 from .streaming.events import fold, format_events, parse_events
 
 NS = NAMESPACE
@@ -109,6 +109,8 @@ sparql("exists_in_expression", "SELECT (COUNT(?d) AS ?n) WHERE { ?d :hasCode ?k
 sparql("cross_theta", "SELECT ?a ?b WHERE { ?x a :University ; :name ?a . ?y a :University ; :name ?b FILTER(?a < ?b) }", "SELECT x.n_name AS a, y.n_name AS b FROM nation x, nation y WHERE x.n_name < y.n_name")
 sparql("optional_then_join", "SELECT ?m ?t WHERE { ?m a :Module OPTIONAL { ?m :hasBook ?b FILTER(?b = <" + NS + "book_3>) } ?b a :Book ; :title ?t } ORDER BY ?m ?t LIMIT 40", f"SELECT {_iri('Module', 'o_orderkey')} AS m, p_name AS t FROM orders LEFT JOIN (SELECT * FROM {HB} WHERE l_partkey = 3) h ON l_orderkey = o_orderkey JOIN part ON l_partkey IS NULL OR l_partkey = p_partkey ORDER BY 1, 2 LIMIT 40")
 
+sparql("open_join", "SELECT ?m ?t WHERE { ?m a :Module ; :hasCode ?k FILTER(?k < \"2\") OPTIONAL { ?m :hasBook ?b FILTER(?b != <" + NS + "book_1>) } OPTIONAL { ?b a :Book ; :title ?t } }", f"SELECT {_iri('Module', 'o_orderkey')} AS m, p_name AS t FROM orders LEFT JOIN (SELECT * FROM {HB} WHERE l_partkey <> 1) h ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey IS NULL OR l_partkey = p_partkey WHERE CAST(o_orderkey AS VARCHAR) < '2'")
+
 # paths
 sparql("path_sequence", "SELECT (COUNT(*) AS ?n) (COUNT(DISTINCT ?b) AS ?books) WHERE { ?u :hasDepartment/:hasCourse/:hasModule/:hasBook ?b }", f"SELECT count(*) AS n, count(DISTINCT l_partkey) AS books FROM {CHAIN}")
 _LINKS = f"(SELECT {_iri('University', 'c_nationkey')} AS s, {_iri('Department', 'c_custkey')} AS o FROM customer UNION ALL SELECT {_iri('Department', 'o_custkey')}, {_iri('Course', 'o_custkey * 10000 + y')} FROM {COURSE} k)"
@@ -135,12 +137,17 @@ sparql("bind_replace_ns", r'SELECT ?ns (COUNT(*) AS ?n) WHERE { ?s a ?class BIND
 sparql("group_concat_distinct", "SELECT ?u (GROUP_CONCAT(DISTINCT ?k) AS ?codes) WHERE { ?u :hasDepartment ?d . ?d :hasCode ?k } GROUP BY ?u", f"SELECT {_iri('University', 'c_nationkey')} AS u, string_agg(DISTINCT CAST(c_custkey AS VARCHAR), ' ' ORDER BY CAST(c_custkey AS VARCHAR)) AS codes FROM customer WHERE c_nationkey IS NOT NULL GROUP BY c_nationkey")
 sparql("having_count", "SELECT ?t (COUNT(?b) AS ?n) WHERE { ?b a :Book ; :title ?t } GROUP BY ?t HAVING (COUNT(?b) > 30)", "SELECT p_name AS t, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 30")
 sparql("aggregates", "SELECT ?d (SUM(?y) AS ?s) (MIN(?y) AS ?lo) (MAX(?y) AS ?hi) (SAMPLE(?y) AS ?one) WHERE { ?d :hasCourse ?c . ?c :year ?y } GROUP BY ?d", f"SELECT {_iri('Department', 'o_custkey')} AS d, CAST(sum(y) AS BIGINT) AS s, CAST(min(y) AS INTEGER) AS lo, CAST(max(y) AS INTEGER) AS hi, CAST(min(y) AS INTEGER) AS one FROM {COURSE} k GROUP BY o_custkey")
+sparql("averages", "SELECT ?d (FLOOR(AVG(?y)) AS ?a) (AVG(DISTINCT ?z) AS ?one) WHERE { ?d :hasCourse ?c . ?c :year ?y BIND(2.5 AS ?z) } GROUP BY ?d", f"SELECT {_iri('Department', 'o_custkey')} AS d, CAST(floor(avg(y)) AS DECIMAL(38,18)) AS a, CAST(2.5 AS DECIMAL(38,18)) AS one FROM {COURSE} k GROUP BY o_custkey")
+sparql("division", "SELECT ?c ((?y / 3) AS ?third) ((1.5 / 4) AS ?part) ((?y / 0) AS ?none) WHERE { ?c a :Course ; :year ?y }", f"SELECT {_iri('Course', 'o_custkey * 10000 + y')} AS c, CAST(CAST(q // 1000000000000000000 AS VARCHAR) || '.' || lpad(CAST(q % 1000000000000000000 AS VARCHAR), 18, '0') AS DECIMAL(38,18)) AS third, CAST(0.375 AS DECIMAL(38,18)) AS part, CAST(NULL AS DECIMAL(38,18)) AS none FROM (SELECT *, (CAST(y AS HUGEINT) * 1000000000000000000 + 1) // 3 AS q FROM {COURSE} x) k")
+sparql("tagged_text", "SELECT ?n ((?n = 'ITALY'@en) AS ?eq) (sameTerm('a'@en, 'a') AS ?st) (DATATYPE('a'@en) AS ?dt) (LANG(STRLANG(?n, 'EL')) AS ?l) ((STRLANG(?n, 'el') = STRLANG(?n, 'EL')) AS ?same) ((STRDT(?n, <http://c>) = ?n) AS ?unknown) WHERE { ?u a :University ; :name ?n }", "SELECT n_name AS n, false AS eq, false AS st, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#langString' AS dt, 'el' AS l, true AS same, CAST(NULL AS BOOLEAN) AS unknown FROM nation")
+sparql("offsets", 'SELECT ?u (HOURS(?d) AS ?h) (SECONDS(?d) AS ?s) (TZ(?d) AS ?tz) (TIMEZONE(?d) AS ?zone) ((?d = xsd:dateTime("2011-01-10T19:45:13.815Z")) AS ?same) (STR(?d) AS ?text) WHERE { ?u a :University BIND(xsd:dateTime("2011-01-10T14:45:13.815-05:00") AS ?d) }', f"SELECT {_iri('University', 'n_nationkey')} AS u, CAST(14 AS BIGINT) AS h, CAST(13.815 AS DECIMAL(38,18)) AS s, '-05:00' AS tz, '-PT5H' AS zone, true AS same, '2011-01-10T14:45:13.815-05:00' AS text FROM nation")
+sparql("positions", "SELECT ?n (SUBSTR(?n, 0, 3) AS ?a) (SUBSTR(?n, -1) AS ?b) (SUBSTR(?n, 1.5, 2.6) AS ?c) (REPLACE(CONCAT(?n, '.A'), '.A', '$', 'q') AS ?q) WHERE { ?u a :University ; :name ?n }", "SELECT n_name AS n, substr(n_name, 1, 2) AS a, n_name AS b, substr(n_name, 2, 3) AS c, replace(n_name || '.A', '.A', '$') AS q FROM nation")
 sparql("aggregates_empty", "SELECT (SUM(?y) AS ?s) (COUNT(?y) AS ?n) (GROUP_CONCAT(?y) AS ?g) WHERE { ?c a :Course ; :year ?y FILTER(?y > 3000) }", "SELECT CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS n, '' AS g")
 sparql("group_by_expression", "SELECT ?decade (COUNT(*) AS ?n) WHERE { ?c a :Course ; :year ?y } GROUP BY (FLOOR(?y / 10) AS ?decade)", f"SELECT CAST(floor(y / 10) AS DECIMAL(38,18)) AS decade, count(*) AS n FROM {COURSE} k GROUP BY 1")
 sparql("coalesce_if", 'SELECT ?m (COALESCE(?b, "none") AS ?x) (IF(BOUND(?b), "used", "unused") AS ?u) WHERE { ?m a :Module OPTIONAL { ?m :hasBook ?b . ?b :hasCode "9" } }', f"SELECT {_iri('Module', 'o_orderkey')} AS m, coalesce(CASE WHEN l_partkey IS NOT NULL THEN {_iri('Book', 'l_partkey')} END, 'none') AS x, CASE WHEN l_partkey IS NOT NULL THEN 'used' ELSE 'unused' END AS u FROM orders LEFT JOIN (SELECT * FROM {HB} WHERE l_partkey = 9) h ON o_orderkey = l_orderkey", as_text=True)
 sparql("string_functions", 'SELECT ?n (UCASE(?n) AS ?up) (STRLEN(?n) AS ?len) (SUBSTR(?n, 2, 3) AS ?sub) (STRBEFORE(?n, "A") AS ?bef) (STRAFTER(?n, "A") AS ?aft) (CONCAT(?n, "-", ?n) AS ?cc) (ENCODE_FOR_URI(CONCAT(?n, " *~")) AS ?enc) (STRENDS(?n, "A") AS ?ends) (REGEX(?n, "^a", "i") AS ?rx) WHERE { ?u a :University ; :name ?n }', "SELECT n_name AS n, upper(n_name) AS up, length(n_name) AS len, substr(n_name, 2, 3) AS sub, CASE WHEN strpos(n_name, 'A') > 0 THEN substr(n_name, 1, strpos(n_name, 'A') - 1) ELSE '' END AS bef, CASE WHEN strpos(n_name, 'A') > 0 THEN substr(n_name, strpos(n_name, 'A') + 1) ELSE '' END AS aft, n_name || '-' || n_name AS cc, replace(n_name, ' ', '%20') || '%20%2A~' AS enc, ends_with(n_name, 'A') AS ends, regexp_matches(n_name, '^a', 'i') AS rx FROM nation")
-sparql("numeric_functions", "SELECT ?y (ABS(0 - ?y) AS ?a) (?y + 1 AS ?p) (ROUND(0 - 2.5) AS ?r) (CEIL(2.1) AS ?c) (FLOOR(0 - 2.1) AS ?f) (?y * 2 AS ?t) (?y / 0 AS ?z) WHERE { ?c a :Course ; :year ?y } ORDER BY ?y LIMIT 3".replace("(?y + 1 AS ?p)", "((?y + 1) AS ?p)"), f"SELECT CAST(y AS INTEGER) AS y, y AS a, y + 1 AS p, CAST(-2 AS DECIMAL(38,18)) AS r, CAST(3 AS DECIMAL(38,18)) AS c, CAST(-3 AS DECIMAL(38,18)) AS f, y * 2 AS t, CAST(NULL AS DECIMAL(38,18)) AS z FROM {COURSE} k ORDER BY y LIMIT 3")
-sparql("date_functions", 'SELECT ?u (YEAR(?d) AS ?y) (MONTH(?d) AS ?m) (DAY(?d) AS ?dd) (HOURS(?d) AS ?h) (MINUTES(?d) AS ?mi) (SECONDS(?d) AS ?s) WHERE { ?u a :University BIND(xsd:dateTime("2024-02-29T13:14:15") AS ?d) }', f"SELECT {_iri('University', 'n_nationkey')} AS u, 2024 AS y, 2 AS m, 29 AS dd, 13 AS h, 14 AS mi, 15 AS s FROM nation")
+sparql("numeric_functions", "SELECT ?y (ABS(0 - ?y) AS ?a) (?y + 1 AS ?p) (ROUND(0 - 2.5) AS ?r) (CEIL(2.1) AS ?c) (FLOOR(0 - 2.1) AS ?f) (?y * 2 AS ?t) (?y / 0 AS ?z) WHERE { ?k a :Course ; :year ?y } ORDER BY ?y LIMIT 3".replace("(?y + 1 AS ?p)", "((?y + 1) AS ?p)"), f"SELECT CAST(y AS INTEGER) AS y, y AS a, y + 1 AS p, CAST(-2 AS DECIMAL(38,18)) AS r, CAST(3 AS DECIMAL(38,18)) AS c, CAST(-3 AS DECIMAL(38,18)) AS f, y * 2 AS t, CAST(NULL AS DECIMAL(38,18)) AS z FROM {COURSE} k ORDER BY y LIMIT 3")
+sparql("date_functions", 'SELECT ?u (YEAR(?d) AS ?y) (MONTH(?d) AS ?m) (DAY(?d) AS ?dd) (HOURS(?d) AS ?h) (MINUTES(?d) AS ?mi) (SECONDS(?d) AS ?s) WHERE { ?u a :University BIND(xsd:dateTime("2024-02-29T13:14:15") AS ?d) }', f"SELECT {_iri('University', 'n_nationkey')} AS u, 2024 AS y, 2 AS m, 29 AS dd, 13 AS h, 14 AS mi, CAST(15 AS DECIMAL(38,18)) AS s FROM nation")
 sparql("hash_functions", "SELECT ?n (MD5(?n) AS ?m) (SHA1(?n) AS ?s1) (SHA256(?n) AS ?s2) WHERE { ?u a :University ; :name ?n }", "SELECT n_name AS n, md5(n_name) AS m, sha1(n_name) AS s1, sha256(n_name) AS s2 FROM nation")
 sparql("cast_errors", 'SELECT ?k (xsd:integer(?k) AS ?i) (xsd:integer(CONCAT("x", ?k)) AS ?bad) (xsd:boolean("1") AS ?b) (xsd:string(?y) AS ?s) WHERE { ?d a :Department ; :hasCode ?k ; :hasCourse ?c . ?c :year ?y FILTER(xsd:integer(?k) < 20) }', f"SELECT CAST(c_custkey AS VARCHAR) AS k, c_custkey AS i, CAST(NULL AS BIGINT) AS bad, true AS b, CAST(y AS VARCHAR) AS s FROM {COURSE} k JOIN customer ON c_custkey = o_custkey WHERE c_custkey < 20")
 sparql("term_tests", "SELECT (COUNT(*) AS ?n) WHERE { ?s ?p ?o FILTER(isIRI(?s) && isLiteral(?o) && !isBlank(?o) && isNumeric(?o) && DATATYPE(?o) = xsd:integer && LANG(?o) = \"\") }", f"SELECT count(*) AS n FROM {COURSE} k")
@@ -188,7 +195,7 @@ def token_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _turns(spark, sf_dir).groupBy("conv_id").agg(T.joined(F.col("turn"), F.col("text")).alias("text"))
 
 
-@built("retry_summary", "SELECT conv_id AS request_id, CAST(sum(length(text)) AS BIGINT) AS input_tokens, CAST(sum(turn) AS BIGINT) AS output_tokens, CAST(coalesce(min(CASE WHEN length(text) % 3 = 0 THEN turn END), 2) AS INTEGER) AS retries, bool_or(length(text) % 3 = 0) AS ok, arg_max(text, turn) AS sparql FROM conversations GROUP BY 1")
+@built("retry_summary", "SELECT conv_id AS request_id, CAST(sum(length(text)) AS BIGINT) AS input_tokens, CAST(sum(turn) AS BIGINT) AS output_tokens, CAST(coalesce(min(CASE WHEN length(text) % 3 = 0 THEN turn END), max(turn)) AS INTEGER) AS retries, bool_or(length(text) % 3 = 0) AS ok, arg_max(text, turn) AS sparql FROM conversations GROUP BY 1")
 def retry_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.length("text").cast("bigint")
     attempts = _turns(spark, sf_dir).select(F.col("conv_id").alias("request_id"), F.col("turn").alias("attempt"), F.col("text").alias("sparql"), F.when(size % 3 != 0, "invalid").alias("error"), size.alias("input_tokens"), F.col("turn").alias("output_tokens"))
@@ -236,15 +243,93 @@ def providers_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.providers(spark).select("id", F.explode("models").alias("model"), F.col("models")[0].alias("default"))
 
 
-@built("report_lines")
+_NAMESPACES = f"SELECT DISTINCT regexp_replace(iri, '(.*[/#])[^/#]*$', '\\1') AS ns FROM ({_IRIS}) ORDER BY ns LIMIT 50"
+_SAMPLES = f"SELECT class, string_agg(label, ', ' ORDER BY s) AS samples FROM (SELECT class, s, coalesce(label, split_part(s, '/', -1)) AS label, row_number() OVER (PARTITION BY class ORDER BY s) AS i FROM ({_LABELS}) WHERE class IN (SELECT class FROM ({_CLASS_COUNTS}) ORDER BY count DESC, class LIMIT 10)) WHERE i <= 3 GROUP BY class"
+_FIXED = ((0, ("# Summary of the graph", "", "Endpoint: `tables`", "", "## Namespaces", "")), (2, ("", "## Classes", "", "| Class | Count | Samples |", "|---|---:|---|")), (4, ("", "## Properties", "", "| Property | Count |", "|---|---:|")), (6, ("", "## Schema for a prompt", "", "```turtle", "# the most useful classes and properties", "```")))
+_FIXED_ROWS = ", ".join(f"({part}, {i}, '', '{x}')" for part, lines in _FIXED for i, x in enumerate(lines))
+
+
+@built(
+    "report_lines",
+    f"""WITH c AS (SELECT * FROM ({_CLASS_COUNTS}) ORDER BY count DESC, class LIMIT 50), p AS (SELECT * FROM ({_PROPERTY_COUNTS}) ORDER BY count DESC, p LIMIT 100)
+SELECT row_number() OVER (ORDER BY part, rank, name) AS n, line FROM (
+  SELECT * FROM (VALUES {_FIXED_ROWS}) f(part, rank, name, line)
+  UNION ALL SELECT 1, 0, ns, '- `' || ns || '`' FROM ({_NAMESPACES})
+  UNION ALL SELECT 3, -count, c.class, '| `' || c.class || '` | ' || format('{{:,}}', count) || ' | ' || coalesce(samples, '') || ' |' FROM c LEFT JOIN ({_SAMPLES}) s ON s.class = c.class
+  UNION ALL SELECT 5, -count, p, '| `' || p || '` | ' || format('{{:,}}', count) || ' |' FROM p)""",
+)
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.report_lines(campus(spark, sf_dir))
 
 
-@built("questions", "SELECT conv_id * 1000 + turn AS request_id, CAST(0 AS INTEGER) AS retries, 'SELECT (COUNT(*) AS ?n) WHERE { ?x a :Book }' AS sparql FROM conversations WHERE length(trim(text)) > 0")
+_ASKED = {0: ("How many books are there?", "SELECT (COUNT(*) AS ?n) WHERE { ?x a :Book }"), 1: ("List all modules", "SELECT DISTINCT ?label WHERE { ?x a :Module ; :title ?label } ORDER BY ?label"), 2: ("Which courses are there?", "SELECT DISTINCT ?label WHERE { ?x a :Course ; :title ?label } ORDER BY ?label LIMIT 50"), 3: ("Tell me about the weather", "# NOT_ANSWERABLE: no known class is named")}
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question for every turn; each seventh conversation names a provider that isn't there."""
+    asked = F.element_at(F.create_map(*[F.lit(x) for k, (q, _) in _ASKED.items() for x in (k, q)]), (F.col("turn") % 4).cast("int"))
+    name = F.when(F.col("conv_id") % 7 == 0, "nobody").otherwise("templates")
+    turns = _turns(spark, sf_dir).filter(F.length(F.trim("text")) > 0)
+    return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), asked.alias("question"), name.alias("provider"), F.lit("rules-1").alias("model"))
+
+
+@built("questions", "SELECT conv_id * 1000 + turn AS request_id, CAST(0 AS INTEGER) AS retries, conv_id % 7 <> 0 AS ok, CASE WHEN conv_id % 7 <> 0 THEN CASE turn % 4 " + " ".join(f"WHEN {k} THEN '{x}'" for k, (_, x) in _ASKED.items()) + " END END AS sparql FROM conversations WHERE length(trim(text)) > 0")
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = _turns(spark, sf_dir).filter(F.length(F.trim("text")) > 0).select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), F.lit("How many books are there?").alias("question"))
-    return pipeline.summarize_attempts(pipeline.translate_batch(asked, "templates", campus(spark, sf_dir))).select("request_id", "retries", "sparql")
+    return pipeline.summarize_attempts(pipeline.translate_batch(_requests(spark, sf_dir), campus(spark, sf_dir))).select("request_id", "retries", "ok", "sparql")
+
+
+@built("cached_questions", "SELECT conv_id * 1000 + turn AS request_id, turn % 4 = 1 AS hit FROM conversations WHERE length(trim(text)) > 0 AND conv_id % 7 <> 0")
+def cached_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch with a cache that holds one question's answer; hits cost no tokens."""
+    graph = campus(spark, sf_dir)
+    system = T.fill(pipeline.SYSTEM, ontology_summary=pipeline.summary(graph))
+    cache = spark.createDataFrame([(T.cache_key("templates", "rules-1", system, _ASKED[1][0], "1024"), _ASKED[1][1])], "key string, value string")
+    attempts = pipeline.translate_batch(_requests(spark, sf_dir), graph, cache=cache).filter("provider = 'templates'")
+    return attempts.select("request_id", (F.col("output_tokens") == 0).alias("hit"))
+
+
+@built("response_json", "SELECT CAST(n_nationkey AS BIGINT) AS request_id, to_json({'sparql': 'ASK { ?x a :Book }', 'columns': ['name', 'region'], 'rows': [{'name': n_name, 'region': CAST(n_regionkey AS VARCHAR)}], 'provider': 'templates', 'model': 'rules-1', 'input_tokens': n_nationkey, 'output_tokens': 5, 'retries': 0}) AS response FROM nation")
+def response_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    cells = F.create_map(F.lit("name"), F.col("n_name"), F.lit("region"), F.col("n_regionkey").cast("string"))
+    answers = nation.select(F.col("n_nationkey").cast("bigint").alias("request_id"), F.lit("ASK { ?x a :Book }").alias("sparql"), F.array(F.lit("name"), F.lit("region")).alias("columns"), F.array(cells).alias("rows"), F.lit("templates").alias("provider"), F.lit("rules-1").alias("model"), F.col("n_nationkey").cast("bigint").alias("input_tokens"), F.lit(5).cast("bigint").alias("output_tokens"), F.lit(0).alias("retries"))
+    return pipeline.to_responses(pipeline.from_responses(pipeline.to_responses(answers)))
+
+
+@built("table_cells", f"SELECT {_iri('Module', 'o_orderkey')} AS m, CASE WHEN l_partkey IS NOT NULL THEN {_iri('Book', 'l_partkey')} ELSE '' END AS b FROM orders LEFT JOIN (SELECT * FROM {HB} WHERE l_partkey < 9) h ON o_orderkey = l_orderkey")
+def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    few = " ".join(f'"{i}"' for i in range(9))
+    return T.cells(query(campus(spark, sf_dir), f"SELECT ?m ?b WHERE {{ ?m a :Module OPTIONAL {{ ?m :hasBook ?b . ?b :hasCode ?c VALUES ?c {{ {few} }} }} }}"))
+
+
+@built("table_state", "SELECT CAST(0 AS BIGINT) AS n, 'no results' AS note UNION ALL SELECT count(*), '' FROM part")
+def table_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = campus(spark, sf_dir)
+    return T.table_state(query(graph, 'SELECT ?b WHERE { ?b a :Book ; :hasCode "none" }')).union(T.table_state(query(graph, "SELECT ?b WHERE { ?b a :Book }")))
+
+
+_MOCK_END = len(mock.SPARQL) * mock.PER_CHARACTER
+
+
+@built("mock_stream", f"""WITH r AS (SELECT CAST(n_nationkey AS BIGINT) AS request_id, n_name AS provider FROM nation), e AS (
+  SELECT i - 1 AS seq, i * {mock.PER_CHARACTER} AS at_ms, 'sparql_token' AS event, substr('{mock.SPARQL}', i, 1) AS data FROM (SELECT unnest(range(1, {len(mock.SPARQL) + 1})) AS i)
+  UNION ALL VALUES ({len(mock.SPARQL)}, {_MOCK_END}, 'sparql_complete', '{mock.SPARQL}'), ({len(mock.SPARQL) + 1}, {_MOCK_END + 300}, 'results', '{{"columns":["title"],"rows":[{{"title":"Αλγόριθμοι"}},{{"title":"Βάσεις δεδομένων"}}]}}'), ({len(mock.SPARQL) + 2}, {_MOCK_END + 350}, 'done', NULL))
+SELECT request_id, CAST(seq AS INTEGER) AS seq, CAST(at_ms AS INTEGER) AS at_ms, event, coalesce(data, '{{"provider":"' || provider || '","model":"m","input_tokens":120,"output_tokens":45,"retries":0}}') AS data FROM r, e""")
+def mock_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mock.mock_events(spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("bigint").alias("request_id"), F.col("n_name").alias("provider"), F.lit("m").alias("model")))
+
+
+@built("accents", "SELECT n_nationkey, translate(lower('Άλγόριθμος ΰ ΐ ' || n_name), 'άέήίόύώϊϋΐΰς', 'αεηιουωιυιυσ') AS plain FROM nation")
+def accents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", T.plain_greek(F.concat(F.lit("Άλγόριθμος ΰ ΐ "), F.col("n_name"))).alias("plain"))
+
+
+@built("multi_valued", "WITH v AS (SELECT DISTINCT l_orderkey AS k, l_returnflag AS f FROM lineitem) SELECT o_orderpriority AS t, count(*) AS n FROM orders JOIN v a ON a.k = o_orderkey JOIN v b ON b.k = o_orderkey GROUP BY 1")
+def multi_valued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modules whose semesters come from several rows each."""
+    graph, read = campus(spark, sf_dir), lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = read("orders").join(read("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("title"), F.col("l_returnflag").alias("semester"), F.col("o_orderkey").cast("string").alias("hasCode"))
+    return query(Graph(spark, graph.tables | {"Module": rows}, graph.edges, graph.catalog), "SELECT ?t (COUNT(*) AS ?n) WHERE { ?m a :Module ; :title ?t ; :semester ?a ; :semester ?b } GROUP BY ?t")
 
 
 @built("formatting", "SELECT n_nationkey, CASE WHEN length(n_name) >= 12 THEN n_name ELSE lpad(n_name, 12, ' ') END AS name, format('{:,}', CAST(n_nationkey * 123456 AS BIGINT)) AS n, n_name || ' / m · 1 + ' || CAST(n_nationkey AS VARCHAR) || ' tokens' || CASE WHEN n_nationkey % 3 > 0 THEN ' · ' || CAST(n_nationkey % 3 AS VARCHAR) || ' retries' ELSE '' END AS footer FROM nation")

@@ -19,32 +19,54 @@ def term(kind: str, lex: Column, datatype: str | None = None) -> Column:
 class Graph:
     """Class tables have ``key`` and a column per literal property; edges have ``s`` and ``o``, both keys.
 
-    Tables are read as they are, so filters and columns reach the scans, and joins are on numbers.
+    Tables are read as they are, so filters and columns reach the scans, and joins are on numbers. A
+    graph is a set: several rows of one key are several values of its properties, each counted once, and
+    an edge that comes twice is one. Who knows that no key and no edge comes twice says so (``unique``)
+    and saves the work of making sure. ``codes`` names properties (class, property) whose text is the
+    key's own number, so that a text that is asked for becomes a key at the scan.
     """
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], edges: dict[str, DataFrame], catalog: Catalog | None = None, named: dict[str, Graph] | None = None):
-        self.spark, self.tables, self.edges = spark, tables, edges
-        self.catalog, self.named = catalog or Catalog(), named or {}
+    def __init__(
+        self, spark: SparkSession, tables: dict[str, DataFrame], edges: dict[str, DataFrame], catalog: Catalog | None = None,
+        named: dict[str, Graph] | None = None, *, unique: bool = False, codes: frozenset[tuple[str, str]] = frozenset(),
+    ):
+        self.spark, self.tables = spark, tables
+        self.edges = edges if unique else {n: e.distinct() for n, e in edges.items()}
+        self.catalog, self.named, self.unique, self.codes = catalog or Catalog(), named or {}, unique, codes
 
     def key_iri(self, cls: str, key: Column) -> Column:
         return F.concat(F.lit(self.catalog.key_prefix(cls)), key.cast("string"))
 
+    def instances(self, cls: str) -> DataFrame:
+        """``key`` of every instance."""
+        keys = self.tables[cls].select("key")
+        return keys if self.unique else keys.distinct()
+
+    def literals(self, cls: str, name: str) -> DataFrame:
+        """``key, value`` of a property, as a set."""
+        pairs = self.tables[cls].select("key", F.col(name).alias("value")).filter("value IS NOT NULL")
+        return pairs if self.unique else pairs.distinct()
+
     @cached_property
     def types(self) -> DataFrame:
         """``s, o`` IRIs of every instance's every type; each table is read once."""
-        parts = [self.tables[c].select(self.key_iri(c, F.col("key")).alias("s"), F.explode(F.array(*map(F.lit, self.catalog.types_of(c)))).alias("o")) for c in CLASSES]
+        parts = [self.instances(c).select(self.key_iri(c, F.col("key")).alias("s"), F.explode(F.array(*map(F.lit, self.catalog.types_of(c)))).alias("o")) for c in CLASSES]
         return self._union(parts)
 
     @cached_property
     def triples(self) -> DataFrame:
-        """``s, p, o`` of the whole graph, ``o`` a term. Literals of a class come from one read of its table."""
+        """``s, p, o`` of the whole graph, ``o`` a term. Where keys are unique, a table's literals come from one read."""
         parts = [self.types.select("s", F.lit(TYPE.value).alias("p"), term("iri", F.col("o")).alias("o"))]
         for p in PROPERTIES:
             if p.to:
                 parts.append(self.edges[p.name].select(self.key_iri(p.of[0], F.col("s")).alias("s"), F.lit(self.catalog.iri(p.name)).alias("p"), term("iri", self.key_iri(p.to, F.col("o"))).alias("o")))
         for cls in CLASSES:
             own = [p for p in PROPERTIES if not p.to and cls in p.of]
-            pairs = F.array(*[F.struct(F.lit(self.catalog.iri(p.name)).alias("p"), term("lit", F.col(p.name), "integer" if p.kind == "int" else "string").alias("o")) for p in own])
+            made = lambda p, col: (F.lit(self.catalog.iri(p.name)).alias("p"), term("lit", col, "integer" if p.kind == "int" else "string").alias("o"))
+            if not self.unique:
+                parts += [self.literals(cls, p.name).select(self.key_iri(cls, F.col("key")).alias("s"), *made(p, F.col("value"))) for p in own]
+                continue
+            pairs = F.array(*[F.struct(*made(p, F.col(p.name))) for p in own])
             each = self.tables[cls].select(self.key_iri(cls, F.col("key")).alias("s"), F.explode(pairs).alias("po"))
             parts.append(each.select("s", "po.p", "po.o").filter(F.col("o.lex").isNotNull()))
         return self._union(parts)
@@ -81,4 +103,5 @@ def campus(spark: SparkSession, sf_dir: str, catalog: Catalog | None = None) ->
         "hasModule": seen.select(course.alias("s"), F.col("o_orderkey").alias("o")),
         "hasBook": items.select(F.col("l_orderkey").alias("s"), F.col("l_partkey").alias("o")).dropna().distinct(),
     }
-    return Graph(spark, tables, edges, catalog)
+    codes = frozenset((cls, "hasCode") for cls in ("Department", "Module", "Book"))
+    return Graph(spark, tables, edges, catalog, unique=True, codes=codes)  # keys of these tables, and edges, are unique

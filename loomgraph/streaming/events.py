@@ -7,8 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Events in the order in which a state can meet them.
-KINDS = ("SUBMIT", "TOKEN", "COMPLETE", "RESULTS", "DONE", "ERROR", "DISMISS")
+#: Events in the order in which a state can meet them; ABORT, a user's own cancelling, is no error and changes nothing.
+KINDS = ("SUBMIT", "TOKEN", "COMPLETE", "RESULTS", "DONE", "ERROR", "DISMISS", "ABORT")
 STATE = "struct<status:string,sparql:string,results:string,done:string,message:string>"
 
 

@@ -89,9 +89,54 @@ def test_text_steps(spark):
 
 
 def test_batch(spark, graph):
-    asked = spark.createDataFrame([(1, "How many books?"), (2, "  "), (3, "Weather?")], "request_id bigint, question string")
-    rows = {r.request_id: r for r in P.translate_batch(asked, "templates", graph).collect()}
-    assert set(rows) == {1, 3} and rows[1].answerable and not rows[3].answerable
+    rows = [(1, "How many books?", "templates", "rules-1"), (2, "  ", "templates", "rules-1"), (3, "Weather?", "templates", "rules-1"), (4, "Books?", "nobody", "m"), (5, "Books?", "templates", "rules-9")]
+    asked = spark.createDataFrame(rows, "request_id bigint, question string, provider string, model string")
+    found = {r.request_id: r for r in P.translate_batch(asked, graph).collect()}
+    assert set(found) == {1, 3, 4, 5} and found[1].answerable and not found[3].answerable
+    assert "nobody" in found[4].error and found[4].sparql is None and "rules-9" in found[5].error and found[5].input_tokens == 0
+
+
+def test_batch_reads_what_single_questions_cached(spark, graph, tmp_path):
+    path = str(tmp_path / "cache")
+    P.ask(graph, "How many books?", P.Cached(P.Canned(GOOD), spark, path, "templates", "rules-1"), run=False)
+    asked = spark.createDataFrame([(1, "How many books?", "templates", "rules-1"), (2, "How many modules?", "templates", "rules-1")], "request_id bigint, question string, provider string, model string")
+    found = {r.request_id: r for r in P.translate_batch(asked, graph, cache=spark.read.parquet(path)).collect()}
+    assert (found[1].sparql, found[1].input_tokens) == (GOOD, 0) and found[2].input_tokens > 0
+
+
+@pytest.mark.parametrize("bad", ["SELECT ?t WHERE { ?b :title ?t FILTER(nosuch(?t)) }", "SELECT ?t WHERE { ?b :title ?t FILTER(STRLEN(?t, 2)) }", "SELECT ?t WHERE { ?b :title ?t BIND(1 AS ?t) }", "SELECT ?t WHERE { ?b :title ?t FILTER(COUNT(?t) > 1) }"])
+def test_meaningless_queries_cost_a_retry(graph, bad):
+    assert P.ask(graph, "Which books?", P.Canned(bad, GOOD), run=False).retries == 1
+
+
+def test_time_limit(spark):
+    from pyspark.sql import functions as F
+
+    assert P.with_timeout(spark, 60, spark.range(4).count) == 4
+    endless = spark.range(1 << 40).select(F.max(F.xxhash64("id")))
+    with pytest.raises(TimeoutError):
+        P.with_timeout(spark, 1, endless.collect)
+    assert spark.range(3).count() == 3
+
+
+def test_prompts(spark, tmp_path):
+    from loomgraph.nlq import prompts
+
+    texts = {"nl-v1.md": "---\nname: x\n# System\n---\n# System\nDo {x}.\n\n## Part\nmore\n\n# User\nno", "nl-v2.md": "# System\nlast", "bad-v1.md": "# User\nno", "notes.md": "# System\nno version"}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    table = prompts.read_prompts(spark, str(tmp_path))
+    assert sorted((r.name, r.version) for r in table.collect()) == [("bad", 1), ("nl", 1), ("nl", 2)]
+    assert prompts.load(table, "nl", 1) == T.system_section(texts["nl-v1.md"]) == "Do {x}.\n\n## Part\nmore" and prompts.load(table, "nl", 2) == "last"
+    with pytest.raises(FileNotFoundError):
+        prompts.load(table, "nl", 3)
+    with pytest.raises(ValueError):
+        prompts.load(table, "bad", 1)
+
+
+def test_aborting_is_no_error(spark):
+    rows = [("a", 1, "SUBMIT", None), ("a", 2, "TOKEN", "x"), ("a", 3, "ABORT", "cancelled")]
+    assert [tuple(r) for r in E.fold(spark.createDataFrame(rows, "k string, seq int, event string, data string"), "k", ["seq"]).collect()] == [("a", "streaming", "x", None, None, None)]
 
 
 def test_events_round_trip_and_multiline(spark):
@@ -125,4 +170,4 @@ def test_report(graph, spark, tmp_path):
 
     write_report(graph, str(tmp_path / "report"))
     lines = [r[0] for r in spark.read.text(str(tmp_path / "report")).collect()]
-    assert lines[0] == "## Classes" and any("#Module`: 1,500 (e.g. " in x for x in lines) and any(x.endswith("#Book`: 200") for x in lines) and "## Namespaces" in lines
+    assert lines[0] == "# Summary of the graph" and any("#Module` | 1,500 | " in x and x.count(", ") == 2 for x in lines) and any("#Book` | 200 | " in x for x in lines) and "## Namespaces" in lines and lines[-1] == "```"

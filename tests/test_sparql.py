@@ -20,6 +20,19 @@ VALID = [
 INVALID = ["SELECT WHERE { broken syntax !!!", "NOT VALID SPARQL !!!", "SELECT ?x WHERE { ?x a nope:Thing }", "SELECT ?x WHERE { ?x <p> }", "DELETE WHERE { ?s ?p ?o }", "SELECT ?y (COUNT(?x) AS ?n) WHERE { ?x <p> ?y }", "SELECT ?x { ?x <p> ?y } LIMIT ten", "SELECT ?x { SERVICE <http://x> { ?x <p> ?y } }"]
 
 
+#: Queries that parse and mean nothing.
+MEANINGLESS = [
+    "SELECT ?x WHERE { ?x <p> ?y FILTER(nosuch(?y)) }", "SELECT ?x WHERE { ?x <p> ?y FILTER(<http://f>(?y)) }", "SELECT ?x WHERE { ?x <p> ?y FILTER(STRLEN(?y, 1) > 2) }", "SELECT ?x WHERE { ?x <p> ?y FILTER(REPLACE(?y, 'a')) }",
+    "SELECT ?x WHERE { ?x <p> ?y BIND(1 AS ?y) }", "SELECT ?x WHERE { ?x <p> ?y FILTER(COUNT(?y) > 1) }", "SELECT (SUM(COUNT(?y)) AS ?n) WHERE { ?x <p> ?y }", "SELECT (STR(?y) AS ?y) WHERE { ?x <p> ?y }", "SELECT ?x WHERE { { SELECT ?x WHERE { ?x <p> ?y FILTER(nosuch()) } } }",
+    "SELECT (1 AS ?a) (2 AS ?a) WHERE { }", "SELECT ?x WHERE { ?x <p> ?y FILTER EXISTS { ?x <q> ?z FILTER(BOUND(1)) } }",
+]
+
+
+@pytest.mark.parametrize("text", MEANINGLESS)
+def test_meaningless(text):
+    assert validate(text)
+
+
 @pytest.mark.parametrize("text", VALID)
 def test_valid(text):
     assert validate(text) is None
@@ -57,6 +70,66 @@ def test_multivalued_property_fans_out(graph):
     assert ask(graph, "SELECT ?s WHERE { ?m :hasCode '101' ; :semester ?s }") == [("1",), ("2",)]
 
 
+def test_a_graph_is_a_set(graph):
+    """Module 101 has two rows: one module with two semesters, each other property once."""
+    assert ask(graph, "SELECT ?t WHERE { ?m :title ?t ; :hasCode '101' }") == [("m",)]
+    assert ask(graph, "SELECT (COUNT(*) AS ?n) WHERE { ?m a :Module }") == [("3",)]
+    assert ask(graph, "SELECT ?a ?b WHERE { ?m :hasCode '101' ; :semester ?a ; :semester ?b }") == [("1", "1"), ("1", "2"), ("2", "1"), ("2", "2")]
+    assert ask(graph, "SELECT (COUNT(*) AS ?n) WHERE { ?m ?p ?o ; :hasCode '101' }") == [(str(len(Catalog().types_of("Module")) + 6),)]  # title, code, two semesters, two books
+    twice = Graph(graph.spark, graph.tables, graph.edges | {"hasBook": graph.edges["hasBook"].union(graph.edges["hasBook"])}, graph.catalog)
+    assert ask(twice, "SELECT (COUNT(*) AS ?n) WHERE { ?m :hasBook ?b }") == [("3",)]
+
+
+@pytest.mark.parametrize(
+    "expression, wanted",
+    [
+        ("1/3", "0.333333333333333333"), ("2.5/4", "0.625"), ("1.25*4", "5"), ("xsd:string(1.50)", "1.5"), ("0.0", "0"), ("'a'@en = 'a'", "false"), ("sameTerm('a'@en, 'a')", "false"), ("'a'@en = 'a'@EN", "true"), ("'1'^^<http://c> = '1'", None), ("'1'^^<http://c> = '1'^^<http://c>", "true"),
+        ("DATATYPE('a'@en)", "http://www.w3.org/1999/02/22-rdf-syntax-ns#langString"), ("DATATYPE('1'^^<http://c>)", "http://c"), ("LANG('a'@en)", "en"), ("LANG('a')", ""), ("LANGMATCHES(LANG('a'@en-GB), 'en')", "true"),
+        ("HOURS('2011-01-10T14:45:13.815-05:00'^^xsd:dateTime)", "14"), ("SECONDS('2011-01-10T14:45:13.815-05:00'^^xsd:dateTime)", "13.815"), ("TZ('2011-01-10T14:45:13.815-05:00'^^xsd:dateTime)", "-05:00"), ("TZ(xsd:dateTime('2011-01-10T14:45:13'))", ""), ("TIMEZONE('2011-01-10T14:45:13.815-05:00'^^xsd:dateTime)", "-PT5H"),
+        ("TIMEZONE('2011-01-10T14:45:13+05:30'^^xsd:dateTime)", "PT5H30M"), ("TIMEZONE('2011-01-10T14:45:13Z'^^xsd:dateTime)", "PT0S"), ("TIMEZONE('2011-01-10T14:45:13'^^xsd:dateTime)", None), ("'2011-01-10T14:45:13-05:00'^^xsd:dateTime = '2011-01-10T19:45:13Z'^^xsd:dateTime", "true"), ("xsd:dateTime('nonsense')", None), ("STR('2011-01-10T14:45:13.815-05:00'^^xsd:dateTime)", "2011-01-10T14:45:13.815-05:00"),
+        ("SUBSTR('abcdef', 0, 3)", "ab"), ("SUBSTR('abcdef', 2.4, 1.6)", "bc"), ("SUBSTR('abcdef', -5)", "abcdef"), ("SUBSTR('abcdef', 4)", "def"), ("SUBSTR('abcdef', -3, 2)", ""), ("REPLACE('a.b', '.', 'x', 'q')", "axb"), ("REPLACE('a.b', '.', '$1', 'q')", "a$1b"), ("REGEX('a+B', 'A+b', 'qi')", "true"), ("REGEX('aaB', 'A+b', 'i')", "true"), ("ROUND(-2.5)", "-2"),
+    ],
+)
+def test_values(graph, expression, wanted):
+    assert ask(graph, f"SELECT ({expression} AS ?x) WHERE {{ ?u a :University ; :name 'Ω' }}") == [(wanted,)]
+
+
+def test_exists_inside_an_or(graph):
+    assert ask(graph, "SELECT ?k WHERE { ?d a :Department ; :hasCode ?k FILTER(?k = '3' || EXISTS { ?d :hasCourse ?c . ?c :year 2020 }) }") == [("1",), ("3",)]
+    assert ask(graph, "SELECT ?k WHERE { ?d a :Department ; :hasCode ?k FILTER(?k = '3' || EXISTS { ?x :hasBook ?y . ?y :hasCode '9' }) }") == [("3",)]
+    assert ask(graph, "SELECT ?k WHERE { ?d a :Department ; :hasCode ?k OPTIONAL { ?d :hasCourse ?c } FILTER(?k = '9' || EXISTS { ?c :year ?y FILTER(?y > 2020 && ?k != '1') }) }") == [("2",), ("3",)]
+    plan = query(graph, "SELECT ?k WHERE { ?d a :Department ; :hasCode ?k FILTER(?k = '3' || EXISTS { ?d :hasCourse ?c }) }")._jdf.queryExecution().optimizedPlan().toString()
+    assert "monotonically" not in plan
+
+
+def test_values_reach_the_scan(spark):
+    from loomgraph.sources.graph import campus
+
+    campus_ = campus(spark, "/root/testdata/sf0.001")
+    df = query(campus_, 'SELECT ?m ?t WHERE { VALUES ?code { "42" "43" } ?m :hasBook ?b . ?b :hasCode ?code . ?m :title ?t }')
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "In(l_partkey, [42,43])" in plan.replace("[43,42]", "[42,43]") and "In(p_partkey, [42,43])" in plan.replace("[43,42]", "[42,43]") and "Generate" not in plan
+    assert ask(campus_, 'SELECT (COUNT(*) AS ?n) WHERE { VALUES ?code { "42" "42" "042" "x" } ?b :hasCode ?code ; a :Book }') == [("2",)]
+    assert ask(campus_, "SELECT (COUNT(*) AS ?n) WHERE { VALUES ?y { 1998 1998.0 } ?c :year ?y ; a :Course }") == ask(campus_, "SELECT (COUNT(*) AS ?n) WHERE { ?c :year 1998 ; a :Course }")
+
+
+def test_unbound_joins_compare_no_pairs(spark):
+    from loomgraph.sources.graph import campus
+
+    text = "SELECT ?m ?t WHERE { ?m a :Module OPTIONAL { ?m :hasBook ?b } ?b :title ?t . ?m :hasCode ?t2 }"
+    plan = query(campus(spark, "/root/testdata/sf0.001"), text)._jdf.queryExecution().optimizedPlan().toString()
+    assert "isnull" not in plan.split("Join Inner")[1].split("\n")[0]
+
+
+def test_open_joins_give_what_one_condition_gives(graph, monkeypatch):
+    from loomgraph.plans.compiler import Compiler
+
+    texts = ["SELECT ?m ?b ?t WHERE { ?m a :Module OPTIONAL { ?m :hasBook ?b . ?b :hasCode '5' } ?b :title ?t }", "SELECT * WHERE { VALUES (?a ?b) { (1 UNDEF) (UNDEF 2) (4 5) } VALUES (?a ?b) { (1 3) (4 UNDEF) (UNDEF 2) } }", "SELECT ?c ?d WHERE { ?u :hasDepartment ?d OPTIONAL { ?d :hasCourse ?c FILTER(?c = <" + NAMESPACE + "course_10>) } { ?x a :Course OPTIONAL { ?d2 :hasCourse ?c . ?c :year 2021 } } }"]
+    split = [ask(graph, t) for t in texts]
+    monkeypatch.setattr(Compiler, "_open_join", lambda self, a, b, names: (lambda m: __import__("loomgraph.plans.compiler", fromlist=["rel"]).rel(m[0].join(m[1], m[2], "inner"), m[3]))(self._matched(a, b)))
+    assert split == [ask(graph, t) for t in texts]
+
+
 def test_optional_and_unbound_join(graph):
     assert ask(graph, "SELECT ?c ?b WHERE { ?m a :Module ; :hasCode ?c ; :semester '1' OPTIONAL { ?m :hasBook ?x . ?x :hasCode ?b FILTER(?b = '6') } }") == [("100", None), ("101", "6"), ("102", None)]
     assert ask(graph, "SELECT ?a ?b WHERE { VALUES (?a ?b) { (1 UNDEF) (UNDEF 2) } VALUES (?a ?b) { (1 3) (4 2) } }") == [("1", "3"), ("4", "2")]
