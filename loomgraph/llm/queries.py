@@ -9,7 +9,7 @@ from .textio import table
 
 LANGUAGES = ("en", "fr", "de", "es")
 #: Words whose ids a worker keeps, about 0.2 KB each.
-WORDS = 350_000
+WORDS = 600_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
