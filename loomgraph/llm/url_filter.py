@@ -53,13 +53,13 @@ def _parts(items: Column) -> Column:
 
 
 def mine_rules(
-    labelled: DataFrame, *, least_support: float = 0.005, least_confidence: float = 0.8, most_tokens: int = 4, common: float = 0.9,
+    labelled: DataFrame, *, least_support: float = 0.005, least_count: int = 20, least_confidence: float = 0.8, most_tokens: int = 4, common: float = 0.9,
     url_col: str = "url", bad_col: str = "bad",
 ) -> DataFrame:
     """Combinations of tokens that foretell a bad label: ``tokens, n, n_all, confidence``.
 
     FP-growth mines token sets of the bad URLs alone, as only those can foretell the label. A rule needs
-    bad URLs that are a share ``least_support`` of all labelled ones; how many labelled URLs have all its
+    bad URLs that are a share ``least_support`` of all labelled ones, and ``least_count`` at least; how many labelled URLs have all its
     tokens (``n_all``) is counted over all of them by the inverted index, and the bad ones among those
     are its ``confidence``. Tokens of more than ``common`` of all labelled URLs are part of no rule, nor
     is a set of more than ``most_tokens``. A rule that contains a shorter one with at least its
@@ -70,14 +70,15 @@ def mine_rules(
     found = labelled.filter(F.col(url_col).isNotNull() & F.col(bad_col).isNotNull()).select(F.col(bad_col).alias("bad"), tokens(F.col(url_col)).alias("items"))
     found = scratch.keep(found.groupBy("items").agg(F.count(F.lit(1)).alias("n_all"), F.count_if("bad").alias("n_bad")), "baskets")
     n, n_bad = found.agg(F.coalesce(F.sum("n_all"), F.lit(0)), F.coalesce(F.sum("n_bad"), F.lit(0))).first()
-    if not n_bad or n_bad < least_support * n:
+    wanted = max(least_support * n, least_count)
+    if not n_bad or n_bad < wanted:
         return none
     counts = scratch.keep(found.select("n_all", F.explode("items").alias("token")).groupBy("token").agg(F.sum("n_all").alias("count")), "counts")
     every = counts.filter(F.col("count") > common * n).agg(F.collect_list("token")).first()[0]  # few: each is in most URLs
     kept = F.array_except("items", F.array(*map(F.lit, every)).cast("array<string>"))
     baskets = found.filter("n_bad > 0").select(kept.alias("items"), F.explode(F.sequence(F.lit(1), F.col("n_bad").cast("int"))).alias("copy")).select("items")
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least_support * n / n_bad)).fit(baskets)
-    sets = model.freqItemsets.filter(F.size("items") <= most_tokens).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("n"))
+    model = FPGrowth(itemsCol="items", minSupport=wanted / n_bad).fit(baskets)
+    sets = model.freqItemsets.filter((F.size("items") <= most_tokens) & (F.col("freq") >= wanted)).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("n"))
     sets = scratch.keep(sets.filter(F.size("tokens") > 0), "sets")
     held = _holding(found.select("items", "n_all"), sets, counts).groupBy("tokens").agg(F.sum("n_all").alias("n_all"))
     rules = sets.join(held, "tokens").withColumn("confidence", F.col("n") / F.col("n_all")).select("tokens", "n", "n_all", "confidence")
@@ -105,7 +106,7 @@ def matched_urls(urls: DataFrame, rules: DataFrame, token_counts: DataFrame) ->
     return has.groupBy("url").agg(F.max_by(F.array_join("tokens", " & "), F.struct("confidence", "tokens")).alias("mined"))
 
 
-def judge_urls(pages: DataFrame, labelled: DataFrame, *, rules=RULES, least_support: float = 0.005, least_confidence: float = 0.8, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge_urls(pages: DataFrame, labelled: DataFrame, *, rules=RULES, least_support: float = 0.005, least_count: int = 20, least_confidence: float = 0.8, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Judge every URL: ``page_id, host, path, rule, verdict, mined``.
 
     The longest explicit rule decides; otherwise a URL that matches a mined rule (``mined``) is blocked,
@@ -120,7 +121,7 @@ def judge_urls(pages: DataFrame, labelled: DataFrame, *, rules=RULES, least_supp
     plain = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), host.alias("host"), path.alias("path"))
     name, verdict = explicit_rule(F.col("host"), F.col("path"), rules)
     plain = plain.withColumn("rule", name).withColumn("decided", verdict)
-    mined = mine_rules(labelled, least_support=least_support, least_confidence=least_confidence)
+    mined = mine_rules(labelled, least_support=least_support, least_count=least_count, least_confidence=least_confidence)
     scratch = Scratch(pages.sparkSession, "urls")
     mined = scratch.keep(mined, "mined")
     undecided = scratch.keep(plain.filter("rule IS NULL AND url IS NOT NULL").select("url").distinct().withColumn("items", tokens(F.col("url"))), "undecided")
