@@ -59,21 +59,21 @@ def mix(
 ) -> DataFrame:
     """Decide how many words of each document a mix takes.
 
-    Returns a row per document: ``doc_id, size, source, source_size, target, epochs, drawn, taken``.
+    Returns a row per document: ``doc_id, size, source, source_size, target, epochs, drawn, taken, text_key``.
     A source gives ``epochs`` complete passes; for the rest of its target its documents are taken in
     order of exponential keys, drawn by ``doc_id`` and scaled by quality, while that brings the sum
     nearer to the target. Keys are cut into slices; sums of slices find the slice in which the budget
     ends, and only that one is sorted, so no source has to fit a task.
 
-    Null text: size 0, taken 0. Null source: a source of its own, last. Null ``doc_id``: one key shared
-    by all such rows. Equal keys: by ``doc_id``, then size. Repeated rows count each by itself. Empty
+    Null text: size 0, taken 0. Very long texts: taken or not as a whole. Null source: a source of its own, last. Null ``doc_id``: one key shared
+    by all such rows. Equal keys: by ``doc_id``, then size, then a hash of the text. Repeated rows count each by itself. Empty
     table: no rows. Other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     text, source = F.col(text_col), F.col(source_col)
     size = n_words(text)
-    plain = docs.select(F.col(id_col).alias("doc_id"), source.cast("string").alias("source"), size.alias("size"), text.alias("text"))
-    plain = plain.select("doc_id", "source", "size", quality(F.col("text"), F.col("size")).alias("quality"))
+    plain = docs.select(F.col(id_col).alias("doc_id"), source.cast("string").alias("source"), size.alias("size"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+    plain = plain.select("doc_id", "source", "size", "text_key", quality(F.col("text"), F.col("size")).alias("quality"))
     key = -F.log(even_draw(F.col("doc_id"))) / F.col("quality")
     keyed = plain.withColumn("key", key).withColumn("slice", F.floor((1 - F.exp(-F.col("key"))) * SLICES).cast("int")).drop("quality")
     sized = scratch.keep(keyed, "sized")
@@ -95,8 +95,8 @@ def mix(
     rows = sized.join(plan.withColumnRenamed("source", "plan_source"), same_source).drop("plan_source")
     at_edge = (F.col("slice") == F.col("edge.slice")) & (F.col("size") > 0)
     whole = rows.filter(~F.coalesce(at_edge, F.lit(False))).withColumn("drawn", F.coalesce(F.col("slice") < F.col("edge.slice"), F.lit(True)) & (F.col("budget") > 0))
-    in_order = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    in_order = Window.partitionBy("source").orderBy("key", "doc_id", "size", "text_key").rowsBetween(Window.unboundedPreceding, -1)
     so_far = F.col("edge.before") + F.coalesce(F.sum("size").over(in_order), F.lit(0))
     cut = rows.filter(at_edge).withColumn("drawn", so_far + F.col("size") / 2 <= F.col("budget"))
     taken = F.col("size") * (F.col("epochs") + F.col("drawn").cast("long"))
-    return whole.unionByName(cut).select("doc_id", "size", "source", "source_size", "target", "epochs", "drawn", taken.alias("taken"))
+    return whole.unionByName(cut).select("doc_id", "size", "source", "source_size", "target", "epochs", "drawn", taken.alias("taken"), "text_key")

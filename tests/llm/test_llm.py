@@ -727,25 +727,64 @@ def test_queries_cover_whole_tables(spark, docs):
         assert df.select(key).distinct().count() == want, name
 
 
+def check_stage(name, before, after, columns):
+    """What a stage must have done, from its input and output rows alone."""
+    ids = collections.Counter(r.doc_id for r in after)
+    if name == "language":
+        kept = {(r.doc_id, r.text) for r in after}
+        assert kept <= {(r.doc_id, r.text) for r in before} and all(re.search(r"[^\W\d_]", r.text or "") for r in after)
+        assert len(after) == sum((r.doc_id, r.text) in kept for r in before)
+    elif name == "near_duplicates":
+        component = brute_components([(r.doc_id, r.text) for r in before], near_dedup.Similarity(5, 80))
+        first = {i for i in component if component[i] == i}
+        assert {i for i in ids if i is not None} <= first and all(r.doc_id in ids for r in before if r.doc_id is None or r.doc_id in first and list(x.doc_id for x in before).count(r.doc_id) == 1)
+    elif name == "privacy":
+        assert len(after) == len(before) and ids == collections.Counter(r.doc_id for r in before)
+        found = collections.Counter(e.text for r in before for e in pii.find(r.text) if len(e.text) > 9)
+        assert not any(x in (r.text or "") for r in after for x in found)
+        clean = {r.text for r in before if not pii.find(r.text)}
+        assert collections.Counter(r.text for r in after if r.text in clean) == collections.Counter(r.text for r in before if r.text in clean)
+    elif name == "mixture":
+        words = lambda rows: collections.Counter({s: sum(len(re.findall(textio.WORD, r.text or "")) for r in rows if r.source == s) for s in {r.source for r in rows}})
+        size, taken = words(before), words(after)
+        assert {r.text for r in after} <= {r.text for r in before} and all(taken[s] <= 3 * size[s] for s in size)
+        assert abs(sum(taken.values()) - sum(size.values())) <= 3 * sum(max((len(re.findall(textio.WORD, r.text or "")) for r in before if r.source == s), default=0) for s in size)
+    else:
+        encoder = tokens.Encoder(queries.tokenizer_path())
+        wanted = collections.Counter()
+        for r in before:
+            n = len(encoder.encode([r.text])[0]) // 4 + 1
+            wanted.update((r.doc_id, k, min(2048, n - 2048 * k)) for k in range(-(-n // 2048)))
+        assert collections.Counter((r.doc_id, r.piece, r.length) for r in after) == wanted
+        bins = collections.Counter()
+        for r in after:
+            bins[r.sequence_id] += r.length
+        assert max(bins.values(), default=0) <= 2048
+    if name != "sequences":
+        assert set(after[0].__fields__) == columns if after else True
+
+
 def test_pipeline(spark, odd, docs):
     import corpus_pipeline as pipeline
 
-    columns, kept = set(docs.columns), docs
-    for name, stage in pipeline.STAGES:
-        out = stage(spark, kept, SF)
-        if name == "near_duplicates":
-            how = near_dedup.Similarity(5, 80)
-            component = brute_components([(r.doc_id, r.text) for r in kept.collect()], how)
-            assert sorted(r.doc_id for r in out.collect()) == sorted(i for i, c in component.items() if i == c)
-        if name == "language":
-            assert out.count() == kept.filter(F.regexp_like("text", F.lit(r"\p{L}"))).count()
-        if name != pipeline.STAGES[-1][0]:
-            assert set(out.columns) == columns
-            kept = out
-    assert pipeline.run(spark, SF).count() == out.count()
+    for start in (docs, odd.select(*docs.columns)):
+        columns, kept = set(docs.columns), start
+        for name, stage in pipeline.STAGES:
+            out = stage(spark, kept, SF)
+            before, after = kept.collect(), out.collect()
+            check_stage(name, before, after, columns)
+            kept = spark.createDataFrame(after, out.schema)
+        if start is docs:
+            assert pipeline.run(spark, SF).count() == len(after)
     for _, stage in pipeline.STAGES:
         assert stage(spark, empty(docs), SF).count() == 0
-    kept = odd.select(*docs.columns)
-    for _, stage in pipeline.STAGES:
-        kept = stage(spark, kept, SF)
-    assert kept.count() > 0
+
+
+def test_mixture_counts_texts_of_one_id_apart(spark):
+    import corpus_pipeline as pipeline
+
+    rows = [(1, "a " * 50, "x"), (1, "b " * 10, "x"), *((i, "c " * 30, "y") for i in range(10, 30))]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = collections.Counter(r.text for r in pipeline.mixture(spark, docs, SF).collect())
+    mixed = {(r.doc_id, r.size): r.epochs + int(r.drawn) for r in mixing.mix(docs).collect()}
+    assert got["a " * 50] == mixed[1, 50] and got["b " * 10] == mixed[1, 10]
