@@ -49,11 +49,16 @@ def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take each document as often as the mix does; rows repeat, and documents not taken go."""
-    mixed = mixing.mix(docs).withColumn("times", (F.col("epochs") + F.col("drawn").cast("long")).cast("int"))
-    times = mixed.filter("size > 0 AND times <> 1").groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source")).agg(F.max("times").alias("__times"))
+    """Take each document as often as the mix does; rows repeat, and documents not taken go.
+
+    Rows alike in ``doc_id``, source and text share what the mix takes of them: each as often as they are
+    taken on average, rounded. Documents without words stay once.
+    """
+    mixed = mixing.mix(docs).withColumn("times", F.col("epochs") + F.col("drawn").cast("long")).filter("size > 0")
+    times = mixed.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_key").alias("__key")).agg(F.round(F.avg("times")).cast("int").alias("__times")).filter("__times <> 1")
+    times = Scratch(spark, "mixture").keep(times, "times")  # so that the join below can split a hot document
     empty = mixing.n_words(F.col("text")) == 0
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.xxhash64("text") == F.col("__key"))
     taken = docs.join(times.hint("merge"), same, "left").withColumn("__times", F.when(empty, 1).otherwise(F.coalesce("__times", F.lit(1)))).filter("__times > 0")
     return _documents(taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))))
 
