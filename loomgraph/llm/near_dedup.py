@@ -23,7 +23,7 @@ STEP, MISS = 16, 1e-6
 #: Members of a block of loose and of all documents of one group, whose texts meet where signatures allow;
 #: and how many such blocks are told apart by signatures in one go.
 LOOSE_BLOCK, FULL_BLOCK = 64, 512
-LOOSE_BLOCKS, FULL_BLOCKS = 16, 32
+LOOSE_BLOCKS, FULL_BLOCKS = 4, 1
 
 _SEEDS = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, size=(2, HASHES, 1), dtype=np.uint64)
 _XOR, _ODD = _SEEDS[0], _SEEDS[1] * np.uint64(2) + np.uint64(1)

@@ -38,7 +38,8 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated passages of 50 bytes."""
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), width=50)
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), width=50)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +81,54 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_packing, op3_url_filter, op4_suffix_dedup, op5_quality, op6_mixing, op7_pii, op8_language, op9_fingerprint, op10_token_store)}
 
 ORACLES: dict[str, str] = {
+    "op1_near_dedup": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, md5(array_to_string(w, ' ')) AS same, list_distinct(CASE WHEN len(w) = 1 THEN list_zip(w, ['']) ELSE list_zip(w[1:len(w) - 1], w[2:]) END) AS shingles FROM d
+), c AS (  -- one row for each text
+  SELECT same, min(doc_id) AS node, any_value(shingles) AS shingles, len(any_value(shingles)) AS n FROM s WHERE doc_id IS NOT NULL AND len(shingles) > 0 GROUP BY same
+), e AS (
+  SELECT node, n, unnest(shingles) AS shingle FROM c
+), f AS (
+  SELECT shingle FROM e GROUP BY shingle HAVING count(*) > 1
+), p AS (
+  SELECT a.node AS x, b.node AS y FROM e a JOIN e b ON a.shingle = b.shingle AND a.node < b.node AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) WHERE a.shingle IN (SELECT shingle FROM f) GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), l AS (
+  SELECT x, y FROM p UNION SELECT y, x FROM p
+), r(node, reached) AS (
+  SELECT node, node FROM c UNION SELECT r.node, l.y FROM r JOIN l ON l.x = r.reached
+), m AS (
+  SELECT node, min(reached) AS component FROM r GROUP BY node
+)
+SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, coalesce(m.component, s.doc_id) AS component_id, coalesce(s.doc_id = coalesce(m.component, s.doc_id), true) AS kept
+FROM s LEFT JOIN c ON c.same = s.same AND s.doc_id IS NOT NULL AND len(s.shingles) > 0 LEFT JOIN m ON m.node = c.node
+""",
+    "op4_suffix_dedup": r"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT doc_id, unnest(range(1, CAST(length(h) / 2 AS BIGINT) - 48)) AS i, h FROM d WHERE doc_id IS NOT NULL AND length(h) >= 100
+), s AS (
+  SELECT doc_id, i, substr(h, 2 * i - 1, 100) AS s FROM w
+), f AS (
+  SELECT s, min(doc_id) AS first FROM s GROUP BY s HAVING min(doc_id) < max(doc_id)
+), hit AS (
+  SELECT doc_id, i FROM s JOIN f USING (s) WHERE first < doc_id
+), marked AS (
+  SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS fresh FROM hit
+), numbered AS (
+  SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked
+), runs AS (
+  SELECT doc_id, run, min(i) AS a, max(i) + 49 AS z FROM numbered GROUP BY doc_id, run
+), before AS (
+  SELECT *, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS y FROM runs
+), cut AS (
+  SELECT b.doc_id, sum(z - a + 1) AS n_removed, count(*) AS n_spans, max(z) AS last, string_agg(substr(h, 2 * y + 1, 2 * (a - 1 - y)), '' ORDER BY a) AS kept FROM before b JOIN d ON d.doc_id = b.doc_id GROUP BY b.doc_id
+)
+SELECT d.doc_id, CAST(length(h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(CASE WHEN last IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN cut ON cut.doc_id = d.doc_id
+""",
     "op6_mixing": r"""
 WITH d AS (
   SELECT doc_id, source, text, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
