@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..catalog import CLASSES, Property
 from ..operators.closure import checkpoint_dir, closure
-from ..sources.graph import Graph
+from ..sources.graph import Graph, merged
 from ..sparql.algebra import Bind, Expr, Filter, Group, Iri, Literal, Minus, Optional, Path, Query, Triple, Union, Values, Var, aggregates, variables
 from ..sparql.lexer import SparqlSyntaxError
 from ..sparql.parser import TYPE, parse
@@ -625,10 +625,8 @@ class Compiler:
             missing = [iri for iri, _ in q.graphs if iri not in self.graph.named]
             if missing:
                 raise SparqlSyntaxError(f"unknown graph <{missing[0]}>")
-            if len(default) > 1:
-                raise SparqlSyntaxError("one default graph at most")
             named = {iri: self.graph.named[iri] for iri, n in q.graphs if n}
-            base = self.graph.named[default[0]] if default else self.graph
+            base = merged([self.graph.named[iri] for iri in dict.fromkeys(default)]) if default else self.graph
             own = Graph(base.spark, base.tables, base.edges, base.catalog, named, unique=base.unique, codes=base.codes)
             return Compiler(own).run(replace(q, graphs=()), as_text=as_text)
         if q.form == "SELECT":

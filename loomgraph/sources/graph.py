@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -78,6 +78,17 @@ class Graph:
         return out
 
 
+def merged(graphs: list[Graph]) -> Graph:
+    """The graph that holds what any of several holds, each triple once."""
+    first = graphs[0]
+    if len(graphs) == 1:
+        return first
+    union = lambda frames: reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), frames)
+    tables = {c: union([g.tables[c] for g in graphs]) for c in first.tables}
+    edges = {n: union([g.edges[n] for g in graphs]) for n in first.edges}
+    return Graph(first.spark, tables, edges, first.catalog, first.named)
+
+
 def campus(spark: SparkSession, sf_dir: str, catalog: Catalog | None = None) -> Graph:
     """The graph of the star schema: nations, customers, years of orders, orders, parts, and line items as edges."""
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -55,6 +55,19 @@ def test_event_order(graph):
     assert [k for k, _ in P.events(graph, "?", "canned", "m", P.Canned(BAD))][-1] == "error"
 
 
+def test_streams_tell_their_tokens(graph):
+    made = list(P.Canned(GOOD).stream("a b", "c"))
+    assert "".join(made[:-1]) == made[-1].text == GOOD and (made[-1].input_tokens, made[-1].output_tokens) == (3, len(GOOD.split()))
+
+    class Silent(P.Canned):
+        def stream(self, system, user, *, max_tokens=1024):
+            yield from self.generate(system, user).text
+
+    for translator in (P.Canned(GOOD), Silent(GOOD)):
+        done = json.loads(list(P.events(graph, "Which books?", "canned", "m", translator))[-1][1])
+        assert done["output_tokens"] == len(GOOD.split()) and done["input_tokens"] > 10
+
+
 def test_unknown_provider():
     with pytest.raises(ValueError):
         P.provider("nope")

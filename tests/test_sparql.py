@@ -184,6 +184,13 @@ def test_named_graphs(graph):
     assert ask(named, "SELECT (COUNT(*) AS ?n) FROM <http://g> WHERE { ?m :hasBook ?b }") == [("3",)]
 
 
+def test_several_default_graphs_are_one_set(graph):
+    more = Graph(graph.spark, graph.tables, graph.edges | {"hasBook": graph.spark.createDataFrame([(100, 5), (102, 5)], "s long, o long")}, graph.catalog)
+    named = Graph(graph.spark, graph.tables, graph.edges, graph.catalog, {"http://g": graph, "http://h": more})
+    assert ask(named, "SELECT (COUNT(*) AS ?n) FROM <http://g> FROM <http://h> WHERE { ?m :hasBook ?b }") == [("4",)]
+    assert ask(named, "SELECT (COUNT(*) AS ?n) FROM <http://g> FROM <http://h> WHERE { ?m a :Module }") == [("3",)]
+
+
 def test_other_namespace(graph):
     own = Graph(graph.spark, graph.tables, graph.edges, Catalog("http://other/#", dict(PREFIXES)))
     assert ask(own, "PREFIX o: <http://other/#> SELECT (COUNT(?b) AS ?n) WHERE { ?b a o:Book }") == [("2",)]
