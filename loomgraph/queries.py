@@ -121,6 +121,28 @@ sparql("path_inverse", "SELECT ?d (COUNT(?u) AS ?n) WHERE { ?d ^:hasDepartment ?
 sparql("path_optional", f"SELECT ?x WHERE {{ <{NS}department_10> :hasCourse? ?x }}", f"SELECT {_iri('Department', '10')} AS x UNION SELECT {_iri('Course', 'o_custkey * 10000 + y')} FROM {COURSE} k WHERE o_custkey = 10")
 sparql("path_negated", f"SELECT ?o WHERE {{ <{NS}book_5> !(a|:title) ?o }}", "SELECT '5' AS o UNION ALL SELECT 'http://example.org/book/5'")
 
+# forms and graphs
+sparql("select_star", "SELECT * WHERE { ?u a :University ; :name ?n }", f"SELECT {_iri('University', 'n_nationkey')} AS u, n_name AS n FROM nation")
+sparql("reduced_titles", "SELECT REDUCED ?t WHERE { ?m a :Module ; :title ?t }", "SELECT DISTINCT o_orderpriority AS t FROM orders")
+
+
+@built("named_graphs", "SELECT 'http://g/all' AS g, CAST((SELECT count(*) FROM customer) AS BIGINT) AS n UNION ALL SELECT 'http://g/few', count(*) FROM customer WHERE c_nationkey < 5")
+def named_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = campus(spark, sf_dir)
+    few = Graph(spark, whole.tables, whole.edges | {"hasDepartment": whole.edges["hasDepartment"].filter("s < 5")}, whole.catalog, unique=True, codes=whole.codes)
+    both = Graph(spark, whole.tables, whole.edges, whole.catalog, {"http://g/all": whole, "http://g/few": few}, unique=True, codes=whole.codes)
+    return query(both, "SELECT ?g (COUNT(*) AS ?n) WHERE { GRAPH ?g { ?u :hasDepartment ?d } } GROUP BY ?g")
+
+
+@built("merged_graphs", "SELECT count(*) AS n FROM customer WHERE c_nationkey < 10")
+def merged_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two default graphs that overlap."""
+    whole = campus(spark, sf_dir)
+    part = lambda test: Graph(spark, whole.tables, whole.edges | {"hasDepartment": whole.edges["hasDepartment"].filter(test)}, whole.catalog, unique=True)
+    both = Graph(spark, whole.tables, whole.edges, whole.catalog, {"http://g/a": part("s < 7"), "http://g/b": part("s BETWEEN 3 AND 9")}, unique=True)
+    return query(both, "SELECT (COUNT(*) AS ?n) FROM <http://g/a> FROM <http://g/b> WHERE { ?u :hasDepartment ?d }")
+
+
 # sets, order, limits
 sparql("union_terms", "SELECT ?name ?title WHERE { { ?x a :University ; :name ?name } UNION { ?y a :Book ; :title ?title } }", "SELECT n_name AS name, NULL AS title FROM nation UNION ALL SELECT NULL, p_name FROM part")
 sparql("distinct_titles", "SELECT DISTINCT ?title WHERE { ?b a :Book ; :title ?title } ORDER BY ?title LIMIT 10", "SELECT DISTINCT p_name AS title FROM part ORDER BY 1 LIMIT 10")
@@ -202,6 +224,39 @@ def retry_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.summarize_attempts(attempts)
 
 
+@built("retry_events", """SELECT conv_id AS request_id, CAST(turn AS INTEGER) AS seq, 'sparql_retry' AS event, '{"attempt":' || CAST(turn + 1 AS VARCHAR) || ',"error":"' || substr(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), 1, 120) || '"}' AS data FROM conversations WHERE turn < 2 AND length(text) % 3 <> 0""")
+def retry_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    attempts = _turns(spark, sf_dir).select(F.col("conv_id").alias("request_id"), F.col("turn").cast("int").alias("attempt"), F.when(F.length("text") % 3 != 0, F.regexp_replace("text", "[^a-zA-Z ]", "")).alias("error"))
+    return pipeline.retry_events(attempts)
+
+
+@built("prompt_section", "SELECT n_nationkey, 'Ask about ' || n_name || '.' || chr(10) || chr(10) || '## Part' AS system FROM nation")
+def prompt_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("---\nname: x\n---\n\n# System\n\nAsk about "), F.col("n_name"), F.lit(".\n\n## Part\n\n# User\n{question}"))
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", T.system_column(text).alias("system"))
+
+
+@built("template_fill", "SELECT n_nationkey, 'Hello ' || n_name || ', WHERE { ?s ?p ?o } {other} ' || CAST(n_nationkey AS VARCHAR) || n_name AS text FROM nation")
+def template_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", T.fill_column("Hello {name}, WHERE { ?s ?p ?o } {other} {n}{name}", name=F.col("n_name"), n=F.col("n_nationkey")).alias("text"))
+
+
+@built("local_labels", "SELECT page_id, regexp_extract(url, '[^/]*$') AS label FROM pages")
+def local_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", T.local_label(F.col("url")).alias("label"))
+
+
+@built("event_fold_results", """WITH e AS (SELECT user_id, event_type, props, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+d AS (SELECT *, max(CASE WHEN event_type = 'error' THEN i END) OVER (PARTITION BY user_id) AS gone, max(CASE WHEN event_type IN ('error', 'signup') THEN i END) OVER (PARTITION BY user_id) AS reset FROM e)
+SELECT user_id, CASE WHEN min(reset) IS NULL OR min(reset) = min(gone) THEN 'idle' ELSE 'streaming' END AS status,
+  CASE WHEN min(reset) IS NOT NULL AND (min(gone) IS NULL OR min(reset) > min(gone)) THEN arg_max(props, i) FILTER (WHERE event_type = 'view' AND i > reset) END AS results FROM d GROUP BY user_id""")
+def event_fold_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States that meet results, dismissals and a user's own cancelling, which changes nothing."""
+    names = F.create_map(*[F.lit(x) for kv in {"signup": "SUBMIT", "view": "RESULTS", "error": "DISMISS", "click": "ABORT", "purchase": "ABORT"}.items() for x in kv])
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id", names[F.col("event_type")].alias("event"), F.col("props").alias("data"))
+    return fold(events, "user_id", ["ts", "event_id"]).select("user_id", "status", "results")
+
+
 @built("sse_parse", r"SELECT conv_id AS request_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS seq, role AS event, regexp_replace(text, '\s', ' ', 'g') || chr(10) || CAST(turn AS VARCHAR) AS data FROM conversations")
 def sse_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
