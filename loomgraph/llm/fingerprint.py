@@ -7,6 +7,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -87,29 +88,35 @@ def with_next(docs: DataFrame, ranges: int) -> DataFrame:
     """Texts dealt into ranges of ``id``, each range sorted and followed by the first text of the next.
 
     Ranges come from approximate quantiles of the ids, so no task sorts all. The driver gets a few
-    numbers per range. Columns ``part, late, id, doc_id, text``; ``late`` marks the text that follows.
+    numbers per range, and so do the executors, with which ids alone are looked up. Columns ``part, late,
+    id, doc_id, text``; ``late`` marks the text that follows.
     """
     keyed = docs.withColumn("id", F.coalesce("doc_id", F.lit(_FIRST)))
-    cuts = keyed.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 10_000)).first()[0] if ranges > 1 else []
-    cuts = sorted(set(cuts or []))
-    row = max(1, int(len(cuts) ** 0.5))
-    rows = [cuts[i : i + row] for i in range(0, len(cuts), row)] or [[]]
-    longs = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<bigint>")
-    below = lambda xs: F.size(F.filter(xs, lambda x: x <= F.col("id")))
-    coarse = below(longs([r[0] for r in rows[1:]]))
-    fine = below(F.element_at(F.array(*[longs(r) for r in rows]), F.col("coarse") + 1))
-    ranged = keyed.withColumn("coarse", coarse).withColumn("part", F.col("coarse") * row + fine).drop("coarse")
-    firsts = dict(ranged.groupBy("part").agg(F.min("id")).collect())
-    order = sorted(firsts)
-    ahead = {p: order[i - 1] for i, p in enumerate(order)}  # the first range follows the last
+    cuts = keyed.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], max(10_000, 20 * ranges))).first()[0] if ranges > 1 else []
+    cuts = np.unique(np.array(cuts or [], np.int64))
     n = len(cuts) + 1
-    first = F.element_at(longs([firsts.get(p) for p in range(n)]), F.col("part") + 1)
-    before = F.element_at(longs([ahead.get(p) for p in range(n)]), F.col("part") + 1)
-    places = F.array(F.struct("part", F.lit(0).alias("late")))
-    more = F.array(F.struct(before.cast("int").alias("part"), F.lit(1).alias("late")))
-    spread = ranged.withColumn("place", F.explode(F.when(F.col("id") == first, F.concat(places, more)).otherwise(places)))
-    keys = F.element_at(F.array(*[F.lit(k) for k in even_keys(docs.sparkSession, n)]), F.col("place.part") + 1)
-    spread = spread.select("place.part", "place.late", "id", "doc_id", "text", keys.cast("int").alias("key"))
+    keys = np.array(even_keys(docs.sparkSession, n), np.int64)
+
+    @F.pandas_udf("long")
+    def part_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, ids.to_numpy(np.int64), side="right"))
+
+    firsts = dict(keyed.select("id").withColumn("part", part_of("id")).groupBy("part").agg(F.min("id")).collect())
+    order = sorted(firsts)
+    first, before = np.full(n, _FIRST, np.int64), np.full(n, -1, np.int64)
+    for i, p in enumerate(order):
+        first[p], before[p] = firsts[p], order[i - 1]  # the first range follows the last
+
+    @F.pandas_udf("array<long>")
+    def places(ids: pd.Series) -> pd.Series:
+        """For each place of a text its partition's key, its range, and whether it is the text that follows there."""
+        at = np.searchsorted(cuts, ids.to_numpy(np.int64), side="right")
+        again = (ids.to_numpy(np.int64) == first[at]) & (before[at] >= 0)
+        return pd.Series([[keys[p], p, 0, keys[before[p]], before[p], 1] if x else [keys[p], p, 0] for p, x in zip(at.tolist(), again.tolist(), strict=True)])
+
+    spread = keyed.withColumn("places", places("id")).withColumn("at", F.explode(F.sequence(F.lit(0), (F.size("places") / 3 - 1).cast("int"))))
+    of = lambda i: F.get("places", 3 * F.col("at") + i)
+    spread = spread.select(of(1).cast("int").alias("part"), of(2).cast("int").alias("late"), "id", "doc_id", "text", of(0).cast("int").alias("key"))
     return spread.repartition(n, "key").sortWithinPartitions("part", "late", "id", F.xxhash64("text"))
 
 
