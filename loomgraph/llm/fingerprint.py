@@ -124,7 +124,7 @@ def fingerprint_edits(docs: DataFrame, *, ranges: int | None = None, id_col: str
     """Fingerprint every whole text and its edited text, whose end comes from the next document.
 
     Returns ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``.
-    Null text: as empty; its set is empty and like nothing but an empty one. Null ``doc_id``: before all
+    Null text: as empty; its set is empty and like nothing but an empty one. Very long texts: whole. Null ``doc_id``: before all
     others. Rows of one ``doc_id``: in order of a hash of their texts. A single row is its own next.
     Texts too short to retain a hash are like equal sets alone. Empty table: no rows. Each text is
     shuffled once. Other columns are not read.

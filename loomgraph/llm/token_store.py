@@ -147,7 +147,7 @@ def checksums(stored: DataFrame) -> DataFrame:
 def store_documents(docs: DataFrame, tokenizer: str, path: str | None = None, *, end_id: int, most_words: int = 250_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode all documents, write them as a store (in the shared folder by default) and read it back.
 
-    Null or empty text: ``end_id`` alone. Null ``doc_id``: first. Repeated rows: stored as often as
+    Null or empty text: ``end_id`` alone. Very long texts: whole, in a block of their own. Null ``doc_id``: first. Repeated rows: stored as often as
     they come, one after the other. Empty table: an empty store. Other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "tokens")
