@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprint, langid, mixing, near_dedup, packing, pages, pii, quality, suffix_dedup, token_store, url_filter
+from . import centroids, fingerprint, langid, mixing, near_dedup, packing, pages, pii, quality, suffix_dedup, token_store, url_filter
 from .textio import table
 
 LANGUAGES = ("en", "fr", "de", "es")
@@ -78,7 +78,36 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.checksums(token_store.store_documents(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path(), end_id=2, most_words=WORDS))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_packing, op3_url_filter, op4_suffix_dedup, op5_quality, op6_mixing, op7_pii, op8_language, op9_fingerprint, op10_token_store)}
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three Lloyd rounds over 16 centroids of all vectors of 64 components."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), k=16, rounds=3, dims=64, scale=64, seed=1)
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_packing, op3_url_filter, op4_suffix_dedup, op5_quality, op6_mixing, op7_pii, op8_language, op9_fingerprint, op10_token_store, op12_centroids)}
+
+
+
+def _lloyd_sql(rounds: int, k: int) -> str:
+    """Lloyd rounds one after another: the assignment of round r needs the centroids after r - 1 others."""
+    steps = [
+        "k AS (SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = 64)",
+        f"c0 AS (SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR))) - 1 AS INTEGER) AS cluster, v AS c FROM k WHERE vec_id IS NOT NULL QUALIFY cluster < {k})",
+    ]
+    for r in range(rounds + 1):
+        far = "CAST(list_sum([(p[1] - p[2]) * (p[1] - p[2]) FOR p IN list_zip(v, c)]) AS BIGINT)"
+        steps.append(f"d{r} AS (SELECT vec_id, v, cluster, {far} AS distance FROM k CROSS JOIN c{r})")
+        steps.append(f"a{r} AS (SELECT * FROM d{r} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, cluster) = 1)")
+        if r < rounds:
+            steps.append(f"e{r} AS (SELECT cluster, unnest(range(1, 65)) AS i, unnest(v) AS x FROM a{r})")
+            steps.append(f"s{r} AS (SELECT cluster, i, sum(x) AS s, count(*) AS n FROM e{r} GROUP BY cluster, i)")
+            steps.append(f"m{r} AS (SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM s{r} GROUP BY cluster)")
+            steps.append(f"c{r + 1} AS (SELECT c.cluster, coalesce(m.c, c.c) AS c FROM c{r} c LEFT JOIN m{r} m ON m.cluster = c.cluster)")
+    return (
+        "WITH " + ", ".join(f"{x[: x.index(' ')]} AS MATERIALIZED{x[x.index(' AS ') + 3 :]}" for x in steps) + f"""
+SELECT a.vec_id, a.cluster, a.distance, CAST(sum(a.distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(a.distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.cluster = a.cluster"""
+    )
+
 
 ORACLES: dict[str, str] = {
     "op1_near_dedup": r"""
@@ -157,4 +186,5 @@ WITH d AS (
 )
 SELECT doc_id, size, source_size, target, CAST(size * (epochs + CASE WHEN budget > 0 AND before + size / 2.0::DOUBLE <= budget THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM o
 """,
+    "op12_centroids": _lloyd_sql(rounds=3, k=16),
 }
