@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import centroids, fingerprint, langid, mixing, near_dedup, packing, pages, pii, quality, suffix_dedup, token_store, url_filter
+from . import centroids, fingerprint, langid, mixing, near_dedup, packing, pages, pii, quality, sequencer, suffix_dedup, token_store, url_filter
 from .textio import table
 
 LANGUAGES = ("en", "fr", "de", "es")
@@ -83,7 +83,18 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), k=16, rounds=3, dims=64, scale=64, seed=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_packing, op3_url_filter, op4_suffix_dedup, op5_quality, op6_mixing, op7_pii, op8_language, op9_fingerprint, op10_token_store, op12_centroids)}
+def op13_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of clients in ten batches of days, some late and some lost; waiting ends after eight days."""
+    columns = ("change_id", "client_id", "seq", "op", "valid_at", "source", "segment", "city", "balance")
+    rows = table(spark, sf_dir, "client_changes", *columns).distinct()
+    h = F.coalesce(F.crc32(F.col("change_id").cast("string")), F.lit(0))
+    day = F.when(h % 11 != 0, F.unix_date(F.col("valid_at").cast("date")) + 5 * (h % 4))
+    batch = F.greatest(F.lit(1), F.least(F.lit(10), 1 + F.floor((day - 19723) * 10 / 160)))
+    cents = F.when(F.abs("balance") < 9e16, F.floor(F.col("balance") * 100 + 0.5))
+    return sequencer.apply_changes(rows.select("change_id", "client_id", "seq", day.alias("day"), batch.alias("batch"), "op", "city", cents.alias("cents")), batches=10, patience=8)
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_packing, op3_url_filter, op4_suffix_dedup, op5_quality, op6_mixing, op7_pii, op8_language, op9_fingerprint, op10_token_store, op12_centroids, op13_changes)}
 
 
 
