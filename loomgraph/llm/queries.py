@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import centroids, fingerprint, langid, mixing, near_dedup, packing, pages, pii, quality, sequencer, suffix_dedup, token_store, url_filter
+from . import centroids, fingerprint, langid, mixing, near_dedup, packing, pages, pii, quality, sequencer, simhash, suffix_dedup, token_store, url_filter
 from .textio import table
 
 LANGUAGES = ("en", "fr", "de", "es")
@@ -78,6 +78,11 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.checksums(token_store.store_documents(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path(), end_id=2, most_words=WORDS))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of three-word shingles, linked at two differing bits."""
+    return simhash.near_documents(table(spark, sf_dir, "documents", "doc_id", "text"), width=3, budget=2)
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three Lloyd rounds over 16 centroids of all vectors of 64 components."""
     return centroids.cluster(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), k=16, rounds=3, dims=64, scale=64, seed=1)
@@ -94,7 +99,7 @@ def op13_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequencer.apply_changes(rows.select("change_id", "client_id", "seq", day.alias("day"), batch.alias("batch"), "op", "city", cents.alias("cents")), batches=10, patience=8)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_packing, op3_url_filter, op4_suffix_dedup, op5_quality, op6_mixing, op7_pii, op8_language, op9_fingerprint, op10_token_store, op12_centroids, op13_changes)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_packing, op3_url_filter, op4_suffix_dedup, op5_quality, op6_mixing, op7_pii, op8_language, op9_fingerprint, op10_token_store, op11_simhash, op12_centroids, op13_changes)}
 
 
 
