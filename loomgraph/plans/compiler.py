@@ -25,6 +25,13 @@ class Rel:
 
     df: DataFrame
     vars: dict[str, Value]
+    bound: frozenset[frozenset[str]] | None = None  # sets of variables that solutions can have bound, where that is known
+
+    def bound_sets(self, names: list[str]) -> set[frozenset[str]]:
+        """Which of some variables that may be unbound can be bound together."""
+        if self.bound is not None:
+            return {frozenset(s) & frozenset(names) for s in self.bound}
+        return {frozenset(n for n, on in zip(names, ons, strict=True) if on) for ons in product((True, False), repeat=len(names))}
 
     def scope(self) -> dict[str, Value]:
         return {n: replace(v, col=F.col(f"`v_{n}`")) for n, v in self.vars.items()}
@@ -34,6 +41,29 @@ def rel(df: DataFrame, values: dict[str, Value]) -> Rel:
     return Rel(df.select(*[v.col.alias(f"v_{n}") for n, v in values.items()]), values) if values else Rel(df.select(F.lit(1).alias("v_")), {})
 
 
+#: Sets of bound variables that are told apart, per relation.
+_MOST_STATES = 64
+
+
+def _states(a: Rel, b: Rel, optional: bool = False) -> frozenset[frozenset[str]] | None:
+    """Which variables a join of two relations can have bound together; None where too many or unknown."""
+    sides = []
+    for r in (a, b):
+        maybe = [n for n, v in r.vars.items() if v.maybe]
+        if r.bound is None and len(maybe) > 5:
+            return None
+        sides.append({s | {n for n in r.vars if n not in maybe} for s in r.bound_sets(maybe)} if maybe or r.vars else {frozenset()})
+    both = {frozenset(x | y) for x in sides[0] for y in sides[1]} | ({frozenset(x) for x in sides[0]} if optional else set())
+    return frozenset(both) if len(both) <= _MOST_STATES else None
+
+
+def _equates(f) -> bool:
+    """Whether a filter asks for the equality of two variables, which is a key to join by."""
+    if isinstance(f, Expr) and f.op == "&&":
+        return any(map(_equates, f.args))
+    return isinstance(f, Expr) and f.op == "=" and all(isinstance(x, Var) for x in f.args)
+
+
 #: How many rows a class has, by rank: joins start from what is small.
 _SIZE = {c: i for i, c in enumerate(CLASSES)}
 
@@ -79,62 +109,128 @@ class Compiler:
     def join(self, a: Rel, b: Rel) -> Rel:
         if not a.vars and a.df.columns == ["v_"] and not b.vars:
             return rel(a.df.crossJoin(b.df.select(F.lit(1).alias("w"))), {})
-        open_ = [n for n in a.vars if n in b.vars and (a.vars[n].maybe or b.vars[n].maybe)]
-        if open_ and sum(a.vars[n].maybe + b.vars[n].maybe for n in open_) <= 4:
-            return self._open_join(a, b, open_)
+        if self._open(a, b):
+            return self._together(a, b, [self._inner(x, y) for x in self._split(a, b) for y in self._split(b, a)])
         left, right, condition, values = self._matched(a, b)
-        return rel(left.join(right, condition, "inner") if condition is not None else left.crossJoin(right), values)
-
-    def _open_join(self, a: Rel, b: Rel, names: list[str]) -> Rel:
-        """A join on variables that may be unbound, as a union by which of them are bound on either side.
+        made = rel(left.join(right, condition, "inner") if condition is not None else left.crossJoin(right), values)
+        return replace(made, bound=_states(a, b))
+
+    # Joins on variables that may be unbound. Solutions of a side are parted by which of them they have
+    # bound; two parts then join by equality on what both have. Only parts that share nothing bound meet
+    # in pairs, as they should.
+    def _open(self, a: Rel, b: Rel) -> list[str]:
+        return [n for n in a.vars if n in b.vars and (a.vars[n].maybe or b.vars[n].maybe)]
+
+    def _split(self, r: Rel, other: Rel) -> list[Rel]:
+        """The parts of a side; in each, a shared variable is bound in all solutions or is not there."""
+        names = [n for n in r.vars if n in other.vars and r.vars[n].maybe]
+        if not names:
+            return [r]
+        out = []
+        for on in sorted(r.bound_sets(names), key=sorted, reverse=True):
+            test = reduce(lambda x, y: x & y, [F.col(f"`v_{n}`").isNotNull() if n in on else F.col(f"`v_{n}`").isNull() for n in names])
+            kept = {n: replace(v, maybe=v.maybe and n not in names) for n, v in r.scope().items() if n not in names or n in on}
+            out.append(rel(r.df.filter(test), kept))
+        return out
 
-        Each part joins by equality on what both sides have, so no part compares all pairs that could be
-        told apart; only solutions without any bound shared variable meet all others, as they should.
-        """
-        parts = []
-        sides = [[(n, side) for n in names if (a, b)[side].vars[n].maybe] for side in (0, 1)]
-        for bound in product((True, False), repeat=len(sides[0]) + len(sides[1])):
-            made, missing = [a, b], [set(), set()]
-            for (n, side), on in zip(sides[0] + sides[1], bound, strict=True):
-                col = F.col(f"`v_{n}`")
-                made[side] = Rel(made[side].df.filter(col.isNotNull() if on else col.isNull()), made[side].vars)
-                if not on:
-                    missing[side].add(n)
-            for side in (0, 1):
-                kept = {n: replace(v, maybe=v.maybe and n not in names) for n, v in made[side].scope().items() if n not in missing[side]}
-                made[side] = rel(made[side].df, kept)
-            parts.append(self.join(*made))
+    def _together(self, a: Rel, b: Rel | None, parts: list[Rel]) -> Rel:
+        """Parts as one relation with the variables of ``a``, then those of ``b``."""
+        sides = [a, b] if b else [a]
+        order = list(dict.fromkeys(n for r in sides for n in r.vars))
         out = self.union(parts)
-        order = [*a.vars, *(n for n in b.vars if n not in a.vars)]
-        maybe = {n: all(r.vars[n].maybe for r in (a, b) if n in r.vars) for n in order}
         scope = out.scope()
-        return rel(out.df, {n: replace(scope[n], maybe=maybe[n]) for n in order})
+        maybe = {n: scope[n].maybe and not any(n in r.vars and not r.vars[n].maybe for r in sides[:1]) for n in order if n in scope}
+        for n in [n for n in order if n not in scope]:  # bound in no part
+            v = next(r.vars[n] for r in sides if n in r.vars)
+            scope[n], maybe[n] = replace(v, col=F.lit(None).cast(self._type(v))), True
+        return replace(rel(out.df, {n: replace(scope[n], maybe=maybe[n]) for n in order}), bound=_states(a, b) if b else a.bound)
+
+    def _inner(self, a: Rel, b: Rel, filters: list = ()) -> Rel:
+        """A join of two parts. Without a shared variable all pairs, dealt over as many tasks as a shuffle has."""
+        left, right, condition, values = self._matched(a, b)
+        if condition is None:
+            n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            left = left.withColumn("w_", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+            right = right.withColumn("x_", F.pmod(F.xxhash64(*right.columns), F.lit(n)).cast("int"))
+            condition = F.col("w_") == F.col("x_")
+        for f in filters:
+            condition = condition & Expressions(values).truth(f)
+        return rel(left.join(right, condition, "inner"), values)
+
+    def _hit(self, a: Rel, b: Rel, filters: list, anti: bool) -> Rel:
+        """Solutions of a part that have, or (``anti``) have none, in another part that agrees and passes the filters."""
+        left, right, condition, values = self._matched(a, b)
+        kept = {n: replace(v, col=F.col(f"`l_{n}`"), maybe=a.vars[n].maybe) for n, v in values.items() if n in a.vars}
+        how = "left_anti" if anti else "left_semi"
+        if condition is None and not filters:  # whether there is any at all
+            zero = lambda df: F.pmod(F.xxhash64(*df.columns), F.lit(1)).cast("int")  # noqa: E731  no constant, so that the join has a key
+            some = right.limit(1)
+            return rel(left.withColumn("w_", zero(left)).join(some.select(zero(some).alias("x_")), F.col("w_") == F.col("x_"), how), kept)
+        if condition is None and not any(_equates(f) for f in filters):  # a ledger of the solutions that are matched, by their values
+            ledger = self._inner(a, b, filters).df.select(*[F.col(f"`v_{n}`").alias(f"w_{n}") for n in a.vars]).distinct()
+            same = reduce(lambda x, y: x & y, [F.col(f"`l_{n}`").eqNullSafe(F.col(f"`w_{n}`")) for n in a.vars])
+            left = left.select(*[values[n].col.alias(f"l_{n}") if f"l_{n}" not in left.columns else F.col(f"`l_{n}`") for n in a.vars], "l_")
+            return rel(left.join(ledger, same, how), kept)
+        for f in filters:
+            test = Expressions(values).truth(f)
+            condition = test if condition is None else condition & test
+        return rel(left.join(right, condition, how), kept)
 
     def left_join(self, a: Rel, b: Rel, filters: list) -> Rel:
         """OPTIONAL; its filters are part of the condition."""
+        shared = [n for n in a.vars if n in b.vars]
+        keyless = not shared and a.vars and b.vars and not any(_equates(f) for f in filters)
+        if self._open(a, b) or keyless:
+            parts = []
+            for x in self._split(a, b):
+                others = self._split(b, a)
+                if len(others) == 1 and set(x.vars) & set(others[0].vars):
+                    parts.append(self._left(x, others[0], filters))
+                    continue
+                alone = x
+                for y in others:
+                    parts.append(self._inner(x, y, filters))
+                    alone = self._hit(alone, y, filters, True)
+                parts.append(alone)
+            made = self._together(a, b, parts)
+        else:
+            made = self._left(a, b, filters)
+        out = {n: v if n in a.vars and not a.vars[n].maybe else replace(v, maybe=True) for n, v in made.scope().items()}
+        return Rel(made.df, out, _states(a, b, optional=True))
+
+    def _left(self, a: Rel, b: Rel, filters: list) -> Rel:
         left, right, condition, values = self._matched(a, b)
         for f in filters:
             test = Expressions(values).truth(f)
             condition = test if condition is None else condition & test
         joined = left.join(right, F.lit(True) if condition is None else condition, "left")
-        out = {n: v if n in a.vars and not a.vars[n].maybe else replace(v, maybe=True) for n, v in values.items()}
-        return rel(joined, out)
+        return rel(joined, {n: v if n in a.vars and not a.vars[n].maybe else replace(v, maybe=True) for n, v in values.items()})
 
-    def semi(self, a: Rel, b: Rel, anti: bool) -> Rel:
-        left, right, condition, values = self._matched(a, b)
-        kept = {n: replace(v, col=F.col(f"`l_{n}`")) for n, v in values.items() if n in a.vars}
-        return rel(left.join(right, F.lit(True) if condition is None else condition, "left_anti" if anti else "left_semi"), kept)
+    def semi(self, a: Rel, b: Rel, anti: bool, filters: list = (), apart: bool = False) -> Rel:
+        """Solutions of ``a`` that agree with one of ``b`` and pass the filters with it, or (``anti``) with none.
+
+        With ``apart``, solutions that share no bound variable don't count as agreeing.
+        """
+        parts = []
+        for x in self._split(a, b):
+            left = x
+            for y in self._split(b, a):
+                if apart and not set(x.vars) & set(y.vars):
+                    continue
+                if not anti:
+                    parts.append(self._hit(left, y, filters, False))
+                left = self._hit(left, y, filters, True)
+            if anti:
+                parts.append(left)
+        if len(parts) == 1 and not self._open(a, b):
+            return replace(parts[0], bound=a.bound)
+        return self._together(a, None, parts) if parts else Rel(a.df.limit(0), a.vars, a.bound)
 
     def minus(self, a: Rel, b: Rel) -> Rel:
         """Solutions that agree with one of ``b`` on a variable bound in both go; without any, none does."""
         if not set(a.vars) & set(b.vars):
             return a
-        left, right, condition, values = self._matched(a, b)
-        both = [F.col(f"`l_{n}`").isNotNull() & F.col(f"`r_{n}`").isNotNull() for n in a.vars if n in b.vars]
-        kept = {n: replace(v, col=F.col(f"`l_{n}`")) for n, v in values.items() if n in a.vars}
-        if any(a.vars[n].maybe or b.vars[n].maybe for n in a.vars if n in b.vars):
-            condition = condition & reduce(lambda x, y: x | y, both)
-        return rel(left.join(right, condition, "left_anti"), kept)
+        return self.semi(a, b, True, apart=True)
 
     def union(self, rels: list[Rel]) -> Rel:
         names = list(dict.fromkeys(n for r in rels for n in r.vars))
@@ -152,7 +248,9 @@ class Compiler:
             part = r.df.select(*cols) if cols else r.df.select(F.lit(1).alias("v_"))
             out = part if out is None else out.unionByName(part)
         maybe = {n: any(n not in r.vars or r.vars[n].maybe for r in rels) for n in names}
-        return Rel(out, {n: replace(v, col=F.col(f"`v_{n}`"), maybe=maybe[n]) for n, v in values.items()})
+        states = {s for r in rels for s in (r.bound if r.bound is not None else [frozenset(r.vars)] if not any(v.maybe for v in r.vars.values()) else [None])}
+        bound = frozenset(states) if None not in states and len(states) <= _MOST_STATES else None
+        return Rel(out, {n: replace(v, col=F.col(f"`v_{n}`"), maybe=maybe[n]) for n, v in values.items()}, bound)
 
     @staticmethod
     def _type(v: Value) -> str:
@@ -233,7 +331,7 @@ class Compiler:
             condition = Expressions(r.scope(), exists).truth(x)
             scope = marked[0].scope()
             return rel(marked[0].df.filter(condition), {n: v for n, v in scope.items() if n not in names})
-        return Rel(r.df.filter(Expressions(r.scope()).truth(x)), r.vars)
+        return Rel(r.df.filter(Expressions(r.scope()).truth(x)), r.vars, r.bound)
 
     def _mark(self, r: Rel, g: Group, name: str) -> Rel:
         """A column that says of each row whether a pattern has a solution that agrees with it."""
@@ -261,12 +359,7 @@ class Compiler:
     def _exists(self, r: Rel, g: Group, anti: bool) -> Rel:
         outer = [p.expr for p in g.parts if isinstance(p, Filter) and set(variables(p.expr)) - set(variables(g))]
         inner = self.group(Group(tuple(p for p in g.parts if not (isinstance(p, Filter) and p.expr in outer))))
-        left, right, condition, values = self._matched(r, inner)
-        for f in outer:
-            test = Expressions(values).truth(f)
-            condition = test if condition is None else condition & test
-        kept = {n: replace(v, col=F.col(f"`l_{n}`")) for n, v in values.items() if n in r.vars}
-        return rel(left.join(right, F.lit(True) if condition is None else condition, "left_anti" if anti else "left_semi"), kept)
+        return self.semi(r, inner, anti, outer)
 
     def values(self, v: Values) -> Rel:
         names = [x.name for x in v.vars]
@@ -281,7 +374,8 @@ class Compiler:
             empty = self.spark.range(0).select(*[F.lit(None).cast(self._type(kinds[n])).alias(f"v_{n}") for n in names])
             return Rel(empty, {n: replace(kinds[n], col=F.col(f"`v_{n}`")) for n in names})
         df = self.spark.range(1).select(F.explode(rows).alias("r")).select("r.*")
-        return Rel(F.broadcast(df), {n: replace(kinds[n], col=F.col(f"`v_{n}`")) for n in names})  # as long as the query's text
+        bound = frozenset(frozenset(n for n, cell in zip(names, row, strict=True) if cell is not None) for row in v.rows)
+        return Rel(F.broadcast(df), {n: replace(kinds[n], col=F.col(f"`v_{n}`")) for n in names}, bound if len(bound) <= _MOST_STATES else None)  # as long as the query's text
 
     # basic graph patterns
     def bgp(self, triples: list[Triple], inline: list[Rel | Values]) -> Rel:

@@ -111,6 +111,12 @@ sparql("optional_then_join", "SELECT ?m ?t WHERE { ?m a :Module OPTIONAL { ?m :h
 
 sparql("open_join", "SELECT ?m ?t WHERE { ?m a :Module ; :hasCode ?k FILTER(?k < \"2\") OPTIONAL { ?m :hasBook ?b FILTER(?b != <" + NS + "book_1>) } OPTIONAL { ?b a :Book ; :title ?t } }", f"SELECT {_iri('Module', 'o_orderkey')} AS m, p_name AS t FROM orders LEFT JOIN (SELECT * FROM {HB} WHERE l_partkey <> 1) h ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey IS NULL OR l_partkey = p_partkey WHERE CAST(o_orderkey AS VARCHAR) < '2'")
 
+_OPEN = "?m a :Module ; :hasCode ?k OPTIONAL { ?m :hasBook ?b FILTER(?b != <" + NS + "book_1>) }"
+_OPEN_ROWS = f"SELECT CAST(o_orderkey AS VARCHAR) AS k, CASE WHEN l_partkey IS NOT NULL THEN {_iri('Book', 'l_partkey')} END AS b FROM orders LEFT JOIN (SELECT * FROM {HB} WHERE l_partkey <> 1) h ON l_orderkey = o_orderkey"
+sparql("open_minus", f'SELECT ?k ?b WHERE {{ {_OPEN} MINUS {{ ?b a :Book ; :hasCode ?c FILTER(?c < "2") }} }}', f"{_OPEN_ROWS} WHERE l_partkey IS NULL OR CAST(l_partkey AS VARCHAR) >= '2'")
+sparql("open_exists", f'SELECT ?k ?b WHERE {{ {_OPEN} FILTER EXISTS {{ ?b a :Book ; :hasCode ?c FILTER(?c < "2") }} }}', f"{_OPEN_ROWS} WHERE l_partkey IS NULL OR CAST(l_partkey AS VARCHAR) < '2'")
+sparql("open_not_exists", f'SELECT ?k ?b WHERE {{ {_OPEN} FILTER NOT EXISTS {{ ?b a :Book ; :hasCode ?c FILTER(?c < "2" && ?c < ?k) }} }}', f"{_OPEN_ROWS} WHERE CASE WHEN l_partkey IS NULL THEN CAST(o_orderkey AS VARCHAR) <= '1' ELSE NOT (CAST(l_partkey AS VARCHAR) < '2' AND CAST(l_partkey AS VARCHAR) < CAST(o_orderkey AS VARCHAR)) END")
+
 # paths
 sparql("path_sequence", "SELECT (COUNT(*) AS ?n) (COUNT(DISTINCT ?b) AS ?books) WHERE { ?u :hasDepartment/:hasCourse/:hasModule/:hasBook ?b }", f"SELECT count(*) AS n, count(DISTINCT l_partkey) AS books FROM {CHAIN}")
 _LINKS = f"(SELECT {_iri('University', 'c_nationkey')} AS s, {_iri('Department', 'c_custkey')} AS o FROM customer UNION ALL SELECT {_iri('Department', 'o_custkey')}, {_iri('Course', 'o_custkey * 10000 + y')} FROM {COURSE} k)"
