@@ -9,9 +9,9 @@ from itertools import product
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..catalog import CLASSES, Property
-from ..operators.closure import checkpoint_dir, closure
-from ..sources.graph import Graph, merged
+from ..catalog import CLASSES, PROPERTIES, Catalog, Property
+from ..operators.closure import TERM, Frontier, Step, checkpoint_dir, closure, connected, reach, reach_pairs
+from ..sources.graph import Graph, emptied, merged
 from ..sparql.algebra import Bind, Expr, Filter, Group, Iri, Literal, Minus, Optional, Path, Query, Triple, Union, Values, Var, aggregates, variables
 from ..sparql.lexer import SparqlSyntaxError
 from ..sparql.parser import TYPE, parse
@@ -33,6 +33,9 @@ class Rel:
             return {frozenset(s) & frozenset(names) for s in self.bound}
         return {frozenset(n for n, on in zip(names, ons, strict=True) if on) for ons in product((True, False), repeat=len(names))}
 
+    def only(self, names: list[str]) -> Rel:
+        return rel(self.df, {n: v for n, v in self.scope().items() if n in names})
+
     def scope(self) -> dict[str, Value]:
         return {n: replace(v, col=F.col(f"`v_{n}`")) for n, v in self.vars.items()}
 
@@ -57,6 +60,13 @@ def _states(a: Rel, b: Rel, optional: bool = False) -> frozenset[frozenset[str]]
     return frozenset(both) if len(both) <= _MOST_STATES else None
 
 
+def _kind_of_node(catalog: Catalog, t) -> Value:
+    """The kind of a constant end; an instance's IRI is a key."""
+    if isinstance(t, Iri) and (prefix := next((catalog.key_prefix(c) for c in CLASSES if re.fullmatch(re.escape(catalog.key_prefix(c)) + r"(0|-?[1-9]\d{0,17})", t.value)), None)):
+        return Value(F.lit(None).cast("bigint"), "key", prefix)
+    return constant(t)
+
+
 def _equates(f) -> bool:
     """Whether a filter asks for the equality of two variables, which is a key to join by."""
     if isinstance(f, Expr) and f.op == "&&":
@@ -445,7 +455,7 @@ class Compiler:
             elif isinstance(t.p, Var) or t.p == TYPE:
                 out.append((9, self.general(t)))
             elif p is None:
-                out.append((9, self.general(t)))
+                out.append((0, self._nothing(t)))
             elif p.to:
                 linked |= {t.s, t.o}
                 rank = 1 if isinstance(t.s, Iri) or isinstance(t.o, Iri) else 4 + _SIZE[p.of[0]]
@@ -527,6 +537,11 @@ class Compiler:
             wanted = texts if p.kind == "str" else [int(x) for x in texts if re.fullmatch(r"[+-]?\d{1,18}", x)]
         return F.lit(False) if not wanted else col == wanted[0] if len(wanted) == 1 else col.isin(*wanted)
 
+    def _nothing(self, t: Triple) -> Rel:
+        """A pattern with a predicate that the catalog doesn't know: no triple has it."""
+        values = {x.name: Value(F.lit(None).cast("string"), "iri") for x in (t.s, t.o) if isinstance(x, Var)}
+        return rel(self.spark.range(0), values)
+
     def general(self, t: Triple) -> Rel:
         """A pattern whose predicate or type is open, over types or all triples."""
         if t.p == TYPE:
@@ -552,8 +567,43 @@ class Compiler:
         p = t.p
         if p.op in ("star", "plus", "opt"):
             return self._repeated(t, p)
+        if p.op == "seq" and not (isinstance(t.s, Var) and isinstance(t.o, Var)):
+            return self._sequence(t, list(p.parts))
+        if p.op == "inv" and isinstance(p.parts[0], Path):
+            return self.path(Triple(t.o, p.parts[0], t.s))
         return self._ends(self.steps(p), t.s, t.o)
 
+    def _sequence(self, t: Triple, parts: list) -> Rel:
+        """A sequence from its constant end, so that each part begins at what the part before has found."""
+        if isinstance(t.s, Var):
+            return self._sequence(Triple(t.o, None, t.s), [x.parts[0] if isinstance(x, Path) and x.op == "inv" else Path("inv", (x,)) for x in reversed(parts)])
+        current = self.bgp([Triple(t.s, parts[0], Var(".o"))], [])
+        for x in parts[1:]:
+            turned = isinstance(x, Path) and x.op == "inv" and isinstance(x.parts[0], Path) and x.parts[0].op in ("star", "plus", "opt")
+            if turned or isinstance(x, Path) and x.op in ("star", "plus", "opt"):
+                found = self._reached(current.scope()[".o"], current.df, x.parts[0] if turned else x, turned)
+            else:
+                found = self.steps(x)
+            left, scope = rel(current.df, {".m": current.scope()[".o"]}), found.scope()
+            joined = self.join(left, rel(found.df, {".m": scope[".s"], ".o": scope[".o"]}))
+            current = rel(joined.df, {".o": joined.scope()[".o"]})
+        scope = current.scope()
+        return self._ends(rel(current.df, {".s": Value(F.lit(None).cast("string"), "iri"), ".o": scope[".o"]}), Var(".s"), t.o).only([t.o.name] if isinstance(t.o, Var) else [])
+
+    def _reached(self, start: Value, df: DataFrame, p: Path, turned: bool) -> Rel:
+        """Pairs ``.s, .o`` of a repeated path from the nodes of a column alone."""
+        a, b = (".o", ".s") if turned else (".s", ".o")
+        parts = [(r, r.scope()) for r in self._parts(p.parts[0])]
+        seeds = df.select(self._as_node(start).alias("node")).distinct()
+        if p.op == "opt":
+            pairs = reduce(DataFrame.union, [x.df.select("s", "o") for x in self._steps(parts, a, b)]).join(seeds.select(F.col("node").alias("s")), "s", "left_semi")
+        else:
+            pairs = reach_pairs(self._steps(parts, a, b), seeds)
+        kinds = [scope[b] for _, scope in parts]
+        if p.op != "plus":
+            pairs, kinds = pairs.union(seeds.select("node", "node")).distinct(), [*kinds, start]
+        return rel(pairs.distinct(), {".s": self._of_node(F.col("s"), [start]), ".o": self._of_node(F.col("o"), kinds)})
+
     def steps(self, p) -> Rel:
         """Pairs ``.s, .o`` of a path, as often as there are ways."""
         s, o = Var(".s"), Var(".o")
@@ -604,35 +654,103 @@ class Compiler:
                 df = df.filter(F.lit(False) if pair is None else pair[0] == pair[1])
         return rel(df, values)
 
+    def _parts(self, p) -> list[Rel]:
+        """Pairs ``.s, .o`` of a path in parts, so that the ends of each are of one kind where possible."""
+        s, o = Var(".s"), Var(".o")
+        if isinstance(p, Iri):
+            literal = self.catalog.property(p.value)
+            if literal and not literal.to:
+                return [self.star(s, [(Triple(s, p, o), literal)], (cls,)) for cls in literal.of]
+        elif p.op == "inv":
+            return [rel(r.df, {".s": r.scope()[".o"], ".o": r.scope()[".s"]}) for r in self._parts(p.parts[0])]
+        elif p.op == "alt":
+            return [r for x in p.parts for r in self._parts(x)]
+        return [self.steps(p)]
+
+    def _as_node(self, v: Value) -> Column:
+        """A value as a node; an instance's IRI becomes its number, whatever kind it comes in."""
+        made = lambda c, k, t: F.struct(c.alias("c"), k.cast("bigint").alias("k"), t.alias("t"))
+        no_text, no_number, no_term = F.lit(None).cast("string"), F.lit(None).cast("bigint"), F.lit(None).cast(TERM)
+        if v.kind == "key":
+            return made(F.lit(v.prefix), v.col, no_term)
+        if v.kind not in ("iri", "term"):
+            return made(no_text, no_number, v.term())
+        prefixes = "|".join(re.escape(self.catalog.key_prefix(c)) for c in CLASSES)
+        pattern = rf"^({prefixes})(0|-?[1-9][0-9]{{0,17}})$"
+        term = v.term()
+        lex = F.when(term["kind"] == "iri", term["lex"])
+        instance = made(F.regexp_extract(lex, pattern, 1), F.regexp_extract(lex, pattern, 2).try_cast("bigint"), no_term)
+        return F.when(F.coalesce(lex.rlike(pattern), F.lit(False)), instance).otherwise(made(no_text, no_number, term))
+
+    def _of_node(self, node: Column, kinds: list[Value]) -> Value:
+        """A node as a value of the narrowest kind that holds what kinds of ends it can have."""
+        if all(v.kind == "key" and v.prefix == kinds[0].prefix for v in kinds):
+            return Value(node["k"], "key", kinds[0].prefix)
+        iri = F.concat(node["c"], node["k"].cast("string"))
+        if all(v.kind in ("key", "iri") for v in kinds):
+            return Value(F.coalesce(iri, node["t"]["lex"]), "iri")
+        return Value(F.when(node["c"].isNotNull(), Value(iri, "iri").term()).otherwise(node["t"]), "term")
+
+    def _steps(self, parts: list[tuple[Rel, dict[str, Value]]], a: str, b: str) -> list[Step]:
+        """Parts of a path as steps from one of their ends to the other."""
+        out = []
+        for r, scope in parts:
+            key = scope[a].kind == "key"
+            df = r.df.select(self._as_node(scope[a]).alias("s"), self._as_node(scope[b]).alias("o"), *([scope[a].col.alias("key")] if key else []))
+            out.append(Step(df, scope[a].prefix, F.col("key")) if key else Step(df))
+        return out
+
+    def _nodes(self) -> DataFrame:
+        """``s``: every subject and object of the graph as a node."""
+        parts = [self.graph.instances(c).select(self._as_node(Value(F.col("key"), "key", self.catalog.key_prefix(c))).alias("s")) for c in CLASSES]
+        types = F.explode(F.array(*[F.lit(t) for c in CLASSES for t in self.catalog.types_of(c)]))
+        parts.append(self.spark.range(1).select(types.alias("x")).select(self._as_node(Value(F.col("x"), "iri")).alias("s")))
+        for p in PROPERTIES:
+            for cls in p.of if not p.to else ():
+                parts.append(self.graph.literals(cls, p.name).select(self._as_node(Value(F.col("value"), p.kind)).alias("s")))
+            if p.to:
+                parts += [self.graph.edges[p.name].select(self._as_node(Value(F.col(e), "key", self.catalog.key_prefix(c))).alias("s")) for e, c in (("s", p.of[0]), ("o", p.to))]
+        return reduce(DataFrame.union, parts).distinct()
+
     def _repeated(self, t: Triple, p: Path) -> Rel:
         """``*``, ``+`` and ``?``: a set of pairs, with every node beside itself for ``*`` and ``?``.
 
-        Followed from a constant end where there is one.
+        Followed from a constant end where there is one, from both where both are.
         """
-        pairs = self.steps(p.parts[0])
-        scope = pairs.scope()
-        edges = pairs.df.select(scope[".s"].lex().alias("s"), scope[".o"].lex().alias("o"))
-        s, o = t.s, t.o
-        turn = not isinstance(o, Var) and isinstance(s, Var)
-        if turn:
-            edges, s, o = edges.select(F.col("o").alias("s"), F.col("s").alias("o")), o, s
-        seeds = self.spark.createDataFrame([(s.value,)], "s string") if not isinstance(s, Var) else None
-        if p.op == "opt":
-            out = edges if seeds is None else edges.join(seeds, "s", "left_semi")
-        else:
-            out = closure(edges, seeds)
-        if p.op != "plus":
-            if seeds is not None:
-                nodes = seeds
+        parts = [(r, r.scope()) for r in self._parts(p.parts[0])]
+
+        steps = lambda a, b: self._steps(parts, a, b)
+        fixed = [x for x in (t.s, t.o) if not isinstance(x, Var)]
+        one = lambda x: self.spark.range(1).select(self._as_node(constant(x)).alias("node"))
+        if len(fixed) == 2:
+            same = p.op != "plus" and one(t.s).join(one(t.o), "node", "left_semi").count() > 0
+            if p.op == "opt":
+                near = [m for step in steps(".s", ".o") if (m := step.among(Frontier(self.spark, [one(t.s).first()["node"]], size=1))) is not None]
+                found = same or any(not m.join(one(t.o), "node", "left_semi").isEmpty() for m in near)
+            else:
+                found = same or connected(steps(".s", ".o"), steps(".o", ".s"), one(t.s), one(t.o))
+            return Rel(self.spark.range(1 if found else 0).select(F.lit(1).alias("v_")), {})
+        if fixed:
+            a, b = (".s", ".o") if t.s is fixed[0] else (".o", ".s")
+            if p.op == "opt":
+                start = Frontier(self.spark, [one(fixed[0]).first()["node"]], size=1)
+                made = [m for step in steps(a, b) if (m := step.among(start)) is not None]
+                nodes = reduce(DataFrame.union, made, one(fixed[0])).distinct()
             else:
-                triples = self.graph.triples
-                nodes = triples.select("s").union(triples.select(F.col("o.lex"))).distinct()
+                nodes = reach(steps(a, b), one(fixed[0]))
+                nodes = nodes if p.op == "plus" else nodes.union(one(fixed[0])).distinct()
+            kinds = [scope[b] for _, scope in parts] + ([_kind_of_node(self.catalog, fixed[0])] if p.op != "plus" else [])
+            free = t.o if a == ".s" else t.s
+            return rel(nodes, {free.name: self._of_node(F.col("node"), kinds)})
+        edges = reduce(DataFrame.union, [s.df.select("s", "o") for s in steps(".s", ".o")])
+        out = edges if p.op == "opt" else closure(edges)
+        kinds = {x: [scope[x] for _, scope in parts] for x in (".s", ".o")}
+        if p.op != "plus":
+            nodes = self._nodes()
             out = out.union(nodes.select("s", F.col("s").alias("o")))
+            kinds = {x: [Value(F.lit(None), "term")] for x in kinds}
         out = out.distinct()
-        if turn:
-            out, s, o = out.select(F.col("o").alias("s"), F.col("s").alias("o")), o, s
-        found = rel(out, {".s": Value(F.col("s"), "iri"), ".o": Value(F.col("o"), "iri")})
-        return self._ends(found, s, o)
+        return self._ends(rel(out, {x: self._of_node(F.col(x[1:]), kinds[x]) for x in (".s", ".o")}), t.s, t.o)
 
     # queries
     def _aggregate(self, x: Expr, scope: dict[str, Value]) -> Value:
@@ -720,7 +838,7 @@ class Compiler:
             if missing:
                 raise SparqlSyntaxError(f"unknown graph <{missing[0]}>")
             named = {iri: self.graph.named[iri] for iri, n in q.graphs if n}
-            base = merged([self.graph.named[iri] for iri in dict.fromkeys(default)]) if default else self.graph
+            base = merged([self.graph.named[iri] for iri in dict.fromkeys(default)]) if default else emptied(self.graph)
             own = Graph(base.spark, base.tables, base.edges, base.catalog, named, unique=base.unique, codes=base.codes)
             return Compiler(own).run(replace(q, graphs=()), as_text=as_text)
         if q.form == "SELECT":

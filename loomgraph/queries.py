@@ -127,6 +127,11 @@ sparql("path_inverse", "SELECT ?d (COUNT(?u) AS ?n) WHERE { ?d ^:hasDepartment ?
 sparql("path_optional", f"SELECT ?x WHERE {{ <{NS}department_10> :hasCourse? ?x }}", f"SELECT {_iri('Department', '10')} AS x UNION SELECT {_iri('Course', 'o_custkey * 10000 + y')} FROM {COURSE} k WHERE o_custkey = 10")
 sparql("path_negated", f"SELECT ?o WHERE {{ <{NS}book_5> !(a|:title) ?o }}", "SELECT '5' AS o UNION ALL SELECT 'http://example.org/book/5'")
 
+sparql("path_literals", f"SELECT ?x ?y (isLiteral(?y) AS ?lit) (DATATYPE(?y) AS ?type) WHERE {{ VALUES ?x {{ <{NS}book_5> }} <{NS}book_5> (:title|:hasCode)? ?y }}", f"SELECT '{NS}book_5' AS x, y, lit, CASE WHEN lit THEN 'http://www.w3.org/2001/XMLSchema#string' END AS type FROM (SELECT '{NS}book_5' AS y, false AS lit UNION SELECT p_name, true FROM part WHERE p_partkey = 5 UNION SELECT '5', true)")
+sparql("path_to_literals", f"SELECT ?y WHERE {{ <{NS}module_33> (:hasBook|:title)+ ?y FILTER(isLiteral(?y)) }}", f"SELECT o_orderpriority AS y FROM orders WHERE o_orderkey = 33 UNION SELECT p_name FROM part JOIN {HB} h ON l_partkey = p_partkey WHERE l_orderkey = 33")
+_UP = "SELECT c_nationkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey = 33"
+sparql("path_between", f"SELECT ?n ?hit WHERE {{ ?u a :University ; :name ?n {{ SELECT (COUNT(*) AS ?hit) WHERE {{ {{ <{NS}university_3> (:hasDepartment|:hasCourse|:hasModule|:hasBook)+ <{NS}module_33> }} UNION {{ <{NS}module_33> ^:hasModule/(^:hasCourse|^:hasDepartment)* ?up FILTER(?up = <{NS}university_3>) }} UNION {{ <{NS}university_3> :hasCourse* <{NS}university_3> }} }} }} }}", f"SELECT n_name AS n, 1 + 2 * (SELECT count(*) FROM ({_UP}) WHERE c_nationkey = 3) AS hit FROM nation")
+
 # forms and graphs
 sparql("select_star", "SELECT * WHERE { ?u a :University ; :name ?n }", f"SELECT {_iri('University', 'n_nationkey')} AS u, n_name AS n FROM nation")
 sparql("reduced_titles", "SELECT REDUCED ?t WHERE { ?m a :Module ; :title ?t }", "SELECT DISTINCT o_orderpriority AS t FROM orders")
@@ -149,6 +154,15 @@ def merged_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query(both, "SELECT (COUNT(*) AS ?n) FROM <http://g/a> FROM <http://g/b> WHERE { ?u :hasDepartment ?d }")
 
 
+@built("named_only", "SELECT CAST(0 AS BIGINT) AS n, count(*) AS named FROM customer WHERE c_nationkey < 4")
+def named_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without a default graph in the query, patterns outside GRAPH find nothing."""
+    whole = campus(spark, sf_dir)
+    few = Graph(spark, whole.tables, whole.edges | {"hasDepartment": whole.edges["hasDepartment"].filter("s < 4")}, whole.catalog, unique=True, codes=whole.codes)
+    both = Graph(spark, whole.tables, whole.edges, whole.catalog, {"http://g/few": few}, unique=True, codes=whole.codes)
+    return query(both, "SELECT ?n ?named FROM NAMED <http://g/few> WHERE { { SELECT (COUNT(*) AS ?n) WHERE { ?u a :University } } { SELECT (COUNT(*) AS ?named) WHERE { GRAPH <http://g/few> { ?u :hasDepartment ?d } } } }")
+
+
 # sets, order, limits
 sparql("union_terms", "SELECT ?name ?title WHERE { { ?x a :University ; :name ?name } UNION { ?y a :Book ; :title ?title } }", "SELECT n_name AS name, NULL AS title FROM nation UNION ALL SELECT NULL, p_name FROM part")
 sparql("distinct_titles", "SELECT DISTINCT ?title WHERE { ?b a :Book ; :title ?title } ORDER BY ?title LIMIT 10", "SELECT DISTINCT p_name AS title FROM part ORDER BY 1 LIMIT 10")

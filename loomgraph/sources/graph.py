@@ -89,6 +89,12 @@ def merged(graphs: list[Graph]) -> Graph:
     return Graph(first.spark, tables, edges, first.catalog, first.named)
 
 
+def emptied(graph: Graph) -> Graph:
+    """A graph without triples, as the default graph is where a query names graphs but none as default."""
+    none = lambda frames: {n: df.filter(F.lit(False)) for n, df in frames.items()}
+    return Graph(graph.spark, none(graph.tables), none(graph.edges), graph.catalog, unique=True, codes=graph.codes)
+
+
 def campus(spark: SparkSession, sf_dir: str, catalog: Catalog | None = None) -> Graph:
     """The graph of the star schema: nations, customers, years of orders, orders, parts, and line items as edges."""
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")

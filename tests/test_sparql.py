@@ -209,6 +209,65 @@ def test_closure_ends_on_cycles(spark):
     assert closure(edges, spark.createDataFrame([("d",)], "s string")).count() == 1
 
 
+def test_ends_of_paths_are_terms(graph):
+    book = f"<{NAMESPACE}book_5>"
+    assert ask(graph, f"SELECT ?y (isLiteral(?y) AS ?l) WHERE {{ {book} :title? ?y }}") == [("b5", "true"), (NAMESPACE + "book_5", "false")]
+    assert ask(graph, "SELECT ?y (DATATYPE(?y) AS ?d) WHERE { <" + NAMESPACE + "course_10> (:year|:title)+ ?y }") == [("2020", "http://www.w3.org/2001/XMLSchema#integer"), ("c", "http://www.w3.org/2001/XMLSchema#string")]
+    assert ask(graph, "SELECT ?x WHERE { ?x (:hasBook|:title)+ 'b6' }") == [(NAMESPACE + "book_6",), (NAMESPACE + "module_101",)]
+    assert ask(graph, "SELECT (COUNT(*) AS ?n) WHERE { ?x (:title|:semester)+ ?y FILTER(isIRI(?x) && isLiteral(?y)) }") == [("11",)]
+    assert ask(graph, "SELECT ?t WHERE { ?d :hasCourse+ ?c . ?c :title ?t ; :year 2021 }") == [("c",)]
+    assert ask(graph, "SELECT (COUNT(*) AS ?n) WHERE { ?x :nothing ?y }") == [("0",)]
+
+
+def test_paths_between_two_ends(graph):
+    node = lambda x: f"<{NAMESPACE}{x}>"
+    path = "(:hasDepartment|:hasCourse|:hasModule|:hasBook)"
+    for a, op, b, wanted in [("university_1", "+", "book_6", "true"), ("university_2", "+", "book_6", "false"), ("university_1", "*", "university_1", "true"), ("university_1", "+", "university_1", "false"), ("course_10", "?", "module_100", "true"), ("course_10", "?", "book_5", "false"), ("course_10", "?", "course_10", "true")]:
+        assert query(graph, f"ASK {{ {node(a)} {path}{op} {node(b)} }}").first()[0] == (wanted == "true"), (a, op, b)
+
+
+def test_sequences_from_a_constant_count_every_way(graph):
+    """Module 101 has two books, module 100 one; a repeated part is a set for each node it begins at."""
+    course, book = f"<{NAMESPACE}course_10>", f"<{NAMESPACE}book_5>"
+    assert ask(graph, f"SELECT ?b WHERE {{ {course} :hasModule/:hasBook+ ?b }}") == [(NAMESPACE + "book_5",), (NAMESPACE + "book_5",), (NAMESPACE + "book_6",)]
+    assert ask(graph, f"SELECT ?x WHERE {{ {book} ^:hasBook/(^:hasModule|^:hasCourse)* ?x }}") == sorted([(NAMESPACE + x,) for x in ("module_100", "module_101", "course_10", "course_10", "department_1", "department_1")])
+    assert ask(graph, f"SELECT ?x WHERE {{ ?x (:hasCourse|:hasModule)+/:hasBook {book} }}") == ask(graph, f"SELECT ?x WHERE {{ ?x (:hasCourse|:hasModule)+ ?m . ?m :hasBook {book} }}")
+    assert ask(graph, f"SELECT ?t WHERE {{ {course} :hasModule/:hasBook?/:title ?t }}") == [("b5",), ("b5",), ("b6",), ("m",), ("m",)]
+    assert query(graph, f"ASK {{ {course} :hasModule/^:hasModule {course} }}").first()[0]
+
+
+def test_long_paths_with_large_frontiers(spark, monkeypatch):
+    """The same nodes whether the newest are looked up by number or joined."""
+    from loomgraph.operators import closure as C
+
+    edges = spark.createDataFrame([(i, j) for i in range(40) for j in (2 * i + 1, 2 * i + 2, i // 2)], "s long, o long")
+    node = lambda c: F.struct(F.lit("n").alias("c"), F.col(c).alias("k"), F.lit(None).cast(C.TERM).alias("t"))
+    steps = [C.Step(edges.select(node("s").alias("s"), node("o").alias("o"), F.col("s").alias("key")), "n", F.col("key"))]
+    start = spark.range(1).select(F.lit(3).cast("long").alias("k")).select(node("k").alias("node"))
+    found = []
+    for few in (1000, 2):
+        monkeypatch.setattr(C, "FEW", few)
+        found.append(sorted(r["node"]["k"] for r in C.reach(steps, start).collect()))
+    assert found[0] == found[1] == list(range(81))
+
+
+def test_paths_from_an_end_write_no_edges(spark):
+    """The first round reads edges at the constant alone."""
+    from loomgraph.plans.compiler import Compiler
+    from loomgraph.sources.graph import campus
+
+    made = Compiler(campus(spark, "/root/testdata/sf0.001"))
+    part = made._parts(__import__("loomgraph.sparql.algebra", fromlist=["Iri"]).Iri(NAMESPACE + "hasModule"))[0]
+    plan = part.df.filter(part.scope()[".o"].col == 33)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(o_orderkey,33)" in plan
+
+
+def test_from_named_alone_leaves_the_default_graph_empty(graph):
+    named = Graph(graph.spark, graph.tables, graph.edges, graph.catalog, {"http://g": graph})
+    assert ask(named, "SELECT (COUNT(*) AS ?n) FROM NAMED <http://g> WHERE { ?u a :University }") == [("0",)]
+    assert ask(named, "SELECT (COUNT(*) AS ?n) FROM NAMED <http://g> WHERE { GRAPH <http://g> { ?u a :University } }") == [("2",)]
+
+
 def test_open_predicates_and_types(graph):
     assert ask(graph, f"SELECT ?p ?o WHERE {{ <{NAMESPACE}book_5> ?p ?o FILTER(isLiteral(?o)) }}") == [(NAMESPACE + "hasCode", "5"), (NAMESPACE + "hasURL", "u5"), (NAMESPACE + "title", "b5")]
     assert len(ask(graph, f"SELECT ?t WHERE {{ <{NAMESPACE}book_5> a ?t }}")) == len(Catalog().types_of("Book"))
