@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .catalog import CLASSES, NAMESPACE, PROPERTIES, Catalog
 from .functions import text as T
-from .nlq import mock, pipeline, report
+from .nlq import batch, mock, pipeline, report
 from .plans.compiler import query
 from .sources.graph import Graph, campus
 from .streaming.events import fold, format_events, parse_events
@@ -353,6 +353,25 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.summarize_attempts(pipeline.translate_batch(_requests(spark, sf_dir), campus(spark, sf_dir))).select("request_id", "retries", "ok", "sparql")
 
 
+_SYSTEM_WORDS = len(T.fill(pipeline.SYSTEM, ontology_summary=pipeline.summary(Catalog())).split())
+_ANSWERS = {
+    0: ("['n']", "[map {'n': CAST((SELECT count(*) FROM part) AS VARCHAR)}]"),
+    1: ("['label']", "(SELECT list(map {'label': t} ORDER BY t) FROM (SELECT DISTINCT o_orderpriority AS t FROM orders))"),
+    2: ("['label']", f"(SELECT list(map {{'label': t}} ORDER BY t) FROM (SELECT DISTINCT c_mktsegment || ' ' || CAST(y AS VARCHAR) AS t FROM {COURSE} k JOIN customer ON c_custkey = o_custkey ORDER BY t LIMIT 50))"),
+    3: ("CAST([] AS VARCHAR[])", "CAST([] AS MAP(VARCHAR, VARCHAR)[])"),
+}
+_ASKED_CASE = lambda f: "CASE turn % 4 " + " ".join(f"WHEN {k} THEN {f(k)}" for k in _ASKED) + " END"
+
+
+@built("question_responses", f"""SELECT conv_id * 1000 + turn AS request_id, CASE WHEN conv_id % 7 <> 0 THEN CAST(to_json({{'sparql': {_ASKED_CASE(lambda k: f"'{_ASKED[k][1]}'")}, 'columns': {_ASKED_CASE(lambda k: _ANSWERS[k][0])}, 'rows': {_ASKED_CASE(lambda k: _ANSWERS[k][1])}, 'provider': 'templates', 'model': 'rules-1', 'input_tokens': {_ASKED_CASE(lambda k: _SYSTEM_WORDS + len(_ASKED[k][0].split()))}, 'output_tokens': {_ASKED_CASE(lambda k: len(_ASKED[k][1].split()))}, 'retries': 0}}) AS VARCHAR) END AS response,
+  CASE WHEN conv_id % 7 = 0 THEN 'unknown provider nobody / rules-1' END AS error FROM conversations WHERE length(trim(text)) > 0""")
+def question_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch with its results: each distinct query runs once, and every request gets its response."""
+    answers = batch.answer_batch(_requests(spark, sf_dir), campus(spark, sf_dir))
+    made = pipeline.to_responses(answers.filter("error IS NULL"))
+    return answers.select("request_id", "error").join(made, "request_id", "left").select("request_id", "response", "error")
+
+
 @built("cached_questions", "SELECT conv_id * 1000 + turn AS request_id, turn % 4 = 1 AS hit FROM conversations WHERE length(trim(text)) > 0 AND conv_id % 7 <> 0")
 def cached_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch with a cache that holds one question's answer; hits cost no tokens."""

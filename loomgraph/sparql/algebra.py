@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import hashlib
+from collections.abc import Iterator
+from dataclasses import dataclass, field, fields, is_dataclass, replace
 from typing import Any
 
 
@@ -144,3 +146,25 @@ def variables(x: Any) -> list[str]:
         case _:
             found = []
     return list(dict.fromkeys(found))
+
+
+def _iris(x: Any) -> Iterator[str]:
+    if isinstance(x, Iri):
+        yield x.value
+    elif isinstance(x, (tuple, list)):
+        for part in x:
+            yield from _iris(part)
+    elif is_dataclass(x):
+        for f in fields(x):
+            if f.name != "prefixes":
+                yield from _iris(getattr(x, f.name))
+
+
+def iris(q: Query) -> list[str]:
+    """IRIs that a query names, in order of first appearance."""
+    return list(dict.fromkeys(_iris(q)))
+
+
+def canonical(q: Query) -> str:
+    """A key that two queries share if they say the same, however spelled."""
+    return hashlib.sha256(repr(replace(q, prefixes={})).encode()).hexdigest()

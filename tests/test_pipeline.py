@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
 from loomgraph.nlq import pipeline as P
@@ -117,6 +118,79 @@ def test_batch_reads_what_single_questions_cached(spark, graph, tmp_path):
     assert (found[1].sparql, found[1].input_tokens) == (GOOD, 0) and found[2].input_tokens > 0
 
 
+ASKED = "request_id bigint, question string, provider string, model string"
+
+
+def test_batch_runs_each_query_once_and_attaches_rows(spark, graph, monkeypatch):
+    """Three requests for one query in two spellings: one run; rows in order, a cut result says so."""
+    from loomgraph.nlq import batch as B
+
+    monkeypatch.setitem(P.PROVIDERS, "twice", (lambda: P.Canned("SELECT  ?n WHERE { ?u a :University; :name ?n } ORDER BY DESC(?n)", "# NOT_ANSWERABLE: no"), ("m",)))
+    rows = [(1, "a", "twice", "m"), (2, "How many books?", "templates", "rules-1"), (3, "How many books are there?", "templates", "rules-1"), (4, "Weather?", "templates", "rules-1"), (5, "x", "nobody", "m"), (6, "All modules", "templates", "rules-1")]
+    compiled, plain = [], B.query
+    monkeypatch.setattr(B, "query", lambda g, text, **more: compiled.append(text) or plain(g, text, **more))
+    asked = spark.createDataFrame(rows, ASKED).coalesce(1)
+    found = {r.request_id: r for r in B.answer_batch(asked, graph, most_rows=4).collect()}
+    assert set(found) == {1, 2, 3, 4, 5, 6} and len(compiled) == 3
+    assert found[2].rows == found[3].rows == [{"n": "200"}] and found[2].columns == ["n"] and found[2].complete
+    names = [r["n"] for r in found[1].rows]
+    assert len(names) == 4 and names == sorted(names, reverse=True) and not found[1].complete
+    assert found[4].rows == [] and found[4].error is None and "nobody" in found[5].error and len(found[6].rows) == 4
+
+
+def test_batch_tells_failures_apart(spark, graph):
+    from loomgraph.nlq import batch as B
+
+    queries = spark.createDataFrame([("a", "SELECT ?n WHERE { ?u :name ?n } LIMIT 2"), ("b", "SELECT ?x WHERE { GRAPH <http://none> { ?x ?p ?y } }"), ("c", "SELECT (COUNT(*) AS ?n) WHERE { ?x a :Book }")], "algebra string, sparql string")
+    found = {r.algebra: r for r in B.run_queries(graph, queries).collect()}
+    assert len(found["a"].rows) == 2 and found["c"].rows == [{"n": "200"}] and "unknown graph" in found["b"].failed and found["b"].rows == []
+
+
+def test_batch_names_unknown_terms_and_spelling_is_one_algebra(spark, graph):
+    from loomgraph.nlq import batch as B
+
+    texts = ["SELECT ?x WHERE { ?x a :Book }", "PREFIX c: <" + graph.catalog.namespace + "> SELECT ?x { ?x a c:Book . }", "SELECT ?x WHERE { ?x :nothing ?y ; a :Nobody }"]
+    made = B.by_algebra(graph, spark.createDataFrame(list(enumerate(texts)), "request_id bigint, sparql string"))
+    keys = {r.request_id: r.algebra for r in made.collect()}
+    assert keys[0] == keys[1] != keys[2]
+    unknown = {r.algebra: r.unknown for r in B.unknown_terms(graph, made.filter("request_id <> 1")).collect()}
+    assert unknown[keys[0]] == [] and [x.rpartition("#")[2] for x in unknown[keys[2]]] == ["nothing", "Nobody"]
+    assert [x.rpartition("#")[2] for x in P.ask(graph, "?", P.Canned(texts[2])).unknown] == ["nothing", "Nobody"]
+
+
+def test_batch_writes_the_cache_once(spark, graph, tmp_path):
+    from loomgraph.nlq import batch as B
+    from loomgraph.nlq.cache import CacheTable
+
+    table = CacheTable(spark, str(tmp_path / "cache"))
+    asked = spark.range(300).select(F.col("id").alias("request_id"), F.concat(F.lit("How many books, "), F.col("id").cast("string")).alias("question"), F.lit("templates").alias("provider"), F.lit("rules-1").alias("model"))
+    assert {r.input_tokens > 0 for r in B.answer_batch(asked, graph, cache=table).collect()} == {True}
+    assert len(table.writes()) == 1 and table.table().count() == 300
+    assert {r.input_tokens for r in B.answer_batch(asked, graph, cache=table).collect()} == {0}
+    table.append(asked.select(B.first_key(graph).alias("key"), F.lit("ZZZ").alias("value")))
+    assert table.compact() == 2 and len(table.writes()) == 1 and table.table().count() == 300 and table.table().filter("value = 'ZZZ'").isEmpty()
+    key = asked.limit(1).select(B.first_key(graph)).first()[0]
+    assert table.lookup(key).startswith("SELECT") and table.lookup("none") is None
+    plan = table._rows().filter(F.col("bucket") == 3)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan
+
+
+def test_results_that_are_cut_say_so(graph):
+    text = "SELECT ?n WHERE { ?u a :University ; :name ?n }"
+    for most, complete in ((10, False), (25, True), (1000, True)):
+        data = json.loads(dict(P.events(graph, "?", "canned", "m", P.Canned(text), most_rows=most))["results"])
+        assert data.get("complete", True) == complete and len(data["rows"]) == min(most, 25)
+    assert P.ask(graph, "?", P.Canned(text)).rows(3)["complete"] is False
+
+
+def test_questions_have_a_time_limit(graph):
+    slow = "SELECT (COUNT(*) AS ?n) WHERE { ?a :title ?x . ?b :title ?y . ?c :title ?z FILTER(SHA512(CONCAT(?x, ?y, ?z)) < '0') }"
+    with pytest.raises(TimeoutError):
+        P.ask(graph, "?", P.Canned(slow), seconds=1).rows()
+    found = list(P.events(graph, "?", "canned", "m", P.Canned(slow), seconds=1))
+    assert found[-1][0] == "error" and "within 1 seconds" in found[-1][1]
+
+
 @pytest.mark.parametrize("bad", ["SELECT ?t WHERE { ?b :title ?t FILTER(nosuch(?t)) }", "SELECT ?t WHERE { ?b :title ?t FILTER(STRLEN(?t, 2)) }", "SELECT ?t WHERE { ?b :title ?t BIND(1 AS ?t) }", "SELECT ?t WHERE { ?b :title ?t FILTER(COUNT(?t) > 1) }"])
 def test_meaningless_queries_cost_a_retry(graph, bad):
     assert P.ask(graph, "Which books?", P.Canned(bad, GOOD), run=False).retries == 1
