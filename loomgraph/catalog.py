@@ -68,6 +68,9 @@ class Catalog:
 
     namespace: str = NAMESPACE
     prefixes: dict[str, str] = field(default_factory=lambda: dict(PREFIXES))
+    #: A collation under which ``=``, ``!=``, ``IN``, ``CONTAINS``, ``STRSTARTS`` and ``STRENDS`` compare text in
+    #: filters, for instance ``UNICODE_CI_AI``, to which case and accents are the same; none: character by character.
+    collation: str | None = None
 
     def iri(self, name: str) -> str:
         prefix, _, local = name.rpartition(":")

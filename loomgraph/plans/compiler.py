@@ -15,7 +15,7 @@ from ..sources.graph import Graph, emptied, merged
 from ..sparql.algebra import Bind, Expr, Filter, Group, Iri, Literal, Minus, Optional, Path, Query, Triple, Union, Values, Var, aggregates, variables
 from ..sparql.lexer import SparqlSyntaxError
 from ..sparql.parser import TYPE, parse
-from .expressions import Expressions, common, constant, divided, into
+from .expressions import COLLATION, Expressions, common, constant, divided, into
 from .values import KIND_OF, NUMERIC, SQL_TYPES, Value, alike, comparable
 
 
@@ -768,8 +768,8 @@ class Compiler:
                 kind = "dec" if kind == "int" else kind
             return Value(F.coalesce(total.cast(SQL_TYPES[kind]), F.lit(0).cast(SQL_TYPES[kind])), kind)
         if x.op in ("MIN", "MAX", "SAMPLE"):
-            if inner.kind == "date":
-                return replace(inner, col=(F.max_by if x.op == "MAX" else F.min_by)(inner.col, F.when(inner.col.isNotNull(), inner.instant())), maybe=True)
+            if inner.kind in ("date", "term", "key") and x.op != "SAMPLE":  # by value, or in the order of terms
+                return replace(inner, col=(F.max_by if x.op == "MAX" else F.min_by)(inner.col, F.when(inner.col.isNotNull(), inner.sorting())), maybe=True)
             return replace(inner, col=(F.max if x.op == "MAX" else F.min)(inner.col), maybe=True)
         text = inner.lex()
         every = F.collect_set(text) if x.distinct else F.collect_list(text)
@@ -864,4 +864,8 @@ class Compiler:
 
 def query(graph: Graph, text: str, *, as_text: bool = False) -> DataFrame:
     """The answer to a SPARQL query, lazily; with ``as_text`` every cell is its lexical form."""
-    return Compiler(graph).run(parse(text, graph.catalog.prefixes | {"": graph.catalog.namespace}), as_text=as_text)
+    own = COLLATION.set(graph.catalog.collation)
+    try:
+        return Compiler(graph).run(parse(text, graph.catalog.prefixes | {"": graph.catalog.namespace}), as_text=as_text)
+    finally:
+        COLLATION.reset(own)

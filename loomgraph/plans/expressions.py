@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, functions as F
 
@@ -41,6 +42,16 @@ def fold(text: Column) -> Column:
     return F.translate(F.lower(text), "ς", "σ")
 
 
+#: The collation of the query at hand.
+COLLATION: ContextVar[str | None] = ContextVar("collation", default=None)
+
+
+def collated(*texts: Column) -> list[Column]:
+    """Texts to compare under the query's collation. A final sigma is any sigma."""
+    name = COLLATION.get()
+    return [F.collate(F.translate(t, "ς", "σ"), name) for t in texts] if name else list(texts)
+
+
 class Expressions:
     """Compiles expressions over a scope of values; ``exists`` compiles the patterns in them."""
 
@@ -68,6 +79,8 @@ class Expressions:
             return Value(~found if x.op == "NOT IN" else found, "bool")
         if x.op == "CAST":
             return self._cast(x.args[0].value, self(x.args[1]))
+        if x.op == "STR" and len(x.args) == 1 and isinstance(x.args[0], Literal):
+            return Value(F.lit(x.args[0].value), "str")  # as it is written
         args = [self(a) for a in x.args]
         if x.op in _OPERATORS:
             return _OPERATORS[x.op](*args)
@@ -143,6 +156,8 @@ def _compare(op: Callable[[Column, Column], Column], same: bool | None = None):
         if pair is None:
             unlike = F.lit(same) if same is not None else F.lit(None).cast("boolean")
             return Value(F.when(a.col.isNotNull() & b.col.isNotNull(), unlike), "bool")
+        if same is not None and a.kind == b.kind == "str":
+            return Value(op(*collated(a.col, b.col)), "bool")
         if same is not None and "term" in (a.kind, b.kind) and not {a.kind, b.kind} & set(NUMERIC):
             x, y = alike(a, b)  # literals of unknown datatypes are equal if they are one term; else nobody knows
             return Value(F.when(x.col == y.col, not same).when(~_foreign(x.col) & ~_foreign(y.col), same), "bool")
@@ -301,9 +316,9 @@ _OPERATORS = {
 }
 _FUNCTIONS = {
     "STR": _string(lambda x: x),
-    "STRSTARTS": _bool(F.startswith),
-    "STRENDS": _bool(F.endswith),
-    "CONTAINS": _bool(lambda a, b: F.contains(F.translate(a, "ς", "σ"), F.translate(b, "ς", "σ"))),
+    "STRSTARTS": _bool(lambda a, b: F.startswith(*collated(a, b))),
+    "STRENDS": _bool(lambda a, b: F.endswith(*collated(a, b))),
+    "CONTAINS": _bool(lambda a, b: F.contains(*(collated(a, b) if COLLATION.get() else (F.translate(a, "ς", "σ"), F.translate(b, "ς", "σ"))))),
     "LCASE": _string(F.lower),
     "UCASE": _string(F.upper),
     "STRLEN": lambda v: Value(F.length(_text(v)).cast("bigint"), "int"),

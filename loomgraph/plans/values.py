@@ -34,8 +34,21 @@ class Value:
         return self.col.cast("string")
 
     def sorting(self) -> Column:
-        """What to order by."""
-        return self.lex() if self.kind in ("key", "term") else self.instant() if self.kind == "date" else self.col
+        """What to order by; of terms of several kinds a key that puts them in one order.
+
+        Blank nodes come first, then IRIs, numbers by value, booleans, dates as instants, text, and
+        literals of other datatypes. What is equal by value is told apart by what is written.
+        """
+        if self.kind != "term":
+            return self.lex() if self.kind == "key" else self.instant() if self.kind == "date" else self.col
+        kind, lex, of = self.col["kind"], self.col["lex"], self.col["datatype"]
+        literal = F.when(of.isin("integer", "decimal", "double"), 2).when(of == "boolean", 3).when(of == "dateTime", 4).when(of.isin("string", "langString"), 5).otherwise(6)
+        rank = F.when(kind == "bnode", 0).when(kind == "iri", 1).otherwise(literal)
+        number = F.when(rank == 2, lex.try_cast("double"))
+        exact = F.when(rank == 2, lex.try_cast("decimal(38,18)"))
+        at = F.when(rank == 4, lex.try_cast("timestamp"))
+        whole = F.struct(rank.alias("rank"), number.alias("number"), exact.alias("exact"), at.alias("at"), lex.alias("lex"), of.alias("of"), self.col["lang"].alias("lang"))
+        return F.when(self.col.isNotNull(), whole)
 
     def instant(self) -> Column:
         return self.col.try_cast("timestamp")

@@ -171,6 +171,24 @@ sparql("offset_page", "SELECT ?t ?c WHERE { ?m a :Module ; :title ?t ; :hasCode
 sparql("order_by_expression", "SELECT ?n WHERE { ?u a :University ; :name ?n } ORDER BY DESC(STRLEN(?n)) ?n LIMIT 5", "SELECT n_name AS n FROM nation ORDER BY length(n_name) DESC, n_name LIMIT 5")
 sparql("unbound_first", "SELECT ?c ?b WHERE { ?m :hasCode ?c ; a :Module OPTIONAL { ?m :hasBook ?b } } ORDER BY ?b ?c LIMIT 20", f"SELECT CAST(o_orderkey AS VARCHAR) AS c, CASE WHEN l_partkey IS NOT NULL THEN {_iri('Book', 'l_partkey')} END AS b FROM orders LEFT JOIN {HB} h ON o_orderkey = l_orderkey ORDER BY l_partkey NULLS FIRST, c LIMIT 20")
 
+_MIXED = '{ ?x a :University ; :name ?t BIND(STRLEN(?t) AS ?g) BIND(?x AS ?v) } UNION { ?x a :University ; :name ?v BIND(STRLEN(?v) AS ?g) } UNION { ?x a :University ; :name ?t BIND(STRLEN(?t) AS ?g) BIND(?g AS ?v) } UNION { ?x a :University ; :name ?t BIND(STRLEN(?t) AS ?g) BIND(?g + 0.5 AS ?v) } UNION { ?x a :University ; :name ?t BIND(STRLEN(?t) AS ?g) }'
+_MIXED_ROWS = f"SELECT length(n_name) AS g, 1 AS r, NULL AS n, {_iri('University', 'n_nationkey')} AS v FROM nation UNION ALL SELECT length(n_name), 3, NULL, n_name FROM nation UNION ALL SELECT length(n_name), 2, length(n_name), CAST(length(n_name) AS VARCHAR) FROM nation UNION ALL SELECT length(n_name), 2, length(n_name) + 0.5, CAST(length(n_name) AS VARCHAR) || '.5' FROM nation UNION ALL SELECT length(n_name), 0, NULL, NULL FROM nation"
+sparql("mixed_order", f"SELECT ?v (isIRI(?v) AS ?iri) WHERE {{ {_MIXED} }} ORDER BY ?v LIMIT 30 OFFSET 40", f"SELECT v, r = 1 AS iri FROM (SELECT * FROM ({_MIXED_ROWS}) ORDER BY r, n, v LIMIT 30 OFFSET 40)", as_text=False)
+sparql("mixed_extremes", f"SELECT ?g (MIN(?v) AS ?lo) (MAX(?v) AS ?hi) WHERE {{ {_MIXED} FILTER(BOUND(?v)) }} GROUP BY ?g", f"SELECT g, arg_min(v, (r, n, v)) AS lo, arg_max(v, (r, n, v)) AS hi FROM ({_MIXED_ROWS}) WHERE r > 0 GROUP BY g")
+
+
+_PLAIN_CITY = "strip_accents(lower(city))"
+
+
+@built("accent_insensitive", f"SELECT c, n, p IN ('dunes', 'gores') AS same FROM (SELECT DISTINCT CAST(client_id AS VARCHAR) AS c, city AS n, {_PLAIN_CITY} AS p FROM clients WHERE client_id IS NOT NULL) WHERE contains(p, 'gor') OR p = 'dunes' OR starts_with(p, 'port') OR ends_with(p, 'hav')")
+def accent_insensitive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clients' cities found however they are accented or capitalised, under a catalog with such a collation."""
+    graph, clients = campus(spark, sf_dir), spark.read.parquet(f"{sf_dir}/clients.parquet")
+    rows = clients.filter("client_id IS NOT NULL").select(F.col("client_id").alias("key"), F.col("city").alias("name"), F.col("client_id").cast("string").alias("hasCode"))
+    own = Graph(spark, graph.tables | {"Department": rows}, graph.edges, Catalog(collation="UNICODE_CI_AI"))
+    return query(own, 'SELECT ?c ?n (?n IN ("DUNÉS", "gores") AS ?same) WHERE { ?d a :Department ; :hasCode ?c ; :name ?n FILTER(CONTAINS(?n, "gÓR") || ?n = "dünes" || STRSTARTS(?n, "PÖRT") || STRENDS(?n, "háv")) }')
+
+
 # filters and functions
 sparql("filter_year_range", "SELECT ?year (COUNT(*) AS ?n) WHERE { ?c a :Course ; :year ?year FILTER((?year>=1996) && (?year<1999)) } GROUP BY ?year", f"SELECT CAST(y AS INTEGER) AS year, count(*) AS n FROM {COURSE} k WHERE y >= 1996 AND y < 1999 GROUP BY 1")
 sparql("contains_ci", 'SELECT DISTINCT ?t WHERE { ?b a :Book ; :title ?t FILTER(CONTAINS(LCASE(?t), LCASE("RE"))) }', "SELECT DISTINCT p_name AS t FROM part WHERE contains(lower(p_name), 're')")

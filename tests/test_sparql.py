@@ -176,6 +176,24 @@ def test_minus_without_shared_variables_keeps_all(graph):
     assert ask(graph, "SELECT ?k WHERE { ?m :hasCode ?k ; a :Module MINUS { ?m :hasBook ?b } }") == [("102",)]
 
 
+def test_terms_of_several_kinds_have_one_order(graph):
+    values = "VALUES ?x { 1 'b' <http://x> 0.5 'a'@en true '2020-01-01'^^xsd:date 10 9 1e1 UNDEF 'Z' }"
+    found = [r[0] for r in query(graph, f"SELECT ?x WHERE {{ {values} }} ORDER BY ?x", as_text=True).collect()]
+    assert found[:6] == [None, "http://x", "0.5", "1", "9", "10"] and found[7:] == ["true", "2020-01-01", "Z", "a", "b"] and float(found[6]) == 10
+    assert [r[0] for r in query(graph, f"SELECT ?x WHERE {{ {values} }} ORDER BY DESC(?x)", as_text=True).collect()] == found[::-1]
+    assert ask(graph, "SELECT (MIN(?x) AS ?a) (MAX(?x) AS ?b) WHERE { VALUES ?x { 10 9 'a' } }") == [("9", "a")]
+    assert ask(graph, "SELECT (MIN(?m) AS ?a) (MAX(?m) AS ?b) WHERE { ?m a :Department }") == [(NAMESPACE + "department_1", NAMESPACE + "department_3")]
+    assert ask(graph, "SELECT (STR(2.50) AS ?x) (STR(?y) AS ?z) WHERE { VALUES ?y { 2.50 } }") == [("2.50", "2.5")]
+
+
+def test_collations_compare_without_accents(graph):
+    own = Graph(graph.spark, graph.tables, graph.edges, Catalog(collation="UNICODE_CI_AI"))
+    for name in ("αλγόριθμος", "ΑΛΓΟΡΙΘΜΟΣ", "ἀλγόριθμοσ"):
+        assert ask(own, f"SELECT (COUNT(*) AS ?n) WHERE {{ ?u :name ?x FILTER(?x = '{name}') }}") == [("1",)]
+        assert ask(own, f"SELECT (COUNT(*) AS ?n) WHERE {{ ?u :name ?x FILTER(CONTAINS(?x, '{name[2:8]}') && STRENDS(?x, '{name[4:]}')) }}") == [("1",)]
+    assert ask(graph, "SELECT (COUNT(*) AS ?n) WHERE { ?u :name ?x FILTER(?x = 'αλγόριθμος') }") == [("0",)]
+
+
 def test_aggregates_over_nothing(graph):
     assert ask(graph, "SELECT (COUNT(?y) AS ?n) (SUM(?y) AS ?s) (GROUP_CONCAT(?y) AS ?g) WHERE { ?c :year ?y FILTER(?y > 9999) }") == [("0", "0", "")]
     assert ask(graph, "SELECT ?y (COUNT(?c) AS ?n) WHERE { ?c :year ?y FILTER(?y > 9999) } GROUP BY ?y") == []
