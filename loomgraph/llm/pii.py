@@ -20,19 +20,23 @@ _CLASS_OF = {c: (cls, i) for cls in CLASSES for i, c in enumerate(cls)}
 #: In names vowels stand for vowels and consonants for consonants, so that they can be spoken.
 SOUNDS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóú", "àèìòù", "âêîôû", "äëïöü", "ñç", "αεηιουω", "βγδζθκλμνξπρστφχψ", "άέήίόύώ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ"]
 _SOUND_OF = {c: (cls, i) for low in SOUNDS for cls in (low, low.upper()) for i, c in enumerate(cls)}
+#: Other Latin letters with marks stand for each other, by case.
+for _low in (str.islower, str.isupper):
+    _rest = "".join(c for c in map(chr, range(0xC0, 0x180)) if _low(c) and c not in _SOUND_OF)
+    _SOUND_OF |= {c: (_rest, i) for i, c in enumerate(_rest)}
 HEX = "0123456789abcdef"
 
 #: Given names by gender and script; a surrogate keeps both. Other given names are told by a title.
 NAMES = {
-    ("f", "latin"): "Mary Anna Anne Julia Laura Sarah Emma Clara Helen Alice Nora Ruth Diana Marie Claire Sophie Ingrid Greta Carmen Lucia Elena Jane Susan Linda Karen Nancy Lisa Emily Katharina Ursula Sabine Monika Petra Brigitte Isabelle Camille Pilar Teresa Beatriz Dolores".split(),
-    ("m", "latin"): "John James Peter Paul David Mark Henry Louis Oscar Victor Simon Martin Pierre Hans Karl Stefan Carlos Pablo Diego Jorge Robert Michael William Richard Thomas George Edward Daniel Wolfgang Jürgen Klaus Dieter Jacques François Antoine Miguel Javier Alejandro Fernando Manuel".split(),
+    ("f", "latin"): "Mary Anna Anne Julia Laura Sarah Emma Clara Helen Alice Nora Ruth Diana Marie Claire Sophie Ingrid Greta Carmen Lucia Elena Jane Susan Linda Karen Nancy Lisa Emily Katharina Ursula Sabine Monika Petra Brigitte Isabelle Camille Pilar Teresa Beatriz Dolores Angela Jessica Jennifer Patricia Elizabeth Barbara Margaret Amanda Sofía María Lucía".split(),
+    ("m", "latin"): "John James Peter Paul David Mark Henry Louis Oscar Victor Simon Martin Pierre Hans Karl Stefan Carlos Pablo Diego Jorge Robert Michael William Richard Thomas George Edward Daniel Wolfgang Jürgen Klaus Dieter Jacques François Antoine Miguel Javier Alejandro Fernando Manuel Pedro Luis José Juan Joseph Charles Matthew Anthony Andrew Christopher Philippe Heinrich".split(),
     ("f", "greek"): "Μαρία Ελένη Άννα Σοφία Κατερίνα Βασιλική Δήμητρα Αικατερίνη Γεωργία Ειρήνη Ευαγγελία Ιωάννα".split(),
     ("m", "greek"): "Γιώργος Νίκος Γιάννης Δημήτρης Κώστας Αλέξης Παναγιώτης Χρήστος Βασίλης Μιχάλης Στέλιος Ανδρέας".split(),
     ("f", "cyrillic"): "Анна Мария Ольга Елена Наталья Татьяна Ирина Светлана Екатерина Людмила Галина Юлия".split(),
     ("m", "cyrillic"): "Иван Пётр Сергей Николай Дмитрий Алексей Андрей Михаил Владимир Александр Юрий Павел".split(),
 }
 _GIVEN = {name: key for key, names in NAMES.items() for name in names}
-_TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Madame": "f", "Mme": "f", "Monsieur": "m", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f", "κύριος": "m", "κυρία": "f", "господин": "m", "госпожа": "f"}
+_TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Madame": "f", "Mme": "f", "Monsieur": "m", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f", "κύριος": "m", "κυρία": "f", "господин": "m", "госпожа": "f", "Dr": "", "Doctor": "", "Prof": "", "Professor": "", "Mlle": "f", "Mademoiselle": "f", "Doña": "f"}
 #: Calling codes of two digits; 1 and 7 have one digit and all others three.
 _CALLING = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 #: Address blocks with a meaning of their own (first address and size); a surrogate stays in its block.
@@ -52,20 +56,24 @@ def _any_of(words: list[str]) -> str:
     return "" if not by else f"(?:{more}){'?' if ends else ''}"
 
 
-_FAMILY = r"(?=[^\W\d_a-zα-ωа-яß-ÿ])[^\W\d_]+(?:['’-][^\W\d_]+)*"
+#: A word that begins with a capital; a possessive is no part of it.
+_FAMILY = r"(?=[^\W\d_a-zα-ωа-яß-ÿ])[^\W\d_]+(?:(?:-|['’](?![sS]\b))[^\W\d_]+)*"
+_CAPITALS = r"(?=[^\W\d_])(?:(?![a-zα-ωа-яß-ÿ])[^\W\d_])+(?:(?:-|['’](?!S\b))(?:(?![a-zα-ωа-яß-ÿ])[^\W\d_])+)*"
+#: What stands before a person's name in letters and forms.
+_BEFORE_NAME = r"(?i:\b(?:my name is|full name:|signed[:,]|regards,|sincerely,|patient:|employee:))"
 _PATTERNS = {
     "email": r"(?<![\w.+-])[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "secret": r"(?i:\b(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d|pwd)\b\s*[:=]\s*)(?P<q>[\"']?)(?P<secret>[A-Za-z0-9+/_\-.]{8,})(?P=q)|\b(?P<bare>(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,}|[0-9a-f]{32,64}|[0-9A-F]{32,64}))\b",
+    "secret": r"(?i:\b(?P<said_of>api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d|pwd)\b\s*[:=]\s*)(?P<q>[\"']?)(?P<secret>[A-Za-z0-9+/_\-.]{6,})(?P=q)|\b(?P<bare>(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,}|[0-9a-f]{32,64}|[0-9A-F]{32,64}))\b",
     "card": r"(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
     "ipv6": r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])",
     "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![\w-])|(?<![\w.])\+\d{8,14}(?!\w)",
-    "name": rf"\b(?:(?P<title>{_any_of([*_TITLES])})\.?\s(?:(?P<first>{_FAMILY})\s)?(?P<last>{_FAMILY})|(?P<given>{_any_of([*_GIVEN])})\s(?P<family>{_FAMILY}))\b",
+    "name": rf"\b(?:(?P<title>{_any_of([*_TITLES])})\.?\s(?:(?P<first>{_FAMILY})\s)?(?P<last>{_FAMILY})|(?P<given>{_any_of([*_GIVEN])})\s(?P<family>{_FAMILY})|(?P<loud>{_any_of([n.upper() for n in _GIVEN])})\s(?P<kin>{_CAPITALS}))\b|{_BEFORE_NAME}\s+(?P<said>{_FAMILY}\s{_FAMILY})\b",
 }
 _ANY = re.compile("|".join(f"(?P<k_{k}>{p})" for k, p in _PATTERNS.items()))
-_SIGN, _PERSON, _HEX_RUN, _COLONS = re.compile(r"[@\d]").search, re.compile(_any_of([*_TITLES, *_GIVEN])).search, re.compile("[a-f]{32}|[A-F]{32}").search, re.compile("::|[A-Fa-f]:[A-Fa-f]").search
+_SIGN, _PERSON, _HEX_RUN, _COLONS = re.compile(r"[@\d]").search, re.compile(_any_of([*_TITLES, *_GIVEN, *(n.upper() for n in _GIVEN)]) + "|" + _BEFORE_NAME).search, re.compile("[a-f]{32}|[A-F]{32}").search, re.compile("::|[A-Fa-f]:[A-Fa-f]").search
 _SAID = ("secret", "token", "passw", "pwd", "key")
 
 
@@ -125,18 +133,31 @@ def iban_check(country: str, account: str) -> str:
     return f"{98 - value % 97:02}"
 
 
+#: What is said of passwords and is none.
+_NO_SECRET = frozenset("required optional protected incorrect forgotten encrypted changed expired recovery authentication disabled enabled unchanged".split())
+
+
+def _is_secret(of: str, value: str) -> bool:
+    """A value with a digit, long enough; of a password also a long word."""
+    password = of.lower().startswith(("pass", "pwd"))
+    if re.search(r"\d", value):
+        return password or len(value) >= 8
+    return password and len(value) >= 10 and value.strip(".").lower() not in _NO_SECRET
+
+
 def _entity(m: re.Match, text: str) -> Entity | None:
     kind = m.lastgroup[2:]
     if kind == "secret":
         at = "secret" if m["secret"] is not None else "bare"
-        if at == "secret" and not re.search(r"\d", m[at]):
+        if at == "secret" and not _is_secret(m["said_of"], m[at]):
             return None
         return Entity(kind, *m.span(at), m[at])
     if kind == "name":
-        start = m.start("first") if m["title"] and m["first"] else m.start("last") if m["title"] else m.start("given")
-        whole = text[start : m.end()]
-        gender = _TITLES.get(m["title"] or "") or _GIVEN.get(whole.split()[0], ("",))[0]
-        return Entity(kind, start, m.end(), whole, f"{gender}/{' '.join(whole.split())}")  # with a title or without, it is the same person
+        at = next(x for x in ("first", "last", "given", "loud", "said") if m[x] and (x != "last" or not m["first"]))
+        whole = text[m.start(at) : m.end()]
+        words = [w.title() if len(w) > 1 and w.isupper() else w for w in whole.split()]
+        gender = _TITLES.get(m["title"] or "") or _GIVEN.get(words[0], ("",))[0]
+        return Entity(kind, m.start(at), m.end(), whole, f"{gender}/{' '.join(words)}")  # with a title or without, in capitals or not, it is the same person
     if kind == "card" and not is_card(re.sub(r"\D", "", m[0])):
         return None
     if kind == "ipv6":
@@ -187,15 +208,27 @@ class Cipher:
         return int.from_bytes(digest, "big") & ((1 << size) - 1)
 
     def number(self, tag: str, value: int, size: int) -> int:
-        """Permute 0..size-1 by a Feistel network over the next even number of bits, walked until inside."""
+        """Permute 0..size-1 so that no value stays what it is.
+
+        Both a permutation and its inverse, with a step by a keyed number between them: as no number is
+        itself plus that step, no value is its own image.
+        """
         if size < 2:
             return value
+        step = 1 + self._round(f"{tag}/{size}/step".encode(), size, size.bit_length() + 64) % (size - 1)
+        if not size % 2 and not step % 2:
+            step -= 1  # odd, so that for a power of two the values are one cycle
+        return self._feistel(tag, (self._feistel(tag, value, size) + step) % size, size, back=True)
+
+    def _feistel(self, tag: str, value: int, size: int, back: bool = False) -> int:
+        """A Feistel network over the next even number of bits, or its inverse, walked until inside."""
         half = max(1, ((size - 1).bit_length() + 1) // 2)
         low = (1 << half) - 1
+        tags = [f"{tag}/{size}/{r}".encode() for r in range(8)]
         while True:
             left, right = value >> half, value & low
-            for r in range(8):
-                left, right = right, left ^ self._round(f"{tag}/{size}/{r}".encode(), right, half)
+            for t in reversed(tags) if back else tags:
+                left, right = (right ^ self._round(t, left, half), left) if back else (right, left ^ self._round(t, right, half))
             value = left << half | right
             if value < size:
                 return value
@@ -293,6 +326,12 @@ def dressed(kind: str, text: str, new: str) -> str:
         return "".join(spelled)
     if kind == "email" and len(new) == len(text):
         return "".join(b.upper() if a.isupper() else b for a, b in zip(text, new, strict=True))
+    if kind == "name":  # its case, and the white space between its words
+        words, gaps = new.split(" "), re.findall(r"\s+", text)
+        old = text.split()
+        if len(words) == len(old) == len(gaps) + 1:
+            words = [n.upper() if len(o) > 1 and o.isupper() else n for n, o in zip(words, old, strict=True)]
+            return "".join(x for pair in zip(words, [*gaps, ""], strict=True) for x in pair)
     return new
 
 
@@ -336,8 +375,9 @@ def collisions(found: DataFrame, key: bytes, scratch: Scratch, most_rounds: int
 
     Of entities that got one surrogate, the one with fewest attempts, then the first by its canonical
     form, keeps it; the others try again. Shapes so crowded that ``most_rounds`` attempts don't end it
-    (address blocks, short numbers) go back to the first attempt, which is one permutation of the shape:
-    their surrogates are distinct, though one may be a real entity that is itself replaced. Names are not
+    (address blocks, short numbers) go back to the first attempt, which is one permutation of the shape
+    without fixed points: their surrogates are distinct and none is the entity itself, though one may be
+    a real entity that is itself replaced. Names are not
     of one permutation, so their rounds go on.
     """
     real = found.select("kind", F.when(F.col("kind") == "name", F.concat(F.lit("/"), F.element_at(F.split("key", "/"), -1))).otherwise(F.col("key")).alias("new")).distinct()
@@ -362,8 +402,11 @@ def collisions(found: DataFrame, key: bytes, scratch: Scratch, most_rounds: int
     raise RuntimeError(f"names still collide after {8 * most_rounds} attempts")
 
 
-def session_key(spark: SparkSession, setting: str = "spark.loomgraph.surrogates.key") -> bytes:
-    """The key that a session's setting names; where none is set, a fresh one that the session keeps."""
+def session_key(spark: SparkSession, setting: str = "spark.loomgraph.surrogates.secret") -> bytes:
+    """The key that a session's setting names; where none is set, a fresh one that the session keeps.
+
+    Spark leaves settings with ``secret`` in their name out of logs and its pages.
+    """
     if not spark.conf.get(setting, None):
         spark.conf.set(setting, secrets.token_hex(32))
     return hashlib.sha256(spark.conf.get(setting).encode()).digest()
@@ -377,7 +420,7 @@ def replace_entities(
     Returns the columns of ``docs`` with the new text, then ``n_entities`` and ``kinds`` (both dropped
     and remade if ``docs`` has them). One entity gets one surrogate everywhere, however spelled; a
     surrogate keeps kind, format, script, case and, for names, gender. Values of one shape are permuted,
-    so distinct ones stay distinct; what a permutation can't rule out is checked over the whole corpus:
+    so distinct ones stay distinct, and none stays what it is; what a permutation can't rule out is checked over the whole corpus:
     surrogates that equal a real entity, or each other, are drawn again. The attempts of those few are
     sent along while there are at most ``most_broadcast``; beyond that they are joined per document.
     Who holds ``key`` can say which entity a surrogate stands for, so callers bring their own.
