@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 #: Events in the order in which a state can meet them; ABORT, a user's own cancelling, is no error and changes nothing.
 KINDS = ("SUBMIT", "TOKEN", "COMPLETE", "RESULTS", "DONE", "ERROR", "DISMISS", "ABORT")
@@ -119,6 +120,77 @@ def fold_stream(events: DataFrame, key: str, key_type: str, order: str) -> DataF
     return grouped.applyInPandasWithState(run, f"{key} {key_type}, {names}", names, "update", "NoTimeout")
 
 
+#: State of :class:`Ordered`: the fold so far, and when its last event was.
+FOLDED = "status string, sparql string, results string, done string, message string, at bigint"
+WAITING = "at bigint, n bigint, event string, data string"
+
+
+class Ordered(StatefulProcessor):
+    """Folds a key's events in the order of their times, however late they come within the watermark.
+
+    Events wait, by their time, until the watermark has passed them: a timer at the earliest of those
+    times folds what is due. A key without events for ``idle`` seconds of event time goes, with its state.
+    """
+
+    def __init__(self, idle: float):
+        self.idle = int(idle * 1000)
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.folded = handle.getValueState("folded", FOLDED)
+        self.waiting = handle.getMapState("waiting", "at bigint, n bigint", "event string, data string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs()
+        first = None
+        for frame in rows:
+            for at, n, event, data in frame[["at_ms", "n", "event", "data"]].itertuples(index=False):
+                at = max(int(at), passed + 1)  # what the watermark let through although it has passed it comes next
+                self.waiting.updateValue((at, int(n)), (event, None if data is None or data != data else data))
+                first = at if first is None else min(first, at)
+        if first is not None:
+            self.handle.registerTimer(first)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs()
+        held = sorted(self.waiting.keys())
+        due = [k for k in held if k[0] <= passed]
+        old = self.folded.get() if self.folded.exists() else None
+        if not held:
+            if old is not None and old[5] + self.idle <= passed:
+                self.folded.clear()
+            return iter(())
+        folding = Folding(tuple(old[:5]) if old else None)
+        for k in due:
+            folding.take(*self.waiting.getValue(k))
+            self.waiting.removeKey(k)
+        if len(due) < len(held):
+            self.handle.registerTimer(held[len(due)][0])
+        if not due:
+            return iter(())
+        self.folded.update((*folding.state(), due[-1][0]))
+        self.handle.registerTimer(due[-1][0] + self.idle)
+        return iter([pd.DataFrame([(key[0], *folding.state())], columns=["key", "status", "sparql", "results", "done", "message"])])
+
+    def close(self) -> None:
+        pass
+
+
+def fold_ordered(events: DataFrame, key: str, key_type: str, at: str, order: str, *, delay: str = "1 minute", idle: float = 3600) -> DataFrame:
+    """The fold over a stream whose events come late and out of order: a row per key whenever its state has changed.
+
+    ``at`` is the events' time and ``order`` a number that orders events of one time. Events up to
+    ``delay`` late are put in their place. Keys without events for ``idle`` seconds are forgotten; what
+    comes later begins anew. Needs the state store on RocksDB
+    (``spark.sql.streaming.stateStore.providerClass``).
+    """
+    late = events.withWatermark(at, delay)
+    rows = late.select(F.col(key).alias("key"), F.col(at), F.unix_millis(F.col(at).cast("timestamp")).alias("at_ms"), F.col(order).cast("bigint").alias("n"), "event", "data")
+    names = "status string, sparql string, results string, done string, message string"
+    return rows.groupBy("key").transformWithStateInPandas(Ordered(idle), f"key {key_type}, {names}", "append", "eventTime")
+
+
 def relay(events: DataFrame, path: str, checkpoint: str):
     """Write a stream of events to a folder, each exactly once."""
     return events.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").start()

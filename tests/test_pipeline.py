@@ -252,6 +252,76 @@ def test_fold_of_a_stream_is_the_same(spark, tmp_path):
     assert sorted(map(tuple, spark.table("folded").collect())) == STATES
 
 
+def test_late_events_are_folded_in_order_and_idle_keys_go(spark, tmp_path):
+    """Events shuffled over micro-batches, each a start of its own, end in the state of the batch fold."""
+    import datetime
+    import random
+
+    store = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rng, begin, schema = random.Random(1), datetime.datetime(2024, 1, 1), "k string, ts timestamp, n int, event string, data string"
+    kinds = ["SUBMIT", "TOKEN", "TOKEN", "COMPLETE", "RESULTS", "DONE", "ERROR", "DISMISS"]
+    rows = [(f"k{rng.randint(0, 3)}", begin + datetime.timedelta(seconds=i // 2), i, rng.choice(kinds), f"d{i}") for i in range(80)]
+    late = sorted(rows, key=lambda r: r[1].timestamp() + 15 * rng.random())
+    ticks = [[("tick", begin + datetime.timedelta(hours=h), h, "TOKEN", "x")] for h in (1, 5, 9)]
+    try:
+        for batch in [late[:40], late[40:], *ticks]:
+            spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            folded = E.fold_ordered(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "k", "string", "ts", "n", delay="30 seconds", idle=3600)
+            q = folded.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+            q.awaitTermination()
+        kept = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+    finally:
+        spark.conf.unset(store)
+    told = {}
+    for r in spark.read.parquet(str(tmp_path / "out")).collect():
+        told.setdefault(r.key, []).append(tuple(r)[1:])
+    wanted = {r[0]: tuple(r)[1:] for r in E.fold(spark.createDataFrame(rows, schema), "k", ["ts", "n"]).collect()}
+    assert all(state in told[k] for k, state in wanted.items()) and kept <= 3
+
+
+def test_files_of_events_are_read_once_wherever_they_are_cut(spark, tmp_path):
+    from loomgraph.streaming import sse
+
+    sse.register(spark)
+    raw = "event: a\ndata: 1\n\nevent: b\r\ndata: x\r\ndata:  y\r\n\r\nno event\n\nevent: c\ndata: é\n\nevent: done\ndata: {}\n\n".encode()
+    (tmp_path / "in").mkdir()
+    read = lambda: spark.readStream.format("sse_files").option("path", str(tmp_path / "in")).load()
+    for cut in (3, 17, 18, 47, 66, len(raw)):
+        (tmp_path / "in" / "r1.sse").write_bytes(raw[:cut])
+        if cut == 18:
+            (tmp_path / "in" / "r2.000.sse").write_bytes(raw)
+        q = read().writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    found = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    wanted = [("a", "1"), ("b", "x\n y"), ("c", "é"), ("done", "{}")]
+    assert [(r[2], r[3]) for r in found if r[0] == "r1"] == [(r[2], r[3]) for r in found if r[0] == "r2"] == wanted and len(found) == 8
+    events = read().selectExpr("request_id", "at AS seq", "event", "data")
+    for _ in range(2):
+        q = events.writeStream.format("sse_files").option("path", str(tmp_path / "sink")).option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    back = {f.name.split(".")[0]: f.read_bytes() for f in (tmp_path / "sink").glob("*.sse")}
+    assert set(back) == {"r1", "r2"} and [sse.parse_block(b) for b in back["r1"].split(b"\n\n")[:-1]] == wanted
+    reader = sse.Reader({"path": str(tmp_path / "in"), "archive": "true"})
+    reader.commit(reader.latestOffset())
+    assert not list((tmp_path / "in").glob("*.sse")) and len(list((tmp_path / "in" / "_read").glob("*.sse"))) == 2
+
+
+def test_every_cut_of_a_stream_gives_every_block_once(tmp_path):
+    from pyarrow import fs
+
+    from loomgraph.streaming import sse
+
+    raw = b"".join(b"event: e%d\ndata: %s\n\n" % (i, b"x" * (i % 7)) for i in range(30))
+    (tmp_path / "f").write_bytes(raw)
+    whole = [b for _, b in sse.blocks(fs.LocalFileSystem(), str(tmp_path / "f"), 0, len(raw))]
+    for back in (4, 1 << 14):
+        sse.BACK = back
+        for step in (1, 5, 13, 100):
+            cuts = [*range(0, len(raw), step), len(raw)]
+            assert [b for a, z in zip(cuts, cuts[1:], strict=False) for _, b in sse.blocks(fs.LocalFileSystem(), str(tmp_path / "f"), a, z)] == whole
+
+
 def test_report(graph, spark, tmp_path):
     from loomgraph.nlq.report import write_report
 
