@@ -739,7 +739,8 @@ def check_stage(name, before, after, columns):
     elif name == "near_duplicates":
         component = brute_components([(r.doc_id, r.text) for r in before], near_dedup.Similarity(5, 80))
         first = {i for i in component if component[i] == i}
-        assert {i for i in ids if i is not None} <= first and all(r.doc_id in ids for r in before if r.doc_id is None or r.doc_id in first and list(x.doc_id for x in before).count(r.doc_id) == 1)
+        assert {i for i in ids if i is not None} <= first and all(r.doc_id in ids for r in before if r.doc_id in first and list(x.doc_id for x in before).count(r.doc_id) == 1)
+        assert max(collections.Counter((r.doc_id, r.text) for r in after).values(), default=1) == 1 and {r.text for r in before if r.doc_id is None and not near_dedup.Similarity(5, 80).shingles(r.text)} <= {r.text for r in after}
     elif name == "privacy":
         assert len(after) == len(before) and ids == collections.Counter(r.doc_id for r in before)
         found = collections.Counter(e.text for r in before for e in pii.find(r.text) if len(e.text) > 9)
