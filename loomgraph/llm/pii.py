@@ -73,8 +73,8 @@ _PATTERNS = {
     "name": rf"\b(?:(?P<title>{_any_of([*_TITLES])})\.?\s(?:(?P<first>{_FAMILY})\s)?(?P<last>{_FAMILY})|(?P<given>{_any_of([*_GIVEN])})\s(?P<family>{_FAMILY})|(?P<loud>{_any_of([n.upper() for n in _GIVEN])})\s(?P<kin>{_CAPITALS}))\b|{_BEFORE_NAME}\s+(?P<said>{_FAMILY}\s{_FAMILY})\b",
 }
 _ANY = re.compile("|".join(f"(?P<k_{k}>{p})" for k, p in _PATTERNS.items()))
-_SIGN, _PERSON, _HEX_RUN, _COLONS = re.compile(r"[@\d]").search, re.compile(_any_of([*_TITLES, *_GIVEN, *(n.upper() for n in _GIVEN)]) + "|" + _BEFORE_NAME).search, re.compile("[a-f]{32}|[A-F]{32}").search, re.compile("::|[A-Fa-f]:[A-Fa-f]").search
-_SAID = ("secret", "token", "passw", "pwd", "key")
+_SIGN, _PERSON, _HEX_RUN, _COLONS = re.compile(r"[@\d]").search, re.compile(_any_of([*_TITLES, *_GIVEN, *(n.upper() for n in _GIVEN)])).search, re.compile("[a-f]{32}|[A-F]{32}").search, re.compile("::|[A-Fa-f]:[A-Fa-f]").search
+_SAID = ("secret", "token", "passw", "pwd", "key", "my name is", "full name:", "signed", "regards,", "sincerely,", "patient:", "employee:")
 
 
 def may_hold(text: str) -> bool:
