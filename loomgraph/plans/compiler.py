@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..catalog import CLASSES, PROPERTIES, Catalog, Property
 from ..operators.closure import TERM, Frontier, Step, checkpoint_dir, closure, connected, reach, reach_pairs
 from ..sources.graph import Graph, emptied, merged
+from ..sources.statistics import Estimate, join_order
 from ..sparql.algebra import Bind, Expr, Filter, Group, Iri, Literal, Minus, Optional, Path, Query, Triple, Union, Values, Var, aggregates, variables
 from ..sparql.lexer import SparqlSyntaxError
 from ..sparql.parser import TYPE, parse
@@ -74,8 +75,8 @@ def _equates(f) -> bool:
     return isinstance(f, Expr) and f.op == "=" and all(isinstance(x, Var) for x in f.args)
 
 
-#: How many rows a class has, by rank: joins start from what is small.
-_SIZE = {c: i for i, c in enumerate(CLASSES)}
+#: Rows that a constant leaves of a property's, and of patterns that aren't estimated.
+_CONSTANT, _UNKNOWN = 0.02, 1e4
 
 
 class Compiler:
@@ -403,7 +404,7 @@ class Compiler:
                 named = self.graph.named.get(g.value)
                 if named is None:
                     raise SparqlSyntaxError(f"unknown graph <{g.value}>")
-                rels.append((3, Compiler(named).bgp([replace(t, graph=None) for t in some], [])))
+                rels.append(self._unknown(Compiler(named).bgp([replace(t, graph=None) for t in some], [])))
             else:
                 parts = []
                 for name, named in self.graph.named.items():
@@ -411,18 +412,21 @@ class Compiler:
                     parts.append(rel(made.df, made.scope() | {g.name: Value(F.lit(name), "iri")}))
                 if not parts:
                     raise SparqlSyntaxError("there are no named graphs")
-                rels.append((3, self.union(parts)))
+                rels.append(self._unknown(self.union(parts)))
         for v in inline:  # a list that filters a scan already needs no join, unless it repeats a solution
             once = isinstance(v, Values) and len(v.vars) == 1 and v.vars[0].name in self.taken and self.given[v.vars[0].name] == [r[0] for r in v.rows] and len(set(v.rows)) == len(v.rows)
             if not once:
-                rels.append((0, self.values(v) if isinstance(v, Values) else v))
-        rels.sort(key=lambda x: x[0])
-        current, left = None, [r for _, r in rels]
-        while left:
-            at = next((i for i, r in enumerate(left) if current is None or set(r.vars) & set(current.vars)), 0)
-            current = left.pop(at) if current is None else self.join(current, left.pop(at))
+                made = self.values(v) if isinstance(v, Values) else v
+                rels.append(self._unknown(made, float(len(v.rows)) if isinstance(v, Values) else _UNKNOWN / 10))
         self.given, self.taken = before
-        return current
+        left = [r for _, r in rels]
+        for a, b in join_order([e for e, _ in rels]):
+            left[a] = self.join(left[a], left[b])
+        return left[0]
+
+    @staticmethod
+    def _unknown(r: Rel, rows: float = _UNKNOWN) -> tuple[Estimate, Rel]:
+        return Estimate(rows, {n: rows for n, v in r.vars.items() if not v.maybe}), r  # what may be unbound is no key yet
 
     def _classes(self, triples: list[Triple]) -> dict:
         """Classes each node can have, from its types and the domains and ranges of its properties."""
@@ -440,8 +444,8 @@ class Compiler:
                     narrow(t.o, (p.to,))
         return found
 
-    def _patterns(self, triples: list[Triple]) -> list[tuple[int, Rel]]:
-        """A relation per edge, per subject's literals, and per pattern that needs more; with their ranks."""
+    def _patterns(self, triples: list[Triple]) -> list[tuple[Estimate, Rel]]:
+        """A relation per edge, per subject's literals, and per pattern that needs more; each with its estimate."""
         classes, out = self._classes(triples), []
         literals: dict = {}
         typed: dict = {}
@@ -451,26 +455,43 @@ class Compiler:
             if t.p == TYPE and isinstance(t.o, Iri):
                 typed.setdefault(t.s, []).append(t.o.value)
             elif isinstance(t.p, Path):
-                out.append((2, self.path(t)))
+                made = self.path(t)
+                out.append(self._unknown(made, _UNKNOWN if len(made.vars) < 2 else 100 * _UNKNOWN))
             elif isinstance(t.p, Var) or t.p == TYPE:
-                out.append((9, self.general(t)))
+                rows = 4 * sum(self.graph.statistics.rows.values())
+                out.append(self._unknown(self.general(t), rows if isinstance(t.s, Var) and isinstance(t.o, Var) else rows * _CONSTANT))
             elif p is None:
-                out.append((0, self._nothing(t)))
+                out.append(self._unknown(self._nothing(t), 1e-3))
             elif p.to:
                 linked |= {t.s, t.o}
-                rank = 1 if isinstance(t.s, Iri) or isinstance(t.o, Iri) else 4 + _SIZE[p.of[0]]
-                out.append((rank, self.edge(t, p)))
+                out.append((self._edge_estimate(t, p), self.edge(t, p)))
             else:
                 literals.setdefault(t.s, []).append((t, p))
         for s, some in literals.items():
-            fixed = isinstance(s, Iri) or any(not isinstance(t.o, Var) or t.o.name in self.given for t, _ in some)
-            out.append((1 if fixed else 3 + max((_SIZE[c] for c in classes[s]), default=0), self.star(s, some, classes[s])))
+            out.append((self._star_estimate(s, some, classes[s]), self.star(s, some, classes[s])))
         for s, types in typed.items():
             if not isinstance(s, Iri) and (s in literals or s in linked) and len(classes.get(s, ())) and all(set(classes[s]) <= set(self.catalog.classes_of(x) or ()) for x in types):
                 continue  # the tables that are joined hold instances of these classes alone
-            out.append((3 + max((_SIZE[c] for c in classes[s]), default=0), self.star(s, [], classes[s])))
+            out.append((self._star_estimate(s, [], classes[s]), self.star(s, [], classes[s])))
         return out
 
+    def _edge_estimate(self, t: Triple, p: Property) -> Estimate:
+        n, sources, targets = self.graph.statistics.edges[p.name]
+        rows = n / (1 if isinstance(t.s, Var) else sources) / (1 if isinstance(t.o, Var) else targets)
+        return Estimate(rows, {x.name: min(d, max(rows, 1.0)) for x, d in ((t.s, sources), (t.o, targets)) if isinstance(x, Var)})
+
+    def _star_estimate(self, s, some: list[tuple[Triple, Property]], classes: tuple[str, ...]) -> Estimate:
+        """All instances of the classes, or what constants, and the constants that VALUES lists, leave of them."""
+        rows = 0.0
+        for cls in classes:
+            each = 1.0 if isinstance(s, Iri) else self.graph.statistics.rows[cls]
+            for t, p in some:
+                listed = 1 if not isinstance(t.o, Var) else len(self.given.get(t.o.name, ()))
+                if listed:
+                    each = min(each, float(listed)) if (cls, p.name) in self.graph.codes else max(1.0, each * min(1.0, _CONSTANT * listed))
+            rows += each
+        return Estimate(rows, {x.name: max(1.0, rows) for x in (s, *(t.o for t, _ in some)) if isinstance(x, Var)})
+
     def node(self, t, key: Column, cls: str) -> tuple[dict[str, Value], Column | None]:
         """What a pattern's end binds, and the test a constant makes."""
         prefix = self.catalog.key_prefix(cls)

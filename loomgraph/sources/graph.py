@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..catalog import CLASSES, PROPERTIES, Catalog
 from ..sparql.parser import TYPE
+from .statistics import Statistics, guess, measure
 
 TERM = "struct<kind:string,lex:string,datatype:string,lang:string>"
 
@@ -33,6 +34,23 @@ class Graph:
         self.spark, self.tables = spark, tables
         self.edges = edges if unique else {n: e.distinct() for n, e in edges.items()}
         self.catalog, self.named, self.unique, self.codes = catalog or Catalog(), named or {}, unique, codes
+        self._statistics: Statistics | None = None
+
+    @property
+    def statistics(self) -> Statistics:
+        """By which joins are ordered: guessed from sizes until :meth:`measure` is called or they are set."""
+        if self._statistics is None:
+            self._statistics = guess(self)
+        return self._statistics
+
+    @statistics.setter
+    def statistics(self, known: Statistics) -> None:
+        self._statistics = known
+
+    def measure(self) -> Statistics:
+        """Count rows and ends in one job; what it returns can be kept and set on another session's graph."""
+        self.statistics = measure(self)
+        return self.statistics
 
     def key_iri(self, cls: str, key: Column) -> Column:
         return F.concat(F.lit(self.catalog.key_prefix(cls)), key.cast("string"))
