@@ -10,6 +10,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..catalog import CLASSES, PROPERTIES, Catalog, Property
+from ..operators import paging
 from ..operators.closure import TERM, Frontier, Step, checkpoint_dir, closure, connected, reach, reach_pairs
 from ..sources.graph import Graph, emptied, merged
 from ..sources.statistics import Estimate, join_order
@@ -830,6 +831,11 @@ class Compiler:
             col = v.sorting()
             order.append(col.desc_nulls_last() if down else col.asc_nulls_first())
         df = current.df
+        first = Expressions(scope | projected)(swap(q.order_by[0][0])) if order else None
+        if q.offset >= paging.DEEP and not q.distinct and first.kind not in ("term", "bool"):  # by ranges of what is ordered by first
+            page = paging.deep_page(df, first.sorting(), q.order_by[0][1], order, q.offset, q.limit)
+            out = rel(page, projected)
+            return Rel(out.df, {n: replace(v, col=F.col(f"`v_{n}`")) for n, v in projected.items()})
         if q.distinct:
             out = rel(df, projected)
             shown = out.scope()

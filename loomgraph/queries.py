@@ -168,6 +168,7 @@ sparql("union_terms", "SELECT ?name ?title WHERE { { ?x a :University ; :name ?n
 sparql("distinct_titles", "SELECT DISTINCT ?title WHERE { ?b a :Book ; :title ?title } ORDER BY ?title LIMIT 10", "SELECT DISTINCT p_name AS title FROM part ORDER BY 1 LIMIT 10")
 sparql("order_limit_topk", "SELECT ?d (COUNT(?m) AS ?n) WHERE { ?d :hasCourse ?c . ?c :hasModule ?m } GROUP BY ?d ORDER BY DESC(?n) ?d LIMIT 15", f"SELECT {_iri('Department', 'o_custkey')} AS d, count(*) AS n FROM orders GROUP BY o_custkey ORDER BY n DESC, d LIMIT 15")
 sparql("offset_page", "SELECT ?t ?c WHERE { ?m a :Module ; :title ?t ; :hasCode ?c } ORDER BY ?t DESC(?c) LIMIT 25 OFFSET 100", "SELECT o_orderpriority AS t, CAST(o_orderkey AS VARCHAR) AS c FROM orders ORDER BY 1, 2 DESC LIMIT 25 OFFSET 100")
+sparql("deep_page", "SELECT ?m ?b WHERE { ?m :hasBook ?b } ORDER BY ?b DESC(?m) LIMIT 40 OFFSET 50000", f"SELECT {_iri('Module', 'l_orderkey')} AS m, {_iri('Book', 'l_partkey')} AS b FROM {HB} h ORDER BY 2, 1 DESC LIMIT 40 OFFSET 50000")
 sparql("order_by_expression", "SELECT ?n WHERE { ?u a :University ; :name ?n } ORDER BY DESC(STRLEN(?n)) ?n LIMIT 5", "SELECT n_name AS n FROM nation ORDER BY length(n_name) DESC, n_name LIMIT 5")
 sparql("unbound_first", "SELECT ?c ?b WHERE { ?m :hasCode ?c ; a :Module OPTIONAL { ?m :hasBook ?b } } ORDER BY ?b ?c LIMIT 20", f"SELECT CAST(o_orderkey AS VARCHAR) AS c, CASE WHEN l_partkey IS NOT NULL THEN {_iri('Book', 'l_partkey')} END AS b FROM orders LEFT JOIN {HB} h ON o_orderkey = l_orderkey ORDER BY l_partkey NULLS FIRST, c LIMIT 20")
 

@@ -186,6 +186,53 @@ def test_terms_of_several_kinds_have_one_order(graph):
     assert ask(graph, "SELECT (STR(2.50) AS ?x) (STR(?y) AS ?z) WHERE { VALUES ?y { 2.50 } }") == [("2.50", "2.5")]
 
 
+@pytest.mark.parametrize("down", [False, True])
+def test_deep_pages_are_the_same_pages(spark, monkeypatch, down):
+    """With ties and unbound keys, at every depth; no more rows are sorted than the ranges of the page hold."""
+    from loomgraph.operators import paging
+
+    rng = random.Random(4)
+    rows = [(rng.choice([None, *range(40)]), i) for i in range(600)]
+    df = spark.createDataFrame(rows, "k int, i int").repartition(3)
+    k = F.col("k")
+    order = [k.desc_nulls_last() if down else k.asc_nulls_first(), F.col("i")]
+    whole = [tuple(r) for r in df.orderBy(*order).collect()]
+    for offset, limit in ((0, 10), (7, 30), (300, 5), (595, 10), (600, 3), (250, None), (590, 0)):
+        found = [tuple(r) for r in paging.deep_page(df, k, down, order, offset, limit).collect()]
+        assert found == whole[offset:] if limit is None else found == whole[offset : offset + limit]
+    page = paging.deep_page(df, k, down, order, 300, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Offset 300" not in page and "k#" in page.split("Filter")[1]
+
+
+def test_pages_behind_the_end_and_over_text(graph, monkeypatch):
+    from loomgraph.operators import paging
+
+    text = "SELECT ?k WHERE {{ ?m a :Module ; :hasCode ?k }} ORDER BY DESC(?k) LIMIT 2 OFFSET {}"
+    plain = [query(graph, text.format(i), as_text=True).collect() for i in (0, 1, 2, 5)]
+    monkeypatch.setattr(paging, "DEEP", 0)
+    assert [query(graph, text.format(i), as_text=True).collect() for i in (0, 1, 2, 5)] == plain
+
+
+def test_joins_begin_where_constants_are(spark):
+    """A chain bound in the middle: each edge is read once, the smallest pair first; two bound ends meet in the middle."""
+    from loomgraph.sources.graph import campus
+    from loomgraph.sources.statistics import Estimate, Statistics, join_order
+
+    edge = lambda n, a, b, da, db: Estimate(n, {a: da, b: db})
+    chain = [edge(1e6, "a", "b", 1e3, 1e6), edge(1e7, "b", "c", 1e6, 1e7), edge(1e8, "c", "d", 1e7, 1e6), Estimate(1, {"c": 1})]
+    assert join_order(chain)[0] == (1, 3)
+    ends = [Estimate(1, {"a": 1}), edge(1e6, "a", "b", 1e3, 1e6), edge(1e6, "b", "c", 1e6, 1e3), Estimate(1, {"c": 1})]
+    assert set(join_order(ends)[:2]) == {(0, 1), (2, 3)}
+    graph = campus(spark, "/root/testdata/sf0.001")
+    known = graph.measure()
+    assert known.measured and known.rows["Book"] == pytest.approx(200, rel=0.2) and known.edges["hasModule"][0] == 1500 and Statistics.from_json(known.to_json()) == known
+    text = 'SELECT ?un ?b WHERE { ?m :hasBook ?b . ?c :hasModule ?m . ?u :hasDepartment ?d ; :name ?un . ?d :hasCourse ?c . ?d :hasCode "7" }'
+    plan = query(graph, text)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_orderkey#") > 0 and plan.count("Relation [o_orderkey") == 2 and plan.count("Relation [l_orderkey") == 1 and plan.count("= 7)") >= 3
+    deepest = max((line for line in plan.splitlines() if "Relation" in line), key=lambda line: line.index("Relation"))
+    assert "c_custkey" in deepest  # what the constant bounds comes first
+
+
 def test_collations_compare_without_accents(graph):
     own = Graph(graph.spark, graph.tables, graph.edges, Catalog(collation="UNICODE_CI_AI"))
     for name in ("αλγόριθμος", "ΑΛΓΟΡΙΘΜΟΣ", "ἀλγόριθμοσ"):
