@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -9,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .catalog import CLASSES, NAMESPACE, PROPERTIES, Catalog
 from .functions import text as T
 from .nlq import batch, mock, pipeline, report
+from .operators.closure import checkpoint_dir
 from .plans.compiler import query
 from .sources.graph import Graph, campus
-from .streaming.events import fold, format_events, parse_events
+from .streaming.events import fold, fold_stream, format_events, parse_events
 
 NS = NAMESPACE
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -332,6 +334,27 @@ def event_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold(events.select("user_id", "ts", "event_id", names[F.col("event_type")].alias("event"), F.col("props").alias("data")), "user_id", ["ts", "event_id"])
 
 
+@built("event_fold_streamed", ORACLES["event_fold"])
+def event_fold_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same fold by a stream that keeps a state per user; the last row that it tells of each user is the state."""
+    checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/fold-{uuid.uuid4().hex}"
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    names = F.create_map(*[F.lit(x) for kv in PLAYED.items() for x in kv])
+    at = F.concat(F.lpad(F.col("us").cast("string"), 20, "0"), F.lpad(F.col("event_id").cast("string"), 20, "0"))
+    rows = events.select("us", "user_id", at.alias("at"), names[F.col("event_type")].alias("event"), F.col("props").alias("data"))
+    cuts = rows.agg(F.percentile_approx("us", [0.3, 0.6])).first()[0] or []
+    keep = lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/out/n={n}")  # noqa: E731  a batch that comes again replaces itself
+    part = sum((F.col("us") > c).cast("int") for c in cuts) if cuts else F.lit(0)
+    for n in range(len(cuts) + 1):  # a start of the stream for each part, on one checkpoint
+        rows.filter(part == n).drop("us").write.mode("append").parquet(f"{folder}/in")
+        states = fold_stream(spark.readStream.schema(rows.drop("us").schema).parquet(f"{folder}/in"), "user_id", "bigint", "at")
+        states.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/stream").trigger(availableNow=True).start().awaitTermination()
+    every = spark.read.parquet(f"{folder}/out").drop("n")
+    last = every.groupBy("user_id").agg(F.max("batch").alias("batch"))
+    return every.join(last, ["user_id", "batch"]).drop("batch")
+
+
 @built("providers_explode", "SELECT * FROM (VALUES ('templates', 'rules-1', 'rules-1'), ('canned', 'fixed-1', 'fixed-1'), ('canned', 'fixed-2', 'fixed-1')) v(id, model, \"default\")")
 def providers_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.providers(spark).select("id", F.explode("models").alias("model"), F.col("models")[0].alias("default"))
