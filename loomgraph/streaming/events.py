@@ -10,6 +10,12 @@ from pyspark.sql.streaming import StatefulProcessor
 
 #: Events in the order in which a state can meet them; ABORT, a user's own cancelling, is no error and changes nothing.
 KINDS = ("SUBMIT", "TOKEN", "COMPLETE", "RESULTS", "DONE", "ERROR", "DISMISS", "ABORT")
+FIELDS = ("status", "sparql", "results", "done", "message")
+#: Events that begin anew, with the status they begin with.
+ANEW = {"SUBMIT": "streaming", "DISMISS": "idle"}
+#: What other events do: whether only to an answer that is streaming, the status they lead to (none: as it is), the
+#: field that takes their data, and whether it is added to what is there.
+MOVES = {"ERROR": (False, "error", "message", False), "TOKEN": (True, None, "sparql", True), "COMPLETE": (True, None, "sparql", False), "RESULTS": (True, None, "results", False), "DONE": (True, "done", "done", False)}
 STATE = "struct<status:string,sparql:string,results:string,done:string,message:string>"
 
 
@@ -42,21 +48,16 @@ def _blank(status: str) -> Column:
 
 
 def _step(state: Column, x: Column) -> Column:
-    def changed(**new: Column) -> Column:
-        return F.struct(*[new.get(n, state[n]).alias(n) for n in ("status", "sparql", "results", "done", "message")])
-
-    live = state["status"] == "streaming"
-    kind = x["event"]
-    return (
-        F.when(kind == "SUBMIT", _blank("streaming"))
-        .when(kind == "DISMISS", _blank("idle"))
-        .when(kind == "ERROR", changed(status=F.lit("error"), message=x["data"]))
-        .when(live & (kind == "TOKEN"), changed(sparql=F.concat(F.coalesce(state["sparql"], F.lit("")), F.coalesce(x["data"], F.lit("")))))
-        .when(live & (kind == "COMPLETE"), changed(sparql=x["data"]))
-        .when(live & (kind == "RESULTS"), changed(results=x["data"]))
-        .when(live & (kind == "DONE"), changed(status=F.lit("done"), done=x["data"]))
-        .otherwise(state)
-    )
+    """The state after an event, by :data:`ANEW` and :data:`MOVES`."""
+    out = F.when(F.lit(False), state)
+    for kind, status in ANEW.items():
+        out = out.when(x["event"] == kind, _blank(status))
+    for kind, (live, status, name, added) in MOVES.items():
+        data = F.concat(F.coalesce(state[name], F.lit("")), F.coalesce(x["data"], F.lit(""))) if added else x["data"]
+        new = {name: data} | ({"status": F.lit(status)} if status else {})
+        test = (x["event"] == kind) & (state["status"] == "streaming") if live else x["event"] == kind
+        out = out.when(test, F.struct(*[new.get(n, state[n]).alias(n) for n in FIELDS]))
+    return out.otherwise(state)
 
 
 def fold(events: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -78,27 +79,19 @@ class Folding:
     """The same fold event by event, for streams."""
 
     def __init__(self, state: tuple | None = None):
-        self.status, self.sparql, self.results, self.done, self.message = state or ("idle", None, None, None, None)
+        self.now = dict(zip(FIELDS, state or ("idle", None, None, None, None), strict=True))
 
     def take(self, event: str, data: str | None) -> None:
-        if event == "SUBMIT":
-            self.__init__(("streaming", "", None, None, None))
-        elif event == "DISMISS":
-            self.__init__()
-        elif event == "ERROR":
-            self.status, self.message = "error", data
-        elif self.status == "streaming":
-            if event == "TOKEN":
-                self.sparql = (self.sparql or "") + (data or "")
-            elif event == "COMPLETE":
-                self.sparql = data
-            elif event == "RESULTS":
-                self.results = data
-            elif event == "DONE":
-                self.status, self.done = "done", data
+        if event in ANEW:
+            self.now = dict.fromkeys(FIELDS) | {"status": ANEW[event]} | ({"sparql": ""} if event == "SUBMIT" else {})
+        elif event in MOVES:
+            live, status, name, added = MOVES[event]
+            if not live or self.now["status"] == "streaming":
+                self.now[name] = (self.now[name] or "") + (data or "") if added else data
+                self.now["status"] = status or self.now["status"]
 
     def state(self) -> tuple:
-        return self.status, self.sparql, self.results, self.done, self.message
+        return tuple(self.now[n] for n in FIELDS)
 
 
 def fold_stream(events: DataFrame, key: str, key_type: str, order: str) -> DataFrame:
