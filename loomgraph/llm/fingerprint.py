@@ -84,40 +84,60 @@ def edited(text: str, after: str) -> str:
 ROWS = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
 
+def range_cuts(quantiles: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Where ranges of ``id, hash`` begin; an id that fills several ranges is cut by hashes, evenly."""
+    ids, times = np.unique(np.array(quantiles, np.int64), return_counts=True)
+    hashes = [_FIRST + (i << 64) // int(n) for n in times for i in range(int(n))]
+    return np.repeat(ids, times), np.array(hashes, np.int64)
+
+
+def range_of(ids: np.ndarray, hashes: np.ndarray, cuts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """For each ``id, hash`` the number of ranges that begin at or before it, less one, by :func:`range_cuts`."""
+    at = np.searchsorted(cuts[0], ids, side="left")
+    until = np.searchsorted(cuts[0], ids, side="right")
+    for lo in np.unique(at[until > at]).tolist():
+        here = (at == lo) & (until > lo)
+        own = cuts[1][lo : int(until[here][0])]
+        at[here] = lo + np.searchsorted(own, hashes[here], side="right")
+    return at
+
+
 def with_next(docs: DataFrame, ranges: int) -> DataFrame:
-    """Texts dealt into ranges of ``id``, each range sorted and followed by the first text of the next.
+    """Texts dealt into ranges of ``id`` and hash, each range sorted and followed by the first text of the next.
 
-    Ranges come from approximate quantiles of the ids, so no task sorts all. The driver gets a few
-    numbers per range, and so do the executors, with which ids alone are looked up. Columns ``part, late,
-    id, doc_id, text``; ``late`` marks the text that follows.
+    Ranges come from approximate quantiles of the ids, so no task sorts all; an id with many rows is
+    dealt over several ranges by a hash of the text. The driver gets a few numbers per range, and so do
+    the executors, with which ids and hashes alone are looked up. Columns ``part, late, id, doc_id,
+    text``; ``late`` marks the text that follows.
     """
-    keyed = docs.withColumn("id", F.coalesce("doc_id", F.lit(_FIRST)))
-    cuts = keyed.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], max(10_000, 20 * ranges))).first()[0] if ranges > 1 else []
-    cuts = np.unique(np.array(cuts or [], np.int64))
-    n = len(cuts) + 1
+    keyed = docs.withColumn("id", F.coalesce("doc_id", F.lit(_FIRST))).withColumn("hash", F.xxhash64("text"))
+    found = keyed.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], max(10_000, 20 * ranges))).first()[0] if ranges > 1 else []
+    cuts = range_cuts(found or [])
+    n = len(cuts[0]) + 1
     keys = np.array(even_keys(docs.sparkSession, n), np.int64)
 
     @F.pandas_udf("long")
-    def part_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, ids.to_numpy(np.int64), side="right"))
+    def part_of(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(range_of(ids.to_numpy(np.int64), hashes.to_numpy(np.int64), cuts))
 
-    firsts = dict(keyed.select("id").withColumn("part", part_of("id")).groupBy("part").agg(F.min("id")).collect())
+    firsts = dict(keyed.select("id", "hash").withColumn("part", part_of("id", "hash")).groupBy("part").agg(F.min(F.struct("id", "hash"))).collect())
     order = sorted(firsts)
-    first, before = np.full(n, _FIRST, np.int64), np.full(n, -1, np.int64)
+    first, before = np.full((n, 2), _FIRST, np.int64), np.full(n, -1, np.int64)
     for i, p in enumerate(order):
         first[p], before[p] = firsts[p], order[i - 1]  # the first range follows the last
 
     @F.pandas_udf("array<long>")
-    def places(ids: pd.Series) -> pd.Series:
+    def places(ids: pd.Series, hashes: pd.Series) -> pd.Series:
         """For each place of a text its partition's key, its range, and whether it is the text that follows there."""
-        at = np.searchsorted(cuts, ids.to_numpy(np.int64), side="right")
-        again = (ids.to_numpy(np.int64) == first[at]) & (before[at] >= 0)
+        i, h = ids.to_numpy(np.int64), hashes.to_numpy(np.int64)
+        at = range_of(i, h, cuts)
+        again = (i == first[at, 0]) & (h == first[at, 1]) & (before[at] >= 0)
         return pd.Series([[keys[p], p, 0, keys[before[p]], before[p], 1] if x else [keys[p], p, 0] for p, x in zip(at.tolist(), again.tolist(), strict=True)])
 
-    spread = keyed.withColumn("places", places("id")).withColumn("at", F.explode(F.sequence(F.lit(0), (F.size("places") / 3 - 1).cast("int"))))
+    spread = keyed.withColumn("places", places("id", "hash")).withColumn("at", F.explode(F.sequence(F.lit(0), (F.size("places") / 3 - 1).cast("int"))))
     of = lambda i: F.get("places", 3 * F.col("at") + i)
-    spread = spread.select(of(1).cast("int").alias("part"), of(2).cast("int").alias("late"), "id", "doc_id", "text", of(0).cast("int").alias("key"))
-    return spread.repartition(n, "key").sortWithinPartitions("part", "late", "id", F.xxhash64("text"))
+    spread = spread.select(of(1).cast("int").alias("part"), of(2).cast("int").alias("late"), "id", "hash", "doc_id", "text", of(0).cast("int").alias("key"))
+    return spread.repartition(n, "key").sortWithinPartitions("part", "late", "id", "hash")
 
 
 def fingerprint_edits(docs: DataFrame, *, ranges: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -93,7 +93,7 @@ def pack_documents(
     scratch = Scratch(docs.sparkSession, "pack")
     pieces = scratch.keep(pieces_of(docs, tokenizer, capacity=capacity, end_id=end_id, most_words=most_words, id_col=id_col, text_col=text_col), "pieces")
     groups = max(1, -(-pieces.count() // pieces_per_group))
-    order = F.xxhash64("doc_id", "piece", F.lit("pack"))
+    order = F.xxhash64("doc_id", "piece", "ids_crc32", F.lit("pack"))
     dealt = pieces.repartition(groups, order).sortWithinPartitions(order, "doc_id", "piece", "ids_crc32")
     schema = PIECES.append(pa.field("sequence_id", pa.int64())).append(pa.field("offset", pa.int64()))
 
