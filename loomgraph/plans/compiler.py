@@ -10,7 +10,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..catalog import CLASSES, PROPERTIES, Catalog, Property
-from ..operators import paging
+from ..operators import concat, paging
 from ..operators.closure import TERM, Frontier, Step, checkpoint_dir, closure, connected, reach, reach_pairs
 from ..sources.graph import Graph, emptied, merged
 from ..sources.statistics import Estimate, join_order
@@ -797,6 +797,18 @@ class Compiler:
         every = F.collect_set(text) if x.distinct else F.collect_list(text)
         return Value(F.array_join(F.array_sort(every), x.separator), "str")  # sorted, so reruns agree
 
+    def _large(self) -> bool:
+        return max([n for n, _, _ in self.graph.statistics.edges.values()], default=0) >= concat.MANY
+
+    def _joined_texts(self, df: DataFrame, current: Rel, keys: dict[str, Value], x: Expr) -> DataFrame:
+        """Groups ``df`` with a column ``joined``: the texts of each, '' where it has none."""
+        text = Expressions(current.scope())(x.args[0]).lex()
+        own = [(f"k{k}_", v.col, F.col(f"`v_{n}`")) for k, (n, v) in enumerate(keys.items())] or [("k0_", F.lit(0), F.lit(0))]
+        rows = current.df.select(*[col.alias(k) for k, col, _ in own], text.alias("text_"))
+        texts = concat.concat_in_ranges(rows, [k for k, _, _ in own], "text_", x.separator, distinct=x.distinct)
+        same = reduce(lambda a, b: a & b, [group.eqNullSafe(texts[k]) for k, _, group in own])
+        return df.join(texts, same, "left").drop(*[k for k, _, _ in own]).withColumn("joined", F.coalesce("joined", F.lit("")))
+
     def select(self, q: Query) -> Rel:
         current = self.group(q.where)
         if q.values:
@@ -811,9 +823,13 @@ class Compiler:
                 keys[name] = Expressions(scope)(expr)
                 named[expr] = name
             made = {f".a{k}": self._aggregate(a, scope) for k, a in enumerate(dict.fromkeys(found))}
+            apart = {f".a{k}": a for k, a in enumerate(dict.fromkeys(found)) if a.op == "GROUP_CONCAT"} if self._large() else {}
             spots = {a: Var(f".a{k}") for k, a in enumerate(dict.fromkeys(found))} | {e: Var(n) for e, n in named.items() if not isinstance(e, Var)}
             grouped = current.df.groupBy(*[v.col.alias(f"v_{n}") for n, v in keys.items()]) if keys else current.df.groupBy()
-            df = grouped.agg(*[v.col.alias(f"v_{n}") for n, v in made.items()]) if made else grouped.agg(F.lit(1).alias("v_")).drop("v_")
+            whole = [v.col.alias(f"v_{n}") for n, v in made.items() if n not in apart]
+            df = grouped.agg(*whole) if whole else grouped.agg(F.lit(1).alias("v_")).drop(*["v_"] if keys else [])
+            for n, a in apart.items():
+                df = self._joined_texts(df, current, keys, a).withColumnRenamed("joined", f"v_{n}")
             current = Rel(df, {n: replace(v, col=F.col(f"`v_{n}`")) for n, v in (keys | made).items()})
             swap = lambda x: spots.get(x) or (replace(x, args=tuple(map(swap, x.args))) if isinstance(x, Expr) and x.op != "EXISTS" else x)
         else:

@@ -233,6 +233,46 @@ def test_joins_begin_where_constants_are(spark):
     assert "c_custkey" in deepest  # what the constant bounds comes first
 
 
+@pytest.mark.parametrize("distinct", [False, True])
+def test_texts_of_a_large_group_are_joined_by_ranges(spark, distinct):
+    """One group fills several tasks; each joins its part in order, repeats included."""
+    from loomgraph.operators import concat
+
+    rng = random.Random(6)
+    rows = [("hot" if i % 4 else rng.choice([None, "a", "b"]), rng.choice([None, "", "é", "z;", f"t{rng.randrange(900)}"])) for i in range(3000)] + [("only null", None)]
+    df = spark.createDataFrame(rows, "g string, t string").repartition(5)
+    found = {r.g: r.joined for r in concat.concat_in_ranges(df, ["g"], "t", ";", distinct=distinct).collect()}
+    texts = {}
+    for g, t in rows:
+        if t is not None:
+            texts.setdefault(g, []).append(t)
+    assert found == {g: ";".join(sorted(set(ts) if distinct else ts, key=str.encode)) for g, ts in texts.items()}
+    assert concat.concat_in_ranges(df.filter("false"), ["g"], "t", ";").count() == 0
+    plan = concat.concat_in_ranges(df, ["g"], "t", ";")._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning(g" in plan and plan.count("collect_list") >= 4  # a part each, then the parts
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "SELECT ?k (GROUP_CONCAT(?t) AS ?g) (COUNT(?m) AS ?n) WHERE { ?m a :Module ; :title ?t ; :hasCode ?k } GROUP BY ?k",
+        "SELECT ?t (GROUP_CONCAT(DISTINCT ?k; separator='/') AS ?g) (GROUP_CONCAT(?m) AS ?h) WHERE { ?m a :Module ; :title ?t ; :hasCode ?k } GROUP BY ?t HAVING (GROUP_CONCAT(?k) != '') ORDER BY ?g",
+        "SELECT ?x (GROUP_CONCAT(?n) AS ?g) WHERE { { ?d a :Department . OPTIONAL { ?d :name ?n } BIND(?d AS ?x) } UNION { ?u a :University . OPTIONAL { ?u :name ?x } } } GROUP BY ?x",
+        "SELECT (GROUP_CONCAT(?n; separator=', ') AS ?g) WHERE { ?d :name ?n }",
+        "SELECT (GROUP_CONCAT(?n) AS ?g) (COUNT(*) AS ?c) WHERE { ?d :name ?n FILTER(?n = 'nobody') }",
+        "SELECT ?n (GROUP_CONCAT(?y) AS ?g) WHERE { ?d :name ?n FILTER(?n = 'nobody') OPTIONAL { ?d :year ?y } } GROUP BY ?n",
+    ],
+)
+def test_both_ways_of_joining_texts_agree(graph, monkeypatch, text):
+    from loomgraph.operators import concat
+
+    plain = query(graph, text, as_text=True)
+    monkeypatch.setattr(concat, "MANY", 0)
+    ranged = query(graph, text, as_text=True)
+    assert sorted(map(str, ranged.collect())) == sorted(map(str, plain.collect())) and ranged.columns == plain.columns
+    assert "rangepartitioning" in ranged._jdf.queryExecution().executedPlan().toString() or "GROUP BY" not in text
+
+
 def test_collations_compare_without_accents(graph):
     own = Graph(graph.spark, graph.tables, graph.edges, Catalog(collation="UNICODE_CI_AI"))
     for name in ("αλγόριθμος", "ΑΛΓΟΡΙΘΜΟΣ", "ἀλγόριθμοσ"):
