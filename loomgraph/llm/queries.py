@@ -99,7 +99,22 @@ def op13_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequencer.apply_changes(rows.select("change_id", "client_id", "seq", day.alias("day"), batch.alias("batch"), "op", "city", cents.alias("cents")), batches=10, patience=8)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_packing, op3_url_filter, op4_suffix_dedup, op5_quality, op6_mixing, op7_pii, op8_language, op9_fingerprint, op10_token_store, op11_simhash, op12_centroids, op13_changes)}
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the explicit rules alone say of every page's URL, from the URL filter."""
+    return op3_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("told"))
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's base figures and base rules, from the quality rules."""
+    return op5_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths and digests of all edited texts, from the fingerprints."""
+    return op9_fingerprint(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_packing, op3_url_filter, op4_suffix_dedup, op5_quality, op6_mixing, op7_pii, op8_language, op9_fingerprint, op10_token_store, op11_simhash, op12_centroids, op13_changes, url_rules, quality_base, edited_texts)}
 
 
 
@@ -201,6 +216,44 @@ WITH d AS (
   FROM q JOIN e ON q.source IS NOT DISTINCT FROM e.source
 )
 SELECT doc_id, size, source_size, target, CAST(size * (epochs + CASE WHEN budget > 0 AND before + size / 2.0::DOUBLE <= budget THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM o
+""",
+    "url_rules": r"""
+WITH r AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), h AS (
+  SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS host FROM r
+), p AS (
+  SELECT page_id, translate(host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(host) + 1), '^[^?#]*') AS path FROM h
+), f AS (
+  SELECT p.*, rule, told, row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(rule) DESC NULLS LAST) AS nth
+  FROM p LEFT JOIN (VALUES ('net', '/', 'net/', 'block'), ('example.net', '/en/', 'example.net/en/', 'allow'), ('example.com', '/de/', 'example.com/de/', 'block'), ('org', '/fr/', 'org/fr/', 'allow')) AS v(domain, start, rule, told)
+  ON (host = domain OR ends_with(host, '.' || domain)) AND starts_with(path, start)
+)
+SELECT page_id, host, path, rule, told FROM f WHERE nth = 1
+""",
+    "quality_base": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT k, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT k, w, unnest(range(1, len(w) - 1)) AS i FROM d)
+), c AS (
+  SELECT k, i FROM g QUALIFY count(*) OVER (PARTITION BY k, s) > 1
+), n AS (
+  SELECT k, count(DISTINCT i + o) AS repeats FROM c CROSS JOIN (VALUES (0), (1), (2)) AS v(o) GROUP BY k
+), l AS (
+  SELECT k, [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines FROM d
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(repeats, 0) AS BIGINT) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(repeats, 0) > 50 * len(w) AS base_failed
+FROM d JOIN l ON l.k = d.k LEFT JOIN n ON n.k = d.k
+""",
+    "edited_texts": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n FROM documents
+), f AS (
+  SELECT doc_id, t, n, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS after FROM d
+)
+SELECT doc_id, n AS n_chars, sha256(substr(t, 1, n - n // 2) || substr(after, 1, n // 2)) AS edited_sha256 FROM f
 """,
     "op12_centroids": _lloyd_sql(rounds=3, k=16),
 }
