@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
 from itertools import product
@@ -28,6 +29,7 @@ class Rel:
     df: DataFrame
     vars: dict[str, Value]
     bound: frozenset[frozenset[str]] | None = None  # sets of variables that solutions can have bound, where that is known
+    page: Callable[[Callable[[Rel], Rel]], Rel] | None = None  # where sides meet in all pairs: the same of what a function leaves of such sides
 
     def bound_sets(self, names: list[str]) -> set[frozenset[str]]:
         """Which of some variables that may be unbound can be bound together."""
@@ -122,10 +124,12 @@ class Compiler:
         if not a.vars and a.df.columns == ["v_"] and not b.vars:
             return rel(a.df.crossJoin(b.df.select(F.lit(1).alias("w"))), {})
         if self._open(a, b):
-            return self._together(a, b, [self._inner(x, y) for x in self._split(a, b) for y in self._split(b, a)])
+            sides = [(x, y) for x in self._split(a, b) for y in self._split(b, a)]
+            make = lambda first: self._together(a, b, [self._inner(x, y) if set(x.vars) & set(y.vars) else self._inner(first(x), first(y)) for x, y in sides])
+            return replace(make(lambda side: side), page=make)
         left, right, condition, values = self._matched(a, b)
         made = rel(left.join(right, condition, "inner") if condition is not None else left.crossJoin(right), values)
-        return replace(made, bound=_states(a, b))
+        return replace(made, bound=_states(a, b), page=None if condition is not None else lambda first: self.join(first(a), first(b)))
 
     # Joins on variables that may be unbound. Solutions of a side are parted by which of them they have
     # bound; two parts then join by equality on what both have. Only parts that share nothing bound meet
@@ -192,7 +196,10 @@ class Compiler:
         """OPTIONAL; its filters are part of the condition."""
         shared = [n for n in a.vars if n in b.vars]
         keyless = not shared and a.vars and b.vars and not any(_equates(f) for f in filters)
-        if self._open(a, b) or keyless:
+        if not (self._open(a, b) or keyless):
+            return self._optional(a, b, self._left(a, b, filters))
+
+        def make(first: Callable[[Rel], Rel]) -> Rel:
             parts = []
             for x in self._split(a, b):
                 others = self._split(b, a)
@@ -201,12 +208,14 @@ class Compiler:
                     continue
                 alone = x
                 for y in others:
-                    parts.append(self._inner(x, y, filters))
+                    parts.append(self._inner(x, y, filters) if filters or set(x.vars) & set(y.vars) else self._inner(first(x), first(y)))
                     alone = self._hit(alone, y, filters, True)
                 parts.append(alone)
-            made = self._together(a, b, parts)
-        else:
-            made = self._left(a, b, filters)
+            return self._optional(a, b, self._together(a, b, parts))
+
+        return replace(make(lambda side: side), page=make)
+
+    def _optional(self, a: Rel, b: Rel, made: Rel) -> Rel:
         out = {n: v if n in a.vars and not a.vars[n].maybe else replace(v, maybe=True) for n, v in made.scope().items()}
         return Rel(made.df, out, _states(a, b, optional=True))
 
@@ -775,6 +784,28 @@ class Compiler:
         return self._ends(rel(out, {x: self._of_node(F.col(x[1:]), kinds[x]) for x in (".s", ".o")}), t.s, t.o)
 
     # queries
+    @staticmethod
+    def _foremost(current: Rel, q: Query) -> Rel:
+        """What the first rows of an order by variables need, where sides meet in all pairs.
+
+        A side's row that follows ``n`` others of its side in the order of that side's own variables
+        makes only pairs that follow ``n`` others, so the first ``n`` of each side are enough.
+        """
+        if not current.page or q.limit is None or not q.order_by or not all(isinstance(e, Var) and e.name in current.vars for e, _ in q.order_by):
+            return current
+
+        def first(side: Rel) -> Rel:
+            scope, order = side.scope(), []
+            for e, down in q.order_by:
+                if (v := scope.get(e.name)) is not None:
+                    if (v.kind, v.prefix) != (current.vars[e.name].kind, current.vars[e.name].prefix):
+                        return side
+                    order.append(v.sorting().desc_nulls_last() if down else v.sorting().asc_nulls_first())
+            df = side.df.orderBy(*order) if order else side.df
+            return replace(side, df=df.limit(q.limit + (q.offset or 0)), page=None)
+
+        return current.page(first)
+
     def _aggregate(self, x: Expr, scope: dict[str, Value]) -> Value:
         inner = Expressions(scope)(x.args[0]) if x.args else None
         if x.op == "COUNT":
@@ -834,6 +865,8 @@ class Compiler:
             swap = lambda x: spots.get(x) or (replace(x, args=tuple(map(swap, x.args))) if isinstance(x, Expr) and x.op != "EXISTS" else x)
         else:
             swap = lambda x: x
+            if not (q.distinct or q.having or any(not isinstance(i, Var) and Var(i[1].name) in [e for e, _ in q.order_by] for i in items)):
+                current = self._foremost(current, q)
         for h in q.having:
             current = self.filter(current, swap(h))
         scope = current.scope()

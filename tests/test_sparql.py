@@ -166,6 +166,30 @@ def test_open_variables_need_no_nested_loop(spark, name):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+PAIRED = ["{ VALUES (?a ?b) { (1 UNDEF) (UNDEF 2) (3 4) (1 UNDEF) (5 UNDEF) } VALUES (?b ?c) { (2 7) (4 8) (UNDEF 9) (2 6) } }", "{ VALUES ?a { 3 1 2 1 } { VALUES (?b ?c) { (2 1) (2 0) (0 UNDEF) } } }", "{ VALUES (?a ?b) { (1 UNDEF) (UNDEF 2) (3 4) (9 UNDEF) } OPTIONAL { VALUES (?b ?c) { (2 7) (5 8) (5 6) } } }", "{ ?m a :Module ; :hasCode ?a OPTIONAL { ?m :hasBook ?b FILTER(?b = <" + NAMESPACE + "book_6>) } ?b :title ?c }"]
+
+
+@pytest.mark.parametrize("order", ["?a ?b ?c", "DESC(?c) ?b ?a"])
+@pytest.mark.parametrize("body", PAIRED)
+def test_first_rows_of_all_pairs_need_the_first_of_each_side(graph, monkeypatch, body, order):
+    from loomgraph.plans.compiler import Compiler
+
+    text = f"SELECT ?a ?b ?c WHERE {body} ORDER BY {order}"
+    whole = [tuple(r) for r in query(graph, text, as_text=True).collect()]
+    assert [tuple(r) for r in query(graph, f"{text} LIMIT 3 OFFSET 2", as_text=True).collect()] == whole[2:5]
+    limits = lambda: query(graph, f"{text} LIMIT 3", as_text=True)._jdf.queryExecution().analyzed().toString().count("GlobalLimit")
+    made = limits()
+    monkeypatch.setattr(Compiler, "_foremost", staticmethod(lambda current, q: current))
+    assert made >= 3 > limits()
+
+
+def test_a_limit_of_distinct_or_named_rows_reaches_no_side(graph):
+    pairs = "{ VALUES ?a { 1 1 1 2 } { VALUES ?b { 5 6 } } }"
+    assert ask(graph, f"SELECT DISTINCT ?a WHERE {pairs} ORDER BY ?a LIMIT 2") == [("1",), ("2",)]
+    assert ask(graph, f"SELECT (-?a AS ?x) ?b WHERE {pairs} ORDER BY ?x ?b LIMIT 2") == [("-2", "5"), ("-2", "6")]
+    assert ask(graph, f"SELECT ?a (COUNT(*) AS ?n) WHERE {pairs} GROUP BY ?a ORDER BY ?a LIMIT 2") == [("1", "6"), ("2", "2")]
+
+
 def test_optional_and_unbound_join(graph):
     assert ask(graph, "SELECT ?c ?b WHERE { ?m a :Module ; :hasCode ?c ; :semester '1' OPTIONAL { ?m :hasBook ?x . ?x :hasCode ?b FILTER(?b = '6') } }") == [("100", None), ("101", "6"), ("102", None)]
     assert ask(graph, "SELECT ?a ?b WHERE { VALUES (?a ?b) { (1 UNDEF) (UNDEF 2) } VALUES (?a ?b) { (1 3) (4 2) } }") == [("1", "3"), ("4", "2")]
