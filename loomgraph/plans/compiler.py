@@ -182,6 +182,10 @@ class Compiler:
             zero = lambda df: F.pmod(F.xxhash64(*df.columns), F.lit(1)).cast("int")  # noqa: E731  no constant, so that the join has a key
             some = right.limit(1)
             return rel(left.withColumn("w_", zero(left)).join(some.select(zero(some).alias("x_")), F.col("w_") == F.col("x_"), how), kept)
+        if condition is None and (some := self._decisive(a, b, right, values, filters)) is not None:
+            zero = lambda df: F.pmod(F.xxhash64(*df.columns), F.lit(1)).cast("int")
+            left, some = left.withColumn("w_", zero(left)), F.broadcast(some.withColumn("x_", zero(some)))
+            return rel(left.join(some, reduce(lambda x, y: x & y, [Expressions(values).truth(f) for f in filters], F.col("w_") == F.col("x_")), how), kept)
         if condition is None and not any(_equates(f) for f in filters):  # a ledger of the solutions that are matched, by their values
             ledger = self._inner(a, b, filters).df.select(*[F.col(f"`v_{n}`").alias(f"w_{n}") for n in a.vars]).distinct()
             same = reduce(lambda x, y: x & y, [F.col(f"`l_{n}`").eqNullSafe(F.col(f"`w_{n}`")) for n in a.vars])
@@ -192,6 +196,39 @@ class Compiler:
             condition = test if condition is None else condition & test
         return rel(left.join(right, condition, how), kept)
 
+    @staticmethod
+    def _decisive(a: Rel, b: Rel, right: DataFrame, values: dict[str, Value], filters: list) -> DataFrame | None:
+        """The one row of the other side that passes the filters with a solution if any row does; None if that may take several.
+
+        Where one test compares the sides by order, it is the least or the greatest of the rows that pass
+        the tests of that side alone; where none does, any of them.
+        """
+        tests, of = [], lambda x: set(variables(x))
+        pending = list(filters)
+        while pending:
+            f = pending.pop()
+            if isinstance(f, Expr) and f.op == "&&":
+                pending += f.args
+            else:
+                tests.append(f)
+        both = [f for f in tests if of(f) & set(a.vars) and of(f) & set(b.vars)]
+        for f in tests:
+            if of(f) & set(b.vars) and f not in both:
+                right = right.filter(Expressions(values).truth(f))
+        if not both:
+            return right.limit(1)
+        f = both[0]
+        if len(both) > 1 or f.op not in ("<", "<=", ">", ">="):
+            return None
+        ours = [not of(x) & set(a.vars) for x in f.args]
+        pair = comparable(*[Expressions(values)(x) for x in f.args])
+        if sorted(ours) != [False, True] or any(of(x) & set(b.vars) for x, own in zip(f.args, ours, strict=True) if not own) or pair is None:
+            return None
+        col = pair[ours.index(True)]
+        best = F.min_by if (f.op in ("<", "<=")) == ours[0] else F.max_by
+        found = right.filter(col.isNotNull()).agg(best(F.struct(*right.columns), col).alias("row"))
+        return found.filter("row IS NOT NULL").select("row.*")
+
     def left_join(self, a: Rel, b: Rel, filters: list) -> Rel:
         """OPTIONAL; its filters are part of the condition."""
         shared = [n for n in a.vars if n in b.vars]

@@ -190,6 +190,20 @@ def test_a_limit_of_distinct_or_named_rows_reaches_no_side(graph):
     assert ask(graph, f"SELECT ?a (COUNT(*) AS ?n) WHERE {pairs} GROUP BY ?a ORDER BY ?a LIMIT 2") == [("1", "6"), ("2", "2")]
 
 
+@pytest.mark.parametrize("test", ["?a < ?d", "?d <= ?a && ?d > 1", "?a >= ?e + 1 && ?e < ?d && ?a > 1", "?a < ?d && ?a > ?e"])
+def test_exists_by_an_order_asks_one_row(graph, monkeypatch, test):
+    """Against all pairs, with unbound cells, in both senses; a pair of tests that one row can't decide keeps the ledger."""
+    from loomgraph.plans.compiler import Compiler
+
+    text = f"SELECT ?a ?n WHERE {{ VALUES (?a ?n) {{ (1 1) (2 2) (3 3) (4 4) (UNDEF 5) (2.5 6) }} FILTER %s {{ VALUES (?d ?e) {{ (2 1) (3 4) (UNDEF 0) (1 UNDEF) (2 2) }} FILTER({test}) }} }}"
+    optional = f"SELECT ?a ?d WHERE {{ VALUES ?a {{ 1 2 3 4 }} OPTIONAL {{ VALUES (?d ?e) {{ (2 1) (3 4) (1 UNDEF) }} FILTER({test}) }} }}"
+    found = [ask(graph, t) for t in (text % "EXISTS", text % "NOT EXISTS", optional)]
+    plan = query(graph, text % "NOT EXISTS")._jdf.queryExecution().analyzed().toString()
+    assert ("explode(sequence" not in plan) == (test != "?a < ?d && ?a > ?e")
+    monkeypatch.setattr(Compiler, "_decisive", staticmethod(lambda *_: None))
+    assert found == [ask(graph, t) for t in (text % "EXISTS", text % "NOT EXISTS", optional)]
+
+
 def test_optional_and_unbound_join(graph):
     assert ask(graph, "SELECT ?c ?b WHERE { ?m a :Module ; :hasCode ?c ; :semester '1' OPTIONAL { ?m :hasBook ?x . ?x :hasCode ?b FILTER(?b = '6') } }") == [("100", None), ("101", "6"), ("102", None)]
     assert ask(graph, "SELECT ?a ?b WHERE { VALUES (?a ?b) { (1 UNDEF) (UNDEF 2) } VALUES (?a ?b) { (1 3) (4 2) } }") == [("1", "3"), ("4", "2")]
