@@ -94,23 +94,34 @@ class Folding:
         return tuple(self.now[n] for n in FIELDS)
 
 
-def fold_stream(events: DataFrame, key: str, key_type: str, order: str) -> DataFrame:
+def fold_stream(events: DataFrame, key: str, key_type: str, order: str, *, buckets: int = 256) -> DataFrame:
     """The fold over a stream: a row per key and micro-batch, the state so far.
 
-    Events of a batch are put in order; a later batch comes after. State per key is one small row.
+    Events of a batch are put in order; a later batch comes after. Keys are dealt over ``buckets`` by hash,
+    and a bucket's state holds a small row per key, so that a call costs once for many keys.
     """
     names = "status string, sparql string, results string, done string, message string"
-
-    def run(keys: tuple, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        folding = Folding(tuple(held.get) if held.exists else None)
-        rows = pd.concat(list(frames))
-        for event, data in rows.sort_values(order)[["event", "data"]].itertuples(index=False):
-            folding.take(event, None if data is None or data != data else data)
-        held.update(folding.state())
-        yield pd.DataFrame([(keys[0], *folding.state())], columns=[key, "status", "sparql", "results", "done", "message"])
-
-    grouped = events.select(key, order, "event", "data").groupBy(key)
-    return grouped.applyInPandasWithState(run, f"{key} {key_type}, {names}", names, "update", "NoTimeout")
+    columns = [key, *FIELDS]
+
+    def run(_, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
+        old = held.get if held.exists else None
+        known = {k: Folding(state) for k, *state in zip(*old, strict=True)} if old else {}
+        rows = pd.concat(list(frames)).sort_values(order)
+        touched: dict = {}
+        for k, event, data in zip(rows["key"], rows["event"], rows["data"], strict=True):
+            k = None if k is None or k != k else k
+            if k not in touched:
+                touched[k] = known[k] = known.get(k) or Folding()
+            touched[k].take(event, None if data is None or data != data else data)
+        states = [(k, *x.state()) for k, x in known.items()]
+        held.update(tuple(list(x) for x in zip(*states, strict=True)))
+        yield pd.DataFrame([(k, *x.state()) for k, x in touched.items()], columns=columns)
+
+    text = F.col(key).cast("string")  # as text, for numbers with nulls among them would come as floating ones
+    dealt = events.select(F.pmod(F.xxhash64(text), F.lit(buckets)).alias("bucket"), text.alias("key"), order, "event", "data").groupBy("bucket")
+    state = ", ".join(f"{n} array<string>" for n in ("keys", *FIELDS))
+    folded = dealt.applyInPandasWithState(run, f"{key} string, {names}", state, "update", "NoTimeout")
+    return folded.select(F.col(key).cast(key_type).alias(key), *FIELDS)
 
 
 #: State of :class:`Ordered`: the fold so far, and when its last event was.

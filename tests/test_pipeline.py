@@ -252,6 +252,20 @@ def test_fold_of_a_stream_is_the_same(spark, tmp_path):
     assert sorted(map(tuple, spark.table("folded").collect())) == STATES
 
 
+def test_a_streamed_fold_is_called_per_bucket_of_keys(spark, tmp_path):
+    """Two starts on one checkpoint, few buckets, a key that is null and one beyond what a double holds."""
+    schema, big = "k long, seq int, event string, data string", 2**53 + 1
+    keys = [None, big, big - 1, *range(20)]
+    told = {}
+    for n, event in enumerate(("SUBMIT", "TOKEN")):
+        spark.createDataFrame([(k, n, event, "x") for k in keys[n:]], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = E.fold_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "k", "bigint", "seq", buckets=3)
+        q = stream.writeStream.outputMode("update").foreachBatch(lambda df, _: told.update({r[0]: tuple(r)[1:] for r in df.collect()})).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert told == {k: ("streaming", "" if k is None else "x", None, None, None) for k in keys}
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3
+
+
 def test_late_events_are_folded_in_order_and_idle_keys_go(spark, tmp_path):
     """Events shuffled over micro-batches, each a start of its own, end in the state of the batch fold."""
     import datetime
