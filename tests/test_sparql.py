@@ -72,6 +72,12 @@ def test_multivalued_property_fans_out(graph):
     assert ask(graph, "SELECT ?s WHERE { ?m :hasCode '101' ; :semester ?s }") == [("1",), ("2",)]
 
 
+def test_values_of_a_property_are_dealt_over_a_fixed_number_of_tasks(graph):
+    pairs = graph.literals("Module", "semester")
+    assert pairs.rdd.getNumPartitions() == int(graph.spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(map(tuple, pairs.collect())) == [(100, "1"), (101, "1"), (101, "2"), (102, "1")]
+
+
 def test_a_graph_is_a_set(graph):
     """Module 101 has two rows: one module with two semesters, each other property once."""
     assert ask(graph, "SELECT ?t WHERE { ?m :title ?t ; :hasCode '101' }") == [("m",)]
