@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -40,7 +41,7 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
     return _mixed(h, 0xD6E8FEB86659FD93)
 
 
-def _chunk(data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _chunk(data: np.ndarray, width: int, hashed: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     grams = _gram_hashes(data)
     h, span, done = grams, width - GRAM + 1, 1
     while done < span:
@@ -51,7 +52,7 @@ def _chunk(data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.nda
     ends = np.append(first[1:], len(h)) - 1 + width
     names = _mixed(h[first] * _MUL, 0xD6E8FEB86659FD93)  # least hashes are small numbers; this spreads them
     last, contents = ends - GRAM, np.zeros(len(first), np.uint64)
-    on, at = np.arange(len(first)), first
+    on, at = (np.arange(len(first)), first) if hashed else (first[:0], first[:0])
     while len(on):  # grams side by side, the last one at the stretch's end
         contents[on] = _mixed(contents[on] + grams[np.minimum(at, last[on])], 0xBF58476D1CE4E5B9, 31)
         more = at < last[on]
@@ -59,14 +60,14 @@ def _chunk(data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return names, contents, first, ends
 
 
-def stretches(data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def stretches(data: np.ndarray, width: int, hashed: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows that share their least gram hash: names, hashes of contents, first windows and ends.
 
     A window's name depends on its content alone, so equal windows, wherever they are, lie in stretches
     of one name. Names and hashes have 64 bits each. Long texts are taken in chunks, so memory beside
-    the text is bounded.
+    the text is bounded. Without ``hashed``, hashes of contents are left out as 0.
     """
-    parts = [_chunk(data[at : at + CHUNK + width - 1], width) + (at,) for at in range(0, max(1, len(data) - width + 1), CHUNK) if len(data) >= width]
+    parts = [_chunk(data[at : at + CHUNK + width - 1], width, hashed) + (at,) for at in range(0, max(1, len(data) - width + 1), CHUNK) if len(data) >= width]
     if not parts:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate([p[i] + p[4] if i > 1 else p[i] for p in parts]) for i in range(4))
@@ -74,7 +75,7 @@ def stretches(data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.
 
 def _target(names: np.ndarray, n: int) -> np.ndarray:
     """A name's part of ``n``; parts follow the order of names."""
-    return ((names >> np.uint64(48)) * np.uint64(n) >> np.uint64(16)).astype(np.int64)
+    return ((names >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
 def _differs(x: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -90,16 +91,39 @@ def _starts(*sorted_by: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+# Rows of a parcel for each target are many: as many as both numbers together, so none is made by itself.
+# A column of all a parcel's rows is one array, cut by counts; so it is read.
+def _packed(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """A binary column over values that lie side by side, so many of them in each row."""
+    values = np.ascontiguousarray(values)
+    ends = np.append(0, np.cumsum(counts)) * (values.itemsize * int(np.prod(values.shape[1:])))
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values)])
+
+
+def _unpacked(column: pa.Array, kind: str, width: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a binary column, in rows of ``width`` where that is not 1, and how many are in each row. Null is as empty."""
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    values = np.frombuffer(data if data is not None and ends[-1] > ends[0] else b"", np.uint8)[ends[0] : ends[-1]].view(kind)
+    return values.reshape(-1, width) if width > 1 else values, np.diff(ends) // (np.dtype(kind).itemsize * width)
+
+
+def _batch(schema: pa.Schema, n: int, **columns) -> pa.RecordBatch:
+    """``n`` rows; columns that aren't given are null."""
+    made = {k: x if isinstance(x, pa.Array) else pa.array(x, type=schema.field(k).type) for k, x in columns.items()}
+    return pa.RecordBatch.from_arrays([made[f.name] if f.name in made else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+
 #: ``names`` and ``contents`` of single stretches, ``counts`` of them per document (``ids``, and ``texts``:
 #: 128 bits of a text's hash). ``often`` and ``often_contents``: pairs that several documents of the parcel
 #: hold, sent once, with the least (``least``) and whether texts differ (``several``); their holders stay
-#: in rows of their own (``holders``: number and documents of each pair).
-SENT = pa.schema([("key", pa.int32()), ("target", pa.int32()), ("parcel", pa.int64()), *[(n, pa.binary()) for n in ("names", "contents", "counts", "ids", "texts", "often", "often_contents", "least", "several", "holders")]])
-SENT_SQL = "key int, target int, parcel long, names binary, contents binary, counts binary, ids binary, texts binary, often binary, often_contents binary, least binary, several binary, holders binary"
+#: in rows of their own (``pairs``: their names, ``held``: number of documents of each, ``holders``: these).
+SENT = pa.schema([("key", pa.int32()), ("target", pa.int32()), ("parcel", pa.int64()), *[(n, pa.binary()) for n in ("names", "contents", "counts", "ids", "texts", "often", "often_contents", "least", "several", "pairs", "held", "holders")]])
+SENT_SQL = "key int, target int, parcel long, names binary, contents binary, counts binary, ids binary, texts binary, often binary, often_contents binary, least binary, several binary, pairs binary, held binary, holders binary"
 
 
 def _parcel(entries: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, texts: np.ndarray, keys: list[int], parcel: int) -> Iterator[pa.RecordBatch]:
-    """What a parcel of documents sends to each target."""
+    """What a parcel of documents sends to all targets, a row for each."""
     name, content = np.concatenate([e[0] for e in entries]), np.concatenate([e[1] for e in entries])
     who = np.repeat(np.arange(len(entries)), [len(e[0]) for e in entries])
     by = np.argsort(name, kind="stable")
@@ -110,40 +134,37 @@ def _parcel(entries: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, texts
     pair = _starts(name[again], content[again]) if len(again) else again
     held = np.diff(np.append(pair, len(again)))
     alone = np.ones(len(name), bool)
+    w = who[again]
     if len(again):
-        w = who[again]
         same = np.minimum.reduceat(w, pair) == np.maximum.reduceat(w, pair)
         alone[again] = False
         alone[again[pair[same]]] = True  # one document alone holds the pair, maybe more than once
         pair, held, kept = pair[~same], held[~same], np.repeat(~same, held)
         again, w = again[kept], w[kept]
         pair = np.cumsum(held) - held
+    n, numbers = len(keys), np.array(keys, np.int32)
     one = np.flatnonzero(alone)
-    to = _target(name[one], len(keys))
+    to = _target(name[one], n)
     order = np.argsort(to.astype(np.int32), kind="stable")
     one, to = one[order], to[order]
-    cuts = np.searchsorted(to, np.arange(len(keys) + 1))
+    at = _starts(to, who[one])
+    used = who[one][at]
     often, often_content = name[again[pair]], content[again[pair]]
-    marks = np.searchsorted(_target(often, len(keys)), np.arange(len(keys) + 1))
-    shift = np.append(pair, len(again))
+    marks = _target(often, n)
     several = _differs(texts[w, 0], pair) | _differs(texts[w, 1], pair) if len(pair) else np.zeros(0, bool)
-    least = ids[w[pair]] if len(pair) else np.zeros(0, np.int64)
-    least_text = texts[w[pair]] if len(pair) else texts[:0]
-    blank = dict.fromkeys(n for n in SENT.names if n not in ("key", "target", "parcel"))
-    for t, key in enumerate(keys):
-        some, p, q = one[cuts[t] : cuts[t + 1]], marks[t], marks[t + 1]
-        if not len(some) and p == q:
-            continue
-        at = _starts(who[some])
-        used = who[some][at]
-        row = {
-            "names": name[some], "contents": content[some], "counts": np.diff(np.append(at, len(some))).astype("<u4"), "ids": ids[used], "texts": texts[used],
-            "often": often[p:q], "often_contents": often_content[p:q], "least": np.concatenate((least[p:q].view("<u8")[:, None], least_text[p:q]), axis=1), "several": several[p:q].astype(np.uint8),
-        }
-        yield record(SENT, key=[key], target=[t], parcel=[parcel], **{n: [x] for n, x in (blank | {n: np.ascontiguousarray(x).tobytes() for n, x in row.items()}).items()})
-        if p < q:  # holders go anywhere; the parcel's number deals them
-            holders = np.concatenate((held[p:q], ids[w[shift[p] : shift[q]]]))
-            yield record(SENT, key=[keys[(parcel * 7919 + t) % len(keys)]], target=[t], parcel=[parcel], **{n: [x] for n, x in (blank | {"often": often[p:q].tobytes(), "holders": holders.astype("<i8").tobytes()}).items()})
+    least = np.concatenate((ids[w[pair]].view("<u8")[:, None], texts[w[pair]]), axis=1)
+    per = lambda x, *weights: np.bincount(x, *weights, minlength=n).astype(np.int64)
+    singles, shared = per(to), per(marks)
+    some = np.flatnonzero(singles + shared)
+    cut = lambda values, counts: _packed(values, counts[some])
+    yield _batch(
+        SENT, len(some), key=numbers[some], target=some, parcel=np.full(len(some), parcel), names=cut(name[one], singles), contents=cut(content[one], singles),
+        counts=cut(np.diff(np.append(at, len(one))).astype("<u4"), per(to[at])), ids=cut(ids[used], per(to[at])), texts=cut(texts[used], per(to[at])),
+        often=cut(often, shared), often_contents=cut(often_content, shared), least=cut(least, shared), several=cut(several.astype(np.uint8), shared),
+    )
+    if len(pair):  # holders go anywhere; the parcel's number deals them
+        some = np.flatnonzero(shared)
+        yield _batch(SENT, len(some), key=numbers[(parcel * 7919 % n + some) % n], target=some, parcel=np.full(len(some), parcel), pairs=cut(often, shared), held=cut(held.astype("<i8"), shared), holders=cut(ids[w], per(marks, held)))
 
 
 def _send_stretches(docs: DataFrame, width: int, keys: list[int]) -> DataFrame:
@@ -171,38 +192,33 @@ def _send_stretches(docs: DataFrame, width: int, keys: list[int]) -> DataFrame:
     return docs.select("doc_id", "sha", "text").mapInArrow(run, SENT_SQL)
 
 
-SETTLED = pa.schema([("parcel", pa.int64()), ("target", pa.int32()), ("doc_id", pa.int64()), ("gone", pa.binary()), ("mixed", pa.binary()), ("often", pa.binary()), ("holders", pa.binary()), ("answers", pa.binary())])
-SETTLED_SQL = "parcel long, target int, doc_id long, gone binary, mixed binary, often binary, holders binary, answers binary"
+SETTLED = pa.schema([("parcel", pa.int64()), ("target", pa.int32()), ("doc_id", pa.int64()), *[(n, pa.binary()) for n in ("gone", "mixed", "pairs", "held", "holders", "answers")]])
+SETTLED_SQL = "parcel long, target int, doc_id long, gone binary, mixed binary, pairs binary, held binary, holders binary, answers binary"
 #: What an answer says of a pair that several documents hold.
 NOTHING, MIXED, GONE, GONE_BUT_LEAST = range(4)
 
 
-def _by_doc(docs: np.ndarray, names: np.ndarray, mixed: np.ndarray) -> tuple[list, list, list]:
+def _by_doc(docs: np.ndarray, names: np.ndarray, mixed: np.ndarray) -> dict:
+    """Columns of a row per document: its names that are gone whole and those that are mixed."""
     order = np.argsort(docs, kind="stable")
     docs, names, mixed = docs[order], names[order], mixed[order]
     at = _starts(docs)
-    ids, gone, need = docs[at].tolist(), [], []
-    for a, b in zip(at.tolist(), [*at[1:].tolist(), len(docs)], strict=True):
-        n, m = names[a:b], mixed[a:b]
-        gone.append(n[~m].tobytes())
-        need.append(n[m].tobytes())
-    return ids, gone, need
-
-
-def _settle_names(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-    """Marks of one target's documents, and answers for pairs that several documents of a parcel hold."""
-    read = lambda n, kind: [np.frombuffer(r[n], kind) for r in rows]
-    counts, ids, texts = read("counts", "<u4"), read("ids", "<i8"), [x.reshape(-1, 2) for x in read("texts", "<u8")]
-    often, least = read("often", "<u8"), [x.reshape(-1, 3) for x in read("least", "<u8")]
-    n_often = np.array([len(x) for x in often])
-    names = np.concatenate(read("names", "<u8") + often)
-    contents = np.concatenate(read("contents", "<u8") + read("often_contents", "<u8"))
-    docs = np.concatenate([np.repeat(i, c) for i, c in zip(ids, counts, strict=True)] + [x[:, 0].view("<i8") for x in least])
-    high = np.concatenate([np.repeat(x[:, 0], c) for x, c in zip(texts, counts, strict=True)] + [x[:, 1] for x in least])
-    low = np.concatenate([np.repeat(x[:, 1], c) for x, c in zip(texts, counts, strict=True)] + [x[:, 2] for x in least])
-    single = len(names) - int(n_often.sum())
+    need = np.add.reduceat(mixed.astype(np.int64), at)
+    return {"doc_id": docs[at], "gone": _packed(names[~mixed], np.diff(np.append(at, len(docs))) - need), "mixed": _packed(names[mixed], need)}
+
+
+def _settle_names(sent: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Marks of a task's documents, and answers for pairs that several documents of a parcel hold."""
+    read = lambda n, kind, width=1: np.concatenate([_unpacked(b.column(n), kind, width)[0] for b in sent])
+    counts, ids, texts, least = read("counts", "<u4"), read("ids", "<i8"), read("texts", "<u8", 2), read("least", "<u8", 3)
+    n_often = np.concatenate([_unpacked(b.column("often"), "<u8")[1] for b in sent])
+    names = np.concatenate((read("names", "<u8"), read("often", "<u8")))
+    contents = np.concatenate((read("contents", "<u8"), read("often_contents", "<u8")))
+    docs = np.concatenate((np.repeat(ids, counts), least[:, 0].view("<i8")))
+    high, low = (np.concatenate((np.repeat(texts[:, i], counts), least[:, i + 1])) for i in range(2))
+    single = len(names) - len(least)
     many = np.zeros(len(names), bool)
-    many[single:] = np.concatenate(read("several", np.uint8)).astype(bool)
+    many[single:] = read("several", np.uint8)
     by = np.argsort(names, kind="stable")
     first = _starts(names[by])
     sizes = np.diff(np.append(first, len(by)))
@@ -212,16 +228,15 @@ def _settle_names(rows: list[dict]) -> Iterator[pa.RecordBatch]:
     later = d > np.repeat(np.minimum.reduceat(d, first), sizes)
     use = np.flatnonzero(shared & (mixed | later) & (by < single))
     if len(use):
-        found, gone, need = _by_doc(d[use], names[by[use]], mixed[use])
-        blank = [None] * len(found)
-        yield record(SETTLED, parcel=blank, target=blank, doc_id=found, gone=gone, mixed=need, often=blank, holders=blank, answers=blank)
+        found = _by_doc(d[use], names[by[use]], mixed[use])
+        yield _batch(SETTLED, len(found["doc_id"]), **found)
     said = np.zeros(len(names), np.uint8)
     said[by] = np.where(~shared, NOTHING, np.where(mixed, MIXED, np.where(later, GONE, GONE_BUT_LEAST)))
-    at = single
-    for r, n in zip(rows, n_often.tolist(), strict=True):
-        if n and said[at : at + n].any():
-            yield record(SETTLED, parcel=[r["parcel"]], target=[r["target"]], doc_id=[None], gone=[None], mixed=[None], often=[None], holders=[None], answers=[said[at : at + n].tobytes()])
-        at += n
+    said, row = said[single:], np.repeat(np.arange(len(n_often)), n_often)
+    if said.any():
+        some = np.unique(row[said != NOTHING])
+        parcel, target = (np.concatenate([b.column(n).to_numpy() for b in sent]) for n in ("parcel", "target"))
+        yield _batch(SETTLED, len(some), parcel=parcel[some], target=target[some], answers=_packed(said[np.isin(row, some)], n_often[some]))
 
 
 def _settle_stretches(sent: DataFrame, n: int) -> DataFrame:
@@ -232,15 +247,15 @@ def _settle_stretches(sent: DataFrame, n: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_target: dict[int, list[dict]] = {}  # one, as the keys deal each target a task of its own
+        held: list[pa.RecordBatch] = []  # of one target, as the keys deal each a task of its own
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["holders"] is None:
-                    by_target.setdefault(row["target"], []).append(row)
-                else:
-                    yield record(SETTLED, parcel=[row["parcel"]], target=[row["target"]], doc_id=[None], gone=[None], mixed=[None], often=[row["often"]], holders=[row["holders"]], answers=[None])
-        for target in list(by_target):
-            yield from _settle_names(by_target.pop(target))
+            passing = batch.column("holders").is_valid()
+            if (rest := batch.filter(pa.compute.invert(passing))).num_rows:
+                held.append(rest)
+            if (through := batch.filter(passing)).num_rows:
+                yield _batch(SETTLED, through.num_rows, **{c: through.column(c) for c in ("parcel", "target", "pairs", "held", "holders")})
+        if held:
+            yield from _settle_names(held)
 
     return sent.repartition(n, "key").mapInArrow(run, SETTLED_SQL)
 
@@ -253,110 +268,175 @@ def _marks(settled: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                names, said, holders = np.frombuffer(row["often"], "<u8"), np.frombuffer(row["answers"], np.uint8), np.frombuffer(row["holders"], "<i8")
-                held, docs = holders[: len(names)], holders[len(names) :]
-                least = np.repeat(docs[np.cumsum(held) - held], held)  # holders come in order of doc_id
-                names, said = np.repeat(names, held), np.repeat(said, held)
-                use = (said == MIXED) | (said == GONE) | (said == GONE_BUT_LEAST) & (docs > least)
-                if use.any():
-                    ids, gone, need = _by_doc(docs[use], names[use], said[use] == MIXED)
-                    yield record(MARKS, doc_id=ids, gone=gone, mixed=need)
+            (names, said, held, docs) = (_unpacked(batch.column(c), kind)[0] for c, kind in (("pairs", "<u8"), ("answers", np.uint8), ("held", "<i8"), ("holders", "<i8")))
+            if not len(names):
+                continue
+            least = np.repeat(docs[np.cumsum(held) - held], held)  # holders come in order of doc_id
+            names, said = np.repeat(names, held), np.repeat(said, held)
+            use = (said == MIXED) | (said == GONE) | (said == GONE_BUT_LEAST) & (docs > least)
+            if use.any():
+                found = _by_doc(docs[use], names[use], said[use] == MIXED)
+                yield _batch(MARKS, len(found["doc_id"]), **found)
 
     own = settled.filter("doc_id IS NOT NULL").select("doc_id", "gone", "mixed")
-    holders = settled.filter("holders IS NOT NULL").select("parcel", "target", "often", "holders")
+    holders = settled.filter("holders IS NOT NULL").select("parcel", "target", "pairs", "held", "holders")
     answers = settled.filter("answers IS NOT NULL").select("parcel", "target", "answers")
-    more = holders.join(answers, ["parcel", "target"]).select("often", "holders", "answers").mapInArrow(run, "doc_id long, gone binary, mixed binary")
+    more = holders.join(answers, ["parcel", "target"]).select("pairs", "held", "holders", "answers").mapInArrow(run, "doc_id long, gone binary, mixed binary")
     return own.union(more).groupBy("doc_id").agg(F.collect_list("gone").alias("gone"), F.collect_list("mixed").alias("mixed"))
 
 
-def _marked(data: np.ndarray, width: int, marks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Stretches of a text whose names are among the marks of any target: names, starts and ends."""
-    name, _, start, end = stretches(data, width)
-    on = np.isin(name, np.frombuffer(b"".join(marks or []), "<u8"))
-    return name[on], start[on], end[on]
-
+#: Parts of a target, in the order of names. What has one name lies in one part, so parts are settled one by one.
+PARTS = 16
+#: Bytes of strings that get one suffix array.
+ARRAY = 1 << 20
 
-BYTES = pa.schema([("parcel", pa.int64()), ("target", pa.int32()), ("strings", pa.list_(pa.binary())), ("owners", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64())), ("shas", pa.list_(pa.binary())), ("places", pa.binary())])
-BYTES_SQL = "parcel long, target int, strings array<binary>, owners array<long>, docs array<long>, shas array<binary>, places binary"
+#: Of a parcel for a target: distinct ``strings`` side by side with the ``lengths``, the part and the least
+#: document (``owners``) of each, and ``places``: document (of ``docs``, with the hashes of texts ``shas``),
+#: start and string of each. In rows of their own, ``ranges`` that a document loses whole.
+BYTES = pa.schema([("key", pa.int32()), ("target", pa.int32()), ("parcel", pa.int64()), *[(n, pa.binary()) for n in ("strings", "lengths", "parts", "owners", "docs", "shas", "places")], ("doc_id", pa.int64()), ("sha", pa.binary()), ("ranges", pa.binary())])
+BYTES_SQL = "key int, target int, parcel long, strings binary, lengths binary, parts binary, owners binary, docs binary, shas binary, places binary, doc_id long, sha binary, ranges binary"
 
 
 class _Held:
-    """What a parcel holds of one target: distinct strings, its documents, and where which string is."""
-
-    __slots__ = ("strings", "docs", "places")
-
-    def __init__(self):
-        self.strings, self.docs, self.places = {}, {}, []
-
-    def add(self, doc: int, sha: bytes, start: int, piece: bytes) -> None:
-        which, owner = self.strings.get(piece, (len(self.strings), doc))
-        self.strings[piece] = which, min(owner, doc)
-        self.places += (self.docs.setdefault((doc, sha), len(self.docs)), start, which)
-
-
-def _send_bytes(marked: DataFrame, width: int, n: int) -> DataFrame:
+    """What a parcel holds: distinct strings with the least document of each, and where which string is."""
+
+    def __init__(self, n: int):
+        self.n, self.size = n, 0
+        self.strings, self.parts, self.owners = {}, [], []
+        self.docs, self.shas, self.places = [], [], []
+        self.lost = []
+
+    def add(self, doc: int, sha: bytes, raw: bytes, names: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        which = []
+        for part, a, b in zip(_target(names, PARTS * self.n).tolist(), starts.tolist(), ends.tolist(), strict=True):
+            piece = raw[a:b]
+            i = self.strings.setdefault(piece, len(self.parts))
+            if i == len(self.parts):
+                self.parts.append(part)
+                self.owners.append(doc)
+            elif doc < self.owners[i]:
+                self.owners[i] = doc
+            which.append(i)
+        self.places.append(np.stack((np.full(len(which), len(self.docs)), starts, np.array(which)), axis=1))
+        self.docs.append(doc)
+        self.shas.append(sha)
+        self.size += int((ends - starts).sum())
+
+    def lose(self, doc: int, sha: bytes, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Stretches, in the order of a text, that go whole."""
+        at = np.flatnonzero(np.append(True, starts[1:] > ends[:-1]))
+        self.lost.append((doc, sha, np.stack((starts[at], ends[np.append(at[1:], len(ends)) - 1]), axis=1).astype("<i8").tobytes()))
+        self.size += len(self.lost[-1][-1])
+
+    def rows(self, keys: list[int], parcel: int) -> Iterator[pa.RecordBatch]:
+        if self.lost:
+            yield _batch(BYTES, len(self.lost), **dict(zip(("doc_id", "sha", "ranges"), zip(*self.lost, strict=True), strict=True)))
+        if not self.strings:
+            return
+        parts, lengths = np.array(self.parts), np.array([len(x) for x in self.strings])
+        order = np.argsort(parts, kind="stable")
+        strings, target = list(self.strings), parts // PARTS
+        doc, start, which = np.concatenate(self.places).T
+        by = np.lexsort((doc, target[which]))
+        doc, start, which = doc[by], start[by], which[by]
+        to = target[which]
+        per = lambda x: np.bincount(x, minlength=self.n)
+        before = lambda counts: np.cumsum(counts) - counts
+        place = np.empty(len(order), np.int64)  # of each string among those of its target
+        place[order] = np.arange(len(order)) - before(per(target))[target[order]]
+        at = _starts(to, doc)
+        ranks = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(doc)))) - before(per(to[at]))[to]
+        some = np.flatnonzero(per(target))
+        cut = lambda values, counts: _packed(values, counts[some])
+        yield _batch(
+            BYTES, len(some), key=np.array(keys, np.int32)[some], target=some, parcel=np.full(len(some), parcel),
+            strings=cut(np.frombuffer(b"".join([strings[i] for i in order.tolist()]), np.uint8), np.bincount(target, lengths, minlength=self.n).astype(np.int64)),
+            lengths=cut(lengths[order].astype("<u4"), per(target)), parts=cut((parts % PARTS)[order].astype(np.uint8), per(target)), owners=cut(np.array(self.owners, "<i8")[order], per(target)),
+            docs=cut(np.array(self.docs, "<i8")[doc[at]], per(to[at])), shas=cut(np.frombuffer(b"".join(self.shas), "<u8").reshape(-1, 2)[doc[at]], per(to[at])),
+            places=cut(np.stack((ranks, start, place[which]), axis=1).astype("<i8"), per(to)),
+        )
+
+
+def _send_bytes(marked: DataFrame, width: int, keys: list[int]) -> DataFrame:
     """Mixed stretches by parcel and target: distinct strings with their least document, and where each is.
 
     A string that many documents of a parcel share travels once; its places stay with the parcel.
+    Stretches that a document loses whole are ranges already.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parcel = TaskContext.get().partitionId() << 32
-        held: dict[int, _Held] = {}
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for t, h in held.items():
-                ids, shas = zip(*h.docs, strict=True)
-                yield record(BYTES, parcel=[parcel], target=[t], strings=[list(h.strings)], owners=[[o for _, o in h.strings.values()]], docs=[ids], shas=[shas], places=[np.array(h.places, "<i8").tobytes()])
-
+        parcel, held = TaskContext.get().partitionId() << 32, _Held(len(keys))
         for batch in portions(batches, "text"):
-            for doc, sha, text, marks in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for doc, sha, text, mixed, gone in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 raw = text.encode()
-                name, start, end = _marked(np.frombuffer(raw, np.uint8), width, marks)
-                for t, a, b in zip(_target(name, n).tolist(), start.tolist(), end.tolist(), strict=True):
-                    if t not in held:
-                        held[t] = _Held()
-                    held[t].add(doc, sha, a, raw[a:b])
-                    size += b - a
-                if size >= PARCEL:
-                    yield from flush()
-                    parcel, held, size = parcel + 1, {}, 0
-        yield from flush()
+                name, _, start, end = stretches(np.frombuffer(raw, np.uint8), width, False)
+                if len(on := _found(name, gone)):
+                    held.lose(doc, sha, start[on], end[on])
+                if len(on := _found(name, mixed)):
+                    held.add(doc, sha, raw, name[on], start[on], end[on])
+                if held.size >= PARCEL:
+                    yield from held.rows(keys, parcel)
+                    parcel, held = parcel + 1, _Held(len(keys))
+        yield from held.rows(keys, parcel)
+
+    return marked.select("doc_id", "sha", "text", "mixed", "gone").mapInArrow(run, BYTES_SQL)
+
 
-    return marked.select("doc_id", "sha", "text", "mixed").mapInArrow(run, BYTES_SQL)
+def _found(names: np.ndarray, marks: list[bytes]) -> np.ndarray:
+    """Which of the names are among the marks of any target."""
+    wanted = np.frombuffer(b"".join(marks or []), "<u8")
+    return np.flatnonzero(np.isin(names, wanted)) if len(wanted) else np.zeros(0, np.int64)
 
 
-ANSWERS = pa.schema([("parcel", pa.int64()), ("target", pa.int32()), ("least", pa.list_(pa.binary()))])
+ANSWERS = pa.schema([("parcel", pa.int64()), ("target", pa.int32()), ("least", pa.binary())])
 
 
 def _settle_bytes(sent: DataFrame, n: int, width: int) -> DataFrame:
     """For each parcel and target, per string the least document that holds each of its windows."""
 
-    def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        owners: dict[bytes, int] = {}
-        for _, _, strings, own in rows:
-            for s, o in zip(strings, own, strict=True):
-                owners[s] = min(owners.get(s, o), o)
-        least = dict(zip(owners, least_owners(list(owners), list(owners.values()), width), strict=True))
-        for parcel, target, strings, _ in rows:
-            yield record(ANSWERS, parcel=[parcel], target=[target], least=[[least[s].astype("<i8").tobytes() for s in strings]])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, rows = None, []
+        strings, lengths, parts, owners, counts, parcel, target = [], [], [], [], [], [], []
         for batch in batches:
-            for parcel, t, strings, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if t != target and rows:
-                    yield from settle(rows)
-                    rows = []
-                target = t
-                rows.append((parcel, t, strings, own))
-        if rows:
-            yield from settle(rows)
-
-    dealt = sent.select("parcel", "target", "strings", "owners").repartition(n, "target").sortWithinPartitions("target", "parcel")
-    return dealt.mapInArrow(run, "parcel long, target int, least array<binary>")
+            blob, (sizes, n_strings) = _unpacked(batch.column("strings"), np.uint8)[0].tobytes(), _unpacked(batch.column("lengths"), "<u4")
+            to, (own, numbers) = np.cumsum(sizes, dtype=np.int64), (_unpacked(batch.column("owners"), "<i8")[0], batch.column("target").to_numpy())
+            strings += [blob[a:b] for a, b in zip((to - sizes).tolist(), to.tolist(), strict=True)]
+            parts.append(_unpacked(batch.column("parts"), np.uint8)[0] + np.repeat(numbers.astype(np.int64) * PARTS, n_strings))
+            for found, x in ((lengths, sizes), (owners, own), (counts, n_strings), (parcel, batch.column("parcel").to_numpy()), (target, numbers)):
+                found.append(x.copy())
+        if not strings:
+            return
+        lengths, parts, owners, counts, parcel, target = (np.concatenate(x) for x in (lengths, parts, owners, counts, parcel, target))
+        windows = lengths.astype(np.int64) - width + 1
+        ends = np.cumsum(windows)
+        least = np.empty(ends[-1], np.int64)
+        group: dict[bytes, tuple[int, list[int]]] = {}
+
+        def settle() -> None:
+            for found, (_, where) in zip(least_owners(list(group), [o for o, _ in group.values()], width), group.values(), strict=True):
+                for i in where:
+                    least[ends[i] - windows[i] : ends[i]] = found
+
+        size, order = 0, np.argsort(parts, kind="stable")
+        for i, fresh in zip(order.tolist(), np.append(False, np.diff(parts[order]) > 0).tolist(), strict=True):
+            if fresh and size >= ARRAY:
+                settle()
+                group, size = {}, 0
+            s, own = strings[i], int(owners[i])
+            if (held := group.get(s)) is None:
+                group[s] = own, [i]
+                size += len(s)
+            else:
+                held[1].append(i)
+                if own < held[0]:
+                    group[s] = own, held[1]
+        settle()
+        cuts = np.append(0, ends)[np.append(0, np.cumsum(counts))]  # windows before each row
+        at = np.append(_starts(cuts[1:] >> 17), len(counts))
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            yield _batch(ANSWERS, b - a, parcel=parcel[a:b], target=target[a:b], least=_packed(least[cuts[a] : cuts[b]], np.diff(cuts[a : b + 1])))
+
+    dealt = sent.filter("strings IS NOT NULL").select("key", "parcel", "target", "strings", "lengths", "parts", "owners").repartition(n, "key")
+    return dealt.mapInArrow(run, "parcel long, target int, least binary")
 
 
 RANGES = pa.schema([("doc_id", pa.int64()), ("sha", pa.binary()), ("ranges", pa.binary())])
@@ -367,26 +447,38 @@ def _ranges(sent: DataFrame, answers: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for docs, shas, places, least in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                owners = [np.frombuffer(x, "<i8") for x in least]
-                found: dict[int, list] = {}
-                cache: dict[tuple[int, int], np.ndarray] = {}
-                lows, highs = [int(x.min()) for x in owners], [int(x.max()) for x in owners]
-                for at, start, i in np.frombuffer(places, "<i8").reshape(-1, 3).tolist():
-                    doc = docs[at]
-                    if lows[i] >= doc:
-                        continue
-                    if highs[i] < doc:
-                        runs = np.array([[0, len(owners[i]) - 1 + width]])
-                    elif (runs := cache.get((i, doc))) is None:
-                        on = np.flatnonzero(np.diff(np.concatenate(([0], (owners[i] < doc).view(np.int8), [0]))))
-                        runs = cache[i, doc] = on.reshape(-1, 2) + [0, width - 1]
-                    found.setdefault(at, []).append(runs + start)
-                if found:
-                    yield record(RANGES, doc_id=[docs[i] for i in found], sha=[shas[i] for i in found], ranges=[np.concatenate(x).astype("<i8").tobytes() for x in found.values()])
-
-    both = sent.select("parcel", "target", "docs", "shas", "places").join(answers, ["parcel", "target"])
-    return both.select("docs", "shas", "places", "least").mapInArrow(run, "doc_id long, sha binary, ranges binary")
+            least, (lengths, n_strings) = _unpacked(batch.column("least"), "<i8")[0], _unpacked(batch.column("lengths"), "<u4")
+            (docs, n_docs), shas = _unpacked(batch.column("docs"), "<i8"), _unpacked(batch.column("shas"), "<u8", 2)[0]
+            places, n_places = _unpacked(batch.column("places"), "<i8", 3)
+            if not len(places):
+                continue
+            before = lambda counts: np.repeat(np.cumsum(counts) - counts, n_places)
+            doc, start, which = places[:, 0] + before(n_docs), places[:, 1], places[:, 2] + before(n_strings)
+            windows = lengths.astype(np.int64) - width + 1
+            first = np.cumsum(windows) - windows
+            lows, highs = np.minimum.reduceat(least, first)[which], np.maximum.reduceat(least, first)[which]
+            all_, some = np.flatnonzero(highs < docs[doc]), np.flatnonzero((lows < docs[doc]) & (highs >= docs[doc]))
+            on, of = [np.stack((start[all_], start[all_] + lengths[which[all_]]), axis=1)], [doc[all_]]
+            for at in np.array_split(some, max(1, int(windows[which[some]].sum()) >> 20)):  # windows one by one
+                m = windows[which[at]] + 1  # and one beyond that ends a run
+                shift = np.cumsum(m) - m
+                step = np.arange(m.sum()) - np.repeat(shift, m)
+                inside = step < np.repeat(m - 1, m)
+                earlier = inside & (least[np.where(inside, step + np.repeat(first[which[at]], m), 0)] < np.repeat(docs[doc[at]], m))
+                turns = np.flatnonzero(np.diff(np.concatenate(([0], earlier.view(np.int8))))).reshape(-1, 2)
+                own = np.repeat(np.arange(len(at)), m)[turns[:, 0]]
+                on.append(turns - shift[own][:, None] + [0, width - 1] + start[at[own]][:, None])
+                of.append(doc[at[own]])
+            on, of = np.concatenate(on), np.concatenate(of)
+            if len(of):
+                by = np.argsort(of, kind="stable")
+                at = _starts(of[by])
+                who = of[by[at]]
+                yield _batch(RANGES, len(who), doc_id=docs[who], sha=_packed(shas[who], np.ones(len(who), np.int64)), ranges=_packed(on[by].astype("<i8"), np.diff(np.append(at, len(by)))))
+
+    both = sent.filter("strings IS NOT NULL").select("parcel", "target", "lengths", "docs", "shas", "places").join(answers, ["parcel", "target"])
+    found = both.select("lengths", "docs", "shas", "places", "least").mapInArrow(run, "doc_id long, sha binary, ranges binary")
+    return found.union(sent.filter("ranges IS NOT NULL").select("doc_id", "sha", "ranges"))
 
 
 def cover(n: int, ranges: np.ndarray) -> np.ndarray:
@@ -401,15 +493,13 @@ def cover(n: int, ranges: np.ndarray) -> np.ndarray:
 OUT = pa.schema([("doc_id", pa.int64()), ("sha", pa.binary()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.int64())), ("kept_sha256", pa.string())])
 
 
-def _apply(marked: DataFrame, width: int) -> DataFrame:
+def _apply(marked: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, "text"):
             rows = []
-            for doc, sha, text, gone, ranges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, sha, text, ranges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = text.encode()
-                _, start, end = _marked(np.frombuffer(raw, np.uint8), width, gone)
-                more = np.frombuffer(b"".join(ranges or []), "<i8").reshape(-1, 2)
-                spans = cover(len(raw), np.concatenate((np.stack((start, end), axis=1), more)))
+                spans = cover(len(raw), np.frombuffer(b"".join(ranges), "<i8").reshape(-1, 2))
                 digest, at = hashlib.sha256(), 0
                 for a, b in spans.tolist():
                     digest.update(raw[at:a])
@@ -452,18 +542,19 @@ def remove_repeats(docs: DataFrame, *, width: int = 50, id_col: str = "doc_id",
     first = every.filter("doc_id IS NOT NULL").groupBy("sha").agg(F.min("doc_id").alias("first"))
     first = scratch.keep(first, "first")  # so that joins deal both sides anew and can split a hot text
 
-    sent = _send_stretches(plain.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= width)), width, even_keys(spark, n))
+    keys = even_keys(spark, n)
+    sent = _send_stretches(plain.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= width)), width, keys)
     marks = scratch.keep(_marks(scratch.keep(_settle_stretches(sent, n), "settled")), "marks")
     scratch.drop("settled")
     owned = every.join(first, "sha").filter("doc_id = first").select("doc_id").distinct()
     chosen = plain.join(marks.join(owned, "doc_id", "left_semi"), "doc_id")
     marked = scratch.keep(chosen.select("doc_id", "sha", "text", "mixed", "gone"), "marked")
-    sent = scratch.keep(_send_bytes(marked, width, 8 * n), "bytes")
+    sent = scratch.keep(_send_bytes(marked, width, keys), "bytes")
     answers = scratch.keep(_settle_bytes(sent, n, width), "answers")
-    ranges = _ranges(sent, answers, width).groupBy("doc_id", "sha").agg(F.collect_list("ranges").alias("ranges"))
+    ranges = _ranges(sent, answers, width).groupBy("doc_id", "sha").agg(F.collect_set("ranges").alias("ranges"))
     ranges = scratch.keep(ranges, "ranges")
     scratch.drop("bytes", "answers")
-    done = _apply(marked.join(ranges, ["doc_id", "sha"], "left").select("doc_id", "sha", "text", "gone", "ranges"), width)
+    done = _apply(marked.join(ranges, ["doc_id", "sha"]).select("doc_id", "sha", "text", "ranges"))
     done = scratch.keep(done.dropDuplicates(["doc_id", "sha"]), "done")
     scratch.drop("marked", "ranges", "marks")
 

@@ -367,6 +367,42 @@ def test_repeats_where_rows_share_an_id(spark, monkeypatch):
     assert found.count() == len(rows) and pairs_of(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == wanted
 
 
+@pytest.mark.parametrize("n", [3, 200])
+def test_a_parcel_sends_no_more_batches_to_more_targets(n):
+    """Parcels and targets both grow with the corpus; what is made for each pair of them one by one grows with its square."""
+    rng = random.Random(5)
+    make = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    hot = make(90)
+    texts = [make(400) + hot + make(200) for _ in range(30)]
+    entries = [suffix_dedup.stretches(np.frombuffer(t.encode(), np.uint8), 50)[:2] for t in texts]
+    shas = np.frombuffer(b"".join(hashlib.sha256(t.encode()).digest()[:16] for t in texts), "<u8").reshape(-1, 2)
+    sent = list(suffix_dedup._parcel(entries, np.arange(30), shas, list(range(n)), 0))
+    assert len(sent) <= 2 and sum(b.num_rows for b in sent) >= min(n, 100)
+    held = collections.Counter()
+    for b in sent:
+        names, per_row = suffix_dedup._unpacked(b.column("names"), "<u8")
+        assert suffix_dedup._target(names, n).tolist() == np.repeat(b.column("target").to_numpy(), per_row).tolist()
+        held.update(names.tolist())
+        pairs, _ = suffix_dedup._unpacked(b.column("pairs"), "<u8")
+        held.update(dict(zip(pairs.tolist(), suffix_dedup._unpacked(b.column("held"), "<i8")[0].tolist(), strict=True)))
+    assert held == collections.Counter(x for name, _ in entries for x in name.tolist())
+
+
+def test_repeats_over_many_targets(spark):
+    """Stretches that go whole and such that share some windows, over more targets than rows of a target."""
+    rng = random.Random(21)
+    make = lambda k: "".join(rng.choice("abcdefghijkl ") for _ in range(k))
+    known = [make(130) for _ in range(12)]
+    rows = [(rng.randint(0, 70), make(rng.randint(0, 40)) + (p := rng.choice(known))[rng.randint(0, 20) :] + make(9) + rng.choice(known)[: rng.randint(50, 130)] + p) for _ in range(90)]
+    wanted = brute_repeats([(i, t.encode()) for i, t in rows])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 37)
+    try:
+        assert pairs_of(suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == wanted
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_chunks_of_a_long_text_hold_all_windows(monkeypatch):
     rng = np.random.default_rng(2)
     data = rng.integers(97, 100, 5000).astype(np.uint8)
