@@ -172,6 +172,23 @@ def test_open_variables_need_no_nested_loop(spark, name):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_iris_are_built_before_all_pairs_not_for_each(spark):
+    from loomgraph.queries import QUERIES
+
+    plan = QUERIES["open_join"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = next(i for i, line in enumerate(plan) if "Join Inner, (w_" in line)
+    assert "concat(" not in plan[at - 1] and any("concat(" in line and "module_" in line for line in plan[at + 1 :])
+
+
+@pytest.mark.parametrize("text", ["SELECT ?m ?b ?t WHERE { ?m a :Module OPTIONAL { ?m :hasBook ?b FILTER(?b = <" + NAMESPACE + "book_6>) } OPTIONAL { ?b a :Book ; :title ?t } }", "SELECT ?m ?b WHERE { ?m a :Module OPTIONAL { ?m :hasBook ?b . ?b :hasCode '5' } ?b a :Book }", "SELECT ?m ?u WHERE { ?m a :Module { ?u a :University } }", "SELECT * WHERE { ?m a :Module OPTIONAL { ?u a :University } }"])
+def test_iris_of_all_pairs(graph, monkeypatch, text):
+    from loomgraph.plans.compiler import Compiler
+
+    found = ask(graph, text)
+    monkeypatch.setattr(Compiler, "_written", staticmethod(lambda current, q, items: current))
+    assert found == ask(graph, text) and any("module_" in str(r) for r in found)
+
+
 PAIRED = ["{ VALUES (?a ?b) { (1 UNDEF) (UNDEF 2) (3 4) (1 UNDEF) (5 UNDEF) } VALUES (?b ?c) { (2 7) (4 8) (UNDEF 9) (2 6) } }", "{ VALUES ?a { 3 1 2 1 } { VALUES (?b ?c) { (2 1) (2 0) (0 UNDEF) } } }", "{ VALUES (?a ?b) { (1 UNDEF) (UNDEF 2) (3 4) (9 UNDEF) } OPTIONAL { VALUES (?b ?c) { (2 7) (5 8) (5 6) } } }", "{ ?m a :Module ; :hasCode ?a OPTIONAL { ?m :hasBook ?b FILTER(?b = <" + NAMESPACE + "book_6>) } ?b :title ?c }"]
 
 
