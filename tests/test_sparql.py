@@ -172,6 +172,16 @@ def test_open_variables_need_no_nested_loop(spark, name):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_all_pairs_are_dealt_over_all_tasks_however_little_the_sides_hold(spark):
+    """Small sides would be broadcast or their partitions joined, and a few tasks would make all pairs."""
+    from loomgraph.queries import QUERIES
+
+    plan = QUERIES["open_join"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    n = spark.conf.get("spark.sql.shuffle.partitions")
+    assert plan.count("REPARTITION_BY_NUM") == 2 and any("SortMergeJoin [w_" in line for line in plan.split("\n"))
+    assert all(f", {n})" in line for line in plan.split("\n") if "REPARTITION_BY_NUM" in line)
+
+
 def test_iris_are_built_before_all_pairs_not_for_each(spark):
     from loomgraph.queries import QUERIES
 
